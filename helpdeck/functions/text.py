@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from helpdeck.functions._util import as_col, lit_or_col
 
-# JavaScript String.prototype.trim removes all white space and line
-# terminators: ASCII white space, every Unicode space separator (Zs/Zl/Zp)
-# and U+FEFF. Spark's plain ``trim`` removes only U+0020.
-_WS = r"[\s\p{Z}\x{FEFF}]"
+# JavaScript String.prototype.trim removes TAB, LF, VT, FF, CR, every Unicode
+# separator (Zs, and the line/paragraph separators Zl/Zp) and U+FEFF.
+# Spark's plain ``trim`` removes only U+0020. The class is spelled out so the
+# same text works in Java regex (Spark) and RE2 (the DuckDB oracle).
+WS_CLASS = r"[\t\n\x0B\f\r \p{Z}\x{FEFF}]"
+_WS = WS_CLASS
 _EDGE_WS = rf"^{_WS}+|{_WS}+$"
 
 
