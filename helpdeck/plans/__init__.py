@@ -1,4 +1,4 @@
 """Importing this package fills the query catalog."""
 
-from helpdeck.plans import lists, reports  # noqa: F401
+from helpdeck.plans import lists, notify, reports  # noqa: F401
 from helpdeck.plans.catalog import ORACLES, QUERIES  # noqa: F401
