@@ -18,13 +18,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, oracle: str | None = None):
+def query(name: str, oracle: str | None = None, builder=None):
+    """Register a Spark builder and (optionally) its oracle body; ``builder``
+    turns the body into full SQL (default: fixture-view prefix + body)."""
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query name {name}")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = sql(oracle)
+            ORACLES[name] = (builder or sql)(oracle)
         return fn
     return deco
 

@@ -167,3 +167,74 @@ settings AS (
 def sql(body: str) -> str:
     """Oracle SQL: the view prefix followed by ``body``."""
     return VIEWS + body
+
+CHANGE_VIEWS = """
+, changes AS (
+  SELECT event_id AS seq, user_id AS ticket_id,
+         ['analysis', 'followup', 'schedule', 'calendar_schedule', 'cancel_schedule', 'approve', 'reject',
+          'reset', 'start_visit', 'visit_result', 'close'][CAST(event_id % 11 AS INTEGER) + 1] AS kind,
+         strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_id % 100 AS user_id,
+         CASE WHEN event_type <> 'error' THEN 'catatan ' || CAST(event_id AS VARCHAR) END AS text,
+         CASE WHEN event_id % 11 = 5 THEN CASE WHEN event_type = 'view' THEN 'Lainnya'
+                                              WHEN event_id % 2 = 0 THEN 'Servis' ELSE 'Ganti Unit' END
+              WHEN event_id % 11 = 6 THEN 'reject' END AS decision,
+         CASE WHEN event_type <> 'error' THEN user_id - user_id % 4 + 2 END AS teknisi_id,
+         strftime(ts, '%d/%m/%Y') AS tanggal, strftime(ts, '%H:%M') AS jam,
+         CASE WHEN event_type = 'click' THEN '' ELSE 'hasil ' || CAST(event_id AS VARCHAR) END AS findings,
+         ['Servis', 'Ganti Sparepart', 'Ganti Unit', 'Butuh Sparepart (Follow-up)', 'Ganti Baru (Follow-up)',
+          'Tidak Bisa Diperbaiki'][CAST(event_id % 6 AS INTEGER) + 1] AS solusi
+  FROM events
+),
+intake_raw AS (
+  SELECT c_custkey AS intake_key,
+         CASE WHEN c_custkey % 13 = 0 THEN '   ' ELSE '  ' || c_name || chr(9) END AS customer_name,
+         '0812' || CAST(c_custkey AS VARCHAR) AS customer_hp, n_name AS customer_kota,
+         c_mktsegment AS marketplace, CAST(NULL AS VARCHAR) AS toko,
+         'SN-C' || CAST(c_custkey AS VARCHAR) AS serial_number, 'Keluhan ' || c_mktsegment AS keluhan,
+         CAST(NULL AS VARCHAR) AS kode_barang, CAST(NULL AS BIGINT) AS product_id, c_custkey % 100 AS created_by,
+         '' AS tanggal_complaint,
+         '2001-07-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS tanggal_pembelian
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+),
+product_sheet AS (
+  SELECT p_partkey + 1 AS row_no,
+         CASE WHEN p_partkey % 3 = 0 THEN 'P' || CAST(p_partkey % 1500 AS VARCHAR) ELSE '' END AS "Kode Barang",
+         CASE WHEN p_partkey % 3 = 1 THEN ' P' || CAST(p_partkey % 1500 AS VARCHAR) || ' '
+              WHEN p_partkey % 3 = 2 THEN 'N' || CAST(p_partkey AS VARCHAR) END AS kode_barang,
+         CASE WHEN p_partkey % 7 = 0 THEN '' ELSE p_name END AS "Nama Produk",
+         CASE WHEN p_partkey % 14 = 0 THEN p_brand END AS "NAMA_PRODUK",
+         p_type AS "Tipe", CAST(p_size AS VARCHAR) || '.5 bulan' AS "Garansi"
+  FROM part
+),
+schedule_requests AS (
+  SELECT id AS seq, ticket_id, CASE WHEN user_id % 10 <> 0 THEN user_id - user_id % 4 + 2 END AS teknisi_id,
+         substr(created_at, 1, 10) AS tanggal, substr(created_at, 12, 5) AS jam, description AS notes,
+         user_id, created_at AS ts
+  FROM activity_log WHERE action = 'click'
+),
+visit_reports AS (
+  SELECT id AS seq, ticket_id, user_id AS teknisi_id,
+         CASE WHEN id % 5 = 0 THEN '' ELSE 'temuan ' || CAST(id AS VARCHAR) END AS findings,
+         ['Servis', 'Ganti Sparepart', 'Ganti Unit', 'Butuh Sparepart (Follow-up)', 'Ganti Baru (Follow-up)',
+          'Tidak Bisa Diperbaiki'][CAST(id % 6 AS INTEGER) + 1] AS solusi,
+         CAST(NULL AS VARCHAR) AS sparepart,
+         CASE WHEN id % 2 = 0 THEN substr(created_at, 1, 10) ELSE '' END AS tanggal_selesai,
+         substr(created_at, 12, 5) AS jam
+  FROM activity_log WHERE action = 'signup'
+),
+setting_writes AS (
+  SELECT 'kota_' || CAST(r_regionkey AS VARCHAR) AS key, r_name AS value, CAST(r_regionkey AS BIGINT) AS seq
+  FROM region
+),
+product_edits AS (SELECT pk AS id, l_orderkey AS seq, 'T' || CAST(mx AS VARCHAR) AS tipe FROM first_line),
+toggle_requests AS (SELECT id AS seq, user_id FROM activity_log WHERE action = 'error'),
+delete_requests AS (SELECT id AS seq, user_id FROM approval_logs WHERE action = 'reset')
+"""
+
+
+def sql_changes(body: str, recursive: bool = False) -> str:
+    """Oracle SQL with the fixture views and the change batches."""
+    text = VIEWS + CHANGE_VIEWS + body
+    if recursive:
+        text = text.replace("WITH first_line AS", "WITH RECURSIVE first_line AS", 1)
+    return text

@@ -259,3 +259,116 @@ class TicketViews:
         n = self.table("nation")
         return n.select(F.concat(F.lit("kota_"), _s(F.col("n_nationkey"))).alias("key"),
                         F.col("n_name").alias("value"))
+
+
+class ChangeBatches:
+    """Change batches shaped from the test tables (FIXTURES.md §2 style).
+
+    They only put rows into the request schemas the change operators take;
+    the operators never rely on how these rows were made.
+    """
+
+    KINDS = ["analysis", "followup", "schedule", "calendar_schedule", "cancel_schedule",
+             "approve", "reject", "reset", "start_visit", "visit_result", "close"]
+    SOLUSI = ["Servis", "Ganti Sparepart", "Ganti Unit", "Butuh Sparepart (Follow-up)",
+              "Ganti Baru (Follow-up)", "Tidak Bisa Diperbaiki"]
+
+    def __init__(self, v: TicketViews):
+        self.v = v
+
+    @cached_property
+    def changes(self) -> DataFrame:
+        """Ticket transitions: one per event, ticket = the event's user id."""
+        e = self.v.table("events")
+        i, et, uid = F.col("event_id"), F.col("event_type"), F.col("user_id")
+        kind = F.element_at(F.array(*[F.lit(k) for k in self.KINDS]), (i % 11 + 1).cast("int"))
+        return e.select(
+            i.alias("seq"), uid.alias("ticket_id"), kind.alias("kind"),
+            F.date_format("ts", TS_FMT).alias("ts"), (i % 100).alias("user_id"),
+            F.when(et != "error", F.concat(F.lit("catatan "), _s(i))).alias("text"),
+            F.when(kind == "approve", F.when(et == "view", F.lit("Lainnya"))
+                   .when(i % 2 == 0, F.lit("Servis")).otherwise(F.lit("Ganti Unit")))
+             .when(kind == "reject", F.lit("reject")).alias("decision"),
+            F.when(et != "error", uid - uid % 4 + 2).alias("teknisi_id"),
+            F.date_format("ts", DMY_FMT).alias("tanggal"), F.date_format("ts", "HH:mm").alias("jam"),
+            F.when(et == "click", F.lit("")).otherwise(F.concat(F.lit("hasil "), _s(i))).alias("findings"),
+            F.element_at(F.array(*[F.lit(x) for x in self.SOLUSI]), (i % 6 + 1).cast("int")).alias("solusi"))
+
+    @cached_property
+    def intake_raw(self) -> DataFrame:
+        """Complaint form rows: one per customer."""
+        c, n = self.v.table("customer"), self.v.table("nation")
+        k = F.col("c_custkey")
+        j = c.join(n, c.c_nationkey == n.n_nationkey)
+        return j.select(
+            k.alias("intake_key"),
+            F.when(k % 13 == 0, F.lit("   ")).otherwise(F.concat(F.lit("  "), F.col("c_name"), F.lit("\t")))
+             .alias("customer_name"),
+            F.concat(F.lit("0812"), _s(k)).alias("customer_hp"), F.col("n_name").alias("customer_kota"),
+            F.col("c_mktsegment").alias("marketplace"), F.lit(None).cast("string").alias("toko"),
+            F.concat(F.lit("SN-C"), _s(k)).alias("serial_number"),
+            F.concat(F.lit("Keluhan "), F.col("c_mktsegment")).alias("keluhan"),
+            F.lit(None).cast("string").alias("kode_barang"), F.lit(None).cast("long").alias("product_id"),
+            (k % 100).alias("created_by"), F.lit("").alias("tanggal_complaint"),
+            F.concat(F.lit("2001-07-"), F.lpad(_s(k % 28 + 1), 2, "0")).alias("tanggal_pembelian"))
+
+    @cached_property
+    def product_sheet(self) -> DataFrame:
+        """A product import sheet with mixed header aliases and repeated codes."""
+        p = self.v.table("part")
+        k = F.col("p_partkey")
+        return p.select(
+            (k + 1).alias("row_no"),
+            F.when(k % 3 == 0, F.concat(F.lit("P"), _s(k % 1500))).otherwise(F.lit("")).alias("Kode Barang"),
+            F.when(k % 3 == 1, F.concat(F.lit(" P"), _s(k % 1500), F.lit(" ")))
+             .when(k % 3 == 2, F.concat(F.lit("N"), _s(k))).alias("kode_barang"),
+            F.when(k % 7 == 0, F.lit("")).otherwise(F.col("p_name")).alias("Nama Produk"),
+            F.when(k % 14 == 0, F.col("p_brand")).alias("NAMA_PRODUK"),
+            F.col("p_type").alias("Tipe"),
+            F.concat(_s(F.col("p_size")), F.lit(".5 bulan")).alias("Garansi"))
+
+    @cached_property
+    def schedule_requests(self) -> DataFrame:
+        """Calendar schedule requests: one per 'click' activity."""
+        a = self.v.activity_log.filter(F.col("action") == "click")
+        u = F.col("user_id")
+        return a.select(
+            F.col("id").alias("seq"), "ticket_id",
+            F.when(u % 10 != 0, u - u % 4 + 2).alias("teknisi_id"),
+            F.substring("created_at", 1, 10).alias("tanggal"), F.substring("created_at", 12, 5).alias("jam"),
+            F.col("description").alias("notes"), "user_id", F.col("created_at").alias("ts"))
+
+    @cached_property
+    def visit_reports(self) -> DataFrame:
+        """Visit reports: one per 'signup' activity."""
+        a = self.v.activity_log.filter(F.col("action") == "signup")
+        i = F.col("id")
+        return a.select(
+            i.alias("seq"), "ticket_id", F.col("user_id").alias("teknisi_id"),
+            F.when(i % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("temuan "), _s(i))).alias("findings"),
+            F.element_at(F.array(*[F.lit(x) for x in self.SOLUSI]), (i % 6 + 1).cast("int")).alias("solusi"),
+            F.lit(None).cast("string").alias("sparepart"),
+            F.when(i % 2 == 0, F.substring("created_at", 1, 10)).otherwise(F.lit("")).alias("tanggal_selesai"),
+            F.substring("created_at", 12, 5).alias("jam"))
+
+    @cached_property
+    def setting_writes(self) -> DataFrame:
+        r = self.v.table("region")
+        return r.select(F.concat(F.lit("kota_"), _s(F.col("r_regionkey"))).alias("key"),
+                        F.col("r_name").alias("value"), F.col("r_regionkey").cast("long").alias("seq"))
+
+    @cached_property
+    def product_edits(self) -> DataFrame:
+        fl = self.v.first_line
+        return fl.select(F.col("pk").alias("id"), F.col("l_orderkey").alias("seq"),
+                         F.concat(F.lit("T"), _s(F.col("mx"))).alias("tipe"))
+
+    @cached_property
+    def toggle_requests(self) -> DataFrame:
+        a = self.v.activity_log.filter(F.col("action") == "error")
+        return a.select(F.col("id").alias("seq"), "user_id")
+
+    @cached_property
+    def delete_requests(self) -> DataFrame:
+        al = self.v.approval_logs.filter(F.col("action") == "reset")
+        return al.select(F.col("id").alias("seq"), "user_id")
