@@ -45,6 +45,42 @@ def _days(ts: Column, n: Column) -> Column:
     return ts + F.make_interval(days=n.cast("int"))
 
 
+# -- event-derived shapes: plain selects, so they apply to batch *and* streaming reads
+def shape_notifications(e: DataFrame) -> DataFrame:
+    i = F.col("event_id")
+    return e.select(
+        i.alias("id"),
+        F.when(i % 3 != 0, F.col("user_id") % 100).alias("user_id"),
+        F.when(i % 3 == 0, _role_of(i)).alias("role"),
+        F.concat(F.lit("msg "), F.col("event_type")).alias("message"),
+        F.concat(F.lit("/admin/tickets/"), _s(i % 200)).alias("link"),
+        F.when(F.col("event_type").isin("view", "click"), F.lit(1)).otherwise(F.lit(0)).alias("is_read"),
+        F.date_format("ts", TS_FMT).alias("created_at"))
+
+
+def shape_approval_logs(events: DataFrame) -> DataFrame:
+    e = events.filter(F.col("event_type").isin("purchase", "error", "signup"))
+    et = F.col("event_type")
+    action = F.when(et == "purchase", "approve").when(et == "error", "reject").otherwise("reset")
+    return e.select(
+        F.col("event_id").alias("id"),
+        F.col("user_id").alias("ticket_id"),
+        action.alias("action"),
+        F.when(et == "purchase", "Servis").when(et == "error", "reject").alias("decision"),
+        F.concat(F.lit("komentar "), _s(F.col("event_id"))).alias("comment"),
+        F.when(et == "signup", "rejected").otherwise("approval").alias("old_status"),
+        F.when(et == "purchase", "waiting").when(et == "error", "rejected").otherwise("approval").alias("new_status"),
+        (F.col("event_id") % 100).alias("user_id"),
+        F.date_format("ts", TS_FMT).alias("created_at"))
+
+
+def shape_attempts(events: DataFrame) -> DataFrame:
+    e = events.filter(F.col("event_type").isin("purchase", "error"))
+    return e.select(
+        F.col("event_id").alias("id"), F.col("ts"), F.col("user_id").alias("address"),
+        F.when(F.col("event_type") == "purchase", F.lit(1)).otherwise(F.lit(0)).alias("ok"))
+
+
 class TicketViews:
     """Lazily built ticket-model DataFrames for one scale-factor directory."""
 
@@ -181,39 +217,15 @@ class TicketViews:
     # -- event-derived logs --------------------------------------------------
     @cached_property
     def notifications(self) -> DataFrame:
-        e = self.table("events")
-        i = F.col("event_id")
-        return e.select(
-            i.alias("id"),
-            F.when(i % 3 != 0, F.col("user_id") % 100).alias("user_id"),
-            F.when(i % 3 == 0, _role_of(i)).alias("role"),
-            F.concat(F.lit("msg "), F.col("event_type")).alias("message"),
-            F.concat(F.lit("/admin/tickets/"), _s(i % 200)).alias("link"),
-            F.when(F.col("event_type").isin("view", "click"), F.lit(1)).otherwise(F.lit(0)).alias("is_read"),
-            F.date_format("ts", TS_FMT).alias("created_at"))
+        return shape_notifications(self.table("events"))
 
     @cached_property
     def approval_logs(self) -> DataFrame:
-        e = self.table("events").filter(F.col("event_type").isin("purchase", "error", "signup"))
-        et = F.col("event_type")
-        action = F.when(et == "purchase", "approve").when(et == "error", "reject").otherwise("reset")
-        return e.select(
-            F.col("event_id").alias("id"),
-            F.col("user_id").alias("ticket_id"),
-            action.alias("action"),
-            F.when(et == "purchase", "Servis").when(et == "error", "reject").alias("decision"),
-            F.concat(F.lit("komentar "), _s(F.col("event_id"))).alias("comment"),
-            F.when(et == "signup", "rejected").otherwise("approval").alias("old_status"),
-            F.when(et == "purchase", "waiting").when(et == "error", "rejected").otherwise("approval").alias("new_status"),
-            (F.col("event_id") % 100).alias("user_id"),
-            F.date_format("ts", TS_FMT).alias("created_at"))
+        return shape_approval_logs(self.table("events"))
 
     @cached_property
     def attempts(self) -> DataFrame:
-        e = self.table("events").filter(F.col("event_type").isin("purchase", "error"))
-        return e.select(
-            F.col("event_id").alias("id"), F.col("ts"), F.col("user_id").alias("address"),
-            F.when(F.col("event_type") == "purchase", F.lit(1)).otherwise(F.lit(0)).alias("ok"))
+        return shape_attempts(self.table("events"))
 
     @cached_property
     def activity_log(self) -> DataFrame:
