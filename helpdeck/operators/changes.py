@@ -60,7 +60,10 @@ def _guarded_table(allowed: tuple, target: str) -> Column:
     return F.array(*[F.lit(_IDX[target] if i in [_IDX[a] for a in allowed] else i) for i in range(N_STATES)])
 
 
-_IDENTITY = F.array(*[F.lit(i) for i in range(N_STATES)])
+def _identity() -> Column:
+    return F.array(*[F.lit(i) for i in range(N_STATES)])
+
+
 _RESET_FROM = ("waiting", "rejected")
 _CAL_FROM = ("waiting", "approval")
 
@@ -83,8 +86,8 @@ def _table(kind: Column, valid: Column) -> Column:
          .when(kind == "reset", _guarded_table(_RESET_FROM, "approval"))
          .when(kind.isin("start_visit", "visit_result"), _const_table("on_progress"))
          .when(kind == "close", _const_table("completed"))
-         .otherwise(_IDENTITY))
-    return F.when(valid, t).otherwise(_IDENTITY)
+         .otherwise(_identity()))
+    return F.when(valid, t).otherwise(_identity())
 
 
 def scan_changes(tickets: DataFrame, changes: DataFrame) -> DataFrame:

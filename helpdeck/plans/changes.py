@@ -469,3 +469,34 @@ def issue_vouchers(spark, sf_dir):
     counterpart; ``voucher_candidates`` carries the oracle for the rest)."""
     v = views(spark, sf_dir)
     return CH.issue_vouchers(v.tickets, v.products, v.service_vouchers, TICKET_NOW)
+
+
+@query("product_upsert", """
+, inc AS (SELECT p_partkey AS row_no, 'P' || CAST(p_partkey + 1000 AS VARCHAR) AS kode_barang,
+                 upper(p_name) AS nama_produk, p_brand AS tipe, p_size AS garansi_bulan FROM part),
+lastr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kode_barang ORDER BY row_no DESC) AS rk FROM inc)
+          WHERE rk = 1)
+SELECT p.id, p.kode_barang,
+       CASE WHEN l.row_no IS NOT NULL THEN l.nama_produk ELSE p.nama_produk END AS nama_produk,
+       CASE WHEN l.row_no IS NOT NULL THEN l.tipe ELSE p.tipe END AS tipe,
+       CASE WHEN l.row_no IS NOT NULL THEN l.garansi_bulan ELSE p.garansi_bulan END AS garansi_bulan,
+       p.created_at
+FROM products p LEFT JOIN lastr l ON p.kode_barang = l.kode_barang
+UNION ALL
+SELECT (SELECT max(id) FROM products) + row_number() OVER (ORDER BY row_no), kode_barang, nama_produk, tipe,
+       garansi_bulan, CAST(NULL AS VARCHAR)
+FROM lastr WHERE kode_barang NOT IN (SELECT kode_barang FROM products)
+""", builder=sql_changes)
+def product_upsert(spark, sf_dir):
+    """I4 upsert of a catalog feed into products by code (id kept on match, next ids for new codes)."""
+    from helpdeck.sources.fixtures import incoming_catalog
+
+    v = views(spark, sf_dir)
+    return CH.upsert_by_key(v.products, incoming_catalog(v), "kode_barang", "row_no",
+                            update_cols=["nama_produk", "tipe", "garansi_bulan"])
+
+
+@query("cascade_delete", f"SELECT * FROM tickets WHERE id NOT IN {_DELETED}")
+def cascade_delete(spark, sf_dir):
+    """I8 the tickets table after deleting every rejected ticket with its children."""
+    return _cascade(spark, sf_dir)["tickets"]

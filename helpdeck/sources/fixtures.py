@@ -384,3 +384,12 @@ class ChangeBatches:
     def delete_requests(self) -> DataFrame:
         al = self.v.approval_logs.filter(F.col("action") == "reset")
         return al.select(F.col("id").alias("seq"), "user_id")
+
+
+def incoming_catalog(v: TicketViews) -> DataFrame:
+    """A supplier catalog feed keyed by product code (half known codes, half new)."""
+    p = v.table("part")
+    k = F.col("p_partkey")
+    return p.select(k.alias("row_no"), F.concat(F.lit("P"), _s(k + 1000)).alias("kode_barang"),
+                    F.upper(F.col("p_name")).alias("nama_produk"), F.col("p_brand").alias("tipe"),
+                    F.col("p_size").alias("garansi_bulan"))
