@@ -503,7 +503,8 @@ def guarded_user_delete(users: DataFrame, requests: DataFrame) -> DataFrame:
     adm = adm.withColumn("deleted", F.col("_k") < F.col("_admins")).withColumn(
         "reason", F.when(F.col("deleted"), F.lit("deleted")).otherwise(F.lit("cannot_delete_last_admin")))
     other = j.filter(F.col("role").isNull() | (F.col("role") != "admin"))
-    other = other.withColumn("deleted", F.col("role").isin("management", "teknisi", "cs")).withColumn(
+    other = other.withColumn("deleted", F.coalesce(F.col("role").isin("management", "teknisi", "cs"),
+                                                   F.lit(False))).withColumn(
         "reason", F.when(F.col("role").isNull(), F.lit("user_not_found"))
         .when(F.col("deleted"), F.lit("deleted")).otherwise(F.lit("invalid_role")))
     dups = dup.select("seq", "user_id", F.lit(None).cast("string").alias("role"), F.lit(False).alias("deleted"),
