@@ -263,17 +263,26 @@ def sequence_numbers(df: DataFrame, order: list, partition: list | None = None,
     each range is numbered locally and shifted by the sizes of the ranges
     before it (a tiny per-range count table). Equal to
     ``row_number() over (partition by .. order by ..)``; ``order`` must be
-    unique within a partition."""
+    unique within a partition.
+
+    The locally numbered rows are checkpointed (reliable checkpoint in the
+    shared ``spark.checkpoint.dir``) before the range sizes are counted: the
+    partition ids must be the *same* in both uses, and adaptive execution may
+    otherwise coalesce the two reads of the range shuffle differently. The
+    checkpoint also cuts the lineage, so a lost executor does not force a
+    re-shuffle with new range bounds.
+    """
     partition = partition or []
     spark = df.sparkSession
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *partition, *order).withColumn("_part", F.spark_partition_id())
     w_local = Window.partitionBy("_part", *partition).orderBy(*order)
-    local = ranged.withColumn("_local", F.row_number().over(w_local))
-    sizes = ranged.groupBy("_part", *partition).agg(F.count(F.lit(1)).alias("_size"))
+    local = ranged.withColumn("_local", F.row_number().over(w_local)).checkpoint(eager=True)
+    sizes = local.groupBy("_part", *partition).agg(F.max("_local").alias("_size"))
     w_off = Window.partitionBy(*partition).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_size").over(w_off), F.lit(0))).drop("_size")
-    return (local.join(F.broadcast(offsets), ["_part", *partition])
+    # one row per (range, partition key): at most ranges x distinct keys rows, joined on equality
+    return (local.join(offsets, ["_part", *partition])
             .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
             .drop("_part", "_local", "_off"))
 

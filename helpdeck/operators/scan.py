@@ -11,7 +11,7 @@ applying events one after another is table composition, which is
 associative. Associativity allows a tree reduction (the parallel prefix
 scan):
 
-* up pass: events are grouped by ``(key, seq >> 6)`` - at most 64 events per
+* up pass: events are grouped by ``(key, rank >> 6)`` - at most 64 events per
   group, whatever the key's size - and each group folds its sorted members
   into one table, remembering each member's *exclusive* prefix inside the
   group; groups are grouped again by ``>> 6`` until every key has one root.
@@ -55,10 +55,9 @@ def _fold_group(members: Column, n: int) -> Column:
     return F.aggregate(members, init, step)
 
 
-def _levels_needed(df: DataFrame, seq: str) -> int:
-    mx = df.agg(F.max(seq)).first()[0]
+def _levels_needed(max_rank: int | None) -> int:
     levels, span = 1, 1 << FANOUT_BITS
-    while mx is not None and mx >= span:
+    while max_rank is not None and max_rank > span:
         levels += 1
         span <<= FANOUT_BITS
     return levels
@@ -67,14 +66,23 @@ def _levels_needed(df: DataFrame, seq: str) -> int:
 def prefix_scan(df: DataFrame, key: str, seq: str, table: str, inc: str, n_states: int) -> DataFrame:
     """Add ``prefix`` (composition of all earlier events' tables of the same
     key, identity for the first) and ``inc_before`` (sum of ``inc`` of
-    earlier events) to every row. ``seq`` must be a non-negative long,
-    unique within a key; it defines the order."""
-    levels = _levels_needed(df, seq)
-    # level 0 children are the events themselves
-    nodes = df.select(F.col(key).alias("_k"), F.col(seq).cast("long").alias("ck"),
-                      F.col(table).alias("t"), F.col(inc).cast("long").alias("inc"))
+    earlier events) to every row. ``seq`` orders the events of a key and
+    must be unique within it.
+
+    The tree is built on each event's dense rank within its key (computed by
+    range partitioning, so a hot key is ranked by many tasks); every level-0
+    group then holds 64 consecutive events of one key.
+    """
+    from helpdeck.operators.changes import sequence_numbers
+
+    ranked = sequence_numbers(df, [seq], partition=[key], name="_r")
+    max_rank = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    levels = _levels_needed(max_rank)
+    # level 0 children are the events themselves, keyed by rank - 1
+    nodes = ranked.select(F.col(key).alias("_k"), (F.col("_r") - 1).alias("ck"),
+                          F.col(table).alias("t"), F.col(inc).cast("long").alias("inc"))
     ups: list[DataFrame] = []
-    for lvl in range(levels):
+    for _ in range(levels):
         grouped = (nodes.withColumn("b", F.shiftright("ck", FANOUT_BITS))
                    .groupBy("_k", "b")
                    .agg(F.array_sort(F.collect_list(F.struct("ck", "t", "inc"))).alias("m"))
@@ -90,6 +98,6 @@ def prefix_scan(df: DataFrame, key: str, seq: str, table: str, inc: str, n_state
         child = ups[lvl].join(parent, ["_k", "b"])
         glob = child.select("_k", "ck", compose(F.col("gp"), F.col("p")).alias("gp"),
                             (F.col("gi") + F.col("i")).alias("gi"))
-    res = glob.select(F.col("_k").alias(key), F.col("ck").alias(seq), F.col("gp").alias("prefix"),
+    res = glob.select(F.col("_k").alias(key), (F.col("ck") + 1).alias("_r"), F.col("gp").alias("prefix"),
                       F.col("gi").alias("inc_before"))
-    return df.join(res, [key, seq])
+    return ranked.join(res, [key, "_r"]).drop("_r")
