@@ -101,13 +101,14 @@ def scan_changes(tickets: DataFrame, changes: DataFrame) -> DataFrame:
     """
     base = tickets.select(F.col("id").alias("ticket_id"), F.col("status").alias("_base_status"),
                           F.coalesce(F.col("follow_up_count"), F.lit(0)).cast("long").alias("_base_count"))
-    ch = changes.join(base, "ticket_id")
     kind = F.col("kind")
-    ch = ch.withColumn("valid", change_validity(kind))
+    ch = changes.withColumn("valid", change_validity(kind))
     inc = (F.col("valid") & ((kind == "followup") |
                              ((kind == "visit_result") & needs_followup(F.col("solusi"))))).cast("int")
     ch = ch.withColumn("_t", _table(kind, F.col("valid"))).withColumn("_inc", inc)
-    s = prefix_scan(ch, "ticket_id", "seq", "_t", "_inc", N_STATES)
+    # the scan needs only the changes; the ticket's base status is applied after it
+    # (one join, and the ticket table is not read by the scan's own jobs)
+    s = prefix_scan(ch, "ticket_id", "seq", "_t", "_inc", N_STATES).join(base, "ticket_id")
     b0 = status_index(F.col("_base_status"))
     before_idx = F.get(F.col("prefix"), b0)
     s = s.withColumn("_bi", before_idx).withColumn("_ai", F.get(F.col("_t"), F.col("_bi")))
@@ -255,6 +256,19 @@ def emit_events(tickets: DataFrame, changes: DataFrame) -> DataFrame:
     return activity.unionByName(alog)
 
 
+def last_per_key(df: DataFrame, key, order: str) -> DataFrame:
+    """The row with the highest ``order`` per key (E6 "last row wins").
+
+    ``max_by`` is a partial aggregate: each map task keeps one candidate per
+    key, so a key written by a third of the batch still moves one row per
+    task. ``order`` must be unique within a key.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in df.columns if c not in keys]
+    return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_last"))
+            .select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest]))
+
+
 # ----------------------------------------------------------------- numbering
 def sequence_numbers(df: DataFrame, order: list, partition: list | None = None, name: str = "rn",
                      buckets: int | None = None) -> DataFrame:
@@ -289,9 +303,9 @@ def sequence_numbers(df: DataFrame, order: list, partition: list | None = None,
 
 def next_ids(new_rows: DataFrame, existing: DataFrame, order: list, id_col: str = "id") -> DataFrame:
     """I14 auto-increment: new ids continue after the existing maximum, in ``order``."""
-    mx = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long").alias("_max"))
+    mx = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()   # scalar subquery
     numbered = sequence_numbers(new_rows, order, name="_n")
-    return numbered.crossJoin(F.broadcast(mx)).withColumn(id_col, F.col("_max") + F.col("_n")).drop("_max", "_n")
+    return numbered.withColumn(id_col, mx + F.col("_n")).drop("_n")
 
 
 def ticket_numbers(existing: DataFrame, requests: DataFrame, order: list) -> DataFrame:
@@ -373,9 +387,7 @@ def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: str, order: str
     """I4 upsert on a natural key: the last incoming row per key (highest
     ``order``, E6) updates the matching row (id kept) or becomes a new row
     with the next id. Returns the whole new table."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    # per-key last row: partial top-1 per key (WindowGroupLimit trims before the shuffle)
-    last = incoming.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
+    last = last_per_key(incoming, key, order)
     update_cols = update_cols or [c for c in existing.columns if c not in (id_col, key)]
     inc = last.select(key, order, *[F.col(c).alias(f"_n_{c}") for c in update_cols if c in last.columns])
     j = existing.join(inc, key, "left")
@@ -405,8 +417,7 @@ def schedule_upsert(schedules: DataFrame, requests: DataFrame) -> DataFrame:
     given = lambda c: ~is_blank(F.col(c).cast("string"))
     r = (requests.withColumn("tanggal", iso_to_dmy(F.col("tanggal")))
          .filter(given("teknisi_id") & given("tanggal") & given("jam")))
-    w = Window.partitionBy("ticket_id").orderBy(F.desc("seq"))
-    last = r.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
+    last = last_per_key(r, "ticket_id", "seq")
     inc = last.select("ticket_id", "seq", *[F.col(c).alias(f"_n_{c}") for c in ("teknisi_id", "tanggal", "jam", "notes")])
     j = schedules.join(inc, "ticket_id", "left")
     upd_cols = {"teknisi_id", "tanggal", "jam", "notes"}
@@ -431,9 +442,7 @@ def visit_upsert(visits: DataFrame, reports: DataFrame, now: str) -> DataFrame:
     solusi, sparepart, tanggal_selesai, jam."""
     from helpdeck.functions.dates import iso_to_dmy, today_str
 
-    r = reports.filter(~is_blank(F.col("findings")))
-    w = Window.partitionBy("ticket_id").orderBy(F.desc("seq"))
-    last = r.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).drop("_rk")
+    last = last_per_key(reports.filter(~is_blank(F.col("findings"))), "ticket_id", "seq")
     today = today_str(now)
     vals = last.select("ticket_id", "seq", F.col("teknisi_id").alias("_n_teknisi_id"),
                        today.alias("_n_tanggal"), F.col("jam").alias("_n_jam"),
@@ -465,8 +474,7 @@ def settings_replace(settings: DataFrame, writes: DataFrame, order: str = "seq")
     """I5 insert-or-replace by key: the last write per key wins over the stored value."""
     old = settings.select("key", "value", F.lit(-1).cast("long").alias(order))
     allw = old.unionByName(writes.select("key", "value", F.col(order).cast("long")))
-    w = Window.partitionBy("key").orderBy(F.desc(order))
-    return allw.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1).select("key", "value")
+    return last_per_key(allw, "key", order).select("key", "value")
 
 
 def keyed_update(table: DataFrame, updates: DataFrame, key: str = "id", order: str = "seq",
@@ -474,8 +482,7 @@ def keyed_update(table: DataFrame, updates: DataFrame, key: str = "id", order: s
     """I2 ``UPDATE t SET c.. WHERE key = ?`` for a batch: last update per key
     replaces the listed columns (NULL included, as a SET does)."""
     cols = cols or [c for c in updates.columns if c not in (key, order)]
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    last = updates.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") == 1)
+    last = last_per_key(updates, key, order)
     u = last.select(key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_n_{c}") for c in cols])
     j = table.join(u, key, "left")
     dtypes = dict(table.dtypes)
@@ -506,10 +513,10 @@ def guarded_user_delete(users: DataFrame, requests: DataFrame) -> DataFrame:
     dup = requests.join(first.withColumnRenamed("seq", "_first"), "user_id") \
         .filter(F.col("seq") != F.col("_first")).select("seq", "user_id")
     j = first.join(users.select(F.col("id").alias("user_id"), "role"), "user_id", "left")
-    n_admins = users.filter(F.col("role") == "admin").agg(F.count(F.lit(1)).alias("_admins"))
+    n_admins = users.filter(F.col("role") == "admin").agg(F.count(F.lit(1))).scalar()   # scalar subquery
     adm = j.filter(F.col("role") == "admin")
-    adm = sequence_numbers(adm, ["seq"], name="_k").crossJoin(F.broadcast(n_admins))
-    adm = adm.withColumn("deleted", F.col("_k") < F.col("_admins")).withColumn(
+    adm = sequence_numbers(adm, ["seq"], name="_k")
+    adm = adm.withColumn("deleted", F.col("_k") < n_admins).withColumn(
         "reason", F.when(F.col("deleted"), F.lit("deleted")).otherwise(F.lit("cannot_delete_last_admin")))
     other = j.filter(F.col("role").isNull() | (F.col("role") != "admin"))
     other = other.withColumn("deleted", F.coalesce(F.col("role").isin("management", "teknisi", "cs"),

@@ -76,7 +76,7 @@ def prefix_scan(df: DataFrame, key: str, seq: str, table: str, inc: str, n_state
     from helpdeck.operators.changes import sequence_numbers
 
     ranked = sequence_numbers(df, [seq], partition=[key], name="_r")
-    max_rank = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    max_rank = ranked.agg(F.max("_r")).first()[0]   # reads the checkpointed numbering
     levels = _levels_needed(max_rank)
     # level 0 children are the events themselves, keyed by rank - 1
     nodes = ranked.select(F.col(key).alias("_k"), (F.col("_r") - 1).alias("ck"),

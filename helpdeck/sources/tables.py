@@ -33,8 +33,7 @@ def first_row(df: DataFrame, *order) -> DataFrame:
 def load_if_empty(target: DataFrame, seed: DataFrame) -> DataFrame:
     """A12 ``seed`` guard: the target plus the seed rows only when the target is empty.
 
-    One lazy plan: the seed is anti-joined against a one-row existence probe
-    (``limit(1)``, so the broadcast side has a proven size of one row).
+    One lazy plan: the seed rows are kept only under ``NOT EXISTS (target)``
+    (an uncorrelated subquery, evaluated once).
     """
-    probe = target.select(F.lit(1).alias("_has_rows")).limit(1)
-    return target.unionByName(seed.join(F.broadcast(probe), F.lit(True), "left_anti"))
+    return target.unionByName(seed.where(~target.exists()))
