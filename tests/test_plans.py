@@ -1,0 +1,30 @@
+"""Plan guards over every registered query: no cartesian products, and no
+nested-loop joins except Catalyst's one-row existence probe (an anti/semi
+join against a constant key becomes a nested loop whose broadcast side is
+``LIMIT 1``)."""
+
+import pytest
+
+import __spark_entry__ as entry
+
+SF = "/root/testdata/sf0.001"
+QUERIES = entry.queries()
+
+
+def _offending(plan: str) -> list[str]:
+    lines = plan.split("\n")
+    bad = [l for l in lines if "CartesianProduct" in l]
+    for i, line in enumerate(lines):
+        if "BroadcastNestedLoopJoin" in line:
+            nxt = [j for j in range(i + 1, min(i + 60, len(lines))) if "BroadcastExchange" in lines[j]]
+            probe = nxt and "Limit 1" in lines[nxt[0] + 1]
+            if not probe:
+                bad.append(line)
+    return bad
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_no_pairwise_nested_loops(spark, name):
+    df = QUERIES[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not _offending(plan), plan
