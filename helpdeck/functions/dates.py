@@ -20,14 +20,45 @@ DMY_FMT = "dd/MM/yyyy"
 
 
 def now_ts(now) -> Column:
-    """A fixed clock value (text ``yyyy-MM-dd HH:mm:ss`` or Column) as TIMESTAMP."""
-    return F.to_timestamp(lit_or_col(now), TS_FMT) if not isinstance(now, Column) else now
+    """A fixed clock value (text ``yyyy-MM-dd HH:mm:ss`` or Column) as a
+    wall-clock TIMESTAMP_NTZ: formatting and interval arithmetic on it do not
+    depend on the session time zone."""
+    return F.to_timestamp_ntz(F.lit(now), F.lit(TS_FMT)) if not isinstance(now, Column) else now
 
 
-def text_ts(c) -> Column:
-    """Text -> TIMESTAMP, accepting ``yyyy-MM-dd HH:mm:ss`` or ``yyyy-MM-dd``; else NULL."""
+def epoch_ntz() -> Column:
+    return F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"), F.lit(TS_FMT))
+
+
+def epoch_seconds(ts) -> Column:
+    """Seconds since 1970-01-01 00:00:00 of a wall-clock timestamp (NTZ; an
+    instant is first read as the session's wall clock). Time-zone free."""
+    return F.timestamp_diff("SECOND", epoch_ntz(), as_col(ts).cast("timestamp_ntz"))
+
+
+def epoch_text(seconds) -> Column:
+    """Inverse of ``epoch_seconds`` as ``yyyy-MM-dd HH:mm:ss`` text."""
+    return F.date_format(F.timestamp_add("SECOND", as_col(seconds), epoch_ntz()), TS_FMT)
+
+
+def text_seconds(c) -> Column:
+    """``julianday``-style seconds of ``yyyy-MM-dd HH:mm:ss`` or ``yyyy-MM-dd``
+    text, by date and clock arithmetic (no time zone involved); anything
+    else, or an impossible date/time, is NULL."""
     c = as_col(c)
-    return F.coalesce(F.try_to_timestamp(c, F.lit(TS_FMT)), F.try_to_timestamp(c, F.lit(ISO_FMT)))
+    day = F.try_to_date(F.substring(c, 1, 10), ISO_FMT)
+    days = F.datediff(day, F.to_date(F.lit("1970-01-01")))
+    hh, mm, ss = (F.substring(c, p, 2).try_cast("int") for p in (12, 15, 18))
+    full = c.rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$") & (hh < 24) & (mm < 60) & (ss < 60)
+    date_only = c.rlike(r"^\d{4}-\d{2}-\d{2}$")
+    secs = days.cast("long") * 86400
+    return (F.when(full, secs + hh * 3600 + mm * 60 + ss)
+            .when(date_only, secs))
+
+
+def text_ts(c) -> Column:
+    """Text -> wall-clock TIMESTAMP_NTZ (``yyyy-MM-dd HH:mm:ss`` or ``yyyy-MM-dd``); else NULL."""
+    return F.timestamp_add("SECOND", text_seconds(c), epoch_ntz())
 
 
 def text_date(c) -> Column:
@@ -46,9 +77,10 @@ def whole_days(later, earlier) -> Column:
     return F.datediff(iso_prefix_date(later), iso_prefix_date(earlier))
 
 
-def frac_days(later_ts: Column, earlier_text) -> Column:
-    """H9 fractional day difference ``julianday(a) - julianday(b)``."""
-    return (F.unix_seconds(later_ts) - F.unix_seconds(text_ts(earlier_text))) / F.lit(86400.0)
+def frac_days(later_text, earlier_text) -> Column:
+    """H9 fractional day difference ``julianday(a) - julianday(b)`` of two texts."""
+    later = text_seconds(lit_or_col(later_text))
+    return (later - text_seconds(earlier_text)) / F.lit(86400.0)
 
 
 def today_str(now) -> Column:
@@ -57,9 +89,10 @@ def today_str(now) -> Column:
 
 
 def wib_text(ts) -> Column:
-    """H6 ``nowWIB``: a UTC instant as UTC+7 wall-clock text."""
-    return F.date_format(F.from_utc_timestamp(as_col(ts) if not isinstance(ts, str) else now_ts(ts),
-                                              "Asia/Jakarta"), TS_FMT)
+    """H6 ``nowWIB``: a UTC clock value as UTC+7 wall-clock text (Western
+    Indonesia has no daylight saving: a fixed +7 hours)."""
+    t = now_ts(ts) if isinstance(ts, str) else as_col(ts).cast("timestamp_ntz")
+    return F.date_format(t + F.make_interval(hours=F.lit(7)), TS_FMT)
 
 
 def _swap3(c, sep_in: str, sep_out: str) -> Column:

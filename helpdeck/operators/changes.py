@@ -286,8 +286,11 @@ def sequence_numbers(df: DataFrame, order: list, partition: list | None = None,
     checkpoint also cuts the lineage, so a lost executor does not force a
     re-shuffle with new range bounds.
     """
+    from helpdeck.session import checkpoint_dir
+
     partition = partition or []
     spark = df.sparkSession
+    checkpoint_dir(spark)   # the shared folder from spark.checkpoint.dir (set only where unset)
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *partition, *order).withColumn("_part", F.spark_partition_id())
     w_local = Window.partitionBy("_part", *partition).orderBy(*order)
@@ -609,7 +612,9 @@ def voucher_candidates(tickets: DataFrame, products: DataFrame, vouchers: DataFr
 def voucher_number(ticket_id: Column, now: str, salt: str = "voucher") -> Column:
     """H25 ``BRC-<base36 ms>-<6 chars>``, upper-case; the random suffix is
     replaced by 6 base-36 digits of a hash of the ticket id so runs repeat."""
-    ms = (F.unix_millis(now_ts(now))).cast("string")
+    from helpdeck.functions.dates import epoch_seconds
+
+    ms = (epoch_seconds(now_ts(now)) * 1000).cast("string")
     suffix = F.lpad(F.conv(F.pmod(F.xxhash64(F.lit(salt), ticket_id), F.lit(36 ** 6)).cast("string"), 10, 36), 6, "0")
     return F.upper(F.concat(F.lit("BRC-"), F.conv(ms, 10, 36), F.lit("-"), suffix))
 

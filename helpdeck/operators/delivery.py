@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helpdeck.functions.dates import epoch_seconds, epoch_text
 from helpdeck.functions.text import normalize_phone
 from helpdeck.operators.sequence import hour_bucket, reset_scan
 
@@ -83,7 +84,7 @@ def burst_failures(attempts: DataFrame, threshold: int = LIMIT_FAILURES,
     at ``threshold``; ``tenth_at`` is the time of the blocking failure.
     Returns blocked periods only.
     """
-    p = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(period_seconds)).cast("long")
+    p = F.floor(epoch_seconds(F.col("ts")) / F.lit(period_seconds)).cast("long")
     d = attempts.withColumn("period", p)
     scanned = reset_scan(d, ["address", "period"], ["ts", "id"], F.col("ok") == 1,
                          hour_bucket(F.col("ts"), bucket_seconds))
@@ -93,7 +94,7 @@ def burst_failures(attempts: DataFrame, threshold: int = LIMIT_FAILURES,
                  F.min(F.when(F.col("run_fail") == threshold, F.col("ts"))).alias("_tenth"))
             .filter(F.col("_tenth").isNotNull())
             .select("address",
-                    F.date_format(F.timestamp_seconds(F.col("period") * period_seconds), "yyyy-MM-dd HH:mm:ss")
+                    epoch_text(F.col("period") * period_seconds)
                     .alias("period_start"),
                     "n", F.date_format("_tenth", "yyyy-MM-dd HH:mm:ss").alias("tenth_at")))
 
@@ -102,10 +103,10 @@ def burst_failures_simple(attempts: DataFrame, threshold: int = LIMIT_FAILURES,
                           period_seconds: int = LIMIT_PERIOD_SECONDS) -> DataFrame:
     """J2 simple form (the stream's batch twin): failures per address in a
     tumbling period, reported when at least ``threshold``; no reset on success."""
-    p = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / F.lit(period_seconds)).cast("long")
+    p = F.floor(epoch_seconds(F.col("ts")) / F.lit(period_seconds)).cast("long")
     return (attempts.filter(F.col("ok") != 1).groupBy("address", p.alias("period"))
             .agg(F.count(F.lit(1)).alias("failures"))
             .filter(F.col("failures") >= threshold)
             .select("address",
-                    F.date_format(F.timestamp_seconds(F.col("period") * period_seconds), "yyyy-MM-dd HH:mm:ss")
+                    epoch_text(F.col("period") * period_seconds)
                     .alias("period_start"), "failures"))

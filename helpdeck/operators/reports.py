@@ -197,7 +197,7 @@ def role_phones(users: DataFrame, role: str) -> DataFrame:
 def overdue_tickets(tickets: DataFrame, now: str, days: float = 3.0, k: int = 10) -> DataFrame:
     """B10 open tickets older than ``days`` (fractional), oldest first, top k;
     ``hari_bulat`` is the display rounding (halves up)."""
-    hari = frac_days(now_ts(now), F.col("created_at"))
+    hari = frac_days(F.date_format(now_ts(now), "yyyy-MM-dd HH:mm:ss"), F.col("created_at"))
     return (tickets.filter(~F.col("status").isin("completed", "rejected"))
             .select("id", "ticket_no", "customer_name", "customer_hp", "keluhan", "created_at", "status",
                     hari.alias("hari"))

@@ -35,7 +35,7 @@ def reset_scan(df: DataFrame, keys: list[str], order: list[str], is_reset: Colum
     * ``resets_before`` - reset rows strictly before this row
 
     ``is_reset`` is a boolean Column; ``bucket`` a Column monotone in
-    ``order`` (e.g. ``floor(unix_seconds(ts) / 3600)``) that splits each key.
+    ``order`` (e.g. ``hour_bucket(ts)``) that splits each key.
     """
     r = F.when(is_reset, 1).otherwise(0)
     d = df.withColumn("_r", r).withColumn("_b", bucket)
@@ -77,4 +77,6 @@ def reset_scan(df: DataFrame, keys: list[str], order: list[str], is_reset: Colum
 
 def hour_bucket(ts: Column, seconds: int = 3600) -> Column:
     """Time bucket of ``seconds`` width (a TIMESTAMP or TIMESTAMP_NTZ column)."""
-    return F.floor(F.unix_seconds(ts.cast("timestamp")) / F.lit(seconds)).cast("long")
+    from helpdeck.functions.dates import epoch_seconds
+
+    return F.floor(epoch_seconds(ts) / F.lit(seconds)).cast("long")

@@ -35,3 +35,21 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert set(df.columns) == {"product_id", "nama_produk", "tipe", "total"}
+
+
+TIME_DEPENDENT = ["overdue_tickets", "retention_purge", "burst_failures", "burst_failures_simple", "delivery_outcome",
+                  "dead_letter", "technician_today", "voucher_status", "monthly_stats", "avg_resolution_asof",
+                  "ticket_intake", "status_kpis", "technician_upcoming_dates", "stream_burst_failures",
+                  "voucher_candidates"]
+
+
+def test_results_do_not_depend_on_session_time_zone(spark, con):
+    """Text dates are wall-clock values: the same results under a non-UTC session."""
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        for name in TIME_DEPENDENT:
+            ok, msg = compare(QUERIES[name](spark, SF), con, ORACLES[name])
+            assert ok, f"{name}: {msg}"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
