@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from helpdeck.functions.dates import now_ts, today_str
 from helpdeck.functions.labels import approval_action_label, approval_outcome_label, voucher_state
 from helpdeck.functions.text import dash_if_blank, truncate
-from helpdeck.operators.filters import upcoming_filter
 
 
 def _products(products: DataFrame, *cols: str) -> DataFrame:
@@ -246,3 +245,21 @@ def voucher_status(vouchers: DataFrame, now: str) -> DataFrame:
                            voucher_state("status").alias("state_label"),
                            dash_if_blank("expired_at").alias("expired_display"),
                            (exp < F.to_date(now_ts(now))).alias("is_expired"))
+
+
+def voucher_lookup(vouchers: DataFrame, tokens: DataFrame) -> DataFrame:
+    """C13 + B20 public voucher check for a batch of scanned tokens: each
+    token gets its voucher (or NULLs) and the state label."""
+    v = vouchers.select(F.col("qr_token").alias("_tok"), F.col("id").alias("voucher_id"), "voucher_no",
+                        "customer_name", "product_name", "status", "expired_at")
+    j = tokens.join(v, tokens["token"] == v["_tok"], "left").drop("_tok")
+    return j.withColumn("state_label", F.when(F.col("voucher_id").isNull(), F.lit(None).cast("string"))
+                        .otherwise(voucher_state(F.col("status"))))
+
+
+def setting_lookup(settings: DataFrame, requests: DataFrame) -> DataFrame:
+    """C13 setting by key for a batch of requests ('' when the key is absent,
+    as the reference shows)."""
+    s = settings.select(F.col("key").alias("_key"), F.col("value").alias("_value"))
+    j = requests.join(s, requests["key"] == s["_key"], "left").drop("_key")
+    return j.withColumn("value", F.coalesce(F.col("_value"), F.lit(""))).drop("_value")

@@ -582,3 +582,29 @@ def _register_late():
 
 
 _register_late()
+
+
+@query("voucher_lookup", """
+SELECT t.id AS request_id, sha256('tok' || CAST(t.id AS VARCHAR)) AS token, v.id AS voucher_id, v.voucher_no,
+       v.customer_name, v.product_name, v.status, v.expired_at,
+       CASE WHEN v.id IS NULL THEN NULL WHEN v.status = 'active' THEN 'AKTIF' ELSE 'TIDAK AKTIF' END AS state_label
+FROM tickets t LEFT JOIN service_vouchers v ON v.qr_token = sha256('tok' || CAST(t.id AS VARCHAR))
+""")
+def voucher_lookup(spark, sf_dir):
+    """C13 voucher by token: every ticket's scanned token is looked up."""
+    v = views(spark, sf_dir)
+    tokens = v.tickets.select(F.col("id").alias("request_id"),
+                              F.sha2(F.concat(F.lit("tok"), F.col("id").cast("string")), 256).alias("token"))
+    return E.voucher_lookup(v.service_vouchers, tokens)
+
+
+@query("setting_lookup", """
+SELECT c.c_custkey AS request_id, 'kota_' || CAST(c.c_nationkey AS VARCHAR) AS key, COALESCE(s.value, '') AS value
+FROM customer c LEFT JOIN settings s ON s.key = 'kota_' || CAST(c.c_nationkey AS VARCHAR)
+""")
+def setting_lookup(spark, sf_dir):
+    """C13 setting by key for one request per customer."""
+    v = views(spark, sf_dir)
+    req = v.table("customer").select(F.col("c_custkey").alias("request_id"),
+                                     F.concat(F.lit("kota_"), F.col("c_nationkey").cast("string")).alias("key"))
+    return E.setting_lookup(v.settings, req)

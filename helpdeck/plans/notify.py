@@ -178,3 +178,17 @@ GROUP BY address, period HAVING count(*) >= 10
 """)
 def burst_failures_simple(spark, sf_dir):
     return D.burst_failures_simple(views(spark, sf_dir).attempts)
+
+
+@query("mark_read_ids", """
+SELECT id, user_id, role, message, link,
+       CASE WHEN is_read = 0 AND id IN (SELECT id FROM activity_log WHERE action = 'click') THEN 1 ELSE is_read END
+         AS is_read,
+       created_at
+FROM notifications
+""")
+def mark_read_ids(spark, sf_dir):
+    """I10 read marks by notification id (one per 'click' activity)."""
+    v = views(spark, sf_dir)
+    ids = v.activity_log.filter(F.col("action") == "click").select("id")
+    return N.mark_read(v.notifications, read_ids=ids)
