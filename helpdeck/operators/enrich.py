@@ -263,3 +263,12 @@ def setting_lookup(settings: DataFrame, requests: DataFrame) -> DataFrame:
     s = settings.select(F.col("key").alias("_key"), F.col("value").alias("_value"))
     j = requests.join(s, requests["key"] == s["_key"], "left").drop("_key")
     return j.withColumn("value", F.coalesce(F.col("_value"), F.lit(""))).drop("_value")
+
+
+def log_details(debug_logs: DataFrame) -> DataFrame:
+    """H33 JSON text in: each debug log's ``detail`` parsed as a JSON object
+    of integers (NULL when the text is not such an object)."""
+    parsed = F.from_json(F.col("detail"), "map<string,bigint>")
+    return debug_logs.select("id", "type", parsed.alias("detail_map")) \
+        .select("id", "type", F.col("detail_map")["k"].alias("detail_k"),
+                F.size(F.map_keys("detail_map")).alias("detail_fields"))

@@ -608,3 +608,12 @@ def setting_lookup(spark, sf_dir):
     req = v.table("customer").select(F.col("c_custkey").alias("request_id"),
                                      F.concat(F.lit("kota_"), F.col("c_nationkey").cast("string")).alias("key"))
     return E.setting_lookup(v.settings, req)
+
+
+@query("log_details", """
+SELECT id, type, CAST(json_extract(detail, '$.k') AS BIGINT) AS detail_k,
+       CAST(len(json_keys(detail)) AS INTEGER) AS detail_fields
+FROM debug_logs
+""")
+def log_details(spark, sf_dir):
+    return E.log_details(views(spark, sf_dir).debug_logs)
