@@ -78,10 +78,16 @@ def failure_windows(attempts: DataFrame, threshold: int = 10, period: str = "15
 
 
 # ------------------------------------------------------------------ running a stream to a table
-def run_update_stream(spark: SparkSession, agg: DataFrame, keys: list[str], name: str) -> DataFrame:
+def run_update_stream(spark: SparkSession, agg: DataFrame, keys: list[str], name: str,
+                      path: str | None = None) -> DataFrame:
     """Run an update-mode aggregation until the source is drained
-    (``availableNow``); return the current table: latest row per key."""
-    out = scratch_path(spark, f"stream-{name}")
+    (``availableNow``); return the current table: latest row per key.
+
+    ``path`` (default: a new folder under the shared checkpoint location)
+    holds the batches and the stream checkpoint: running again on the same
+    path resumes after the last committed batch and only adds new batches.
+    """
+    out = (path or scratch_path(spark, f"stream-{name}")).rstrip("/")
     data = f"{out}/data"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -90,7 +96,7 @@ def run_update_stream(spark: SparkSession, agg: DataFrame, keys: list[str], name
 
     q = (agg.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True)
-         .queryName(f"{name}_{out.rsplit('-', 1)[-1]}").start())
+         .start())
     q.awaitTermination()
     cols = [c for c in agg.columns if c not in keys]
     schema = T.StructType(list(agg.schema.fields) + [T.StructField("_batch", T.LongType())])
@@ -99,16 +105,17 @@ def run_update_stream(spark: SparkSession, agg: DataFrame, keys: list[str], name
     return written.groupBy(*keys).agg(last.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-def stream_unread(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_unread(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     n = shape_notifications(read_table_stream(spark, sf_dir, "events"))
-    return run_update_stream(spark, unread_by_recipient(n), ["recipient"], "unread")
+    return run_update_stream(spark, unread_by_recipient(n), ["recipient"], "unread", path)
 
 
-def stream_latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_latest_status(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     logs = shape_approval_logs(read_table_stream(spark, sf_dir, "events"))
-    return run_update_stream(spark, latest_status(logs), ["ticket_id"], "latest_status")
+    return run_update_stream(spark, latest_status(logs), ["ticket_id"], "latest_status", path)
 
 
-def stream_burst_failures(spark: SparkSession, sf_dir: str, threshold: int = 10) -> DataFrame:
+def stream_burst_failures(spark: SparkSession, sf_dir: str, threshold: int = 10,
+                          path: str | None = None) -> DataFrame:
     a = shape_attempts(read_table_stream(spark, sf_dir, "events"))
-    return run_update_stream(spark, failure_windows(a, threshold), ["address", "period_start"], "bursts")
+    return run_update_stream(spark, failure_windows(a, threshold), ["address", "period_start"], "bursts", path)

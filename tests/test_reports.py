@@ -76,3 +76,19 @@ def test_retention_clock(spark):
     assert sorted(r.id for r in N.retention_purge(n, now, 3, clock="local").collect()) == [3, 5]
     once = N.retention_purge(n, now, 3)
     assert sorted(r.id for r in N.retention_purge(once, now, 3).collect()) == sorted(r.id for r in once.collect())
+
+
+def test_key_join_salted_path_equals_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    from helpdeck.operators.joins import key_join
+
+    big = spark.range(0, 3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
+        F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("role"))
+    small = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("zz", 4)], "role string, viewer long")
+    for how in ("inner", "left"):
+        a = sorted(map(tuple, key_join(big, small, ["role"], how).select("id", "role", "viewer").collect()),
+                   key=repr)
+        b = sorted(map(tuple, key_join(big, small, ["role"], how, max_broadcast_rows=0, salt=8,
+                                       salt_source=F.hash("id")).select("id", "role", "viewer").collect()), key=repr)
+        assert a == b and len(a) > 0
