@@ -13,6 +13,7 @@ from helpdeck.operators import enrich as E
 from helpdeck.operators import filters as FL
 from helpdeck.operators import progress as P
 from helpdeck.plans.catalog import query, views
+from helpdeck.plans.oracle_views import sql
 from helpdeck.sources.fixtures import TICKET_NOW
 
 NOW_SQL = f"TIMESTAMP '{TICKET_NOW}'"
@@ -532,28 +533,6 @@ def _msg_sql(template: str, **fields) -> str:
     return " || ".join(out)
 
 
-@query("render_messages", None)
-def render_messages(spark, sf_dir):
-    """H18: WhatsApp texts for every approval decision (approved / rejected /
-    approval needed) and every schedule (scheduled), with app links."""
-    v = views(spark, sf_dir)
-    t = v.tickets.select(F.col("id").alias("_tid"), "ticket_no", "customer_name")
-    al = v.approval_logs.join(t, F.col("ticket_id") == F.col("_tid"))
-    kind = (F.when(F.col("action") == "approve", "approved").when(F.col("action") == "reject", "rejected")
-            .otherwise("approval_needed"))
-    base = "https://desk.example.org/"
-    txt = (F.when(kind == "approved", message("approved", base, no=F.col("ticket_no")))
-           .when(kind == "rejected", message("rejected", base, no=F.col("ticket_no")))
-           .otherwise(message("approval_needed", base, no=F.col("ticket_no"), customer=F.col("customer_name"))))
-    a = al.select(F.lit("approval_log").alias("source"), F.col("id").alias("source_id"), kind.alias("kind"),
-                  txt.alias("text"))
-    s = v.schedules.join(t, F.col("ticket_id") == F.col("_tid"))
-    b = s.select(F.lit("schedule").alias("source"), F.col("id").alias("source_id"), F.lit("scheduled").alias("kind"),
-                 message("scheduled", base, no=F.col("ticket_no"), tanggal=F.col("tanggal"), jam=F.col("jam"))
-                 .alias("text"))
-    return a.unionByName(b)
-
-
 def _render_messages_sql() -> str:
     from helpdeck.functions import messages as M
 
@@ -574,14 +553,26 @@ FROM schedules s JOIN tickets t ON s.ticket_id = t.id
 """
 
 
-def _register_late():
-    from helpdeck.plans.catalog import ORACLES
-    from helpdeck.plans.oracle_views import sql
-
-    ORACLES["render_messages"] = sql(_render_messages_sql())
-
-
-_register_late()
+@query("render_messages", "", builder=lambda _body: sql(_render_messages_sql()))
+def render_messages(spark, sf_dir):
+    """H18: WhatsApp texts for every approval decision (approved / rejected /
+    approval needed) and every schedule (scheduled), with app links."""
+    v = views(spark, sf_dir)
+    t = v.tickets.select(F.col("id").alias("_tid"), "ticket_no", "customer_name")
+    al = v.approval_logs.join(t, F.col("ticket_id") == F.col("_tid"))
+    kind = (F.when(F.col("action") == "approve", "approved").when(F.col("action") == "reject", "rejected")
+            .otherwise("approval_needed"))
+    base = "https://desk.example.org/"
+    txt = (F.when(kind == "approved", message("approved", base, no=F.col("ticket_no")))
+           .when(kind == "rejected", message("rejected", base, no=F.col("ticket_no")))
+           .otherwise(message("approval_needed", base, no=F.col("ticket_no"), customer=F.col("customer_name"))))
+    a = al.select(F.lit("approval_log").alias("source"), F.col("id").alias("source_id"), kind.alias("kind"),
+                  txt.alias("text"))
+    s = v.schedules.join(t, F.col("ticket_id") == F.col("_tid"))
+    b = s.select(F.lit("schedule").alias("source"), F.col("id").alias("source_id"), F.lit("scheduled").alias("kind"),
+                 message("scheduled", base, no=F.col("ticket_no"), tanggal=F.col("tanggal"), jam=F.col("jam"))
+                 .alias("text"))
+    return a.unionByName(b)
 
 
 @query("voucher_lookup", """

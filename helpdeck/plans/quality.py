@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-from helpdeck.functions.labels import DECISIONS, ROLES, SOLUSI, STATUSES  # noqa: F401
 from helpdeck.operators import quality as Q
 from helpdeck.plans.catalog import query, views
 from helpdeck.sources import io as IO
