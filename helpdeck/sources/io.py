@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,31 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
+# ------------------------------------------------------------------ publish
+def publish(df: DataFrame, base: str) -> str:
+    """Write a new version of a table under ``<base>/v=<version>`` and only
+    then its marker ``<base>/_published/<version>``. Readers use the newest
+    marked version, so a failed or half-written job never replaces the table
+    and nothing is overwritten in place. Returns the version folder."""
+    spark = df.sparkSession
+    base = base.rstrip("/")
+    version = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
+    path = f"{base}/v={version}"
+    df.write.mode("errorifexists").parquet(path)
+    spark.createDataFrame([(version,)], "version string").coalesce(1) \
+        .write.mode("errorifexists").json(f"{base}/_published/{version}")
+    return path
+
+
+def read_published(spark: SparkSession, base: str) -> DataFrame:
+    """The newest published version of a table written with ``publish``."""
+    base = base.rstrip("/")
+    latest = spark.read.schema("version string").json(f"{base}/_published/*").agg(F.max("version")).first()[0]
+    if latest is None:
+        raise FileNotFoundError(f"no published version under {base}")
+    return spark.read.parquet(f"{base}/v={latest}")
+
+
 # ------------------------------------------------------------------ A6, A7
 def snapshot_export(tables: dict[str, DataFrame], base: str | None = None, label: str | None = None) -> str:
     """A6 write every table under ``<base>/snapshot=<label>/<table>`` and the

@@ -44,3 +44,13 @@ def test_file_accept_rules(spark):
                                  ("c.exe", "application/octet-stream", 5)], "name string, mime string, bytes long")
     got = {r.name: (r.accepted, r.reason) for r in IO.file_accept(inv).collect()}
     assert got == {"a.jpg": (True, "ok"), "b.pdf": (False, "size"), "c.exe": (False, "mime")}
+
+
+def test_publish_keeps_readers_on_the_last_complete_version(spark, tmp_path):
+    base = str(tmp_path / "tickets")
+    IO.publish(spark.range(3), base)
+    second = IO.publish(spark.range(5), base)
+    assert IO.read_published(spark, base).count() == 5 and second.startswith(base + "/v=")
+    # a version written without its marker (a job that died) is never read
+    spark.range(9).write.parquet(base + "/v=9999999999999-dead")
+    assert IO.read_published(spark, base).count() == 5
