@@ -54,13 +54,18 @@ def delivery_summary(outcomes: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("total")))
 
 
-def dead_letter(outcomes: DataFrame, k: int = MAX_FAILED_LIST) -> DataFrame:
+def dead_letter(outcomes: DataFrame, k: int = MAX_FAILED_LIST, normalize: bool = False) -> DataFrame:
     """E5 failed messages still on the failed list, newest first, top ``k``.
 
     An entry leaves the list once a later message to the same address is
     delivered. The latest success per address is a partial aggregate, so the
-    join sees one row per address.
+    join sees one row per address. With ``normalize`` the address is keyed as
+    the list stores it - the normalised phone, or the raw text when it does
+    not normalise - on both sides (the reference compares the raw phone on
+    removal; documented difference).
     """
+    if normalize:
+        outcomes = normalized_address(outcomes)
     last_ok = (outcomes.filter(F.col("delivered")).groupBy("address")
                .agg(F.max("last_at").alias("_last_ok")))
     failed = outcomes.filter(~F.col("delivered"))
@@ -71,9 +76,9 @@ def dead_letter(outcomes: DataFrame, k: int = MAX_FAILED_LIST) -> DataFrame:
 
 
 def normalized_address(df: DataFrame, col: str = "address") -> DataFrame:
-    """Dead-letter keys compare the *normalised* phone on both sides
-    (the reference compares the raw one on removal; documented difference)."""
-    return df.withColumn(col, normalize_phone(F.col(col).cast("string")))
+    """Address key as the failed list stores it: ``normalizePhone(x) || x``."""
+    raw = F.col(col).cast("string")
+    return df.withColumn(col, F.coalesce(normalize_phone(raw), raw))
 
 
 def burst_failures(attempts: DataFrame, threshold: int = LIMIT_FAILURES,

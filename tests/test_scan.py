@@ -73,3 +73,15 @@ def test_burst_failures_reset_and_saturation(spark):
     assert got == [(1, "2024-01-01 09:00:00", 10, "2024-01-01 09:09:30")]
     simple = sorted((r.address, r.failures) for r in D.burst_failures_simple(a).collect())
     assert simple == [(1, 21)]
+
+
+def test_dead_letter_normalized_phones(spark):
+    t0 = dt.datetime(2024, 1, 1, 8, 0, 0)
+    rows = [(1, t0, "0812-1", 0), (2, t0 + dt.timedelta(seconds=10), "0812-1", 0),
+            (3, t0 + dt.timedelta(seconds=20), "0812-1", 0),              # failed message to 0812-1
+            (4, t0 + dt.timedelta(seconds=30), "+62 8121", 1),            # same phone, delivered later
+            (5, t0 + dt.timedelta(seconds=40), "abc", 0)]
+    a = spark.createDataFrame(rows, "id long, ts timestamp, address string, ok int")
+    out = D.delivery_outcome(a)
+    assert sorted(r.address for r in D.dead_letter(out).collect()) == ["0812-1", "abc"]
+    assert [r.address for r in D.dead_letter(out, normalize=True).collect()] == ["abc"]
