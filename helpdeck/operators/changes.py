@@ -628,3 +628,86 @@ def issue_vouchers(tickets: DataFrame, products: DataFrame, vouchers: DataFrame,
          .withColumn("created_at", F.date_format(now_ts(now), TS_FMT))
     return next_ids(c, vouchers, ["ticket_id"])
 
+
+
+# ---- fixed values (must equal the reference) -------------------------------
+NOTIFY_DIRECT = {
+    "analysis": [("role", "management", "Ticket membutuhkan approval Anda", "/management/approval"),
+                 ("creator", None, "Ticket {no} sudah dikirim ke Management untuk approval", "/admin/tickets/{id}")],
+    "followup": [("role", "management", "Follow-up ticket membutuhkan re-approval Anda", "/management/approval"),
+                 ("creator", None, "Follow-up {no} sudah dikirim ke Management", "/admin/tickets/{id}")],
+    "schedule": [("technician", None, "Anda mendapat jadwal kunjungan baru", "/teknisi/visit/{id}")],
+    "calendar_schedule": [("technician", None, "Anda mendapat jadwal kunjungan baru {tanggal} {jam}",
+                           "/teknisi/visit/{id}")],
+    "cancel_schedule": [("scheduled_technician", None, "Jadwal kunjungan dibatalkan", "/teknisi/visit/{id}")],
+}
+NOTIFY_FANOUT = {
+    ("approve", "admin"): "Ticket disetujui Management, silakan buat jadwal",
+    ("approve", "cs"): "Ticket {no} disetujui Management",
+    ("reject", "admin"): "Ticket ditolak oleh Management",
+    ("reject", "cs"): "Ticket {no} ditolak Management",
+    ("reset", "admin"): "Ticket {no} perlu approval ulang",
+    ("reset", "cs"): "Ticket {no} perlu approval ulang",
+    ("visit_result_followup", "admin"): "Hasil kunjungan: butuh follow-up dari Admin",
+    ("visit_result", "admin"): "Teknisi telah mengupload hasil kunjungan untuk ticket",
+}
+# -----------------------------------------------------------------------------
+
+
+def emit_notifications(tickets: DataFrame, changes: DataFrame, users: DataFrame,
+                       schedules: DataFrame) -> DataFrame:
+    """I12 notification rows the applied changes write: (seq, ticket_id,
+    user_id, role, message, link).
+
+    Role- and user-addressed rows come straight from the scanned changes; the
+    admin/cs fan-outs join the measured recipients (``key_join``). A schedule
+    cancellation notifies the technician of the ticket's first schedule in
+    ``schedules`` as given (schedule rows written by the same batch are not
+    replayed).
+    """
+    from helpdeck.operators.enrich import first_per_key
+    from helpdeck.operators.joins import key_join
+
+    s = scan_changes(tickets, changes)
+    kind = F.col("kind")
+    s = s.filter(F.col("applies") | ((kind == "calendar_schedule") & F.col("valid")))
+    t = tickets.select(F.col("id").alias("_tid"), "ticket_no", "created_by")
+    first_s = first_per_key(schedules, "ticket_id", "id", ["teknisi_id"]).select(
+        F.col("ticket_id").alias("_sid"), F.col("teknisi_id").alias("_sched_tek"))
+    s = s.join(t, s["ticket_id"] == t["_tid"], "left").drop("_tid") \
+         .join(first_s, s["ticket_id"] == first_s["_sid"], "left").drop("_sid")
+    no = F.coalesce(F.col("ticket_no"), F.concat(F.lit("#"), F.col("ticket_id").cast("string")))
+
+    def text(tpl: str) -> Column:
+        return _fill(tpl.replace("{no}", "{_no}").replace("{id}", "{ticket_id}"))
+
+    s = s.withColumn("_no", no)
+    direct = []
+    for k, rows in NOTIFY_DIRECT.items():
+        for target, role, msg, link in rows:
+            user = {"role": F.lit(None).cast("long"), "creator": F.col("created_by"),
+                    "technician": F.col("teknisi_id"), "scheduled_technician": F.col("_sched_tek")}[target]
+            part = s.filter(kind == k)
+            if target == "creator":
+                part = part.filter(F.col("created_by").isNotNull() & (F.col("created_by") != 0))
+            if target == "scheduled_technician":
+                part = part.filter(F.col("_sched_tek").isNotNull())
+            direct.append(part.select("seq", "ticket_id", user.cast("long").alias("user_id"),
+                                      F.lit(role).cast("string").alias("role"),
+                                      text(msg).alias("message"), text(link).alias("link")))
+    fan_kind = F.when((kind == "visit_result") & needs_followup(F.col("solusi")), F.lit("visit_result_followup")) \
+        .otherwise(kind)
+    targets = []
+    for (k, r), msg in NOTIFY_FANOUT.items():
+        targets.append(F.when(fan_kind == k, F.struct(F.lit(r).alias("role"), text(msg).alias("message"))))
+    ev = (s.filter(kind.isin("approve", "reject", "reset", "visit_result"))
+          .select("seq", "ticket_id", F.explode(F.array_compact(F.array(*targets))).alias("_t"))
+          .select("seq", "ticket_id", "_t.role", "_t.message"))
+    recipients = users.filter(F.col("role").isin("admin", "cs")).select(F.col("id").alias("user_id"), "role")
+    fan = key_join(ev, recipients, ["role"], salt_source=F.hash("seq")).select(
+        "seq", "ticket_id", "user_id", F.lit(None).cast("string").alias("role"), "message",
+        F.concat(F.lit("/admin/tickets/"), F.col("ticket_id").cast("string")).alias("link"))
+    out = fan
+    for d in direct:
+        out = out.unionByName(d)
+    return out

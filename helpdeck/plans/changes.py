@@ -500,3 +500,52 @@ def product_upsert(spark, sf_dir):
 def cascade_delete(spark, sf_dir):
     """I8 the tickets table after deleting every rejected ticket with its children."""
     return _cascade(spark, sf_dir)["tickets"]
+
+
+def _tpl_sql(tpl: str) -> str:
+    """A ``{field}`` template as a SQL concatenation over the ``ea`` rows."""
+    import re
+
+    cols = {"no": "no", "id": "CAST(ticket_id AS VARCHAR)", "tanggal": "tanggal", "jam": "jam"}
+    out, pos = [], 0
+    for m in re.finditer(r"\{(\w+)\}", tpl):
+        out.append(_q(tpl[pos:m.start()]))
+        out.append(cols[m.group(1)])
+        pos = m.end()
+    out.append(_q(tpl[pos:]))
+    return " || ".join(out)
+
+
+def _notifications_sql() -> str:
+    users = {"role": "CAST(NULL AS BIGINT)", "creator": "tcreator", "technician": "teknisi_id",
+             "scheduled_technician": "sched_tek"}
+    extra = {"creator": " AND tcreator IS NOT NULL AND tcreator <> 0",
+             "scheduled_technician": " AND sched_tek IS NOT NULL"}
+    parts = []
+    for kind, rows in CH.NOTIFY_DIRECT.items():
+        for target, role, msg, link in rows:
+            role_sql = _q(role) if role else "CAST(NULL AS VARCHAR)"
+            parts.append(f"SELECT seq, ticket_id, {users[target]} AS user_id, {role_sql} AS role, "
+                         f"{_tpl_sql(msg)} AS message, {_tpl_sql(link)} AS link FROM ea "
+                         f"WHERE kind = {_q(kind)}{extra.get(target, '')}")
+    for (kind, role), msg in CH.NOTIFY_FANOUT.items():
+        parts.append(f"SELECT f.seq, f.ticket_id, u.id, CAST(NULL AS VARCHAR), {_tpl_sql(msg)}, "
+                     f"'/admin/tickets/' || CAST(f.ticket_id AS VARCHAR) "
+                     f"FROM ea f JOIN users u ON u.role = {_q(role)} WHERE f.fkind = {_q(kind)}")
+    return _replay() + f"""
+, ev AS (SELECT s.applies, e.* FROM st s JOIN cv e ON e.ticket_id = s.ticket_id AND e.n = s.n WHERE s.n > 0),
+fs AS (SELECT ticket_id AS fs_tid, arg_min(teknisi_id, id) AS sched_tek FROM schedules GROUP BY ticket_id),
+ea AS (SELECT ev.*, t.created_by AS tcreator, fs.sched_tek,
+              COALESCE(t.ticket_no, '#' || CAST(ev.ticket_id AS VARCHAR)) AS no,
+              CASE WHEN ev.kind = 'visit_result' AND COALESCE(ev.solusi IN ({_FU}), false)
+                   THEN 'visit_result_followup' ELSE ev.kind END AS fkind
+       FROM ev LEFT JOIN tickets t ON t.id = ev.ticket_id LEFT JOIN fs ON fs.fs_tid = ev.ticket_id
+       WHERE ev.applies OR (ev.kind = 'calendar_schedule' AND ev.valid))
+""" + "\nUNION ALL\n".join(parts)
+
+
+@query("emit_notifications", "", builder=lambda _body: _rec(_notifications_sql()))
+def emit_notifications(spark, sf_dir):
+    """I12 notification rows written by the applied transitions."""
+    v, b = _b(spark, sf_dir)
+    return CH.emit_notifications(v.tickets, b.changes, v.users, v.schedules)
