@@ -682,19 +682,20 @@ def emit_notifications(tickets: DataFrame, changes: DataFrame, users: DataFrame,
         return _fill(tpl.replace("{no}", "{_no}").replace("{id}", "{ticket_id}"))
 
     s = s.withColumn("_no", no)
-    direct = []
-    for k, rows in NOTIFY_DIRECT.items():
-        for target, role, msg, link in rows:
-            user = {"role": F.lit(None).cast("long"), "creator": F.col("created_by"),
-                    "technician": F.col("teknisi_id"), "scheduled_technician": F.col("_sched_tek")}[target]
-            part = s.filter(kind == k)
-            if target == "creator":
-                part = part.filter(F.col("created_by").isNotNull() & (F.col("created_by") != 0))
-            if target == "scheduled_technician":
-                part = part.filter(F.col("_sched_tek").isNotNull())
-            direct.append(part.select("seq", "ticket_id", user.cast("long").alias("user_id"),
-                                      F.lit(role).cast("string").alias("role"),
-                                      text(msg).alias("message"), text(link).alias("link")))
+    # every direct (role- or user-addressed) row of a change in one pass: one
+    # optional struct per template, exploded after dropping the absent ones
+    users_of = {"role": F.lit(None).cast("long"), "creator": F.col("created_by"),
+                "technician": F.col("teknisi_id"), "scheduled_technician": F.col("_sched_tek")}
+    wanted = {"role": F.lit(True), "creator": F.col("created_by").isNotNull() & (F.col("created_by") != 0),
+              "technician": F.lit(True), "scheduled_technician": F.col("_sched_tek").isNotNull()}
+    rows = []
+    for k, templates in NOTIFY_DIRECT.items():
+        for target, role, msg, link in templates:
+            rows.append(F.when((kind == k) & wanted[target], F.struct(
+                users_of[target].cast("long").alias("user_id"), F.lit(role).cast("string").alias("role"),
+                text(msg).alias("message"), text(link).alias("link"))))
+    direct = (s.select("seq", "ticket_id", F.explode(F.array_compact(F.array(*rows))).alias("_d"))
+              .select("seq", "ticket_id", "_d.user_id", "_d.role", "_d.message", "_d.link"))
     fan_kind = F.when((kind == "visit_result") & needs_followup(F.col("solusi")), F.lit("visit_result_followup")) \
         .otherwise(kind)
     targets = []
@@ -707,7 +708,4 @@ def emit_notifications(tickets: DataFrame, changes: DataFrame, users: DataFrame,
     fan = key_join(ev, recipients, ["role"], salt_source=F.hash("seq")).select(
         "seq", "ticket_id", "user_id", F.lit(None).cast("string").alias("role"), "message",
         F.concat(F.lit("/admin/tickets/"), F.col("ticket_id").cast("string")).alias("link"))
-    out = fan
-    for d in direct:
-        out = out.unionByName(d)
-    return out
+    return fan.unionByName(direct)
