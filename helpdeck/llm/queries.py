@@ -26,6 +26,13 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helpdeck.llm.suffix_dedup import dedup_digests
+
+    return dedup_digests(table(spark, sf_dir, "documents"))
+
+
 @query("op2_fingerprints")
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helpdeck.llm.fingerprint import fingerprint_frame
@@ -73,6 +80,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helpdeck.llm.jaccard_join import join_groups
+
+    return join_groups(table(spark, sf_dir, "documents"))
+
+
 #: Fixed by the contract.
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
              ("block", "net", "/es/"), ("block", "net", "/fr/")]
