@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application (they may not have it on their path)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_helpdeck_shipped", False):
+        return
+    import helpdeck
+
+    root = os.path.dirname(os.path.abspath(helpdeck.__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="helpdeck-"), "helpdeck.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)  # the driver serves the file to the executors
+    sc._helpdeck_shipped = True
+
+
 def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All values of a string column as one byte array and its offsets (null: empty)."""
     if isinstance(arr, pa.ChunkedArray):
@@ -52,6 +74,7 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             if batch.num_rows:
                 yield fn(batch)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helpdeck.llm.common import ship
+
 CHUNK_BITS, LEAF, NODE, ROOT = 3, 4, 8, 16  # bits of the cut rule; bytes of the digests
 SECTION_BITS = 3
 
@@ -192,6 +194,7 @@ def successors(docs: DataFrame, fn, ddl: str, text_col: str = "text", rows_per_r
             if out:
                 yield pa.RecordBatch.from_pydict({k: [x[k] for x in out] for k in out[0]})
 
+    ship(docs.sparkSession)
     return dealt.select("_range", "_seam", "doc_id", "text").mapInArrow(run, ddl)
 
 

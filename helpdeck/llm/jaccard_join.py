@@ -13,12 +13,12 @@ frequent shingles alone come last).  Up to the least common signature of a linke
 signatures until one partition more is over.  A set that has too few such
 partitions emits all, and one signature for each element too (two such sets share an element).
 
-*From signatures to links.*  Sets with a common signature are compared in
-two rounds, never all pairs of a large group.  Round one compares the members of a large group with a leader of
-about their size (in small groups, each pair).  Round two looks at the large groups
-that are not settled: only pairs in different components whose distances to the leader allow a
-link (the Jaccard distance is a metric) are compared.  Every link is exact: the texts'
-shingles are compared.  Components come from ``components``.
+*From signatures to links.*  The sets of a signature become members of one
+neighbourhood (that of the smallest), so a group of ``g`` sets is ``g`` rows.  A neighbourhood's task has its
+members' parities, which bound from below how far two sets differ, and returns only pairs that may link and are not in one
+component yet: all of them if they are few, else those with some leaders. Such pairs are compared
+exactly by their texts, components are found, and neighbourhoods that held
+back pairs come again; each time more pairs may go out, so all are settled in the end.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helpdeck.llm.common import doc_ranges, mix64, shuffle_width, text_bytes, written
+from helpdeck.llm.common import doc_ranges, mix64, ship, shuffle_width, text_bytes, written
 from helpdeck.llm.components import components
 from helpdeck.llm.order import in_order
 from helpdeck.llm.shingles import shingle_sets
@@ -39,6 +39,7 @@ from helpdeck.llm.shingles import shingle_sets
 _U = np.uint64
 FREQUENT_BITS = 22
 CHUNK = 1 << 22
+MOST_PARITIES = 1 << 20
 
 
 def linked(inter, union):
@@ -95,8 +96,30 @@ def signatures(s: np.ndarray, frequent: np.ndarray, n2: int, k2: int) -> np.ndar
     return np.unique(np.concatenate(out))
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Bits that tell whether the elements with each ending are odd in number.
+
+    Two sets differ in at least as many elements as their parities differ in
+    bits.  A set has 4 to 8 bits for each of its elements; a longer
+    sketch folds to a shorter one.
+    """
+    width = min(4 << max(1, len(s).bit_length()), MOST_PARITIES)
+    odd = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def odd_bits(a: bytes, b: bytes) -> int:
+    """A lower bound of the number of elements in which two sets differ, from their parities."""
+    if len(a) > len(b):
+        a, b = b, a
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def set_sizes(rows: DataFrame) -> DataFrame:
-    """``seq, n, content``: the number of shingles of each row's text and a hash of all of them."""
+    """``seq, n, content, bits``: the number of shingles of each row's text, a hash of all of them, and their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -105,10 +128,10 @@ def set_sizes(rows: DataFrame) -> DataFrame:
                 sets = shingle_sets(data[off[i]:off[j]], off[i:j + 1] - off[i])
                 n = np.array([len(s) for s in sets], np.int64)
                 h = mix64(np.array([s.sum(dtype=_U) for s in sets], _U) + n.astype(_U))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(h.view(np.int64))],
-                                                 names=["seq", "n", "content"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(h.view(np.int64)),
+                                                  pa.array([parities(s) for s in sets], pa.binary())], names=["seq", "n", "content", "bits"])
 
-    return rows.select("seq", "text").mapInArrow(run, "seq bigint, n bigint, content bigint")
+    return rows.select("seq", "text").mapInArrow(run, "seq bigint, n bigint, content bigint, bits binary")
 
 
 def frequent_shingles(rows: DataFrame, count: int, sample_docs: int, least: int) -> np.ndarray:
@@ -191,97 +214,136 @@ def _emit_signatures(marks, buckets: int, n2: int, k2: int, flush: int = 1 << 20
     return run
 
 
-def _pairs_of(small: int):
-    """Per bucket: pairs to compare (``grp`` null), and the members of large groups with their leader."""
+def _neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per bucket the distinct ``leader, id``: the sets that have a signature in common, under the smallest of them."""
 
-    def settle(sig: np.ndarray, ids: np.ndarray, size: np.ndarray, bucket: int) -> pa.RecordBatch | None:
+    def settle(sig: np.ndarray, ids: np.ndarray, size: np.ndarray) -> pa.RecordBatch | None:
         order = np.lexsort((ids, size, sig))
-        sig, ids, size = sig[order], ids[order], size[order]
+        sig, ids = sig[order], ids[order]
         head = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
         n = np.diff(np.append(head, len(sig)))
-        pairs, members = [], []
-        # small groups, all of one size at a time
-        for g in range(2, small + 1):
-            at = head[n == g]
-            if len(at):
-                rows = at[:, None] + np.arange(g)
-                for x, y in combinations(range(g), 2):
-                    a, b = rows[:, x], rows[:, y]
-                    ok = size_match(size[a], size[b])
-                    pairs.append(np.stack((ids[a[ok]], ids[b[ok]]), 1))
-        known = set()
-        for at, g in zip(head[n > small].tolist(), n[n > small].tolist()):
-            own, sz = ids[at:at + g], size[at:at + g]
-            what = hash(own.tobytes())
-            if what in known:  # the same members meet by many signatures
+        several = np.repeat(n > 1, n)
+        pairs = np.unique(np.stack((np.repeat(ids[head], n)[several], ids[several]), 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["leader", "id"])
+
+    now, held = None, []
+
+    def close() -> pa.RecordBatch:
+        parts = [[_numbers(r[k], kind) for r in held] for k, kind in ((0, np.uint32), (1, np.int64), (2, np.uint32))]
+        return settle(*(np.concatenate(p) for p in parts))
+
+    for batch in batches:
+        for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if bucket != now and held:
+                yield close()
+                held = []
+            now = bucket
+            held.append(row)
+    if held:
+        yield close()
+
+
+class _Members:
+    """Sets of a neighbourhood by size, with their parities by width."""
+
+    def __init__(self, rows: list[tuple]):
+        rows.sort(key=lambda r: (r[1], r[0]))
+        self.ids, self.size = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
+        self.component = np.array([r[3] for r in rows], np.int64)
+        self.until = np.searchsorted(self.size, self.size * 4 // 3, side="right")  # sets that could link by size
+        width = np.array([len(r[2]) for r in rows])
+        self.width, self.bits = width, {}
+        for w in np.unique(width).tolist():  # widths grow with the sizes
+            own = [np.frombuffer(r[2], np.uint8) for r in rows if len(r[2]) in (w, 2 * w)]
+            self.bits[w] = (int(np.searchsorted(width, w)), np.stack([x if len(x) == w else x[:w] ^ x[w:] for x in own]).view(np.uint64)
+                            if w >= 8 else np.stack([x if len(x) == w else x[:w] ^ x[w:] for x in own]))
+
+    def near(self, i: int, js: np.ndarray) -> np.ndarray:
+        """Those of ``js`` (all larger, at most twice as wide) that may link with ``i``."""
+        first, bits = self.bits[int(self.width[i])]
+        odd = np.bitwise_count(bits[js - first] ^ bits[i - first]).sum(axis=1, dtype=np.int64)
+        both = (self.size[i] + self.size[js] - np.maximum(odd, self.size[js] - self.size[i])) // 2
+        return js[linked(both, self.size[i] + self.size[js] - both)]
+
+
+def _open_pairs(turn: int, listed: int = 64, share: int = 4):
+    """Members ``leader, id, size, bits, component`` in the order of ``leader``: ``leader, a, b`` of pairs that may link, in
+    different components; ``b`` null marks a neighbourhood that held pairs back."""
+
+    def settle(leader: int, rows: list[tuple]) -> list[tuple]:
+        m = _Members(rows)
+        g, most = len(rows), share * len(rows) << (2 * turn)
+        if g <= listed or turn:
+            pairs, total = [], 0
+            for i in range(g - 1):
+                js = np.arange(i + 1, m.until[i])
+                js = js[m.component[js] != m.component[i]]
+                if len(js):
+                    js = m.near(i, js)
+                    total += len(js)
+                    pairs.append((i, js))
+                    if total > most:
+                        break
+            if total <= most:
+                return [(leader, int(m.ids[i]), int(m.ids[j])) for i, js in pairs for j in js]
+        covered, out, held_back = np.zeros(g, bool), [], False
+        start = int(np.random.default_rng(turn).integers(g)) if turn else 0  # other leaders each time
+        for i in [*range(start, g), *range(start)]:
+            if covered[i]:
+                held_back = True
                 continue
-            known.add(what)
-            leader, lead = np.empty(g, np.int64), 0
-            while lead < g:  # from the smallest set up: a leader for all that may link with it
-                end = int(np.searchsorted(sz, sz[lead] * 4 // 3, side="right"))
-                leader[lead:end] = own[lead]
-                lead = max(end, lead + 1)
-            members.append((np.full(g, (bucket << 32) | int(sig[at]), np.int64), own, leader, sz))
-        cols = {"grp": [], "a": [], "b": [], "size": []}
-        if pairs:
-            p = np.concatenate(pairs)
-            p = np.unique(np.sort(p, axis=1), axis=0) if len(p) else p
-            cols["grp"].append(np.full(len(p), -1, np.int64))
-            cols["a"].append(p[:, 0])
-            cols["b"].append(p[:, 1])
-            cols["size"].append(np.zeros(len(p), np.int64))
-        for grp, own, leader, sz in members:
-            for k, v in zip(cols, (grp, leader, own, sz.astype(np.int64))):
-                cols[k].append(v)
-        if not cols["grp"]:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in cols.values()], names=list(cols))
+            js = np.arange(i + 1, m.until[i])
+            js = js[m.component[js] != m.component[i]]
+            if len(js):
+                js = m.near(i, js[~covered[js]])
+                covered[js] = True
+                out += [(leader, int(m.ids[i]), int(m.ids[j])) for j in js]
+        return out + ([(leader, leader, None)] if held_back else [])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
+        now, held, out = None, [], []
 
-        def close():
-            parts = [[_numbers(r[k], kind) for r in held] for k, kind in ((0, np.uint32), (1, np.int64), (2, np.uint32))]
-            return settle(*(np.concatenate(p) for p in parts), now)
+        def flush() -> pa.RecordBatch:
+            done = pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(3)], names=["leader", "a", "b"])
+            out.clear()
+            return done
 
         for batch in batches:
-            for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if bucket != now and held:
-                    out = close()
-                    if out is not None:
-                        yield out
+            for leader, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if leader != now and held:
+                    out += settle(now, held)
                     held = []
-                now = bucket
-                held.append(row)
+                    if len(out) > 50_000:
+                        yield flush()
+                now = leader
+                held.append(tuple(row))
         if held:
-            out = close()
-            if out is not None:
-                yield out
+            out += settle(now, held)
+        yield flush()
     return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts in the order of ``a, part, b`` (``b`` null: the text of ``a``): ``a, b, inter, total`` per pair."""
-    a_now, own = None, None
+    now, own = None, None
     for batch in batches:
         out: list[tuple] = []
         data, off = text_bytes(batch.column(3))
-        a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-        part = batch.column(1).to_pylist()
+        a, part, b = (batch.column(i).to_pylist() for i in range(3))
         for i, j in doc_ranges(off, CHUNK):
             for k, s in zip(range(i, j), shingle_sets(data[off[i]:off[j]], off[i:j + 1] - off[i])):
                 if b[k] is None:
-                    a_now, own = (a[k], part[k]), s
-                elif a_now == (a[k], part[k]):
+                    now, own = (a[k], part[k]), s
+                elif now == (a[k], part[k]):
                     both = len(np.intersect1d(own, s, assume_unique=True))
                     out.append((a[k], b[k], both, len(own) + len(s) - both))
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], names=["a", "b", "inter", "total"])
 
 
-def compared(pairs: DataFrame, texts: DataFrame, per_task: int = 256) -> DataFrame:
-    """Exact set sizes of distinct pairs ``a, b``: ``a, b, inter, total``.
+def compared(pairs: DataFrame, values: DataFrame, how, per_task: int = 256) -> DataFrame:
+    """Set sizes of distinct pairs ``a, b`` by ``how``: ``a, b, inter, total``.  ``values``: ``seq, value``.
 
-    Each text of ``b`` goes to where ``a`` is; an ``a`` with many partners goes to several places.
+    The value of ``b`` goes to where that of ``a`` is; an ``a`` with many partners goes to several places.
     """
     width = shuffle_width(pairs.sparkSession)
     spread = pairs.groupBy("a").count().select(F.col("a").alias("_a"), F.ceil(F.col("count") / per_task).cast("int").alias("_parts"))
@@ -289,95 +351,59 @@ def compared(pairs: DataFrame, texts: DataFrame, per_task: int = 256) -> DataFra
     to = dealt.select(F.col("b").alias("_seq"), "a", "part", "b").unionByName(
         spread.select(F.col("_a").alias("_seq"), F.col("_a").alias("a"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"),
                       F.lit(None).cast("bigint").alias("b")))
-    rows = to.join(texts, F.col("_seq") == F.col("seq")).select("a", "part", "b", "text")
+    rows = to.join(values, F.col("_seq") == F.col("seq")).select("a", "part", "b", "value")
     return (rows.repartition(width, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-            .mapInArrow(_compare, "a bigint, b bigint, inter bigint, total bigint"))
-
-
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members ``grp, id, size, leader, inter, total, component`` in the order of ``grp``: pairs that may still link."""
-
-    def settle(rows: list[tuple]) -> list[tuple[int, int]]:
-        rows.sort(key=lambda r: (r[2], r[1]))
-        size = np.array([r[2] for r in rows])
-        comp = np.array([r[6] for r in rows])
-        leader = np.array([r[3] for r in rows])
-        apart = np.array([0.0 if r[1] == r[3] else 1 - r[4] / r[5] for r in rows])
-        out = []
-        for i in range(len(rows) - 1):
-            end = int(np.searchsorted(size, size[i] * 4 // 3, side="right"))
-            js = np.arange(i + 1, end)
-            ok = (comp[js] != comp[i]) & ((leader[js] != leader[i]) | (np.abs(apart[js] - apart[i]) <= 0.25 + 1e-9))
-            out += [(min(rows[i][1], rows[j][1]), max(rows[i][1], rows[j][1])) for j in js[ok].tolist()]
-        return out
-
-    now, held = None, []
-    for batch in batches:
-        out: list[tuple[int, int]] = []
-        for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
-            if row[0] != now and held:
-                out += settle(held)
-                held = []
-            now = row[0]
-            held.append(row)
-        out = sorted(set(out))
-        yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in range(2)], names=["a", "b"])
-    if held:
-        out = sorted(set(settle(held)))
-        yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in range(2)], names=["a", "b"])
+            .mapInArrow(how, "a bigint, b bigint, inter bigint, total bigint"))
 
 
-def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, small: int = 6, sample_docs: int = 4000, least: int = 4) -> DataFrame:
+def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, sample_docs: int = 4000, least: int = 4) -> DataFrame:
     """``seq, n, least_seq``: each row's number of shingles and the least ``seq`` that links lead to.
 
     ``rows``: ``seq`` (unique) and ``text``.
     """
     spark = rows.sparkSession
+    ship(spark)
     width = shuffle_width(spark)
     sizes = written(set_sizes(rows), "sets")
     marks = spark.sparkContext.broadcast(frequent_shingles(rows, sizes.count(), sample_docs, least))  # 2**FREQUENT_BITS marks
-    buckets = 4 * width
-    found = (rows.select("seq", "text").mapInArrow(_emit_signatures(marks, buckets, n2, k2), "bucket int, sig binary, id binary, size binary")
-             .repartition(width, "bucket").sortWithinPartitions("bucket")
-             .mapInArrow(_pairs_of(small), "grp bigint, a bigint, b bigint, size bigint"))
-    found = written(found, "candidates")
+    near = (rows.select("seq", "text").mapInArrow(_emit_signatures(marks, 4 * width, n2, k2), "bucket int, sig binary, id binary, size binary")
+            .repartition(width, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(_neighbourhoods, "leader bigint, id bigint"))
+    near = written(near.distinct(), "neighbourhoods")
     # rows with equal contents are one set: that of the least row
-    same = sizes.where("n > 0").groupBy("content", "n").agg(F.min("seq").alias("rep"))
-    rep = sizes.join(same.withColumnRenamed("n", "_n"), ["content"]).where("n = _n").select("seq", "rep")
-
-    def by_rep(pairs: DataFrame) -> DataFrame:
-        x, y = rep.select(F.col("seq").alias("_x"), F.col("rep").alias("_ra")), rep.select(F.col("seq").alias("_y"), F.col("rep").alias("_rb"))
-        p = pairs.join(x, F.col("a") == F.col("_x")).join(y, F.col("b") == F.col("_y"))
-        return p.withColumn("a", F.col("_ra")).withColumn("b", F.col("_rb")).drop("_x", "_y", "_ra", "_rb")
-
-    named = written(by_rep(found), "named")
-    first = named.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    used = first.select("a").union(first.select("b")).distinct().select(F.col("a").alias("_s"))
-    texts = written(rows.select("seq", "text").join(used, F.col("seq") == F.col("_s"), "left_semi"), "texts")
-    one = written(compared(first, texts), "compared")
-    links = one.where(linked(F.col("inter"), F.col("total"))).select("a", "b")
-    comp = components(links, "a", "b")
-
-    # large groups: who did not link with the one leader of all
-    large = named.where("grp >= 0").select("grp", F.col("b").alias("id"), "size", F.col("a").alias("leader")).distinct()
-    done = one.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "inter", "total")
-    known = large.join(done, (F.least("id", "leader") == F.col("_a")) & (F.greatest("id", "leader") == F.col("_b")), "left").drop("_a", "_b")
-    hit = (F.col("id") == F.col("leader")) | F.coalesce(linked(F.col("inter"), F.col("total")), F.lit(False))
-    known = written(known.withColumn("hit", hit), "members")
-    unsettled = (known.groupBy("grp").agg(F.min("hit").alias("all"), F.min("leader").alias("x"), F.max("leader").alias("y"))
-                 .where("not all or x <> y").select(F.col("grp").alias("_g")))
-    member = (known.join(unsettled, F.col("grp") == F.col("_g"), "left_semi")
-              .join(comp, F.col("id") == F.col("node"), "left")
-              .select("grp", "id", "size", "leader", "inter", "total", F.coalesce("component", "id").alias("component")))
-    second = (member.repartition(4 * width, "grp").sortWithinPartitions("grp")
-              .mapInArrow(_open_pairs, "a bigint, b bigint").distinct())
-    second = written(second.join(one.select("a", "b"), ["a", "b"], "left_anti"), "open")
-    if not second.isEmpty():
-        two = written(compared(second, texts), "compared")
-        more = two.where(linked(F.col("inter"), F.col("total"))).select("a", "b")
-        comp = components(links.unionByName(more), "a", "b")
+    rep = sizes.where("n > 0").select("seq", F.struct("content", "n").alias("_c"))
+    rep = rep.join(rep.groupBy("_c").agg(F.min("seq").alias("rep")), "_c").select("seq", "rep")
+
+    def groups_of(links: DataFrame) -> DataFrame:
+        """Components of the links, and of the rows in them with the other rows of the same contents."""
+        nodes = links.select("a").union(links.select("b")).distinct()
+        return components(links.unionByName(nodes.join(rep, F.col("a") == F.col("seq")).where("seq <> rep").select("a", F.col("rep").alias("b"))), "a", "b")
+
+    comp = texts = exact = None
+    turn = 0
+    while True:
+        members = near.join(sizes.select("seq", "n", "bits"), F.col("id") == F.col("seq"))
+        known = F.col("id") if comp is None else F.coalesce("component", "id")
+        if comp is not None:
+            members = members.join(comp, F.col("id") == F.col("node"), "left")
+        found = written(members.select("leader", "id", "n", "bits", known.alias("component")).repartition(width, "leader")
+                        .sortWithinPartitions("leader").mapInArrow(_open_pairs(turn), "leader bigint, a bigint, b bigint"), "pairs")
+        pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        near = near.join(found.where("b is null").select(F.col("leader").alias("_l")), F.col("leader") == F.col("_l"), "left_semi")
+        if texts is None:  # later pairs are members of the neighbourhoods that come again
+            used = pairs.select("a").union(pairs.select("b")).union(near.select("id")).distinct().select(F.col("a").alias("_s"))
+            texts = written(rows.select("seq", F.col("text").alias("value")).join(used, F.col("seq") == F.col("_s"), "left_semi"), "texts")
+        else:
+            pairs = pairs.join(exact.select("a", "b"), ["a", "b"], "left_anti")
+        now = written(compared(pairs, texts, _compare), "compared")
+        exact = now if exact is None else exact.unionByName(now)
+        comp = groups_of(exact.where(linked(F.col("inter"), F.col("total"))).select("a", "b"))
+        turn += 1
+        if near.isEmpty():
+            break
+        near = written(near, "neighbourhoods")
     root = comp.select(F.col("node").alias("_node"), "component")
-    return (sizes.join(rep.withColumnRenamed("seq", "_s"), F.col("seq") == F.col("_s"), "left")
+    return (sizes.select("seq", "n").join(rep.withColumnRenamed("seq", "_s"), F.col("seq") == F.col("_s"), "left")
             .join(root, F.col("rep") == F.col("_node"), "left")
             .select("seq", "n", F.coalesce("component", "rep", "seq").alias("least_seq")))
 

@@ -25,6 +25,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from helpdeck.llm.common import ship
 
 #: Words the direct path handles: visible ASCII and Latin letters, no blanks or controls.
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-ſ]+")
@@ -239,6 +242,5 @@ def pack_frame(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_i
         if doc_ids:
             yield close(doc_ids, parts, sizes, seq)[0]
 
-    from pyspark.sql import functions as F
-
+    ship(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)

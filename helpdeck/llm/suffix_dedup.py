@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helpdeck.llm.common import doc_ranges, mix64, shuffle_width, text_bytes, written
+from helpdeck.llm.common import doc_ranges, mix64, ship, shuffle_width, text_bytes, written
 from helpdeck.llm.order import in_order
 
 GRAM = 32
@@ -351,6 +351,7 @@ def without_repeats(rows: DataFrame, fn, ddl: str, length: int = 100, step: int
     """
     if length % step or length < GRAM:
         raise ValueError("length must be a multiple of step and hold an anchor string")
+    ship(rows.sparkSession)
     width = shuffle_width(rows.sparkSession)
     runs = rows.select("seq", "text").mapInArrow(
         _map_runs(length, chunk), "anchor bigint, content bigint, seq bigint, start int, n int, gone boolean")
