@@ -85,11 +85,10 @@ class _Builder(HTMLParser):
             self._push(node)
 
     def _push(self, node: Node) -> None:
+        if len(self.open) >= MAX_DEPTH:  # deeper elements become siblings
+            self.open.pop()
         self.open[-1].children.append(node)
-        if len(self.open) < MAX_DEPTH:  # deeper elements become siblings
-            self.open.append(node)
-        else:
-            self.open[-1] = node
+        self.open.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from helpdeck.llm.common import doc_ranges, mix64, ship, shuffle_width, text_bytes, written
 from helpdeck.llm.components import components
-from helpdeck.llm.order import in_order
+from helpdeck.llm.order import apart, in_order, inner_name
 from helpdeck.llm.shingles import shingle_sets
 
 _U = np.uint64
@@ -425,7 +425,8 @@ def join_groups(docs: DataFrame, text_col: str = "text", **options) -> DataFrame
 
 def keep_one_per_group(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The first row (least ``doc_id``, then text) of each group, with the columns of ``docs``."""
-    rows = in_order(docs, text_col)
-    got = similar_groups(rows.select("seq", F.col(text_col).alias("text")), **options)
+    rows = in_order(apart(docs, text_col), "text")
+    got = similar_groups(rows.select("seq", "text"), **options)
     drop = got.where("seq <> least_seq").select(F.col("seq").alias("_s"))
-    return rows.join(drop, F.col("seq") == F.col("_s"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.join(drop, F.col("seq") == F.col("_s"), "left_anti").select(
+        *[F.col(f"`{inner_name(c, text_col)}`").alias(c) for c in docs.columns])

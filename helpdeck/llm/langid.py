@@ -86,7 +86,7 @@ def _snippets(texts: list[str], rng: np.random.Generator, per_text: int, longest
 
 
 def train(texts: list[str], labels: list[str], bits: int = 15, dim: int = 16, epochs: int = 3, rate: float = 0.5,
-          batch: int = 64, per_text: int = 4, longest: int = 400, rejected: float = 0.001, seed: int = 7) -> Model:
+          batch: int = 64, least_steps: int = 500, per_text: int = 4, longest: int = 400, rejected: float = 0.001, seed: int = 7) -> Model:
     """Fit a model; ``rejected`` is the share of rightly labelled held-back passages that the threshold may refuse
     (the threshold is at most one half)."""
     languages = sorted(set(labels))
@@ -101,6 +101,7 @@ def train(texts: list[str], labels: list[str], bits: int = 15, dim: int = 16, ep
     own = np.flatnonzero(~held)
     passages, of = _snippets([texts[i] for i in own], rng, per_text, longest)
     y = y_all[own[np.array(of, np.int64)]] if len(of) else np.zeros(0, np.int64)
+    epochs = max(epochs, -(-least_steps * batch // max(1, len(passages))))
     steps, done = max(1, epochs * -(-len(passages) // batch)), 0
     for _ in range(epochs):
         order = rng.permutation(len(passages))

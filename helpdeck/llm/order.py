@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Reserved: a column of this name is replaced.
 SEQ = "seq"
 
 
+def apart(docs: DataFrame, text_col: str) -> DataFrame:
+    """``doc_id, text`` and every other column as ``in_<name>``, so no name meets one that a job adds."""
+    return docs.select("doc_id", F.col(f"`{text_col}`").alias("text"),
+                       *[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns if c not in ("doc_id", text_col)])
+
+
+def inner_name(name: str, text_col: str) -> str:
+    return "text" if name == text_col else name if name == "doc_id" else f"in_{name}"
+
+
 def in_order(docs: DataFrame, text_col: str = "text", seq: str = SEQ) -> DataFrame:
     """``docs`` with ``seq``: unique, and ascending by ``doc_id`` (nulls first), then by text.
 

@@ -6,7 +6,7 @@ Three jobs:
 1. *Windows to runs.*  Every window of ``length`` bytes is dealt to its anchor,
    the place of the least hash among its ``GRAM``-byte strings, so equal windows
    have equal anchors wherever they stand.  A run is the windows of one anchor;
-   only its hashes travel.  Runs whose anchor string is found once cannot hold a repeat.  Of runs
+   only its hashes travel (48 bits of the anchor's: they bring runs together, contents decide).  Runs whose anchor string is found once cannot hold a repeat.  Of runs
    with equal contents the first stays and the others go as a whole; this happens in
    each map batch first, so a passage with very many copies reaches the shuffle as one row per batch.
 2. *Transforms.*  The bytes of the runs that remain (different contents around
@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helpdeck.llm.common import doc_ranges, mix64, ship, shuffle_width, text_bytes, written
-from helpdeck.llm.order import in_order
+from helpdeck.llm.common import doc_ranges, extended, mix64, ship, shuffle_width, text_bytes, written
+from helpdeck.llm.order import apart, in_order, inner_name
 
 GRAM = 32
 _U = np.uint64
@@ -125,8 +125,8 @@ def _map_runs(length: int, chunk: int):
                 doc, start, n, anchor, content = (x[rows] for x in (doc, start, n, anchor, content))
                 # later copies inside the batch are gone already; they travel by a key of their own
                 key = np.where(new, anchor, mix64(doc.astype(_U) * _U(0x9E3779B1) + start.astype(_U)))
-                yield _emit({"anchor": key.view(np.int64), "content": content.view(np.int64), "seq": doc,
-                             "start": start.astype(np.int32), "n": n.astype(np.int32), "gone": ~new})
+                place = (start << 16) | (n << 1) | ~new  # a run has at most `length` windows
+                yield _emit({"anchor": (key >> _U(16)).view(np.int64), "content": content.view(np.int64), "seq": doc, "place": place})
     return run
 
 
@@ -135,11 +135,10 @@ def _settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    anchor, content, seq, start, n, gone = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held])
-                                            for i in range(6))
+    anchor, content, seq, place = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(4))
     held.clear()
-    away = gone.astype(bool)
-    yield _emit({"anchor": anchor[away], "seq": seq[away], "start": start[away], "n": n[away], "gone": gone[away]})
+    start, n, away = (place >> 16).astype(np.int32), ((place >> 1) & 0x7FFF).astype(np.int32), (place & 1).astype(bool)
+    yield _emit({"anchor": anchor[away], "seq": seq[away], "start": start[away], "n": n[away], "gone": away[away]})
     anchor, content, seq, start, n = (x[~away] for x in (anchor, content, seq, start, n))
     if not len(anchor):
         return
@@ -349,12 +348,12 @@ def without_repeats(rows: DataFrame, fn, ddl: str, length: int = 100, step: int
 
     The texts are shuffled by ``seq`` once: the strings of the second job and the cuts meet them there.
     """
-    if length % step or length < GRAM:
+    if length % step or not GRAM <= length < 1 << 15:
         raise ValueError("length must be a multiple of step and hold an anchor string")
     ship(rows.sparkSession)
     width = shuffle_width(rows.sparkSession)
     runs = rows.select("seq", "text").mapInArrow(
-        _map_runs(length, chunk), "anchor bigint, content bigint, seq bigint, start int, n int, gone boolean")
+        _map_runs(length, chunk), "anchor bigint, content bigint, seq bigint, place bigint")
     settled = written(runs.repartition(width, "anchor").mapInArrow(
         _settle_runs, "anchor bigint, seq bigint, start int, n int, gone boolean"), "runs")
     texts = rows.repartition(width, "seq")
@@ -420,22 +419,18 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", **options) -> DataFr
     All rows stay, with their columns; ``n_chars``, where there is one, is
     counted anew for the rows that change.
     """
-    from helpdeck.llm.common import extended, with_columns
-
-    rows = in_order(docs, text_col)
-    if text_col != "text":
-        rows = rows.withColumn("text", F.col(text_col))
+    rows = in_order(apart(docs, text_col), "text")
     names = docs.columns
 
     def edit(batch: pa.RecordBatch, texts: list) -> pa.RecordBatch:
-        old = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-        new = [t if not s else _kept(v, _whole_characters(v, s)).decode("utf-8", "replace") for t, (v, s) in zip(old, texts)]
-        out = {text_col: pa.array(new, pa.string())}
+        out = {n: batch.column(batch.schema.get_field_index(inner_name(n, text_col))) for n in names}
+        new = [t if not s else _kept(v, _whole_characters(v, s)).decode("utf-8", "replace")
+               for t, (v, s) in zip(out[text_col].to_pylist(), texts)]
+        out[text_col] = pa.array(new, pa.string())
         if "n_chars" in names:
-            n = batch.column(batch.schema.get_field_index("n_chars"))
+            n = out["n_chars"]
             out["n_chars"] = pa.array([len(t) if s else c for t, (_, s), c in zip(new, texts, n.to_pylist())], n.type)
-        done = with_columns(batch, out)
-        return done.select(names)
+        return pa.RecordBatch.from_arrays(list(out.values()), names=names)
 
     return without_repeats(rows, edit, extended(docs, {}), **options)
 

@@ -1,5 +1,6 @@
 """Each operator against a plain version, and the defined results of odd inputs."""
 
+import functools
 import hashlib
 import random
 
@@ -23,6 +24,7 @@ def edit(text, share, rng=RNG):
     return " ".join(w)
 
 
+@functools.lru_cache(maxsize=1)
 def corpus():
     base = [prose(RNG.randrange(60, 300)) for _ in range(12)]
     passage = prose(40)
@@ -114,7 +116,7 @@ def test_fingerprints(spark, docs, empty):
     from helpdeck.llm.fingerprint import edited, edits, fingerprint, fingerprint_frame, likeness
 
     texts = [t or "" for t in corpus()]
-    got = {r.doc_id: r for r in fingerprint_frame(docs, rows_per_range=10).collect()} if False else {r.doc_id: r for r in fingerprint_frame(docs).collect()}
+    got = {r.doc_id: r for r in fingerprint_frame(docs).collect()}
     for i, t in enumerate(texts):
         new = edited(t, texts[(i + 1) % len(texts)])
         r = got[i]
