@@ -137,9 +137,10 @@ def round_half_up(x, digits: int = 1) -> Column:
 
 
 def default_expiry(given, now) -> Column:
-    """H24: the given ``yyyy-MM-dd`` text, or the clock's UTC date + 30 days."""
+    """H24: the given ``yyyy-MM-dd`` text, or 30 days after the UTC date of the (UTC+7) clock."""
+    utc = now_ts(now) - F.expr("INTERVAL 7 HOURS")
     return F.coalesce(F.nullif(lit_or_col(given).cast("string"), F.lit("")),
-                      F.date_format(F.date_add(F.to_date(now_ts(now)), 30), ISO_FMT))
+                      F.date_format(F.date_add(F.to_date(utc), 30), ISO_FMT))
 
 
 def first_weekday(year: int, month: int) -> Column:

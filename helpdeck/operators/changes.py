@@ -68,9 +68,13 @@ _RESET_FROM = ("waiting", "rejected")
 _CAL_FROM = ("waiting", "approval")
 
 
+def given(c: str) -> Column:
+    """A form value that is there: not NULL and not '' (white space counts, it is trimmed only when stored)."""
+    return F.coalesce(F.col(c).cast("string") != "", F.lit(False))
+
+
 def change_validity(kind: Column) -> Column:
-    """Event-level checks the server makes before touching the ticket."""
-    given = lambda c: ~is_blank(F.col(c).cast("string"))
+    """Event-level checks on the raw values, made before the ticket is touched."""
     return (F.when(kind.isin("schedule", "calendar_schedule"), given("teknisi_id") & given("tanggal") & given("jam"))
             .when(kind == "approve", F.coalesce(F.col("decision").isin(*APPROVE_DECISIONS), F.lit(False)))
             .when(kind == "visit_result", given("findings"))
@@ -185,8 +189,8 @@ def apply_transitions(tickets: DataFrame, changes: DataFrame) -> DataFrame:
         "approved_at": pick("_apa", "approved_at"),
         "closed_by": pick("_clb", "closed_by"),
         "closed_at": pick("_cla", "closed_at"),
-        "follow_up_count": (F.coalesce(F.col("follow_up_count"), F.lit(0)) + F.coalesce(F.col("_inc"), F.lit(0)))
-        .cast("int"),
+        "follow_up_count": F.when(has, F.coalesce(F.col("follow_up_count"), F.lit(0)) + F.coalesce(F.col("_inc"), F.lit(0)))
+        .otherwise(F.col("follow_up_count")).cast("int"),
         "updated_at": pick("_upd", "updated_at"),
     }
     cols = [new[c].cast(dict(tickets.dtypes)[c]).alias(c) if c in new else F.col(c) for c in tickets.columns]
@@ -334,8 +338,8 @@ def ticket_numbers(existing: DataFrame, requests: DataFrame, order: list) -> Dat
 def ticket_intake(existing: DataFrame, raw: DataFrame, now: str, order: list) -> DataFrame:
     """A11 + H1 + H3 + H16 + E2 + I14 new tickets from raw form rows.
 
-    Text fields are trimmed and cut like ``trimStr``; rows without a customer
-    name or complaint are refused (``valid`` false, no number, no id); valid
+    Text fields are trimmed and cut like ``trimStr``; rows whose raw customer
+    name or complaint is NULL or '' are refused (one of white space only is stored as ''); valid
     rows get status 'waiting', follow-up count 0, created/updated time =
     ``now``, the next ids and this year's next ticket numbers.
     """
@@ -343,14 +347,13 @@ def ticket_intake(existing: DataFrame, raw: DataFrame, now: str, order: list) ->
 
     limits = {"customer_name": 100, "customer_hp": 20, "customer_kota": 100, "toko": 100, "marketplace": 100,
               "serial_number": 100, "keluhan": 1000, "kode_barang": 50}
-    cleaned = raw.select(*order, *[trim_str(F.col(c), n).alias(c) for c, n in limits.items()],
+    cleaned = raw.filter(given("customer_name") & given("keluhan")).select(*order, *[trim_str(F.col(c), n).alias(c) for c, n in limits.items()],
                          F.coalesce(F.nullif(F.col("tanggal_complaint"), F.lit("")), today_str(now))
                          .alias("tanggal_complaint"),
                          iso_to_dmy(F.col("tanggal_pembelian")).alias("tanggal_pembelian"),
                          F.col("product_id").cast("long").alias("product_id"),
                          F.col("created_by").cast("long").alias("created_by"))
-    valid = (F.col("customer_name") != "") & (F.col("keluhan") != "")
-    ok = cleaned.filter(valid).withColumn("year", F.year(now_ts(now)))
+    ok = cleaned.withColumn("year", F.year(now_ts(now)))
     numbered = ticket_numbers(existing, ok, order)
     with_ids = next_ids(numbered, existing, order)
     now_txt = F.date_format(now_ts(now), TS_FMT)
@@ -385,85 +388,89 @@ def product_import_counts(sheet: DataFrame, row_col: str = "row_no") -> DataFram
     return r.agg(F.count_if(F.col("valid")).alias("imported"), F.count_if(~F.col("valid")).alias("skipped"))
 
 
+def first_and_last(incoming: DataFrame, key: str, order: str, first_cols: list[str], last_cols: list[str],
+                   last_given: tuple = ()) -> DataFrame:
+    """Per key: ``_first`` (its first place in ``order``) and ``_n_<column>``: ``first_cols`` from the first row,
+    ``last_cols`` from the last, ``last_given`` the last that is not NULL. One partial aggregate."""
+    o = F.col(order)
+    aggs = [F.min(o).alias("_first")]
+    aggs += [F.min_by(F.struct(F.col(c).alias("v")), o).alias(f"_s_{c}") for c in first_cols]
+    aggs += [F.max_by(F.struct(F.col(c).alias("v")), o).alias(f"_s_{c}") for c in last_cols]
+    aggs += [F.max_by(F.struct(F.col(c).alias("v")), F.when(F.col(c).isNotNull(), o)).alias(f"_s_{c}") for c in last_given]
+    names = [*first_cols, *last_cols, *last_given]
+    return incoming.groupBy(key).agg(*aggs).select(key, "_first", *[F.col(f"_s_{c}.v").alias(f"_n_{c}") for c in names])
+
+
 def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: str, order: str, id_col: str = "id",
-                  update_cols: list[str] | None = None) -> DataFrame:
-    """I4 upsert on a natural key: the last incoming row per key (highest
-    ``order``, E6) updates the matching row (id kept) or becomes a new row
-    with the next id. Returns the whole new table."""
-    last = last_per_key(incoming, key, order)
-    update_cols = update_cols or [c for c in existing.columns if c not in (id_col, key)]
-    inc = last.select(key, order, *[F.col(c).alias(f"_n_{c}") for c in update_cols if c in last.columns])
+                  update_cols: list[str] | None = None, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """I4 upsert on a natural key, as the rows would do one after the other: the
+    first incoming row of an unknown key inserts (it fixes the id order and every column
+    that updates leave alone), later ones update, so ``update_cols`` come from the last row (E6).
+    ``defaults``: columns of new rows that the incoming rows lack. Returns the whole new table."""
+    update_cols = [c for c in update_cols or [c for c in existing.columns if c not in (id_col, key)] if c in incoming.columns]
+    inc = first_and_last(incoming, key, order, [c for c in existing.columns if c in incoming.columns and c not in (id_col, key, *update_cols)],
+                         update_cols)
     j = existing.join(inc, key, "left")
-    updated = j.select(*[F.when(F.col(order).isNotNull(), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
-                         if f"_n_{c}" in j.columns else F.col(c) for c in existing.columns])
+    updated = j.select(*[F.when(F.col("_first").isNotNull(), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
+                         if c in update_cols else F.col(c) for c in existing.columns])
     new = inc.join(existing.select(key), key, "left_anti")
-    new_rows = next_ids(new, existing, [order], id_col)
+    new_rows = next_ids(new, existing, ["_first"], id_col)
+    defaults = defaults or {}
     new_rows = new_rows.select(*[F.col(f"_n_{c}").alias(c) if f"_n_{c}" in new_rows.columns
-                                 else (F.col(c) if c in new_rows.columns else F.lit(None)).alias(c)
+                                 else (F.col(c) if c in new_rows.columns else defaults.get(c, F.lit(None))).alias(c)
                                  for c in existing.columns])
     dtypes = dict(existing.dtypes)
     return updated.unionByName(new_rows.select(*[F.col(c).cast(dtypes[c]) for c in existing.columns]))
 
 
-def product_import(products: DataFrame, sheet: DataFrame, row_col: str = "row_no") -> DataFrame:
-    """A4 + E6 + I4 product import: valid rows upserted by code, last row wins."""
+def product_import(products: DataFrame, sheet: DataFrame, now: str, row_col: str = "row_no") -> DataFrame:
+    """A4 + E6 + I4 product import: valid rows upserted by code, last row wins; new products get the time ``now``."""
     r = import_rows(sheet, row_col).filter(F.col("valid")).drop("valid")
-    return upsert_by_key(products, r, "kode_barang", "row_no", update_cols=["nama_produk", "tipe", "garansi_bulan"])
+    return upsert_by_key(products, r, "kode_barang", "row_no", update_cols=["nama_produk", "tipe", "garansi_bulan"],
+                         defaults={"created_at": F.date_format(now_ts(now), TS_FMT)})
 
 
 def schedule_upsert(schedules: DataFrame, requests: DataFrame) -> DataFrame:
-    """I4 schedule by ticket: the last valid request per ticket updates *every*
-    schedule row of that ticket (there is no unique key), or inserts one.
+    """I4 schedule by ticket: each valid request updates *every*
+    schedule row of its ticket (there is no unique key), or inserts one: the last one's values
+    stay, author, time and id order are those of the first.
     ``requests``: seq, ticket_id, teknisi_id, tanggal, jam, notes, user_id."""
     from helpdeck.functions.dates import iso_to_dmy
 
-    given = lambda c: ~is_blank(F.col(c).cast("string"))
-    r = (requests.withColumn("tanggal", iso_to_dmy(F.col("tanggal")))
-         .filter(given("teknisi_id") & given("tanggal") & given("jam")))
-    last = last_per_key(r, "ticket_id", "seq")
-    inc = last.select("ticket_id", "seq", *[F.col(c).alias(f"_n_{c}") for c in ("teknisi_id", "tanggal", "jam", "notes")])
-    j = schedules.join(inc, "ticket_id", "left")
-    upd_cols = {"teknisi_id", "tanggal", "jam", "notes"}
-    updated = j.select(*[F.when(F.col("seq").isNotNull(), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
-                         if c in upd_cols else F.col(c) for c in schedules.columns])
-    new = last.join(schedules.select("ticket_id"), "ticket_id", "left_anti")
-    new = next_ids(new, schedules, ["seq"])
-    dtypes = dict(schedules.dtypes)
-    new_rows = new.select(*[
-        (F.col("user_id").alias("created_by") if c == "created_by" else
-         F.col("ts").alias("created_at") if c == "created_at" else F.col(c)).cast(dtypes[c]) for c in schedules.columns])
-    return updated.unionByName(new_rows)
+    r = (requests.filter(given("teknisi_id") & given("tanggal") & given("jam"))
+         .withColumn("tanggal", iso_to_dmy(F.col("tanggal")))
+         .withColumns({"created_by": F.col("user_id"), "created_at": F.col("ts")}))
+    return upsert_by_key(schedules, r, "ticket_id", "seq", update_cols=["teknisi_id", "tanggal", "jam", "notes"])
 
 
 KEEP_IF_NULL = ("foto_sebelum_path", "foto_sesudah_path", "video_path")
 
 
 def visit_upsert(visits: DataFrame, reports: DataFrame, now: str) -> DataFrame:
-    """I3 + I4 visit result by ticket: update every row of the ticket (keeping
-    the old file paths where the new one is NULL) or insert; reports without
-    findings are refused. ``reports``: seq, ticket_id, teknisi_id, findings,
+    """I3 + I4 visit result by ticket: each report updates every row of its ticket (a
+    file path that it lacks stays, so the last one given counts) or inserts (technician and id order are those of the
+    first); reports without findings (NULL or '') are refused. ``reports``: seq, ticket_id, teknisi_id, findings,
     solusi, sparepart, tanggal_selesai, jam."""
     from helpdeck.functions.dates import iso_to_dmy, today_str
 
-    last = last_per_key(reports.filter(~is_blank(F.col("findings"))), "ticket_id", "seq")
     today = today_str(now)
-    vals = last.select("ticket_id", "seq", F.col("teknisi_id").alias("_n_teknisi_id"),
-                       today.alias("_n_tanggal"), F.col("jam").alias("_n_jam"),
-                       trim_str(F.col("findings"), 2000).alias("_n_hasil_pemeriksaan"),
-                       trim_str(F.col("solusi"), 1000).alias("_n_solusi"),
-                       trim_str(F.col("sparepart"), 500).alias("_n_sparepart"),
-                       F.coalesce(iso_to_dmy(F.nullif(F.col("tanggal_selesai"), F.lit(""))), today)
-                       .alias("_n_tanggal_selesai"),
-                       *[F.col(c).alias(f"_n_{c}") for c in KEEP_IF_NULL if c in last.columns])
+    ok = reports.filter(given("findings"))
+    ok = ok.select("ticket_id", "seq", "teknisi_id", today.alias("tanggal"), "jam",
+                   trim_str(F.col("findings"), 2000).alias("hasil_pemeriksaan"),
+                   trim_str(F.col("solusi"), 1000).alias("solusi"),
+                   trim_str(F.col("sparepart"), 500).alias("sparepart"),
+                   F.coalesce(iso_to_dmy(F.nullif(F.col("tanggal_selesai"), F.lit(""))), today).alias("tanggal_selesai"),
+                   *[F.col(c) for c in KEEP_IF_NULL if c in reports.columns])
+    repl = ("tanggal", "jam", "hasil_pemeriksaan", "solusi", "sparepart", "tanggal_selesai")
+    keep = tuple(c for c in KEEP_IF_NULL if c in ok.columns and c in visits.columns)
+    vals = first_and_last(ok, "ticket_id", "seq", ["teknisi_id"], list(repl), keep)
     j = visits.join(vals, "ticket_id", "left")
-    repl = {"tanggal", "jam", "hasil_pemeriksaan", "solusi", "sparepart", "tanggal_selesai"}
-    keep = {c for c in KEEP_IF_NULL if f"_n_{c}" in vals.columns and c in visits.columns}
-    hit = F.col("seq").isNotNull()
+    hit = F.col("_first").isNotNull()
     updated = j.select(*[F.when(hit, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in repl
                          else F.when(hit, F.coalesce(F.col(f"_n_{c}"), F.col(c))).otherwise(F.col(c)).alias(c)
                          if c in keep else F.col(c) for c in visits.columns])
     new = vals.join(visits.select("ticket_id"), "ticket_id", "left_anti")
-    new = next_ids(new, visits, ["seq"])
+    new = next_ids(new, visits, ["_first"])
     dtypes = dict(visits.dtypes)
     now_txt = F.date_format(now_ts(now), TS_FMT)
     new_rows = new.select(*[(F.col(f"_n_{c}") if f"_n_{c}" in new.columns else
@@ -511,7 +518,8 @@ def guarded_user_delete(users: DataFrame, requests: DataFrame) -> DataFrame:
     the last admin. Returns (seq, user_id, role, deleted, reason).
 
     Only admin deletes compete for the guard; they are numbered in order (a
-    set bounded by the number of admins) and the first ``admins - 1`` pass."""
+    set bounded by the number of admins) and the first ``admins - 1`` pass. A repeated request
+    finds no user after a delete, and meets the same refusal after one that was refused."""
     first = (requests.groupBy("user_id").agg(F.min("seq").alias("seq")))
     dup = requests.join(first.withColumnRenamed("seq", "_first"), "user_id") \
         .filter(F.col("seq") != F.col("_first")).select("seq", "user_id")
@@ -526,10 +534,13 @@ def guarded_user_delete(users: DataFrame, requests: DataFrame) -> DataFrame:
                                                    F.lit(False))).withColumn(
         "reason", F.when(F.col("role").isNull(), F.lit("user_not_found"))
         .when(F.col("deleted"), F.lit("deleted")).otherwise(F.lit("invalid_role")))
-    dups = dup.select("seq", "user_id", F.lit(None).cast("string").alias("role"), F.lit(False).alias("deleted"),
-                      F.lit("user_not_found").alias("reason"))
     cols = ["seq", "user_id", "role", "deleted", "reason"]
-    return adm.select(*cols).unionByName(other.select(*cols)).unionByName(dups)
+    done = adm.select(*cols).unionByName(other.select(*cols))
+    gone = F.col("_d")
+    was = done.select("user_id", F.col("role").alias("_r"), F.col("deleted").alias("_d"), F.col("reason").alias("_why"))
+    dups = dup.join(was, "user_id").select("seq", "user_id", F.when(~gone, F.col("_r")).alias("role"), F.lit(False).alias("deleted"),
+                                           F.when(gone, F.lit("user_not_found")).otherwise(F.col("_why")).alias("reason"))
+    return done.unionByName(dups)
 
 
 def cascade_link_ids(notifications: DataFrame, match: str = "contains") -> DataFrame:
@@ -591,10 +602,10 @@ def activity_backfill(tickets: DataFrame) -> DataFrame:
 
 
 def voucher_candidates(tickets: DataFrame, products: DataFrame, vouchers: DataFrame, now: str,
-                       salt: str = "voucher", given_expiry=None) -> DataFrame:
+                       salt: str, given_expiry=None) -> DataFrame:
     """I13 tickets approved (approved_by set) without a voucher, with the
     voucher snapshot: customer and product fields, decision, token (H26) and
-    expiry (H24)."""
+    expiry (H24). The token opens a public page: ``salt`` must be secret and new for each batch."""
     t = tickets.filter(F.col("approved_by").isNotNull() & (F.col("approved_by") != 0))
     t = t.join(vouchers.select(F.col("ticket_id").alias("id")), "id", "left_anti")
     p = products.select(F.col("id").alias("_pid"), "nama_produk", "tipe")
@@ -609,24 +620,25 @@ def voucher_candidates(tickets: DataFrame, products: DataFrame, vouchers: DataFr
         .alias("expired_at"))
 
 
-def voucher_number(ticket_id: Column, now: str, salt: str = "voucher") -> Column:
-    """H25 ``BRC-<base36 ms>-<6 chars>``, upper-case; the random suffix is
-    replaced by 6 base-36 digits of a hash of the ticket id so runs repeat."""
+def voucher_number(number: Column, now: str) -> Column:
+    """H25 ``BRC-<base36 ms>-<6 chars>``, upper-case; the suffix is the voucher's id in base 36
+    (at least 6 digits) instead of random digits, so no two vouchers share a number."""
     from helpdeck.functions.dates import epoch_seconds
 
     ms = (epoch_seconds(now_ts(now)) * 1000).cast("string")
-    suffix = F.lpad(F.conv(F.pmod(F.xxhash64(F.lit(salt), ticket_id), F.lit(36 ** 6)).cast("string"), 10, 36), 6, "0")
+    digits = F.conv(number.cast("string"), 10, 36)
+    suffix = F.when(F.length(digits) >= 6, digits).otherwise(F.lpad(digits, 6, "0"))
     return F.upper(F.concat(F.lit("BRC-"), F.conv(ms, 10, 36), F.lit("-"), suffix))
 
 
-def issue_vouchers(tickets: DataFrame, products: DataFrame, vouchers: DataFrame, now: str,
+def issue_vouchers(tickets: DataFrame, products: DataFrame, vouchers: DataFrame, now: str, salt: str,
                    created_by: int = 1) -> DataFrame:
-    """I13 new voucher rows: candidates + voucher number + next ids."""
-    c = voucher_candidates(tickets, products, vouchers, now)
-    c = c.withColumn("voucher_no", voucher_number(F.col("ticket_id"), now)) \
-         .withColumn("created_by", F.lit(created_by).cast("long")) \
+    """I13 new voucher rows: candidates + next ids + voucher number."""
+    c = voucher_candidates(tickets, products, vouchers, now, salt)
+    c = c.withColumn("created_by", F.lit(created_by).cast("long")) \
          .withColumn("created_at", F.date_format(now_ts(now), TS_FMT))
-    return next_ids(c, vouchers, ["ticket_id"])
+    c = next_ids(c, vouchers, ["ticket_id"])
+    return c.withColumn("voucher_no", voucher_number(F.col("id"), now))
 
 
 

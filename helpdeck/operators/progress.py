@@ -70,7 +70,8 @@ def ticket_next_action(tickets: DataFrame, schedules: DataFrame, visits: DataFra
         "id", "ticket_no", "status",
         F.coalesce((st == "waiting") & ~_truthy(F.col("admin_analysis")), F.lit(False)).alias("needs_analysis"),
         F.coalesce(st == "approval", F.lit(False)).alias("awaiting_approval"),
-        F.coalesce((st == "waiting") & _truthy(F.col("admin_analysis")) & _truthy(F.col("approved_by")),
+        F.coalesce((st == "waiting") & _truthy(F.col("admin_analysis"))
+                   & F.coalesce(F.col("approved_by") != 0, F.lit(False)),
                    F.lit(False)).alias("schedulable"),
         F.coalesce((st == "scheduled") & F.col("schedule_id").isNotNull(), F.lit(False)).alias("scheduled"),
         F.coalesce((st == "on_progress") & needs_followup(F.col("v_solusi")), F.lit(False)).alias("needs_followup"),

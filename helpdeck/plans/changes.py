@@ -43,10 +43,10 @@ def _replay(change_filter: str = "TRUE") -> str:
          FROM changes c WHERE c.ticket_id IN (SELECT id FROM tickets) AND ({change_filter})),
 cv AS (SELECT *,
          CASE WHEN kind IN ('schedule', 'calendar_schedule')
-                THEN teknisi_id IS NOT NULL AND tanggal IS NOT NULL AND trim(tanggal) <> ''
-                     AND jam IS NOT NULL AND trim(jam) <> ''
+                THEN teknisi_id IS NOT NULL AND COALESCE(tanggal <> '', false)
+                     AND COALESCE(jam <> '', false)
               WHEN kind = 'approve' THEN COALESCE(decision IN ('Servis', 'Ganti Unit'), false)
-              WHEN kind = 'visit_result' THEN findings IS NOT NULL AND trim(findings) <> ''
+              WHEN kind = 'visit_result' THEN COALESCE(findings <> '', false)
               ELSE kind IN ({_KINDS}) END AS valid,
          kind = 'followup' OR (kind = 'visit_result' AND COALESCE(solusi IN ({_FU}), false)) AS inc_kind
        FROM cj),
@@ -95,7 +95,7 @@ SELECT t.* REPLACE (
   CASE WHEN f.ticket_id IS NULL THEN t.approved_at ELSE f.approved_at END AS approved_at,
   CASE WHEN f.ticket_id IS NULL THEN t.closed_by ELSE f.closed_by END AS closed_by,
   CASE WHEN f.ticket_id IS NULL THEN t.closed_at ELSE f.closed_at END AS closed_at,
-  CAST(CASE WHEN f.ticket_id IS NULL THEN COALESCE(t.follow_up_count, 0) ELSE f.cnt END AS INTEGER) AS follow_up_count,
+  CAST(CASE WHEN f.ticket_id IS NULL THEN t.follow_up_count ELSE f.cnt END AS INTEGER) AS follow_up_count,
   CASE WHEN f.ticket_id IS NULL THEN t.updated_at ELSE f.updated_at END AS updated_at)
 FROM tickets t LEFT JOIN fin f ON f.ticket_id = t.id
 """
@@ -182,8 +182,8 @@ _INTAKE = f"""
                      || split_part(tanggal_pembelian, '-', 1)
               ELSE tanggal_pembelian END AS tanggal_pembelian,
          product_id, created_by, {_YEAR_SQL} AS year
-  FROM intake_raw),
-ok AS (SELECT * FROM cl WHERE customer_name <> '' AND keluhan <> ''),
+  FROM intake_raw WHERE customer_name <> '' AND keluhan <> ''),
+ok AS (SELECT * FROM cl),
 lastno AS (SELECT CAST(regexp_extract(ticket_no, '^SC-(\\d+)-', 1) AS INTEGER) AS year, max_by(ticket_no, id) AS last_no
            FROM tickets WHERE starts_with(ticket_no, 'SC-') GROUP BY 1),
 numbered AS (
@@ -245,8 +245,12 @@ def product_import_counts(spark, sf_dir):
     return CH.product_import_counts(_b(spark, sf_dir)[1].product_sheet)
 
 
-@query("product_import", _IMPORT_ROWS + """
-, lastr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kode_barang ORDER BY row_no DESC) AS rk
+_NOW_TEXT = f"strftime(TIMESTAMP '{TICKET_NOW}', '%Y-%m-%d %H:%M:%S')"
+
+
+@query("product_import", _IMPORT_ROWS + f"""
+, lastr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kode_barang ORDER BY row_no DESC) AS rk,
+                                  min(row_no) OVER (PARTITION BY kode_barang) AS first_no
                            FROM irv WHERE valid) WHERE rk = 1)
 SELECT p.id, p.kode_barang,
        CASE WHEN l.row_no IS NOT NULL THEN l.nama_produk ELSE p.nama_produk END AS nama_produk,
@@ -255,13 +259,13 @@ SELECT p.id, p.kode_barang,
        p.created_at
 FROM products p LEFT JOIN lastr l ON p.kode_barang = l.kode_barang
 UNION ALL
-SELECT (SELECT max(id) FROM products) + row_number() OVER (ORDER BY row_no), kode_barang, nama_produk, tipe,
-       garansi_bulan, CAST(NULL AS VARCHAR)
+SELECT (SELECT max(id) FROM products) + row_number() OVER (ORDER BY first_no), kode_barang, nama_produk, tipe,
+       garansi_bulan, {_NOW_TEXT}
 FROM lastr WHERE kode_barang NOT IN (SELECT kode_barang FROM products)
 """, builder=sql_changes)
 def product_import(spark, sf_dir):
     v, b = _b(spark, sf_dir)
-    return CH.product_import(v.products, b.product_sheet)
+    return CH.product_import(v.products, b.product_sheet, TICKET_NOW)
 
 
 @query("schedule_upsert", """
@@ -271,9 +275,12 @@ def product_import(spark, sf_dir):
                                        || split_part(tanggal, '-', 1)
                                 ELSE tanggal END AS tanggal)
          FROM schedule_requests),
-lastr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY seq DESC) AS rk FROM rq
-                         WHERE teknisi_id IS NOT NULL AND tanggal IS NOT NULL AND trim(tanggal) <> ''
-                           AND jam IS NOT NULL AND trim(jam) <> '') WHERE rk = 1)
+lastr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY seq DESC) AS rk,
+                                min(seq) OVER (PARTITION BY ticket_id) AS first_seq,
+                                arg_min(user_id, seq) OVER (PARTITION BY ticket_id) AS first_user,
+                                arg_min(ts, seq) OVER (PARTITION BY ticket_id) AS first_ts FROM rq
+                         WHERE teknisi_id IS NOT NULL AND tanggal <> ''
+                           AND jam <> '') WHERE rk = 1)
 SELECT s.id, s.ticket_id,
        CASE WHEN l.seq IS NOT NULL THEN l.teknisi_id ELSE s.teknisi_id END AS teknisi_id,
        CASE WHEN l.seq IS NOT NULL THEN l.tanggal ELSE s.tanggal END AS tanggal,
@@ -282,8 +289,8 @@ SELECT s.id, s.ticket_id,
        s.created_by, s.created_at
 FROM schedules s LEFT JOIN lastr l ON s.ticket_id = l.ticket_id
 UNION ALL
-SELECT (SELECT max(id) FROM schedules) + row_number() OVER (ORDER BY seq), ticket_id, teknisi_id, tanggal, jam, notes,
-       user_id, ts
+SELECT (SELECT max(id) FROM schedules) + row_number() OVER (ORDER BY first_seq), ticket_id, teknisi_id, tanggal, jam, notes,
+       first_user, first_ts
 FROM lastr WHERE ticket_id NOT IN (SELECT ticket_id FROM schedules)
 """, builder=sql_changes)
 def schedule_upsert(spark, sf_dir):
@@ -295,9 +302,11 @@ _TODAY = f"strftime(TIMESTAMP '{TICKET_NOW}', '%d/%m/%Y')"
 
 
 @query("visit_upsert", f"""
-, lastr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY seq DESC) AS rk
-                           FROM visit_reports WHERE findings IS NOT NULL AND trim(findings) <> '') WHERE rk = 1),
-vals AS (SELECT ticket_id, seq, teknisi_id, {_TODAY} AS tanggal, jam,
+, lastr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticket_id ORDER BY seq DESC) AS rk,
+                                  min(seq) OVER (PARTITION BY ticket_id) AS first_seq,
+                                  arg_min(teknisi_id, seq) OVER (PARTITION BY ticket_id) AS first_tek
+                           FROM visit_reports WHERE findings <> '') WHERE rk = 1),
+vals AS (SELECT ticket_id, seq, first_seq, first_tek AS teknisi_id, {_TODAY} AS tanggal, jam,
                 {_trim('findings', 2000)} AS hasil_pemeriksaan, {_trim('solusi', 1000)} AS solusi,
                 {_trim('sparepart', 500)} AS sparepart,
                 COALESCE(CASE WHEN NULLIF(tanggal_selesai, '') IS NULL THEN NULL
@@ -316,7 +325,7 @@ SELECT v.id, v.ticket_id, v.teknisi_id,
        v.created_at
 FROM visit_results v LEFT JOIN vals l ON v.ticket_id = l.ticket_id
 UNION ALL
-SELECT (SELECT max(id) FROM visit_results) + row_number() OVER (ORDER BY seq), ticket_id, teknisi_id, tanggal, jam,
+SELECT (SELECT max(id) FROM visit_results) + row_number() OVER (ORDER BY first_seq), ticket_id, teknisi_id, tanggal, jam,
        hasil_pemeriksaan, solusi, sparepart, tanggal_selesai,
        strftime(TIMESTAMP '{TICKET_NOW}', '%Y-%m-%d %H:%M:%S')
 FROM vals WHERE ticket_id NOT IN (SELECT ticket_id FROM visit_results)
@@ -363,17 +372,18 @@ def toggle_active(spark, sf_dir):
 , firstr AS (SELECT user_id, min(seq) AS seq FROM delete_requests GROUP BY user_id),
 j AS (SELECT f.seq, f.user_id, u.role FROM firstr f LEFT JOIN users u ON u.id = f.user_id),
 na AS (SELECT count(*) AS n FROM users WHERE role = 'admin'),
-adm AS (SELECT j.*, row_number() OVER (ORDER BY seq) AS k FROM j WHERE role = 'admin')
-SELECT seq, user_id, role, k < (SELECT n FROM na) AS deleted,
+adm AS (SELECT j.*, row_number() OVER (ORDER BY seq) AS k FROM j WHERE role = 'admin'),
+firsts AS (SELECT seq, user_id, role, k < (SELECT n FROM na) AS deleted,
        CASE WHEN k < (SELECT n FROM na) THEN 'deleted' ELSE 'cannot_delete_last_admin' END AS reason FROM adm
 UNION ALL
 SELECT seq, user_id, role, COALESCE(role IN ('management', 'teknisi', 'cs'), false),
        CASE WHEN role IS NULL THEN 'user_not_found' WHEN role IN ('management', 'teknisi', 'cs') THEN 'deleted'
             ELSE 'invalid_role' END
-FROM j WHERE role IS NULL OR role <> 'admin'
+FROM j WHERE role IS NULL OR role <> 'admin')
+SELECT * FROM firsts
 UNION ALL
-SELECT d.seq, d.user_id, CAST(NULL AS VARCHAR), false, 'user_not_found'
-FROM delete_requests d JOIN firstr f ON f.user_id = d.user_id WHERE d.seq <> f.seq
+SELECT d.seq, d.user_id, CASE WHEN NOT f.deleted THEN f.role END, false, CASE WHEN f.deleted THEN 'user_not_found' ELSE f.reason END
+FROM delete_requests d JOIN firsts f ON f.user_id = d.user_id WHERE d.seq <> f.seq
 """, builder=sql_changes)
 def guarded_user_delete(spark, sf_dir):
     v, b = _b(spark, sf_dir)
@@ -453,22 +463,33 @@ def activity_backfill(spark, sf_dir):
 SELECT t.id AS ticket_id, t.customer_name, t.customer_hp, p.nama_produk AS product_name, p.tipe AS product_type,
        t.serial_number, t.keluhan, t.management_decision AS decision, 'active' AS status,
        sha256('voucher' || CAST(t.id AS VARCHAR)) AS qr_token,
-       strftime(CAST(TIMESTAMP '{TICKET_NOW}' AS DATE) + 30, '%Y-%m-%d') AS expired_at
+       strftime(CAST(TIMESTAMP '{TICKET_NOW}' - INTERVAL 7 HOUR AS DATE) + 30, '%Y-%m-%d') AS expired_at
 FROM tickets t LEFT JOIN products p ON t.product_id = p.id
 WHERE t.approved_by IS NOT NULL AND t.approved_by <> 0
   AND NOT EXISTS (SELECT 1 FROM service_vouchers v WHERE v.ticket_id = t.id)
 """)
 def voucher_candidates(spark, sf_dir):
     v = views(spark, sf_dir)
-    return CH.voucher_candidates(v.tickets, v.products, v.service_vouchers, TICKET_NOW)
+    return CH.voucher_candidates(v.tickets, v.products, v.service_vouchers, TICKET_NOW, salt="voucher")
 
 
-@query("issue_vouchers")
+@query("issue_vouchers", f"""
+, c AS (SELECT t.id AS ticket_id, t.customer_name, t.customer_hp, p.nama_produk AS product_name, p.tipe AS product_type,
+       t.serial_number, t.keluhan, t.management_decision AS decision, 'active' AS status,
+       sha256('voucher' || CAST(t.id AS VARCHAR)) AS qr_token,
+       strftime(CAST(TIMESTAMP '{TICKET_NOW}' - INTERVAL 7 HOUR AS DATE) + 30, '%Y-%m-%d') AS expired_at,
+       (SELECT COALESCE(max(id), 0) FROM service_vouchers) + row_number() OVER (ORDER BY t.id) AS id
+FROM tickets t LEFT JOIN products p ON t.product_id = p.id
+WHERE t.approved_by IS NOT NULL AND t.approved_by <> 0
+  AND NOT EXISTS (SELECT 1 FROM service_vouchers v WHERE v.ticket_id = t.id))
+SELECT c.*, CAST(1 AS BIGINT) AS created_by, strftime(TIMESTAMP '{TICKET_NOW}', '%Y-%m-%d %H:%M:%S') AS created_at,
+       'BRC-' || to_base(CAST(epoch(TIMESTAMP '{TICKET_NOW}') * 1000 AS BIGINT), 36) || '-' || to_base(id, 36, 6) AS voucher_no
+FROM c
+""")
 def issue_vouchers(spark, sf_dir):
-    """I13 + H25 new vouchers with numbers (the base-36 number has no DuckDB
-    counterpart; ``voucher_candidates`` carries the oracle for the rest)."""
+    """I13 + H25 new vouchers with numbers."""
     v = views(spark, sf_dir)
-    return CH.issue_vouchers(v.tickets, v.products, v.service_vouchers, TICKET_NOW)
+    return CH.issue_vouchers(v.tickets, v.products, v.service_vouchers, TICKET_NOW, salt="voucher")
 
 
 @query("product_upsert", """

@@ -67,18 +67,3 @@ def snapshot_restore_check(spark, sf_dir):
     root = IO.snapshot_export(tables)
     expected = {t: df.schema for t, df in tables.items()}
     return IO.snapshot_restore_check(spark, root, expected)
-
-
-@query("file_inventory_size")
-def file_inventory_size(spark, sf_dir):
-    """A8 byte total of the table files (file-system listing: no SQL oracle;
-    pytest compares with ``os.stat``)."""
-    return IO.file_inventory_size(IO.file_inventory(spark, sf_dir, "*.parquet"))
-
-
-@query("file_accept")
-def file_accept(spark, sf_dir):
-    """A9 upload acceptance over the file inventory of the table folder."""
-    return IO.file_accept(IO.file_inventory(spark, sf_dir)).select("name", "mime", "bytes", "accepted", "reason")
-
-

@@ -7,6 +7,7 @@ settings. ``get_spark`` is for tests, the bench and local runs.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,11 +40,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and written intermediates.
 
     The cluster names it in ``spark.checkpoint.dir``; we read it from the
-    session and only fall back to a fresh scratch folder when it is unset
-    (local tests).
+    session. Where it is unset, only a single-machine session (tests, bench) gets a fresh
+    scratch folder; on a cluster a local folder would lose data, so that is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="helpdeck-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -31,12 +31,20 @@ WATERMARK = "15 minutes"
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
-    """A table folder as a file stream (new Parquet files become new micro-batches)."""
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    """A table as a file stream, be it one file or a folder of parts (new Parquet files become new micro-batches)."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    if is_folder(spark, path):
+        return r.parquet(path)
+    return r.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a table is a folder of parts: then its files lie below its own path."""
+    files = spark.read.parquet(path).inputFiles()
+    return not files or any(not f.rstrip("/").endswith("/" + path.rstrip("/").rsplit("/", 1)[-1]) for f in files)
 
 
 # ------------------------------------------------------------------ transformations (batch or stream)
@@ -100,6 +108,7 @@ def run_update_stream(spark: SparkSession, agg: DataFrame, keys: list[str], name
     q.awaitTermination()
     cols = [c for c in agg.columns if c not in keys]
     schema = T.StructType(list(agg.schema.fields) + [T.StructField("_batch", T.LongType())])
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{data}/batch_none")  # so an empty source has a result
     written = spark.read.schema(schema).parquet(f"{data}/*")
     last = F.max_by(F.struct(*cols), F.col("_batch"))
     return written.groupBy(*keys).agg(last.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
