@@ -155,10 +155,14 @@ def apply_quality(docs: DataFrame, host_col: str = "source", text_col: str = "te
     Columns stay those of ``docs``; ``n_chars``, where there is one, is counted
     anew for the rows whose text changed.
     """
-    good = base_counts(docs).where(~F.col("base_failed")).select(*[F.col(f"`{c}`") for c in docs.columns],
-                                                                *row_key("doc_id", host_col, text_col))
+    # the flags are aggregated by key, so the filter stays above the counts instead of repeating their expressions
+    slim = base_counts(docs.select("doc_id", F.col(host_col).alias("host"), F.col(text_col).alias("text")))
+    flags = (slim.select(*row_key("doc_id", "host", "text"), "base_failed").groupBy("k1", "k2")
+             .agg(F.max("base_failed").alias("_failed")))
     verdict = line_verdicts(docs, host_col, text_col, **limits).select("k1", "k2", "removed_lines", "depleted")
-    joined = good.join(verdict, ["k1", "k2"], "left").where(~F.coalesce(F.col("depleted"), F.lit(False)))
+    verdict = flags.join(verdict, ["k1", "k2"], "left").where(~F.col("_failed") & ~F.coalesce(F.col("depleted"), F.lit(False)))
+    rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *row_key("doc_id", host_col, text_col))
+    joined = rows.join(verdict.select("k1", "k2", "removed_lines"), ["k1", "k2"])
     left = F.concat_ws("\n", F.filter(F.split(F.col(text_col), "\n", -1),
                                       lambda x: ~F.array_contains("removed_lines", F.xxhash64(line_key(x)))))
     changed = F.col("removed_lines").isNotNull()
