@@ -1,5 +1,7 @@
 """Change application: transitions, imports, numbering, deletes, vouchers, constraints."""
 
+from pyspark.sql import functions as F
+
 from helpdeck import schemas as S
 from helpdeck.operators import changes as CH
 from helpdeck.operators import quality as Q
@@ -68,10 +70,10 @@ def test_product_import(spark):
     counts = CH.product_import_counts(sheet).first()
     assert (counts.imported, counts.skipped) == (4, 1)
     got = {r.kode_barang: (r.id, r.nama_produk, r.tipe, r.garansi_bulan)
-           for r in CH.product_import(p, sheet).collect()}
+           for r in CH.product_import(p, sheet, NOW).collect()}
     assert got == {"A1": (5, "Second", "y", 3), "C3": (6, "Upper Name", "w", 0), "B2": (7, "Named", "v", 0)}
-    once = CH.product_import(p, sheet)
-    twice = CH.product_import(once, sheet)
+    once = CH.product_import(p, sheet, NOW)
+    twice = CH.product_import(once, sheet, NOW)
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
 
 
@@ -112,24 +114,63 @@ def test_cascade_contains_semantics(spark):
 def test_guarded_user_delete_keeps_last_admin(spark):
     u = S.rows(spark, S.USERS, [{"id": 1, "role": "admin"}, {"id": 2, "role": "admin"}, {"id": 3, "role": "cs"},
                                 {"id": 4, "role": "guest"}])
-    req = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (4, 3), (5, 4), (6, 42)], "seq long, user_id long")
+    req = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (4, 3), (5, 4), (6, 42), (7, 1), (8, 4)], "seq long, user_id long")
     got = {r.seq: (r.deleted, r.reason) for r in CH.guarded_user_delete(u, req).collect()}
     assert got == {1: (True, "deleted"), 2: (False, "cannot_delete_last_admin"), 3: (True, "deleted"),
-                   4: (False, "user_not_found"), 5: (False, "invalid_role"), 6: (False, "user_not_found")}
+                   4: (False, "user_not_found"), 5: (False, "invalid_role"), 6: (False, "user_not_found"),
+                   7: (False, "cannot_delete_last_admin"), 8: (False, "invalid_role")}
 
 
 def test_voucher_candidates(spark):
     t = S.rows(spark, S.TICKETS, [_ticket(id=1, approved_by=3), _ticket(id=2, approved_by=3), _ticket(id=3)])
     v = S.rows(spark, S.SERVICE_VOUCHERS, [{"id": 1, "ticket_id": 2}])
     p = S.rows(spark, S.PRODUCTS, [])
-    got = CH.voucher_candidates(t, p, v, NOW).collect()
+    got = CH.voucher_candidates(t, p, v, NOW, "s").collect()
     assert [(r.ticket_id, r.expired_at) for r in got] == [(1, "2024-05-31")]
-    given = CH.voucher_candidates(t, p, v, NOW, given_expiry="2030-01-01").first()
+    given = CH.voucher_candidates(t, p, v, NOW, "s", given_expiry="2030-01-01").first()
     assert given.expired_at == "2030-01-01"
-    issued = CH.issue_vouchers(t, p, v, NOW).first()
+    issued = CH.issue_vouchers(t, p, v, NOW, "s").first()
     assert issued.voucher_no.startswith("BRC-") and issued.id == 2 and len(issued.qr_token) == 64
 
 
+def test_first_inserts_later_update(spark):
+    """Repeated requests for a new key: author, time and id order of the first, values of the last."""
+    r = spark.createDataFrame(
+        [(1, 7, 5, "2024-05-01", "09:00", "a", 100, "t1"), (2, 8, 5, "2024-05-02", "10:00", "b", 101, "t2"),
+         (3, 7, 6, "2024-05-03", " ", "c", 200, "t3"), (4, 9, 6, "2024-05-03", "", "c", 200, "t3")],
+        "seq long, ticket_id long, teknisi_id long, tanggal string, jam string, notes string, user_id long, ts string")
+    got = {x.ticket_id: x for x in CH.schedule_upsert(S.rows(spark, S.SCHEDULES, []), r).collect()}
+    assert set(got) == {7, 8} and (got[7].id, got[8].id) == (1, 2)
+    assert (got[7].created_by, got[7].created_at, got[7].teknisi_id, got[7].jam) == (100, "t1", 6, " ")
+    v = spark.createDataFrame([(1, 7, 5, "f1", "s", "p", "", "09:00"), (2, 7, 6, " ", None, None, None, "10:00"), (3, 8, 5, "", "", "", "", "")],
+                              "seq long, ticket_id long, teknisi_id long, findings string, solusi string, sparepart string, "
+                              "tanggal_selesai string, jam string")
+    rows = CH.visit_upsert(S.rows(spark, S.VISIT_RESULTS, []), v, NOW).collect()
+    assert [(x.ticket_id, x.teknisi_id, x.hasil_pemeriksaan, x.jam) for x in rows] == [(7, 5, "", "10:00")]
+    sheet = spark.createDataFrame([(1, "X2", "a"), (2, "X1", "b"), (3, "X2", "c")], "row_no long, kode_barang string, nama_produk string")
+    p = {x.kode_barang: x for x in CH.product_import(S.rows(spark, S.PRODUCTS, []), sheet.withColumnRenamed("nama_produk", "Nama Produk"), NOW).collect()}
+    assert (p["X2"].id, p["X1"].id, p["X2"].nama_produk) == (1, 2, "c") and p["X1"].created_at is not None
+
+
+def test_keeps_last_photo_given(spark):
+    r = spark.createDataFrame([(1, 7, 5, "f", "/p1"), (2, 7, 5, "g", None)], "seq long, ticket_id long, teknisi_id long, findings string, foto_sebelum_path string")
+    r = r.selectExpr("*", "'' AS solusi", "'' AS sparepart", "'' AS tanggal_selesai", "'1' AS jam")
+    visits = S.rows(spark, S.VISIT_RESULTS, []).selectExpr("*", "CAST(NULL AS string) AS foto_sebelum_path")
+    got = CH.visit_upsert(visits, r, NOW).first()
+    assert (got.foto_sebelum_path, got.hasil_pemeriksaan) == ("/p1", "g")
+
+
+def test_voucher_numbers_do_not_repeat(spark):
+    n = spark.range(1, 400_001).select(CH.voucher_number(F.col("id"), NOW).alias("v"))
+    assert n.distinct().count() == 400_000
+
+
+def test_unchanged_tickets_keep_a_null_counter(spark):
+    t = S.rows(spark, S.TICKETS, [_ticket(id=1, follow_up_count=None)])
+    ch = S.rows(spark, S.CHANGES, [])
+    assert CH.apply_transitions(t, ch).first().follow_up_count is None
+
+
 def test_constraint_report(spark):
     tables = {
         "users": S.rows(spark, S.USERS, [{"id": 1, "username": "a", "role": "admin"},

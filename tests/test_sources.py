@@ -21,7 +21,7 @@ def test_csv_sheet_import(spark, tmp_path):
     c = CH.product_import_counts(sheet).first()
     assert (c.imported, c.skipped) == (2, 1)
     products = S.rows(spark, S.PRODUCTS, [{"id": 3, "kode_barang": "A1", "nama_produk": "old", "garansi_bulan": 6}])
-    got = [tuple(r) for r in CH.product_import(products, sheet).select("id", "nama_produk", "tipe", "garansi_bulan")
+    got = [tuple(r) for r in CH.product_import(products, sheet, "2024-01-31 20:30:00").select("id", "nama_produk", "tipe", "garansi_bulan")
            .collect()]
     assert got == [(3, "Kipas Baru", "Y", 0)]
 
