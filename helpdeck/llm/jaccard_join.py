@@ -370,6 +370,7 @@ def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, sample_docs: int =
             .repartition(width, "bucket").sortWithinPartitions("bucket")
             .mapInArrow(_neighbourhoods, "leader bigint, id bigint"))
     near = written(near.distinct(), "neighbourhoods")
+    marks.destroy()  # what follows reads the written neighbourhoods
     # rows with equal contents are one set: that of the least row
     rep = sizes.where("n > 0").select("seq", F.struct("content", "n").alias("_c"))
     rep = rep.join(rep.groupBy("_c").agg(F.min("seq").alias("rep")), "_c").select("seq", "rep")

@@ -131,7 +131,8 @@ def train(texts: list[str], labels: list[str], bits: int = 15, dim: int = 16, ep
         passages, of = _snippets([texts[i] for i in back], rng, per_text, longest)
         passages += [texts[i] for i in back]
         truth = y_all[back[np.array(of + list(range(len(back))), np.int64)]]
-        z = np.log(np.maximum(model.probabilities(passages), 1e-300))
+        blocks = [model.probabilities(passages[i:i + 128]) for i in range(0, len(passages), 128)]  # bounds the driver's memory
+        z = np.log(np.maximum(np.concatenate(blocks), 1e-300))
 
         def loss(t: float) -> float:
             return -float(np.mean(np.log(np.maximum(_softmax(z / t)[np.arange(len(truth)), truth], 1e-12))))
