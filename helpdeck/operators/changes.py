@@ -329,7 +329,7 @@ def ticket_numbers(existing: DataFrame, requests: DataFrame, order: list) -> Dat
     base = last.select("year", F.coalesce(F.split_part("_last_no", F.lit("-"), F.lit(3)).try_cast("long"),
                                           F.lit(0)).alias("_base"))
     numbered = sequence_numbers(requests, order, partition=["year"], name="_n")
-    out = numbered.join(F.broadcast(base), "year", "left")
+    out = numbered.join(base, "year", "left")
     num = F.coalesce(F.col("_base"), F.lit(0)) + F.col("_n")
     return out.withColumn("ticket_no", F.concat(F.lit("SC-"), F.col("year").cast("string"), F.lit("-"),
                                                 zero_pad(num, 6))).drop("_base", "_n")

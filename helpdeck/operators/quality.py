@@ -3,8 +3,9 @@
 The reference declares UNIQUE / NOT NULL in DDL, checks role/decision lists
 in code and enforces no foreign keys. Here every rule is a count over a
 whole table: enumerations and NOT NULLs of one table share one aggregate
-(one scan), duplicate keys are a grouped count (partial aggregation), and
-orphan keys are left-anti joins against the distinct parent keys.
+(one scan), the unique keys of a table share one grouped count of (rule, key)
+pairs, and all children of a parent share one left-anti join, after their
+keys have been counted.
 """
 
 from __future__ import annotations
@@ -21,53 +22,73 @@ UNIQUE_KEYS = [("users", "id"), ("users", "username"), ("products", "id"), ("pro
                ("service_vouchers", "qr_token"), ("settings", "key")]
 NOT_NULL = [("schedules", "ticket_id"), ("schedules", "teknisi_id"), ("visit_results", "ticket_id"),
             ("visit_results", "teknisi_id"), ("notifications", "message"), ("users", "username"),
-            ("products", "kode_barang"), ("tickets", "ticket_no")]
+            ("products", "kode_barang"), ("tickets", "ticket_no"),
+            ("users", "name"), ("users", "role"), ("products", "nama_produk"), ("activity_log", "action"),
+            ("debug_logs", "type"), ("approval_logs", "ticket_id"), ("approval_logs", "action"),
+            ("service_vouchers", "voucher_no"), ("service_vouchers", "ticket_id"),
+            ("service_vouchers", "customer_name"), ("service_vouchers", "qr_token"), ("settings", "value")]
 IN_LIST = [("users", "role", ROLES, False), ("tickets", "status", STATUSES, False),
            ("tickets", "management_decision", DECISIONS, True), ("visit_results", "solusi", SOLUSI, True)]
 ORPHANS = [("tickets", "product_id", "products", "id"), ("tickets", "created_by", "users", "id"),
            ("schedules", "ticket_id", "tickets", "id"), ("schedules", "teknisi_id", "users", "id"),
            ("visit_results", "ticket_id", "tickets", "id"), ("activity_log", "ticket_id", "tickets", "id"),
            ("approval_logs", "ticket_id", "tickets", "id"), ("notifications", "user_id", "users", "id"),
-           ("service_vouchers", "ticket_id", "tickets", "id")]
+           ("service_vouchers", "ticket_id", "tickets", "id"), ("tickets", "approved_by", "users", "id"),
+           ("tickets", "closed_by", "users", "id"), ("visit_results", "teknisi_id", "users", "id"),
+           ("activity_log", "user_id", "users", "id"), ("approval_logs", "user_id", "users", "id")]
 
 
-def _row(table: str, rule: str, n: Column) -> list:
-    return [F.lit(table).alias("table_name"), F.lit(rule).alias("rule"), n.cast("long").alias("violations")]
+def _keys(df: DataFrame, table: str, keys: list[tuple[str, str]]) -> DataFrame:
+    """``table_name, rule, k``: one row per row of ``df`` and (rule, column) pair with a value (one scan)."""
+    pairs = F.array(*[F.struct(F.lit(rule).alias("rule"), F.col(c).cast("string").alias("k")) for rule, c in keys])
+    return (df.select(F.explode(pairs).alias("_x")).where(F.col("_x.k").isNotNull())
+            .select(F.lit(table).alias("table_name"), "_x.rule", "_x.k"))
 
 
-def duplicate_rows(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose (non-NULL) key value occurs more than once."""
-    return (df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") > 1).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_v")))
+def _counted(keys: DataFrame) -> DataFrame:
+    return keys.groupBy("table_name", "rule", "k").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _by_table(rules: list[tuple]) -> dict[str, list[tuple]]:
+    out: dict[str, list[tuple]] = {}
+    for t, *rest in rules:
+        out.setdefault(t, []).append(tuple(rest))
+    return out
 
 
 def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
-    parts: list[DataFrame] = []
-    for t, key in UNIQUE_KEYS:
+    """``table_name, rule, violations`` for every rule whose tables are given (0 where it holds).
+
+    A unique rule counts the rows of a value that occurs more than once; null
+    values break neither it nor an orphan rule.
+    """
+    found: list[DataFrame] = []
+    names: list[tuple[str, str]] = []
+    for t, keys in _by_table(UNIQUE_KEYS).items():
         if t in tables:
-            parts.append(duplicate_rows(tables[t], key).select(*_row(t, f"unique:{key}", F.col("_v"))))
-    # NOT NULL and enumeration rules: one aggregate per table
-    per_table: dict[str, list] = {}
-    for t, c in NOT_NULL:
-        per_table.setdefault(t, []).append((f"not_null:{c}", F.count_if(F.col(c).isNull())))
+            rules = [(f"unique:{k}", k) for k, in keys]
+            names += [(t, rule) for rule, _ in rules]
+            found.append(_counted(_keys(tables[t], t, rules)).where("n > 1"))
+    checks: list[tuple] = [(t, f"not_null:{c}", F.col(c).isNull()) for t, c in NOT_NULL]
     for t, c, values, nullable in IN_LIST:
-        bad = ~F.coalesce(F.col(c).isin(*values), F.lit(False))
-        if nullable:
-            bad = F.col(c).isNotNull() & bad
-        per_table.setdefault(t, []).append((f"in_list:{c}", F.count_if(bad)))
-    for t, rules in per_table.items():
-        if t not in tables:
+        bad: Column = ~F.coalesce(F.col(c).isin(*values), F.lit(False))
+        checks.append((t, f"in_list:{c}", F.col(c).isNotNull() & bad if nullable else bad))
+    for t, rules in _by_table(checks).items():
+        if t in tables:
+            names += [(t, rule) for rule, _ in rules]
+            one = tables[t].agg(F.array(*[F.struct(F.lit(rule).alias("rule"), F.count_if(bad).alias("n"))
+                                          for rule, bad in rules]).alias("_a"))
+            found.append(one.select(F.explode("_a").alias("_x"))
+                         .select(F.lit(t).alias("table_name"), "_x.rule", F.lit(None).cast("string").alias("k"), "_x.n"))
+    for parent in sorted({r[2] for r in ORPHANS} & set(tables)):
+        rules = [(child, f"orphan:{fk}->{parent}", fk) for child, fk, up, _ in ORPHANS if up == parent and child in tables]
+        if not rules:
             continue
-        agg = tables[t].agg(*[expr.alias(f"_r{i}") for i, (_, expr) in enumerate(rules)])
-        stacked = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"_r{i}").alias("v"))
-                                      for i, (name, _) in enumerate(rules)]))
-        parts.append(agg.select(stacked.alias("s")).select(*_row(t, "", F.lit(0))[:1],
-                                                            F.col("s.rule").alias("rule"),
-                                                            F.col("s.v").cast("long").alias("violations")))
-    for child, fk, parent, pk in ORPHANS:
-        if child in tables and parent in tables:
-            keys = tables[parent].select(F.col(pk).alias(fk)).distinct()
-            n = (tables[child].filter(F.col(fk).isNotNull()).join(keys, fk, "left_anti")
-                 .agg(F.count(F.lit(1)).alias("_v")))
-            parts.append(n.select(*_row(child, f"orphan:{fk}->{parent}", F.col("_v"))))
-    return reduce(DataFrame.unionByName, parts)
+        names += [(child, rule) for child, rule, _ in rules]
+        used = reduce(DataFrame.unionByName, [_keys(tables[c], c, own) for c, own in _by_table(rules).items()])
+        known = tables[parent].select(F.col("id").cast("string").alias("k"))
+        found.append(_counted(used).join(known, "k", "left_anti").select("table_name", "rule", "k", "n"))
+    total = (reduce(DataFrame.unionByName, found).groupBy("table_name", "rule").agg(F.sum("n").alias("_n")))
+    listed = next(iter(tables.values())).sparkSession.createDataFrame(names, "table_name string, rule string")
+    return listed.join(total, ["table_name", "rule"], "left").select(
+        "table_name", "rule", F.coalesce("_n", F.lit(0)).cast("long").alias("violations"))

@@ -64,7 +64,7 @@ def completed_this_month(tickets: DataFrame, now: str, same_year: bool = False)
     txt = F.date_format(now_ts(now), "yyyy-MM-dd HH:mm:ss")
     cond = (F.col("status") == "completed") & (F.substring("created_at", 6, 2) == F.substring(txt, 6, 2))
     if same_year:
-        cond = cond & (F.substring("created_at", 1, 4) == F.substring(txt, 1, 4))
+        cond = cond & (F.col("created_at").startswith(F.substring(txt, 1, 4)))
     return tickets.filter(cond).agg(F.count(F.lit(1)).alias("completed_this_month"))
 
 
@@ -162,7 +162,7 @@ def technician_stats(schedules: DataFrame, visits: DataFrame, now: str) -> DataF
 def monthly_stats(tickets: DataFrame, now: str) -> DataFrame:
     """D11 per month of the clock's year: total and completed; empty months absent."""
     year = F.date_format(now_ts(now), "yyyy")
-    return (tickets.filter(F.substring("created_at", 1, 4) == year)
+    return (tickets.filter(F.col("created_at").startswith(year))
             .groupBy(F.substring("created_at", 6, 2).alias("bulan"))
             .agg(F.count(F.lit(1)).alias("total"),
                  F.sum(F.when(F.col("status") == "completed", 1).otherwise(0)).cast("long").alias("selesai"))

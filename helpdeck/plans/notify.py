@@ -45,6 +45,19 @@ def notification_inbox(spark, sf_dir):
     return N.notification_inbox(v.notifications, v.users, k=10)
 
 
+@query("user_notifications", """
+, addressed AS (SELECT u.id AS viewer_id, n.id AS nid FROM users u JOIN notifications n ON n.user_id = u.id
+                UNION SELECT u.id, n.id FROM users u JOIN notifications n ON n.role = u.role),
+ranked AS (SELECT viewer_id, id, message, link, is_read, created_at,
+    row_number() OVER (PARTITION BY viewer_id ORDER BY is_read, created_at DESC, id DESC)::INTEGER AS rank
+  FROM addressed JOIN notifications ON id = nid)
+SELECT * FROM ranked WHERE rank <= 50
+""")
+def user_notifications(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return N.user_notifications(v.notifications, v.users, k=50)
+
+
 @query("role_inbox", """
 SELECT * FROM notifications WHERE role = 'management'
 ORDER BY is_read ASC, created_at DESC, id DESC LIMIT 50

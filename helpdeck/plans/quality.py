@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from helpdeck.functions.labels import DECISIONS, ROLES, SOLUSI, STATUSES
 from helpdeck.operators import quality as Q
 from helpdeck.plans.catalog import query, views
 from helpdeck.sources import io as IO
@@ -18,23 +19,36 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+#: The tables' declarations, stated apart from the operator's lists.
+_DECLARED_UNIQUE = {"users": "id username", "products": "id kode_barang", "tickets": "id ticket_no",
+                    "service_vouchers": "voucher_no qr_token", "settings": "key"}
+_DECLARED_NOT_NULL = {
+    "users": "username name role", "products": "kode_barang nama_produk", "tickets": "ticket_no",
+    "schedules": "ticket_id teknisi_id", "visit_results": "ticket_id teknisi_id", "notifications": "message",
+    "activity_log": "action", "debug_logs": "type", "approval_logs": "ticket_id action",
+    "service_vouchers": "voucher_no ticket_id customer_name qr_token", "settings": "value"}
+_REFERS = {
+    "tickets": {"schedules": "ticket_id", "visit_results": "ticket_id", "activity_log": "ticket_id",
+                "approval_logs": "ticket_id", "service_vouchers": "ticket_id"},
+    "users": {"tickets": "created_by approved_by closed_by", "schedules": "teknisi_id", "visit_results": "teknisi_id",
+              "activity_log": "user_id", "approval_logs": "user_id", "notifications": "user_id"},
+    "products": {"tickets": "product_id"}}
+
+
 def _constraint_sql() -> str:
     parts = []
-    for t, key in Q.UNIQUE_KEYS:
-        parts.append(f"SELECT {_q(t)} AS table_name, {_q('unique:' + key)} AS rule, "
-                     f"CAST(COALESCE(sum(n), 0) AS BIGINT) AS violations FROM "
-                     f"(SELECT count(*) AS n FROM {t} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(*) > 1)")
-    for t, c in Q.NOT_NULL:
-        parts.append(f"SELECT {_q(t)}, {_q('not_null:' + c)}, CAST(count_if({c} IS NULL) AS BIGINT) FROM {t}")
-    for t, c, values, nullable in Q.IN_LIST:
-        lst = ", ".join(_q(x) for x in values)
-        bad = f"NOT COALESCE({c} IN ({lst}), false)"
-        if nullable:
-            bad = f"{c} IS NOT NULL AND {bad}"
-        parts.append(f"SELECT {_q(t)}, {_q('in_list:' + c)}, CAST(count_if({bad}) AS BIGINT) FROM {t}")
-    for child, fk, parent, pk in Q.ORPHANS:
-        parts.append(f"SELECT {_q(child)}, {_q(f'orphan:{fk}->{parent}')}, count(*) FROM {child} c "
-                     f"WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pk} = c.{fk})")
+    for t, cols in _DECLARED_UNIQUE.items():
+        parts += [f"SELECT {_q(t)} AS table_name, {_q('unique:' + c)} AS rule, (SELECT count(*) FROM {t} WHERE {c} IN "
+                  f"(SELECT {c} FROM {t} GROUP BY {c} HAVING count({c}) >= 2)) AS violations" for c in cols.split()]
+    for t, cols in _DECLARED_NOT_NULL.items():
+        parts += [f"SELECT {_q(t)}, {_q('not_null:' + c)}, count(*) - count({c}) FROM {t}" for c in cols.split()]
+    for t, c, values, null_breaks in (("users", "role", ROLES, 1), ("tickets", "status", STATUSES, 1),
+                                      ("tickets", "management_decision", DECISIONS, 0), ("visit_results", "solusi", SOLUSI, 0)):
+        good = f"count(*) FILTER ({c} IN ({', '.join(map(_q, values))}))"
+        parts.append(f"SELECT {_q(t)}, {_q('in_list:' + c)}, count({'*' if null_breaks else c}) - {good} FROM {t}")
+    for parent, children in _REFERS.items():
+        parts += [f"SELECT {_q(t)}, {_q(f'orphan:{c}->{parent}')}, count(*) FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN "
+                  f"(SELECT id FROM {parent} WHERE id IS NOT NULL)" for t, cols in children.items() for c in cols.split()]
     return "\n" + "\nUNION ALL\n".join(parts) + "\n"
 
 
