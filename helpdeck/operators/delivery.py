@@ -1,49 +1,34 @@
 """Message delivery log analytics and the
 failed-login limiter in batch (2.10 J2, exact form).
 
-A delivery log row is one send attempt: (id, ts, address, ok). The sender
-retries a message up to three times and stops at the first success, so in a
-per-address log a *message* is a run of attempts that ends at a success or
-after the third attempt. Runs are recovered with ``reset_scan`` (success =
-reset), which never puts a whole address in one task.
+A delivery log row is one send attempt: (id, ts, address, message, ok). A
+*message* is its phone plus its text: sends run at the same time, so attempts
+of several messages to one phone interleave in the log. The phone is compared
+as the sender dials it (``normalize_phone``; the raw text where that is NULL).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helpdeck.functions.dates import epoch_seconds, epoch_text
 from helpdeck.functions.text import normalize_phone
 from helpdeck.operators.sequence import hour_bucket, reset_scan
 
-MAX_ATTEMPTS = 3          # fixed value: attempts per message
 MAX_FAILED_LIST = 50      # fixed value: failed-message list length
 LIMIT_FAILURES = 10       # fixed value: failed logins per period
 LIMIT_PERIOD_SECONDS = 15 * 60  # fixed value: limiter period
 
 
-def attempt_messages(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS,
-                     bucket_seconds: int = 3600) -> DataFrame:
-    """Tag each attempt with its message: (address, run, chunk) and attempt number."""
-    scanned = reset_scan(attempts, ["address"], ["ts", "id"], F.col("ok") == 1,
-                         hour_bucket(F.col("ts"), bucket_seconds))
-    return (scanned.withColumn("run", F.col("resets_before"))
-            .withColumn("chunk", F.floor(F.col("before") / max_attempts).cast("long"))
-            .withColumn("attempt_no", (F.col("before") % max_attempts + 1).cast("int"))
-            .drop("before", "resets_before"))
-
-
-def delivery_outcome(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """E7 one row per message: attempts used (at most ``max_attempts``),
-    first/last attempt time and whether any attempt succeeded."""
-    m = attempt_messages(attempts, max_attempts)
-    return (m.groupBy("address", "run", "chunk")
-            .agg(F.count(F.lit(1)).alias("attempts"), F.min("ts").alias("first_ts"),
-                 F.max("ts").alias("last_ts"), (F.max("ok") == 1).alias("delivered"))
-            .withColumn("first_at", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss"))
-            .withColumn("last_at", F.date_format("last_ts", "yyyy-MM-dd HH:mm:ss"))
-            .drop("first_ts", "last_ts"))
+def delivery_outcome(attempts: DataFrame) -> DataFrame:
+    """E7 one row per message (address, message): attempts made, first/last
+    attempt time and whether any attempt succeeded. A partial aggregate: a
+    message with a third of the log moves one row per map task."""
+    return (normalized_address(attempts).groupBy("address", "message")
+            .agg(F.count(F.lit(1)).alias("attempts"), (F.max("ok") == 1).alias("delivered"),
+                 F.date_format(F.min("ts"), "yyyy-MM-dd HH:mm:ss").alias("first_at"),
+                 F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("last_at")))
 
 
 def delivery_summary(outcomes: DataFrame) -> DataFrame:
@@ -54,25 +39,45 @@ def delivery_summary(outcomes: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("total")))
 
 
-def dead_letter(outcomes: DataFrame, k: int = MAX_FAILED_LIST, normalize: bool = False) -> DataFrame:
-    """E5 failed messages still on the failed list, newest first, top ``k``.
+def failed_entries(attempts: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """Failed attempts whose entry is still on the failed list, as (id, ts, address, message).
 
-    An entry leaves the list once a later message to the same address is
-    delivered. The latest success per address is a partial aggregate, so the
-    join sees one row per address. With ``normalize`` the address is keyed as
-    the list stores it - the normalised phone, or the raw text when it does
-    not normalise - on both sides (the reference compares the raw phone on
-    removal; documented difference).
+    Every failed attempt adds an entry of its phone and text (a phone that does
+    not normalise adds none); a success takes the newest such entry away, if
+    there is one. With +1 for a failure and -1 for a success, an entry stays
+    exactly when the running sum of its message never falls below the entry's
+    own height afterwards. A message's log is cut into time buckets: sums and
+    lowest points are taken within a bucket, then over one row per bucket, so
+    no task holds a whole message.
+    """
+    keys = ["address", "message"]
+    kb = keys + ["_b"]
+    d = (normalized_address(attempts.filter(normalize_phone(F.col("address").cast("string")).isNotNull()))
+         .select("id", "ts", *keys, F.when(F.col("ok") == 1, -1).otherwise(1).alias("_d"),
+                 hour_bucket(F.col("ts"), bucket_seconds).alias("_b")))
+    w = Window.partitionBy(*kb).orderBy("ts", "id")
+    d = (d.withColumn("_h", F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+         .withColumn("_low", F.min("_h").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
+    wb = Window.partitionBy(*keys).orderBy("_b")
+    buckets = (d.groupBy(*kb).agg(F.sum("_d").alias("_sum"), F.min("_h").alias("_min"))
+               .withColumn("_carry", F.sum("_sum").over(wb.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+                           - F.col("_sum"))
+               .withColumn("_later", F.min(F.col("_carry") + F.col("_min")).over(
+                   wb.rowsBetween(1, Window.unboundedFollowing)))
+               .select(*kb, "_carry", "_later"))
+    return (d.filter((F.col("_d") == 1) & (F.col("_low") >= F.col("_h"))).join(buckets, kb)
+            .filter(F.col("_later").isNull() | (F.col("_later") >= F.col("_carry") + F.col("_h")))
+            .select("id", "ts", *keys))
+
+
+def dead_letter(attempts: DataFrame, k: int = MAX_FAILED_LIST) -> DataFrame:
+    """E5 the failed list: the newest ``k`` entries that no later success took away, newest first.
+
+    Removal compares normalised phones on both sides (the reference compares the raw phone; documented
+    difference). The cut to ``k`` is made on the final list, not replayed after every attempt.
     """
-    if normalize:
-        outcomes = normalized_address(outcomes)
-    last_ok = (outcomes.filter(F.col("delivered")).groupBy("address")
-               .agg(F.max("last_at").alias("_last_ok")))
-    failed = outcomes.filter(~F.col("delivered"))
-    return (failed.join(last_ok, "address", "left")
-            .filter(F.col("_last_ok").isNull() | (F.col("_last_ok") < F.col("last_at")))
-            .drop("_last_ok")
-            .orderBy(F.desc("last_at"), F.desc("address"), F.desc("run"), F.desc("chunk")).limit(k))
+    return (failed_entries(attempts).orderBy(F.desc("ts"), F.desc("id")).limit(k)
+            .select("id", "address", "message", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("failed_at")))
 
 
 def normalized_address(df: DataFrame, col: str = "address") -> DataFrame:

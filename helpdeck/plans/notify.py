@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from helpdeck.operators import delivery as D
 from helpdeck.operators import notify as N
 from helpdeck.plans.catalog import query, views
+from helpdeck.plans.oracle_views import sql_changes
 from helpdeck.sources.fixtures import EVENT_NOW
 
 EV_NOW_SQL = f"TIMESTAMP '{EVENT_NOW}'"
@@ -131,21 +132,23 @@ def retention_purge_manual(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ delivery
-_OUTCOME = f"""
-, da AS (SELECT *, COALESCE(sum(ok) OVER (PARTITION BY address ORDER BY ts, id
-                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
-         FROM attempts),
-db AS (SELECT *, row_number() OVER (PARTITION BY address, run ORDER BY ts, id) - 1 AS pos FROM da),
-outcome AS (
-  SELECT address, CAST(run AS BIGINT) AS run, CAST(pos // 3 AS BIGINT) AS chunk, count(*) AS attempts,
-         max(ok) = 1 AS delivered, strftime(min(ts), {TS}) AS first_at, strftime(max(ts), {TS}) AS last_at
-  FROM db GROUP BY address, run, pos // 3)
+_DIALLED = """
+, digits AS (SELECT *, regexp_replace(address, '[^0-9]', '', 'g') AS dg FROM deliveries),
+dialled AS (SELECT id, ts, message, ok, dg LIKE '0%' OR dg LIKE '62%' AS is_phone,
+              CASE WHEN dg LIKE '0%' THEN '62' || substr(dg, 2) WHEN dg LIKE '62%' THEN dg ELSE address END AS address
+            FROM digits)
+"""
+_OUTCOME = _DIALLED + f"""
+, outcome AS (
+  SELECT address, message, count(*) AS attempts, count_if(ok = 1) > 0 AS delivered,
+         strftime(min(ts), {TS}) AS first_at, strftime(max(ts), {TS}) AS last_at
+  FROM dialled GROUP BY address, message)
 """
 
 
 @query("delivery_outcome", _OUTCOME + "SELECT * FROM outcome")
 def delivery_outcome(spark, sf_dir):
-    return D.delivery_outcome(views(spark, sf_dir).attempts)
+    return D.delivery_outcome(views(spark, sf_dir).deliveries)
 
 
 @query("delivery_summary", _OUTCOME + """
@@ -154,17 +157,23 @@ SELECT substr(first_at, 1, 10) AS day, CAST(count_if(delivered) AS BIGINT) AS ok
 FROM outcome GROUP BY substr(first_at, 1, 10)
 """)
 def delivery_summary(spark, sf_dir):
-    return D.delivery_summary(D.delivery_outcome(views(spark, sf_dir).attempts))
-
-
-@query("dead_letter", _OUTCOME + """
-, lo AS (SELECT address AS a2, max(last_at) AS lok FROM outcome WHERE delivered GROUP BY address)
-SELECT o.* FROM outcome o LEFT JOIN lo ON o.address = lo.a2
-WHERE NOT o.delivered AND (lo.lok IS NULL OR lo.lok < o.last_at)
-ORDER BY o.last_at DESC, o.address DESC, o.run DESC, o.chunk DESC LIMIT 50
-""")
+    return D.delivery_summary(D.delivery_outcome(views(spark, sf_dir).deliveries))
+
+
+# the oracle keeps each message's list and applies its attempts one by one
+@query("dead_letter", _DIALLED + f"""
+, steps AS (SELECT *, row_number() OVER (PARTITION BY address, message ORDER BY ts, id) AS n FROM dialled WHERE is_phone),
+lists AS (
+  SELECT DISTINCT address, message, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS entries FROM steps
+  UNION ALL
+  SELECT l.address, l.message, s.n, CASE WHEN s.ok = 1 THEN l.entries[2:] ELSE list_prepend(s.id, l.entries) END
+  FROM lists l JOIN steps s ON s.address = l.address AND s.message = l.message AND s.n = l.n + 1),
+kept AS (SELECT unnest(entries) AS id FROM lists QUALIFY n = max(n) OVER (PARTITION BY address, message))
+SELECT id, address, message, strftime(ts, {TS}) AS failed_at FROM dialled JOIN kept USING (id)
+ORDER BY ts DESC, id DESC LIMIT 50
+""", builder=lambda body: sql_changes(body, recursive=True))
 def dead_letter(spark, sf_dir):
-    return D.dead_letter(D.delivery_outcome(views(spark, sf_dir).attempts))
+    return D.dead_letter(views(spark, sf_dir).deliveries)
 
 
 _PERIOD_START = f"strftime(TIMESTAMP '1970-01-01 00:00:00' + to_seconds(period * 900), {TS})"

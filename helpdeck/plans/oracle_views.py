@@ -133,6 +133,15 @@ attempts AS (
   SELECT event_id AS id, ts, user_id AS address, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS ok
   FROM events WHERE event_type IN ('purchase', 'error')
 ),
+deliveries AS (
+  SELECT event_id AS id, ts,
+         CASE WHEN user_id % 10 = 3 THEN 'ext ' || CAST(user_id AS VARCHAR)
+              WHEN event_id % 4 < 2 THEN '0812' || CAST(user_id AS VARCHAR)
+              ELSE '+62 812-' || CAST(user_id AS VARCHAR) END AS address,
+         'Ticket ' || CAST(event_id % 3 AS VARCHAR) AS message,
+         CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS ok
+  FROM events WHERE event_type IN ('purchase', 'error')
+),
 activity_log AS (
   SELECT event_id AS id, user_id AS ticket_id, event_id % 100 AS user_id, event_type AS action,
          'desc ' || CAST(event_id AS VARCHAR) AS description,

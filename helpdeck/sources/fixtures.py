@@ -81,6 +81,16 @@ def shape_attempts(events: DataFrame) -> DataFrame:
         F.when(F.col("event_type") == "purchase", F.lit(1)).otherwise(F.lit(0)).alias("ok"))
 
 
+def shape_deliveries(events: DataFrame) -> DataFrame:
+    """Send attempts: a few messages per phone, phones in two spellings, some that are no phone."""
+    i, u = F.col("event_id"), F.col("user_id")
+    phone = (F.when(u % 10 == 3, F.concat(F.lit("ext "), _s(u)))
+             .when(i % 4 < 2, F.concat(F.lit("0812"), _s(u))).otherwise(F.concat(F.lit("+62 812-"), _s(u))))
+    return events.filter(F.col("event_type").isin("purchase", "error")).select(
+        i.alias("id"), "ts", phone.alias("address"), F.concat(F.lit("Ticket "), _s(i % 3)).alias("message"),
+        F.when(F.col("event_type") == "purchase", F.lit(1)).otherwise(F.lit(0)).alias("ok"))
+
+
 class TicketViews:
     """Lazily built ticket-model DataFrames for one scale-factor directory."""
 
@@ -227,6 +237,10 @@ class TicketViews:
     def attempts(self) -> DataFrame:
         return shape_attempts(self.table("events"))
 
+    @cached_property
+    def deliveries(self) -> DataFrame:
+        return shape_deliveries(self.table("events"))
+
     @cached_property
     def activity_log(self) -> DataFrame:
         e = self.table("events")

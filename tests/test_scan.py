@@ -43,19 +43,38 @@ def test_reset_scan_matches_sequential(spark):
         state[a] = (0, resets + 1) if ok else (before + 1, resets)
 
 
-def test_delivery_messages_and_dead_letter(spark):
+def test_delivery_interleaved_messages(spark):
     t0 = dt.datetime(2024, 1, 1, 8, 0, 0)
-    at = lambda s: t0 + dt.timedelta(seconds=s)
-    rows = [(1, at(0), 7, 0), (2, at(10), 7, 0), (3, at(20), 7, 0),      # message 1: three failures
-            (4, at(30), 7, 0), (5, at(40), 7, 1),                        # message 2: delivered on 2nd try
-            (6, at(50), 8, 0), (7, at(60), 8, 0), (8, at(70), 8, 0)]     # address 8: failed, never delivered
-    a = spark.createDataFrame(rows, "id long, ts timestamp, address long, ok int")
-    o = sorted((r.address, r.run, r.chunk, r.attempts, r.delivered) for r in D.delivery_outcome(a).collect())
-    assert o == [(7, 0, 0, 3, False), (7, 0, 1, 2, True), (8, 0, 0, 3, False)]
-    dl = [(r.address, r.attempts) for r in D.dead_letter(D.delivery_outcome(a)).collect()]
-    assert dl == [(8, 3)]   # address 7's failure was followed by a delivery
-    s = D.delivery_summary(D.delivery_outcome(a)).first()
-    assert (s.ok, s.failed, s.total) == (1, 2, 3)
+    steps = [("0812", "a", 0), ("0812", "b", 0), ("+62 812", "a", 1),      # a delivered on its 2nd try, b in between
+             ("0812", "b", 0), ("0812", "b", 0), ("x1", "a", 0), ("0813", "a", 1)]
+    rows = [(i, t0 + dt.timedelta(minutes=40 * i), *s) for i, s in enumerate(steps)]
+    a = spark.createDataFrame(rows, "id long, ts timestamp, address string, message string, ok int")
+    out = D.delivery_outcome(a)
+    assert sorted((r.address, r.message, r.attempts, r.delivered) for r in out.collect()) == [
+        ("62812", "a", 2, True), ("62812", "b", 3, False), ("62813", "a", 1, True), ("x1", "a", 1, False)]
+    s = D.delivery_summary(out).first()
+    assert (s.ok, s.failed, s.total) == (2, 2, 4)
+    # every failed try of b has an entry; the number that is no phone has none
+    assert [(r.id, r.address, r.message) for r in D.dead_letter(a).collect()] == [
+        (4, "62812", "b"), (3, "62812", "b"), (1, "62812", "b")]
+
+
+def test_dead_letter_matches_sequential_list(spark):
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(minutes=7 * (i // 2)), "08%d" % (0 if i % 3 else rnd.randint(1, 3)),
+             "m%d" % rnd.randint(0, 1), int(rnd.random() < 0.5)) for i in range(2000)]
+    a = spark.createDataFrame(rows, "id long, ts timestamp, address string, message string, ok int")
+    listed = []
+    for i, _, phone, message, ok in rows:
+        if not ok:
+            listed.insert(0, (i, phone, message))
+        else:
+            hit = next((x for x in listed if x[1:] == (phone, message)), None)
+            if hit:
+                listed.remove(hit)
+    assert [r.id for r in D.dead_letter(a, k=5000).collect()] == [x[0] for x in listed]
+    assert [r.id for r in D.dead_letter(a, k=5).collect()] == [x[0] for x in listed[:5]]
 
 
 def test_burst_failures_reset_and_saturation(spark):
@@ -73,15 +92,3 @@ def test_burst_failures_reset_and_saturation(spark):
     assert got == [(1, "2024-01-01 09:00:00", 10, "2024-01-01 09:09:30")]
     simple = sorted((r.address, r.failures) for r in D.burst_failures_simple(a).collect())
     assert simple == [(1, 21)]
-
-
-def test_dead_letter_normalized_phones(spark):
-    t0 = dt.datetime(2024, 1, 1, 8, 0, 0)
-    rows = [(1, t0, "0812-1", 0), (2, t0 + dt.timedelta(seconds=10), "0812-1", 0),
-            (3, t0 + dt.timedelta(seconds=20), "0812-1", 0),              # failed message to 0812-1
-            (4, t0 + dt.timedelta(seconds=30), "+62 8121", 1),            # same phone, delivered later
-            (5, t0 + dt.timedelta(seconds=40), "abc", 0)]
-    a = spark.createDataFrame(rows, "id long, ts timestamp, address string, ok int")
-    out = D.delivery_outcome(a)
-    assert sorted(r.address for r in D.dead_letter(out).collect()) == ["0812-1", "abc"]
-    assert [r.address for r in D.dead_letter(out, normalize=True).collect()] == ["abc"]
