@@ -33,6 +33,13 @@ ACTIVITY_TEXTS = {
     "start_visit": ("start_visit", "Kunjungan dimulai"),
     "close": ("close", "Ticket ditutup"),
 }
+INTAKE_LIMITS = {"kode_barang": 50, "customer_name": 100, "customer_alamat": 200, "customer_hp": 20,
+                 "customer_email": 100, "customer_kota": 100, "customer_provinsi": 100, "toko": 100,
+                 "marketplace": 100, "nomor_invoice": 50, "serial_number": 100, "keluhan": 1000}
+INTAKE_PATHS = ["faktur_path", "foto_produk_path", "video_path", "foto_kerusakan_path"]
+CREATED_TEXT = ("create", "Ticket dibuat")
+VOUCHER_ISSUED_TEXT = "Voucher {voucher_no} sudah diterbitkan untuk {customer_name}"
+VOUCHER_SENT_TEXT = ("voucher_wa", "Voucher dikirim ke WA {customer_hp}")
 RESET_COMMENT = "Approval direset oleh Management"
 NO_COMMENT = "Tidak ada komentar"
 # -----------------------------------------------------------------------------
@@ -97,11 +104,14 @@ def _table(kind: Column, valid: Column) -> Column:
 def scan_changes(tickets: DataFrame, changes: DataFrame) -> DataFrame:
     """Per change: ``valid``, ``status_before``/``status_after`` (by replaying
     every earlier change of the same ticket), ``applies`` (the ticket row is
-    updated), ``count_before`` (follow-up counter before the change).
+    updated), ``writes`` (the change leaves log and notification rows),
+    ``count_before`` (follow-up counter before the change).
 
     ``changes``: seq, ticket_id, kind, ts (text), user_id, text, decision,
-    teknisi_id, tanggal, jam, findings, solusi. Changes for unknown tickets
-    are dropped (the server redirects on a missing ticket).
+    teknisi_id, tanggal, jam, findings, solusi; ``seq`` is unique within a
+    ticket. Changes of unknown tickets stay: they update nothing, but only
+    follow-up and reset look for the ticket first, the others still write
+    their rows. A change without a ticket id is none.
     """
     base = tickets.select(F.col("id").alias("ticket_id"), F.col("status").alias("_base_status"),
                           F.coalesce(F.col("follow_up_count"), F.lit(0)).cast("long").alias("_base_count"))
@@ -110,9 +120,10 @@ def scan_changes(tickets: DataFrame, changes: DataFrame) -> DataFrame:
     inc = (F.col("valid") & ((kind == "followup") |
                              ((kind == "visit_result") & needs_followup(F.col("solusi"))))).cast("int")
     ch = ch.withColumn("_t", _table(kind, F.col("valid"))).withColumn("_inc", inc)
-    # the scan needs only the changes; the ticket's base status is applied after it
-    # (one join, and the ticket table is not read by the scan's own jobs)
-    s = prefix_scan(ch, "ticket_id", "seq", "_t", "_inc", N_STATES).join(base, "ticket_id")
+    # only keys, tables and counters are ranked and checkpointed; texts join back by (ticket, seq)
+    scanned = prefix_scan(ch.select("ticket_id", "seq", "_t", "_inc"), "ticket_id", "seq", "_t", "_inc", N_STATES)
+    s = (ch.join(scanned.select("ticket_id", "seq", "prefix", "inc_before"), ["ticket_id", "seq"])
+         .join(base.withColumn("_known", F.lit(True)), "ticket_id", "left"))
     b0 = status_index(F.col("_base_status"))
     before_idx = F.get(F.col("prefix"), b0)
     s = s.withColumn("_bi", before_idx).withColumn("_ai", F.get(F.col("_t"), F.col("_bi")))
@@ -121,9 +132,12 @@ def scan_changes(tickets: DataFrame, changes: DataFrame) -> DataFrame:
                 .otherwise(F.lit(True)))
     return (s.withColumn("status_before", _status_name(F.col("_bi"), F.col("_base_status")))
              .withColumn("status_after", _status_name(F.col("_ai"), F.col("_base_status")))
-             .withColumn("applies", F.col("valid") & guard_ok)
+             .withColumn("applies", F.col("valid") & guard_ok & F.col("_known").isNotNull())
+             # a calendar schedule is logged even when its status guard refuses the status change
+             .withColumn("writes", F.col("applies") | (F.col("valid") & (
+                 (kind == "calendar_schedule") | (F.col("_known").isNull() & ~kind.isin("followup", "reset")))))
              .withColumn("count_before", F.col("_base_count") + F.col("inc_before"))
-             .drop("_t", "_inc", "_bi", "_ai", "prefix", "inc_before", "_base_count"))
+             .drop("_t", "_inc", "_bi", "_ai", "prefix", "inc_before", "_base_count", "_known"))
 
 
 def _followup_line(count_before: Column, note: Column) -> Column:
@@ -147,18 +161,13 @@ def apply_transitions(tickets: DataFrame, changes: DataFrame) -> DataFrame:
     s = scan_changes(tickets, changes)
     a = F.col("applies")
     kind = F.col("kind")
-    # analysis text: last explicit analysis, then the follow-up lines after it, in order
-    last_an = s.filter(a & (kind == "analysis")).groupBy("ticket_id").agg(F.max("seq").alias("_an_seq"))
-    fu = (s.filter(a & (kind == "followup")).join(last_an, "ticket_id", "left")
-          .filter(F.col("_an_seq").isNull() | (F.col("seq") > F.col("_an_seq")))
-          .groupBy("ticket_id")
-          .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
-              "seq", _followup_line(F.col("count_before"), F.col("text")).alias("line")))), lambda x: x["line"]),
-              "").alias("_fu_text")))
     dec_kinds = kind.isin("approve", "reject", "reset")
     agg = s.groupBy("ticket_id").agg(
         F.max_by("status_after", "seq").alias("_status"),
         _last(a & (kind == "analysis"), F.col("text"), "_an"),
+        F.max(F.when(a & (kind == "analysis"), F.col("seq"))).alias("_an_seq"),
+        F.collect_list(F.when(a & (kind == "followup"), F.struct(
+            "seq", _followup_line(F.col("count_before"), F.col("text")).alias("line")))).alias("_lines"),
         _last(a & dec_kinds, F.when(kind == "reset", F.lit(None).cast("string"))
               .when(kind == "reject", F.lit("reject")).otherwise(F.col("decision")), "_dec"),
         _last(a & dec_kinds, F.when(kind == "reset", F.lit(None).cast("string"))
@@ -170,7 +179,10 @@ def apply_transitions(tickets: DataFrame, changes: DataFrame) -> DataFrame:
         _last(a, F.col("ts"), "_upd"),
         F.sum(F.when(a & ((kind == "followup") | ((kind == "visit_result") & needs_followup(F.col("solusi")))), 1)
               .otherwise(0)).alias("_inc"))
-    upd = agg.join(fu, "ticket_id", "left").withColumnRenamed("ticket_id", "_tid")
+    # analysis text: last explicit analysis, then the follow-up lines after it, in order
+    later = F.filter("_lines", lambda x: F.col("_an_seq").isNull() | (x["seq"] > F.col("_an_seq")))
+    upd = (agg.withColumn("_fu_text", F.array_join(F.transform(F.array_sort(later), lambda x: x["line"]), ""))
+           .drop("_lines", "_an_seq").withColumnRenamed("ticket_id", "_tid"))
     t = tickets.join(upd, tickets["id"] == upd["_tid"], "left")
     has = F.col("_tid").isNotNull()
 
@@ -178,7 +190,7 @@ def apply_transitions(tickets: DataFrame, changes: DataFrame) -> DataFrame:
         return F.when(F.col(struct_col).isNotNull(), F.col(f"{struct_col}.v")).otherwise(F.col(old))
 
     an_base = F.when(F.col("_an").isNotNull(), F.col("_an.v")).otherwise(F.col("admin_analysis"))
-    analysis = F.when(F.col("_fu_text").isNotNull(), F.concat(F.coalesce(an_base, F.lit("")), F.col("_fu_text"))) \
+    analysis = F.when(F.col("_fu_text") != "", F.concat(F.coalesce(an_base, F.lit("")), F.col("_fu_text"))) \
         .otherwise(an_base)
     new = {
         "status": F.when(has, F.col("_status")).otherwise(F.col("status")),
@@ -199,11 +211,17 @@ def apply_transitions(tickets: DataFrame, changes: DataFrame) -> DataFrame:
 
 def followup_apply(tickets: DataFrame, changes: DataFrame) -> DataFrame:
     """E3 follow-up counter +1 per follow-up change, note lines appended, for
-    the tickets that received follow-ups (id, follow_up_count, admin_analysis)."""
-    fu = changes.filter(F.col("kind") == "followup")
-    out = apply_transitions(tickets, fu)
-    return out.join(fu.select(F.col("ticket_id").alias("id")).distinct(), "id", "left_semi") \
-        .select("id", "status", "follow_up_count", "admin_analysis", "updated_at")
+    the tickets that received follow-ups (id, status, follow_up_count,
+    admin_analysis, updated_at). Follow-ups have no status guard, so a
+    follow-up's number is its place among those of its ticket: no scan."""
+    fu = (changes.filter(F.col("kind") == "followup").groupBy(F.col("ticket_id").alias("id"))
+          .agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("_fu"), F.max_by("ts", "seq").alias("_ts")))
+    base = F.coalesce(F.col("follow_up_count"), F.lit(0))
+    lines = F.transform("_fu", lambda x, i: _followup_line(F.col("_base") + i, x["text"]))
+    return tickets.join(fu, "id").withColumn("_base", base).select(
+        "id", F.lit("approval").alias("status"), (F.col("_base") + F.size("_fu")).cast("int").alias("follow_up_count"),
+        F.concat(F.coalesce(F.col("admin_analysis"), F.lit("")), F.array_join(lines, "")).alias("admin_analysis"),
+        F.col("_ts").alias("updated_at"))
 
 
 def _fill(tpl: str) -> Column:
@@ -220,15 +238,15 @@ def _fill(tpl: str) -> Column:
 
 
 def emit_events(tickets: DataFrame, changes: DataFrame) -> DataFrame:
-    """I12 rows each applied change writes: one activity row per change and,
+    """I12 rows each accepted change writes: one activity row per change and,
     for approve/reject/reset, one approval-log row (``old_status`` is written
-    as 'approval' for approve/reject, as the reference does)."""
+    as 'approval' for approve/reject, as the reference does); changes of unknown
+    tickets included, see ``scan_changes``."""
     from helpdeck.functions.labels import followup_message
 
     s = scan_changes(tickets, changes)
     kind = F.col("kind")
-    # a calendar schedule is logged even when its status guard refuses the status change
-    s = s.filter(F.col("applies") | ((kind == "calendar_schedule") & F.col("valid")))
+    s = s.filter(F.col("writes"))
     txt = F.coalesce(F.col("text"), F.lit(""))
     n = (F.col("count_before") + 1).cast("string")
     fu_visit = needs_followup(F.col("solusi"))
@@ -250,13 +268,14 @@ def emit_events(tickets: DataFrame, changes: DataFrame) -> DataFrame:
         F.lit("activity_log").alias("target"), "seq", "ticket_id", "user_id", action.alias("action"),
         desc.alias("description"), F.lit(None).cast("string").alias("decision"),
         F.lit(None).cast("string").alias("old_status"), F.lit(None).cast("string").alias("new_status"))
-    alog = s.filter(F.col("applies") & kind.isin("approve", "reject", "reset")).select(
+    alog = s.filter(kind.isin("approve", "reject", "reset")).select(
         F.lit("approval_logs").alias("target"), "seq", "ticket_id", "user_id", kind.alias("action"),
         F.when(kind == "reset", F.lit(RESET_COMMENT)).otherwise(txt).alias("description"),
         F.when(kind == "reset", F.lit("")).when(kind == "reject", F.lit("reject"))
          .otherwise(F.col("decision")).alias("decision"),
         F.when(kind == "reset", F.col("status_before")).otherwise(F.lit("approval")).alias("old_status"),
-        F.col("status_after").alias("new_status"))
+        F.when(kind == "approve", F.lit("waiting")).when(kind == "reject", F.lit("rejected"))
+         .otherwise(F.lit("approval")).alias("new_status"))
     return activity.unionByName(alog)
 
 
@@ -341,25 +360,28 @@ def ticket_intake(existing: DataFrame, raw: DataFrame, now: str, order: list) ->
     Text fields are trimmed and cut like ``trimStr``; rows whose raw customer
     name or complaint is NULL or '' are refused (one of white space only is stored as ''); valid
     rows get status 'waiting', follow-up count 0, created/updated time =
-    ``now``, the next ids and this year's next ticket numbers.
+    ``now``, the next ids and, where the form gives no ``ticket_no``, this
+    year's next ticket numbers. Form columns that ``raw`` lacks are NULL paths
+    or '' texts; upload paths are kept as given.
     """
     from helpdeck.functions.dates import iso_to_dmy, today_str
 
-    limits = {"customer_name": 100, "customer_hp": 20, "customer_kota": 100, "toko": 100, "marketplace": 100,
-              "serial_number": 100, "keluhan": 1000, "kode_barang": 50}
-    cleaned = raw.filter(given("customer_name") & given("keluhan")).select(*order, *[trim_str(F.col(c), n).alias(c) for c, n in limits.items()],
-                         F.coalesce(F.nullif(F.col("tanggal_complaint"), F.lit("")), today_str(now))
-                         .alias("tanggal_complaint"),
-                         iso_to_dmy(F.col("tanggal_pembelian")).alias("tanggal_pembelian"),
-                         F.col("product_id").cast("long").alias("product_id"),
-                         F.col("created_by").cast("long").alias("created_by"))
-    ok = cleaned.withColumn("year", F.year(now_ts(now)))
-    numbered = ticket_numbers(existing, ok, order)
-    with_ids = next_ids(numbered, existing, order)
+    def form(c: str) -> Column:
+        return F.col(c).cast("string") if c in raw.columns else F.lit(None).cast("string")
+
+    cleaned = raw.filter(given("customer_name") & given("keluhan")).select(
+        *order, *[trim_str(form(c), n).alias(c) for c, n in INTAKE_LIMITS.items()], *[form(c).alias(c) for c in INTAKE_PATHS],
+        F.coalesce(F.nullif(F.col("tanggal_complaint"), F.lit("")), today_str(now)).alias("tanggal_complaint"),
+        iso_to_dmy(F.col("tanggal_pembelian")).alias("tanggal_pembelian"),
+        F.col("product_id").cast("long").alias("product_id"), F.col("created_by").cast("long").alias("created_by"),
+        F.nullif(form("ticket_no"), F.lit("")).alias("_given_no"))
+    with_ids = next_ids(cleaned.withColumn("year", F.year(now_ts(now))), existing, order)
+    # a number is generated only where none is given; the two sets share no row
+    auto = ticket_numbers(existing, with_ids.filter(F.col("_given_no").isNull()), order)
+    own = with_ids.filter(F.col("_given_no").isNotNull()).withColumn("ticket_no", F.col("_given_no"))
     now_txt = F.date_format(now_ts(now), TS_FMT)
-    return with_ids.select(
-        "id", "ticket_no", "created_by", "product_id", "kode_barang", "tanggal_complaint", "customer_name",
-        "customer_hp", "customer_kota", "marketplace", "toko", "serial_number", "keluhan",
+    return auto.unionByName(own).select(
+        "id", "ticket_no", "created_by", "product_id", "tanggal_complaint", *INTAKE_LIMITS, *INTAKE_PATHS,
         "tanggal_pembelian", F.lit("waiting").alias("status"), F.lit(0).alias("follow_up_count"),
         now_txt.alias("created_at"), now_txt.alias("updated_at"))
 
@@ -402,11 +424,13 @@ def first_and_last(incoming: DataFrame, key: str, order: str, first_cols: list[s
 
 
 def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: str, order: str, id_col: str = "id",
-                  update_cols: list[str] | None = None, defaults: dict[str, Column] | None = None) -> DataFrame:
+                  update_cols: list[str] | None = None, defaults: dict[str, Column] | None = None,
+                  ids_after: DataFrame | None = None) -> DataFrame:
     """I4 upsert on a natural key, as the rows would do one after the other: the
     first incoming row of an unknown key inserts (it fixes the id order and every column
     that updates leave alone), later ones update, so ``update_cols`` come from the last row (E6).
-    ``defaults``: columns of new rows that the incoming rows lack. Returns the whole new table."""
+    ``defaults``: columns of new rows that the incoming rows lack; ``ids_after``: the table whose highest id new
+    ids follow (default: ``existing``). Returns the whole new table."""
     update_cols = [c for c in update_cols or [c for c in existing.columns if c not in (id_col, key)] if c in incoming.columns]
     inc = first_and_last(incoming, key, order, [c for c in existing.columns if c in incoming.columns and c not in (id_col, key, *update_cols)],
                          update_cols)
@@ -414,7 +438,7 @@ def upsert_by_key(existing: DataFrame, incoming: DataFrame, key: str, order: str
     updated = j.select(*[F.when(F.col("_first").isNotNull(), F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c)
                          if c in update_cols else F.col(c) for c in existing.columns])
     new = inc.join(existing.select(key), key, "left_anti")
-    new_rows = next_ids(new, existing, ["_first"], id_col)
+    new_rows = next_ids(new, existing if ids_after is None else ids_after, ["_first"], id_col)
     defaults = defaults or {}
     new_rows = new_rows.select(*[F.col(f"_n_{c}").alias(c) if f"_n_{c}" in new_rows.columns
                                  else (F.col(c) if c in new_rows.columns else defaults.get(c, F.lit(None))).alias(c)
@@ -430,17 +454,33 @@ def product_import(products: DataFrame, sheet: DataFrame, now: str, row_col: str
                          defaults={"created_at": F.date_format(now_ts(now), TS_FMT)})
 
 
-def schedule_upsert(schedules: DataFrame, requests: DataFrame) -> DataFrame:
+def schedule_upsert(schedules: DataFrame, requests: DataFrame, ids_after: DataFrame | None = None) -> DataFrame:
     """I4 schedule by ticket: each valid request updates *every*
     schedule row of its ticket (there is no unique key), or inserts one: the last one's values
     stay, author, time and id order are those of the first.
-    ``requests``: seq, ticket_id, teknisi_id, tanggal, jam, notes, user_id."""
+    ``requests``: seq, ticket_id, teknisi_id, tanggal, jam, notes, user_id, ts."""
     from helpdeck.functions.dates import iso_to_dmy
 
     r = (requests.filter(given("teknisi_id") & given("tanggal") & given("jam"))
          .withColumn("tanggal", iso_to_dmy(F.col("tanggal")))
          .withColumns({"created_by": F.col("user_id"), "created_at": F.col("ts")}))
-    return upsert_by_key(schedules, r, "ticket_id", "seq", update_cols=["teknisi_id", "tanggal", "jam", "notes"])
+    return upsert_by_key(schedules, r, "ticket_id", "seq", update_cols=["teknisi_id", "tanggal", "jam", "notes"],
+                         ids_after=ids_after)
+
+
+def schedule_replay(schedules: DataFrame, log: DataFrame) -> DataFrame:
+    """I4 + I6 the schedules after an ordered log of requests and cancellations (``kind`` 'schedule',
+    'calendar_schedule', 'cancel_schedule'; other kinds and requests with a value missing are ignored).
+
+    A cancellation deletes every row of its ticket, known or not, so only what follows a ticket's last one counts:
+    ``schedule_upsert`` on the rows left. New ids follow the highest old id in log order; rows that the
+    same log deletes again take none. ``log``: the columns of ``schedule_upsert``'s requests and ``kind``."""
+    gone = (log.filter(F.col("kind") == "cancel_schedule").groupBy("ticket_id")
+            .agg(F.max("seq").alias("_gone")))
+    left = schedules.join(gone, "ticket_id", "left_anti").select(*schedules.columns)
+    later = (log.filter(F.col("kind").isin("schedule", "calendar_schedule")).join(gone, "ticket_id", "left")
+             .filter(F.col("_gone").isNull() | (F.col("seq") > F.col("_gone"))).drop("_gone", "kind"))
+    return schedule_upsert(left, later, ids_after=schedules)
 
 
 KEEP_IF_NULL = ("foto_sebelum_path", "foto_sesudah_path", "video_path")
@@ -641,6 +681,31 @@ def issue_vouchers(tickets: DataFrame, products: DataFrame, vouchers: DataFrame,
     return c.withColumn("voucher_no", voucher_number(F.col("id"), now))
 
 
+def creation_events(new_tickets: DataFrame) -> DataFrame:
+    """I12 the activity row that each new ticket writes: (ticket_id, user_id, action, description, created_at)."""
+    action, text = CREATED_TEXT
+    return new_tickets.select(F.col("id").alias("ticket_id"), F.col("created_by").alias("user_id"),
+                              F.lit(action).alias("action"), F.lit(text).alias("description"), "created_at")
+
+
+def voucher_notifications(new_vouchers: DataFrame, tickets: DataFrame) -> DataFrame:
+    """I12 the notification that each issued voucher sends to its ticket's creator (none without a creator, NULL or 0):
+    (user_id, message, link). NULL names read 'null', as the reference writes them."""
+    t = tickets.select(F.col("id").alias("ticket_id"), F.col("created_by").alias("_creator"))
+    v = new_vouchers.withColumn("customer_name", F.coalesce("customer_name", F.lit("null")))
+    return (v.join(t, "ticket_id").filter(F.col("_creator") != 0)
+            .select(F.col("_creator").alias("user_id"), _fill(VOUCHER_ISSUED_TEXT).alias("message"),
+                    F.concat(F.lit("/admin/voucher/"), F.col("id").cast("string")).alias("link")))
+
+
+def voucher_sent_events(requests: DataFrame, vouchers: DataFrame, tickets: DataFrame) -> DataFrame:
+    """I12 the activity row of each request (seq, ticket_id, user_id) to send a ticket's voucher: written only where
+    the ticket has a voucher and a phone; the phone is the ticket's, not the voucher's."""
+    action, text = VOUCHER_SENT_TEXT
+    t = tickets.filter(given("customer_hp")).select(F.col("id").alias("ticket_id"), "customer_hp")
+    return (requests.join(vouchers.select("ticket_id"), "ticket_id", "left_semi").join(t, "ticket_id")
+            .select("seq", "ticket_id", "user_id", F.lit(action).alias("action"), _fill(text).alias("description")))
+
 
 # ---- fixed values (must equal the reference) -------------------------------
 NOTIFY_DIRECT = {
@@ -668,7 +733,7 @@ NOTIFY_FANOUT = {
 
 def emit_notifications(tickets: DataFrame, changes: DataFrame, users: DataFrame,
                        schedules: DataFrame) -> DataFrame:
-    """I12 notification rows the applied changes write: (seq, ticket_id,
+    """I12 notification rows the accepted changes write: (seq, ticket_id,
     user_id, role, message, link).
 
     Role- and user-addressed rows come straight from the scanned changes; the
@@ -682,7 +747,7 @@ def emit_notifications(tickets: DataFrame, changes: DataFrame, users: DataFrame,
 
     s = scan_changes(tickets, changes)
     kind = F.col("kind")
-    s = s.filter(F.col("applies") | ((kind == "calendar_schedule") & F.col("valid")))
+    s = s.filter(F.col("writes"))
     t = tickets.select(F.col("id").alias("_tid"), "ticket_no", "created_by")
     first_s = first_per_key(schedules, "ticket_id", "id", ["teknisi_id"]).select(
         F.col("ticket_id").alias("_sid"), F.col("teknisi_id").alias("_sched_tek"))

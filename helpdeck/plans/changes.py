@@ -40,7 +40,7 @@ def _replay(change_filter: str = "TRUE") -> str:
     (ticket state after each change, with the change's outcome)."""
     return f"""
 , cj AS (SELECT c.*, row_number() OVER (PARTITION BY c.ticket_id ORDER BY c.seq) AS n
-         FROM changes c WHERE c.ticket_id IN (SELECT id FROM tickets) AND ({change_filter})),
+         FROM changes c WHERE {change_filter}),
 cv AS (SELECT *,
          CASE WHEN kind IN ('schedule', 'calendar_schedule')
                 THEN teknisi_id IS NOT NULL AND COALESCE(tanggal <> '', false)
@@ -81,6 +81,7 @@ st AS (
                                        ELSE true END AS ap
         FROM st s JOIN cv e ON e.ticket_id = s.ticket_id AND e.n = s.n + 1) z
 ),
+unknown AS (SELECT * FROM cv WHERE valid AND kind NOT IN ('followup', 'reset') AND ticket_id NOT IN (SELECT id FROM tickets)),
 fin AS (SELECT * FROM st QUALIFY n = max(n) OVER (PARTITION BY ticket_id))
 """
 
@@ -125,7 +126,9 @@ _FU_CASE = " ".join(f"WHEN {_q(k)} THEN {_q(m)}" for k, m in FOLLOWUP_MESSAGES.i
 
 @query("emit_events", _replay() + f"""
 , ev AS (SELECT s.status AS status_after, s.status_before, s.cnt_before, s.applies, e.*
-         FROM st s JOIN cv e ON e.ticket_id = s.ticket_id AND e.n = s.n WHERE s.n > 0)
+         FROM st s JOIN cv e ON e.ticket_id = s.ticket_id AND e.n = s.n WHERE s.n > 0
+         UNION ALL
+         SELECT CASE kind WHEN 'approve' THEN 'waiting' WHEN 'reject' THEN 'rejected' END, NULL, NULL, true, unknown.* FROM unknown)
 SELECT 'activity_log' AS target, seq, ticket_id, user_id,
   CASE kind WHEN 'analysis' THEN 'send_approval' WHEN 'followup' THEN 'send_approval'
             WHEN 'schedule' THEN 'schedule' WHEN 'calendar_schedule' THEN 'schedule'
@@ -173,6 +176,9 @@ _INTAKE = f"""
 , cl AS (
   SELECT intake_key, {_trim('customer_name', 100)} AS customer_name, {_trim('customer_hp', 20)} AS customer_hp,
          {_trim('customer_kota', 100)} AS customer_kota, {_trim('toko', 100)} AS toko,
+         {_trim('customer_alamat', 200)} AS customer_alamat, {_trim('customer_email', 100)} AS customer_email,
+         {_trim('customer_provinsi', 100)} AS customer_provinsi, {_trim('nomor_invoice', 50)} AS nomor_invoice,
+         faktur_path, foto_produk_path, video_path, foto_kerusakan_path, NULLIF(ticket_no, '') AS own_no,
          {_trim('marketplace', 100)} AS marketplace, {_trim('serial_number', 100)} AS serial_number,
          {_trim('keluhan', 1000)} AS keluhan, {_trim('kode_barang', 50)} AS kode_barang,
          COALESCE(NULLIF(tanggal_complaint, ''), strftime(TIMESTAMP '{TICKET_NOW}', '%d/%m/%Y')) AS tanggal_complaint,
@@ -188,7 +194,7 @@ lastno AS (SELECT CAST(regexp_extract(ticket_no, '^SC-(\\d+)-', 1) AS INTEGER) A
            FROM tickets WHERE starts_with(ticket_no, 'SC-') GROUP BY 1),
 numbered AS (
   SELECT ok.*, COALESCE(TRY_CAST(split_part(l.last_no, '-', 3) AS BIGINT), 0)
-                 + row_number() OVER (PARTITION BY ok.year ORDER BY ok.intake_key) AS num,
+                 + count(*) FILTER (WHERE own_no IS NULL) OVER (PARTITION BY ok.year ORDER BY ok.intake_key) AS num,
          (SELECT COALESCE(max(id), 0) FROM tickets) + row_number() OVER (ORDER BY ok.intake_key) AS id
   FROM ok LEFT JOIN lastno l ON l.year = ok.year)
 """
@@ -212,9 +218,10 @@ def ticket_numbers(spark, sf_dir):
 
 
 @query("ticket_intake", _INTAKE + f"""
-SELECT id, 'SC-' || CAST(year AS VARCHAR) || '-' || {_PADNUM.format(x='num')} AS ticket_no, created_by, product_id,
-       kode_barang, tanggal_complaint, customer_name, customer_hp, customer_kota, marketplace, toko, serial_number,
-       keluhan, tanggal_pembelian, 'waiting' AS status, 0 AS follow_up_count,
+SELECT id, COALESCE(own_no, 'SC-' || CAST(year AS VARCHAR) || '-' || {_PADNUM.format(x='num')}) AS ticket_no, created_by, product_id,
+       kode_barang, tanggal_complaint, customer_name, customer_alamat, customer_hp, customer_email, customer_kota,
+       customer_provinsi, marketplace, nomor_invoice, toko, serial_number, faktur_path, foto_produk_path, video_path,
+       foto_kerusakan_path, keluhan, tanggal_pembelian, 'waiting' AS status, 0 AS follow_up_count,
        strftime(TIMESTAMP '{TICKET_NOW}', '%Y-%m-%d %H:%M:%S') AS created_at,
        strftime(TIMESTAMP '{TICKET_NOW}', '%Y-%m-%d %H:%M:%S') AS updated_at
 FROM numbered
@@ -224,6 +231,17 @@ def ticket_intake(spark, sf_dir):
     return CH.ticket_intake(v.tickets, b.intake_raw, TICKET_NOW, ["intake_key"])
 
 
+@query("creation_events", f"""
+SELECT (SELECT COALESCE(max(id), 0) FROM tickets) + row_number() OVER (ORDER BY intake_key) AS ticket_id,
+       created_by AS user_id, 'create' AS action, 'Ticket dibuat' AS description,
+       '{TICKET_NOW}' AS created_at
+FROM intake_raw WHERE customer_name <> '' AND keluhan <> ''
+""", builder=sql_changes)
+def creation_events(spark, sf_dir):
+    """I12 activity rows of the tickets that the intake creates."""
+    return CH.creation_events(ticket_intake(spark, sf_dir))
+
+
 # ------------------------------------------------------------------ product import / upserts
 _IMPORT_ROWS = f"""
 , ir AS (
@@ -492,6 +510,61 @@ def issue_vouchers(spark, sf_dir):
     return CH.issue_vouchers(v.tickets, v.products, v.service_vouchers, TICKET_NOW, salt="voucher")
 
 
+@query("voucher_notifications", f"""
+, c AS (SELECT t.customer_name, t.created_by,
+       (SELECT COALESCE(max(id), 0) FROM service_vouchers) + row_number() OVER (ORDER BY t.id) AS id
+FROM tickets t WHERE t.approved_by IS NOT NULL AND t.approved_by <> 0
+  AND NOT EXISTS (SELECT 1 FROM service_vouchers v WHERE v.ticket_id = t.id))
+SELECT created_by AS user_id, '/admin/voucher/' || CAST(id AS VARCHAR) AS link,
+       'Voucher BRC-' || to_base(CAST(epoch(TIMESTAMP '{TICKET_NOW}') * 1000 AS BIGINT), 36) || '-' || to_base(id, 36, 6)
+         || ' sudah diterbitkan untuk ' || COALESCE(customer_name, 'null') AS message
+FROM c WHERE created_by IS NOT NULL AND created_by <> 0
+""")
+def voucher_notifications(spark, sf_dir):
+    """I12 notifications of the vouchers that are issued."""
+    return CH.voucher_notifications(issue_vouchers(spark, sf_dir), views(spark, sf_dir).tickets)
+
+
+@query("voucher_sent_events", """
+SELECT r.id AS seq, r.ticket_id, r.user_id, 'voucher_wa' AS action,
+       'Voucher dikirim ke WA ' || (SELECT t.customer_hp FROM tickets t WHERE t.id = r.ticket_id) AS description
+FROM activity_log r
+WHERE r.action = 'view' AND EXISTS (SELECT 1 FROM service_vouchers v WHERE v.ticket_id = r.ticket_id)
+  AND EXISTS (SELECT 1 FROM tickets t WHERE t.id = r.ticket_id AND t.customer_hp <> '')
+""")
+def voucher_sent_events(spark, sf_dir):
+    """I12 activity rows of voucher sendings, asked for by the 'view' activities."""
+    v = views(spark, sf_dir)
+    req = v.activity_log.filter(F.col("action") == "view").select(F.col("id").alias("seq"), "ticket_id", "user_id")
+    return CH.voucher_sent_events(req, v.service_vouchers, v.tickets)
+
+
+# the oracle numbers each ticket's cancellations and keeps the last stretch
+@query("schedule_replay", """
+, log AS (SELECT seq, ticket_id, kind, teknisi_id, tanggal, jam, text AS notes, user_id, ts FROM changes
+          WHERE kind = 'cancel_schedule' OR (kind IN ('schedule', 'calendar_schedule') AND teknisi_id IS NOT NULL)),
+cut AS (SELECT *, count(*) FILTER (WHERE kind = 'cancel_schedule') OVER (PARTITION BY ticket_id ORDER BY seq) AS nth,
+               count(*) FILTER (WHERE kind = 'cancel_schedule') OVER (PARTITION BY ticket_id) AS total FROM log),
+stays AS (SELECT * FROM cut WHERE nth = total AND kind <> 'cancel_schedule'),
+ends AS (SELECT DISTINCT ticket_id, min(seq) OVER w AS s0, first_value(user_id) OVER w AS by0, first_value(ts) OVER w AS at0,
+           last_value(teknisi_id) OVER w AS tek, last_value(tanggal) OVER w AS tgl, last_value(jam) OVER w AS j,
+           last_value(notes) OVER w AS nt
+         FROM stays WINDOW w AS (PARTITION BY ticket_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+old AS (SELECT * FROM schedules WHERE ticket_id NOT IN (SELECT ticket_id FROM log WHERE kind = 'cancel_schedule'))
+SELECT old.id, old.ticket_id, CASE WHEN s0 IS NULL THEN old.teknisi_id ELSE tek END AS teknisi_id,
+  CASE WHEN s0 IS NULL THEN old.tanggal ELSE tgl END AS tanggal, CASE WHEN s0 IS NULL THEN old.jam ELSE j END AS jam,
+  CASE WHEN s0 IS NULL THEN old.notes ELSE nt END AS notes, old.created_by, old.created_at
+FROM old LEFT JOIN ends USING (ticket_id)
+UNION ALL
+SELECT (SELECT max(id) FROM schedules) + row_number() OVER (ORDER BY s0), ticket_id, tek, tgl, j, nt, by0, at0
+FROM ends WHERE ticket_id NOT IN (SELECT ticket_id FROM old)
+""", builder=sql_changes)
+def schedule_replay(spark, sf_dir):
+    """I4 + I6 schedules after the batch's requests and cancellations."""
+    v, b = _b(spark, sf_dir)
+    return CH.schedule_replay(v.schedules, b.changes.withColumnRenamed("text", "notes"))
+
+
 @query("product_upsert", """
 , inc AS (SELECT p_partkey AS row_no, 'P' || CAST(p_partkey + 1000 AS VARCHAR) AS kode_barang,
                  upper(p_name) AS nama_produk, p_brand AS tipe, p_size AS garansi_bulan FROM part),
@@ -554,7 +627,8 @@ def _notifications_sql() -> str:
                      f"'/admin/tickets/' || CAST(f.ticket_id AS VARCHAR) "
                      f"FROM ea f JOIN users u ON u.role = {_q(role)} WHERE f.fkind = {_q(kind)}")
     return _replay() + f"""
-, ev AS (SELECT s.applies, e.* FROM st s JOIN cv e ON e.ticket_id = s.ticket_id AND e.n = s.n WHERE s.n > 0),
+, ev AS (SELECT s.applies, e.* FROM st s JOIN cv e ON e.ticket_id = s.ticket_id AND e.n = s.n WHERE s.n > 0
+       UNION ALL SELECT true, unknown.* FROM unknown),
 fs AS (SELECT ticket_id AS fs_tid, arg_min(teknisi_id, id) AS sched_tek FROM schedules GROUP BY ticket_id),
 ea AS (SELECT ev.*, t.created_by AS tcreator, fs.sched_tek,
               COALESCE(t.ticket_no, '#' || CAST(ev.ticket_id AS VARCHAR)) AS no,

@@ -508,17 +508,17 @@ def _js_trim_sql(x: str) -> str:
 
 @query("intake_validation", f"""
 SELECT id,
-  substr({_js_trim_sql("COALESCE(customer_name, '')")}, 1, 500) AS customer_name_clean,
-  substr({_js_trim_sql("COALESCE(keluhan, '')")}, 1, 500) AS keluhan_clean,
-  (substr({_js_trim_sql("COALESCE(customer_name, '')")}, 1, 500) <> ''
-   AND substr({_js_trim_sql("COALESCE(keluhan, '')")}, 1, 500) <> '') AS valid
+  substr({_js_trim_sql("COALESCE(customer_name, '')")}, 1, 100) AS customer_name_clean,
+  substr({_js_trim_sql("COALESCE(keluhan, '')")}, 1, 1000) AS keluhan_clean,
+  (COALESCE(customer_name, '') <> '' AND COALESCE(keluhan, '') <> '') AS valid
 FROM tickets
 """)
 def intake_validation(spark, sf_dir):
+    from helpdeck.operators.changes import INTAKE_LIMITS, given
+
     t = views(spark, sf_dir).tickets
-    name, comp = T.trim_str("customer_name"), T.trim_str("keluhan")
-    return t.select("id", name.alias("customer_name_clean"), comp.alias("keluhan_clean"),
-                    ((name != "") & (comp != "")).alias("valid"))
+    return t.select("id", *[T.trim_str(c, INTAKE_LIMITS[c]).alias(f"{c}_clean") for c in ("customer_name", "keluhan")],
+                    (given("customer_name") & given("keluhan")).alias("valid"))
 
 
 @query("terms_lines", f"""

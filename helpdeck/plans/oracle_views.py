@@ -179,7 +179,7 @@ def sql(body: str) -> str:
 
 CHANGE_VIEWS = """
 , changes AS (
-  SELECT event_id AS seq, user_id AS ticket_id,
+  SELECT event_id AS seq, CASE WHEN event_id % 17 = 0 THEN -1 - user_id ELSE user_id END AS ticket_id,
          ['analysis', 'followup', 'schedule', 'calendar_schedule', 'cancel_schedule', 'approve', 'reject',
           'reset', 'start_visit', 'visit_result', 'close'][CAST(event_id % 11 AS INTEGER) + 1] AS kind,
          strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_id % 100 AS user_id,
@@ -201,6 +201,13 @@ intake_raw AS (
          c_mktsegment AS marketplace, CAST(NULL AS VARCHAR) AS toko,
          'SN-C' || CAST(c_custkey AS VARCHAR) AS serial_number, 'Keluhan ' || c_mktsegment AS keluhan,
          CAST(NULL AS VARCHAR) AS kode_barang, CAST(NULL AS BIGINT) AS product_id, c_custkey % 100 AS created_by,
+         ' Jl. ' || c_name AS customer_alamat, ' c' || CAST(c_custkey AS VARCHAR) || '@mail ' AS customer_email,
+         lower(n_name) AS customer_provinsi, 'INV-' || CAST(c_custkey AS VARCHAR) AS nomor_invoice,
+         CASE WHEN c_custkey % 2 = 0 THEN '/uploads/f' || CAST(c_custkey AS VARCHAR) END AS faktur_path,
+         CASE WHEN c_custkey % 3 = 0 THEN '/uploads/p' || CAST(c_custkey AS VARCHAR) END AS foto_produk_path,
+         CASE WHEN c_custkey % 5 = 0 THEN '/uploads/v' || CAST(c_custkey AS VARCHAR) END AS video_path,
+         CASE WHEN c_custkey % 7 = 0 THEN '/uploads/k' || CAST(c_custkey AS VARCHAR) END AS foto_kerusakan_path,
+         CASE WHEN c_custkey % 11 = 0 THEN 'OWN-' || CAST(c_custkey AS VARCHAR) WHEN c_custkey % 11 = 1 THEN '' END AS ticket_no,
          '' AS tanggal_complaint,
          '2001-07-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS tanggal_pembelian
   FROM customer JOIN nation ON c_nationkey = n_nationkey

@@ -304,12 +304,12 @@ class ChangeBatches:
 
     @cached_property
     def changes(self) -> DataFrame:
-        """Ticket transitions: one per event, ticket = the event's user id."""
+        """Ticket transitions: one per event, ticket = the event's user id, or an id that no ticket has."""
         e = self.v.table("events")
         i, et, uid = F.col("event_id"), F.col("event_type"), F.col("user_id")
         kind = F.element_at(F.array(*[F.lit(k) for k in self.KINDS]), (i % 11 + 1).cast("int"))
         return e.select(
-            i.alias("seq"), uid.alias("ticket_id"), kind.alias("kind"),
+            i.alias("seq"), F.when(i % 17 == 0, -1 - uid).otherwise(uid).alias("ticket_id"), kind.alias("kind"),
             F.date_format("ts", TS_FMT).alias("ts"), (i % 100).alias("user_id"),
             F.when(et != "error", F.concat(F.lit("catatan "), _s(i))).alias("text"),
             F.when(kind == "approve", F.when(et == "view", F.lit("Lainnya"))
@@ -335,6 +335,13 @@ class ChangeBatches:
             F.concat(F.lit("SN-C"), _s(k)).alias("serial_number"),
             F.concat(F.lit("Keluhan "), F.col("c_mktsegment")).alias("keluhan"),
             F.lit(None).cast("string").alias("kode_barang"), F.lit(None).cast("long").alias("product_id"),
+            F.concat(F.lit(" Jl. "), "c_name").alias("customer_alamat"), F.concat(F.lit(" c"), _s(k), F.lit("@mail ")).alias("customer_email"),
+            F.lower("n_name").alias("customer_provinsi"), F.concat(F.lit("INV-"), _s(k)).alias("nomor_invoice"),
+            F.when(k % 2 == 0, F.concat(F.lit("/uploads/f"), _s(k))).alias("faktur_path"),
+            F.when(k % 3 == 0, F.concat(F.lit("/uploads/p"), _s(k))).alias("foto_produk_path"),
+            F.when(k % 5 == 0, F.concat(F.lit("/uploads/v"), _s(k))).alias("video_path"),
+            F.when(k % 7 == 0, F.concat(F.lit("/uploads/k"), _s(k))).alias("foto_kerusakan_path"),
+            F.when(k % 11 == 0, F.concat(F.lit("OWN-"), _s(k))).when(k % 11 == 1, F.lit("")).alias("ticket_no"),
             (k % 100).alias("created_by"), F.lit("").alias("tanggal_complaint"),
             F.concat(F.lit("2001-07-"), F.lpad(_s(k % 28 + 1), 2, "0")).alias("tanggal_pembelian"))
 

@@ -51,6 +51,56 @@ def test_transitions_order_and_guards(spark):
     assert (reset_log.old_status, reset_log.new_status, reset_log.decision) == ("waiting", "approval", "")
 
 
+def test_unknown_tickets_still_write_their_rows(spark):
+    t = S.rows(spark, S.TICKETS, [_ticket(id=1, status="waiting", ticket_no="SC-2024-000001", created_by=3)])
+    rows = [("analysis", {}), ("followup", {}), ("reset", {}), ("approve", {"decision": "Servis"}), ("reject", {}),
+            ("calendar_schedule", {"teknisi_id": 2, "tanggal": "a", "jam": "b"}), ("schedule", {}), ("close", {})]
+    ch = S.rows(spark, S.CHANGES, [{"seq": i, "ticket_id": 77, "kind": k, "ts": "x", "user_id": 9, **more}
+                                   for i, (k, more) in enumerate(rows)])
+    ev = CH.emit_events(t, ch).collect()
+    # follow-up and reset look for the ticket first; the schedule without its values is refused for any ticket
+    assert sorted(r.seq for r in ev if r.target == "activity_log") == [0, 3, 4, 5, 7]
+    assert sorted((r.seq, r.old_status, r.new_status) for r in ev if r.target == "approval_logs") == [
+        (3, "approval", "waiting"), (4, "approval", "rejected")]
+    users = S.rows(spark, S.USERS, [{"id": 1, "role": "cs"}, {"id": 2, "role": "admin"}])
+    n = CH.emit_notifications(t, ch, users, S.rows(spark, S.SCHEDULES, [])).collect()
+    assert sorted((r.seq, r.user_id, r.role) for r in n if r.seq < 3) == [(0, None, "management")]
+    assert [r.message for r in n if r.seq == 4 and r.user_id == 1] == ["Ticket #77 ditolak Management"]
+    assert CH.apply_transitions(t, ch).collect() == t.collect()
+
+
+def test_followups_are_numbered_in_order(spark):
+    t = S.rows(spark, S.TICKETS, [_ticket(id=1, follow_up_count=2, admin_analysis="a"), _ticket(id=2, follow_up_count=None)])
+    ch = S.rows(spark, S.CHANGES, [{"seq": s, "ticket_id": 1, "kind": "followup", "text": f"n{s}", "ts": f"t{s}"} for s in (5, 3)])
+    r = CH.followup_apply(t, ch).collect()
+    assert [(x.id, x.status, x.follow_up_count, x.admin_analysis, x.updated_at) for x in r] == [
+        (1, "approval", 4, "a\n[Follow-up #3] n3\n[Follow-up #4] n5", "t5")]
+
+
+def test_schedule_replay_with_cancellations(spark):
+    old = S.rows(spark, S.SCHEDULES, [{"id": 4, "ticket_id": 1, "teknisi_id": 6, "created_by": 1},
+                                      {"id": 9, "ticket_id": 2, "teknisi_id": 6, "created_by": 1}])
+    log = [(1, 1, "schedule", 2), (2, 2, "cancel_schedule", None), (3, 3, "calendar_schedule", 3), (4, 3, "cancel_schedule", None),
+           (5, 2, "schedule", 5), (6, 2, "calendar_schedule", 7), (7, 2, "schedule", None), (8, 4, "close", None)]
+    df = spark.createDataFrame([(s, t, k, tek, "2024-01-02", "10:00", "n", 100 + s, f"t{s}") for s, t, k, tek in log],
+                               "seq long, ticket_id long, kind string, teknisi_id long, tanggal string, jam string, "
+                               "notes string, user_id long, ts string")
+    got = sorted((r.id, r.ticket_id, r.teknisi_id, r.created_by, r.created_at) for r in CH.schedule_replay(old, df).collect())
+    # ticket 1 updated, ticket 2 deleted and inserted again by request 5, ticket 3 gone
+    assert got == [(4, 1, 2, 1, None), (10, 2, 7, 105, "t5")]
+
+
+def test_intake_keeps_given_numbers_and_columns(spark):
+    raw = spark.createDataFrame([(1, "A", "k", "OWN-1", " x@y ", "/f"), (2, "B", "k", "", None, None), (3, "C", "", None, None, None),
+                                 (4, "D", "k", None, None, None)],
+                                "k long, customer_name string, keluhan string, ticket_no string, customer_email string, faktur_path string")
+    for c, ty in [("tanggal_complaint", "string"), ("tanggal_pembelian", "string"), ("product_id", "long"), ("created_by", "long")]:
+        raw = raw.withColumn(c, F.lit(None).cast(ty))
+    got = sorted((r.id, r.ticket_no, r.customer_email, r.faktur_path, r.nomor_invoice)
+                 for r in CH.ticket_intake(S.rows(spark, S.TICKETS, []), raw, NOW, ["k"]).collect())
+    assert got == [(1, "OWN-1", "x@y", "/f", ""), (2, "SC-2024-000001", "", None, ""), (3, "SC-2024-000002", "", None, "")]
+
+
 def test_transitions_keep_ticket_count(spark):
     t = S.rows(spark, S.TICKETS, [_ticket(id=i, status="waiting") for i in range(5)])
     ch = S.rows(spark, S.CHANGES, [{"seq": i, "ticket_id": i % 3, "kind": "close", "ts": "x", "user_id": 1}
