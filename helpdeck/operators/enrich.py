@@ -156,10 +156,11 @@ def pending_approval(tickets: DataFrame, products: DataFrame, k: int | None = 5)
     """F5 tickets awaiting approval, newest first (top k, or all when k is None)."""
     t = tickets.filter(F.col("status") == "approval").select(
         "id", "ticket_no", "customer_name", "keluhan", "created_at", "admin_analysis", "product_id")
-    t = t.orderBy(F.desc("created_at"), F.desc("id"))
+    newest = [F.desc("created_at"), F.desc("id")]
     if k is not None:
-        t = t.limit(k)
-    return with_product(t, products, "nama_produk").drop("product_id")
+        t = t.orderBy(*newest).limit(k)
+    # the joins after the cap do not keep its order
+    return with_product(t, products, "nama_produk").drop("product_id").orderBy(*newest)
 
 
 def approval_queue(tickets: DataFrame, products: DataFrame, users: DataFrame) -> DataFrame:
@@ -180,7 +181,8 @@ def processed_approvals(tickets: DataFrame, products: DataFrame, users: DataFram
     t = with_user_name(t, users, "created_by", "created_by_name")
     t = with_user_name(t, users, "approved_by", "approved_by_name")
     return t.drop("product_id", "created_by", "approved_by") \
-            .withColumn("outcome_label", approval_outcome_label(F.col("status")))
+            .withColumn("outcome_label", approval_outcome_label(F.col("status"))) \
+            .orderBy(F.desc("updated_at"), F.desc("id"))
 
 
 # ------------------------------------------------------------------ C15 - C17, F3
@@ -199,7 +201,7 @@ def approval_history(approval_logs: DataFrame, tickets: DataFrame, users: DataFr
         dash_if_blank("decision").alias("decision_display"),
         F.when(F.coalesce(F.col("comment"), F.lit("")) != "", truncate("comment", 100))
          .otherwise(F.lit("-")).alias("comment_display"),
-        dash_if_blank("user_name").alias("user_display"))
+        dash_if_blank("user_name").alias("user_display")).orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def activity_timeline(activity_log: DataFrame, users: DataFrame) -> DataFrame:
@@ -265,10 +267,10 @@ def setting_lookup(settings: DataFrame, requests: DataFrame) -> DataFrame:
     return j.withColumn("value", F.coalesce(F.col("_value"), F.lit(""))).drop("_value")
 
 
-def log_details(debug_logs: DataFrame) -> DataFrame:
-    """H33 JSON text in: each debug log's ``detail`` parsed as a JSON object
-    of integers (NULL when the text is not such an object)."""
-    parsed = F.from_json(F.col("detail"), "map<string,bigint>")
-    return debug_logs.select("id", "type", parsed.alias("detail_map")) \
-        .select("id", "type", F.col("detail_map")["k"].alias("detail_k"),
-                F.size(F.map_keys("detail_map")).alias("detail_fields"))
+def log_details(debug_logs: DataFrame, fields: dict[str, str]) -> DataFrame:
+    """H33 JSON text in: of each debug log's ``detail`` the number of members
+    (NULL where it is no JSON object) and the values at the given JSON paths
+    (``fields``: column -> path) as text, NULL where absent."""
+    return debug_logs.select(
+        "id", "type", F.size(F.json_object_keys("detail")).alias("detail_fields"),
+        *[F.get_json_object("detail", path).alias(c) for c, path in fields.items()])

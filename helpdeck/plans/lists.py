@@ -614,9 +614,10 @@ def setting_lookup(spark, sf_dir):
 
 
 @query("log_details", """
-SELECT id, type, CAST(json_extract(detail, '$.k') AS BIGINT) AS detail_k,
-       CAST(len(json_keys(detail)) AS INTEGER) AS detail_fields
-FROM debug_logs
+, j AS (SELECT id, type, CASE WHEN json_valid(detail) THEN CAST(detail AS JSON) END AS d FROM debug_logs)
+SELECT id, type, CAST(len(json_keys(d)) AS INTEGER) AS detail_fields, json_extract_string(d, '$.k') AS k,
+       json_extract_string(d, '$.body.k') AS body_k, json_extract_string(d, '$.session') AS session_id
+FROM j
 """)
 def log_details(spark, sf_dir):
-    return E.log_details(views(spark, sf_dir).debug_logs)
+    return E.log_details(views(spark, sf_dir).debug_logs, {"k": "$.k", "body_k": "$.body.k", "session_id": "$.session"})

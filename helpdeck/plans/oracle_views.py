@@ -151,7 +151,9 @@ activity_log AS (
 debug_logs AS (
   SELECT event_id AS id,
          event_type || CASE WHEN event_id % 2 = 0 THEN '_start' ELSE '_end' END AS type,
-         'log ' || CAST(event_id AS VARCHAR) AS message, props AS detail,
+         'log ' || CAST(event_id AS VARCHAR) AS message, CASE event_id % 4 WHEN 0 THEN props
+            WHEN 1 THEN '{{"body": ' || props || ', "session": ' || CAST(event_id % 100 AS VARCHAR) || '}}'
+            WHEN 2 THEN 'phone=0812 error=' || CAST(event_id AS VARCHAR) END AS detail,
          strftime(ts, '%Y-%m-%d %H:%M:%S') AS created_at
   FROM events
 ),

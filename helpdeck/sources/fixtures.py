@@ -58,6 +58,12 @@ def shape_notifications(e: DataFrame) -> DataFrame:
         F.date_format("ts", TS_FMT).alias("created_at"))
 
 
+def shape_notification_log(e: DataFrame) -> DataFrame:
+    """Each notification's creation and, where it has been read, its reading."""
+    both = F.array(F.lit("created"), F.when(F.col("is_read") == 1, F.lit("read")))
+    return shape_notifications(e).select("id", "user_id", "role", F.explode(F.array_compact(both)).alias("event"))
+
+
 def shape_approval_logs(events: DataFrame) -> DataFrame:
     e = events.filter(F.col("event_type").isin("purchase", "error", "signup"))
     et = F.col("event_type")
@@ -258,7 +264,9 @@ class TicketViews:
             i.alias("id"),
             F.concat(F.col("event_type"), F.when(i % 2 == 0, F.lit("_start")).otherwise(F.lit("_end"))).alias("type"),
             F.concat(F.lit("log "), _s(i)).alias("message"),
-            F.col("props").alias("detail"),
+            F.when(i % 4 == 0, F.col("props"))
+             .when(i % 4 == 1, F.concat(F.lit('{"body": '), "props", F.lit(', "session": '), _s(i % 100), F.lit("}")))
+             .when(i % 4 == 2, F.concat(F.lit("phone=0812 error="), _s(i))).alias("detail"),
             F.date_format("ts", TS_FMT).alias("created_at"))
 
     @cached_property

@@ -1,10 +1,11 @@
 """Structured Streaming versions of three polled/timed rules.
 
 * J1 ``stream_unread``: running unread count per recipient (a user id or a
-  role) - each notification adds one when created and removes it when read.
+  role) over the notification log - 'created' adds one, 'read' takes one away.
 * J2 ``stream_burst_failures``: failed attempts per address in 15-minute
   tumbling windows (event time, watermark), reported at >= 10. This is the
-  simple form; the exact limiter (success clears, counting stops once
+  simple form; rows later than the watermark are not counted, and their number
+  is logged. The exact limiter (success clears, counting stops once
   blocked) needs ordered state and is the batch operator
   ``helpdeck.operators.delivery.burst_failures``.
 * J3 ``stream_latest_status``: current ticket status from the approval log
@@ -20,14 +21,17 @@ so a restarted query resumes where it stopped.
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from helpdeck.session import scratch_path
-from helpdeck.sources.fixtures import shape_approval_logs, shape_attempts, shape_notifications
+from helpdeck.sources.fixtures import shape_approval_logs, shape_attempts, shape_notification_log
 
 WATERMARK = "15 minutes"
+log = logging.getLogger(__name__)
 
 
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -56,12 +60,21 @@ def recipients(notifications: DataFrame) -> Column:
 
 
 def unread_by_recipient(notifications: DataFrame) -> DataFrame:
-    """J1 unread count per recipient key: +1 on creation, -1 once read."""
+    """J1 unread count per recipient key of the notifications table as it is."""
     delta = F.lit(1) - F.col("is_read")
     return (notifications.select(recipients(notifications).alias("recipient"), delta.alias("delta"))
             .groupBy("recipient").agg(F.sum("delta").cast("long").alias("unread")))
 
 
+def unread_from_log(log_rows: DataFrame) -> DataFrame:
+    """J1 unread count per recipient key from the notification log (user_id, role, event): +1 for 'created', -1 for
+    'read'. The log holds one 'read' row per notification that turns from unread to read (what ``mark_read`` changes),
+    so the state is one number per recipient and the rows may come in any order."""
+    delta = F.when(F.col("event") == "created", 1).when(F.col("event") == "read", -1).otherwise(0)
+    return (log_rows.select(recipients(log_rows).alias("recipient"), delta.alias("delta"))
+            .groupBy("recipient").agg(F.sum("delta").cast("long").alias("unread")))
+
+
 def latest_status(approval_logs: DataFrame) -> DataFrame:
     """J3 current status per ticket: the newest log row by (created_at, id)."""
     last = F.max_by(F.struct("new_status", "created_at", "id"), F.struct("created_at", "id"))
@@ -106,6 +119,9 @@ def run_update_stream(spark: SparkSession, agg: DataFrame, keys: list[str], name
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True)
          .start())
     q.awaitTermination()
+    dropped = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
+    if dropped:
+        log.warning("%s: %d rows came later than the watermark and are not counted", name, dropped)
     cols = [c for c in agg.columns if c not in keys]
     schema = T.StructType(list(agg.schema.fields) + [T.StructField("_batch", T.LongType())])
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{data}/batch_none")  # so an empty source has a result
@@ -114,17 +130,20 @@ def run_update_stream(spark: SparkSession, agg: DataFrame, keys: list[str], name
     return written.groupBy(*keys).agg(last.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
-def stream_unread(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    n = shape_notifications(read_table_stream(spark, sf_dir, "events"))
-    return run_update_stream(spark, unread_by_recipient(n), ["recipient"], "unread", path)
+def stream_unread(spark: SparkSession, sf_dir: str, path: str | None = None, max_files: int | None = None) -> DataFrame:
+    n = shape_notification_log(read_table_stream(spark, sf_dir, "events", max_files))
+    return run_update_stream(spark, unread_from_log(n), ["recipient"], "unread", path)
 
 
-def stream_latest_status(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
-    logs = shape_approval_logs(read_table_stream(spark, sf_dir, "events"))
+def stream_latest_status(spark: SparkSession, sf_dir: str, path: str | None = None,
+                         max_files: int | None = None) -> DataFrame:
+    logs = shape_approval_logs(read_table_stream(spark, sf_dir, "events", max_files))
     return run_update_stream(spark, latest_status(logs), ["ticket_id"], "latest_status", path)
 
 
 def stream_burst_failures(spark: SparkSession, sf_dir: str, threshold: int = 10,
-                          path: str | None = None) -> DataFrame:
-    a = shape_attempts(read_table_stream(spark, sf_dir, "events"))
-    return run_update_stream(spark, failure_windows(a, threshold), ["address", "period_start"], "bursts", path)
+                          path: str | None = None, max_files: int | None = None,
+                          watermark: str | None = WATERMARK) -> DataFrame:
+    """``watermark``: how late a row may come; None counts every row and keeps every window's state."""
+    a = shape_attempts(read_table_stream(spark, sf_dir, "events", max_files))
+    return run_update_stream(spark, failure_windows(a, threshold, watermark=watermark), ["address", "period_start"], "bursts", path)

@@ -23,3 +23,29 @@ def test_latest_status_stream_equals_batch(spark, tmp_path):
     got = sorted(map(tuple, S.stream_latest_status(spark, SF, str(tmp_path / "ls")).collect()))
     want = sorted(map(tuple, S.latest_status(TicketViews(spark, SF).approval_logs).collect()))
     assert got == want
+
+
+def test_streams_over_several_micro_batches(spark, tmp_path):
+    """A table of three parts, one per micro-batch, newest events first."""
+    src = tmp_path / "src"
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    cut = sorted(r.ts for r in events.select("ts").collect())
+    lo, hi = cut[len(cut) // 3], cut[2 * len(cut) // 3]
+    for part in (events.ts > hi, (events.ts > lo) & (events.ts <= hi), events.ts <= lo):
+        events.filter(part).coalesce(1).write.mode("append").parquet(str(src / "events.parquet"))
+    v = TicketViews(spark, SF)
+    unread = S.stream_unread(spark, str(src), str(tmp_path / "u"), max_files=1)
+    assert len(os.listdir(tmp_path / "u" / "data")) == 4        # three batches and the empty one
+    assert sorted(map(tuple, unread.collect())) == sorted(map(tuple, S.unread_by_recipient(v.notifications).collect()))
+    status = S.stream_latest_status(spark, str(src), str(tmp_path / "s"), max_files=1)
+    assert sorted(map(tuple, status.collect())) == sorted(map(tuple, S.latest_status(v.approval_logs).collect()))
+    bursts = S.stream_burst_failures(spark, str(src), 1, str(tmp_path / "b"), max_files=1, watermark=None)
+    want = S.failure_windows(v.attempts, 1, watermark=None)
+    assert sorted(map(tuple, bursts.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_read_events_take_unread_away(spark):
+    rows = [(1, 7, None, "created"), (2, 7, None, "created"), (3, None, "admin", "created"), (1, 7, None, "read"),
+            (3, None, "admin", "read")]
+    df = spark.createDataFrame(rows, "id long, user_id long, role string, event string")
+    assert sorted(map(tuple, S.unread_from_log(df).collect())) == [("role:admin", 0), ("user:7", 1)]
