@@ -41,6 +41,14 @@ def ship(spark: SparkSession) -> None:
     sc._helpdeck_shipped = True
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Arrow batches of at most ``rows`` rows where the session has not said how many: a task and its Python worker each
+    hold a batch going in and one coming out, and whole texts are in them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, rows)
+
+
 def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All values of a string column as one byte array and its offsets (null: empty)."""
     if isinstance(arr, pa.ChunkedArray):
