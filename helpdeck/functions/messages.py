@@ -18,6 +18,9 @@ APPROVED = "✅ *TICKET DISETUJUI*\n\nTicket: {no}\n\nManagement telah menyetuju
 REJECTED = "❌ *TICKET DITOLAK*\n\nTicket: {no}\n\nManagement telah menolak ticket."
 SCHEDULED = "\U0001F4C5 *JADWAL KUNJUNGAN BARU*\n\nTicket: {no}\nTanggal: {tanggal}\nJam: {jam}\n\nSilakan cek aplikasi {app} untuk detail."
 SCHEDULE_CANCELLED = "⚠️ *JADWAL DIBATALKAN*\n\nTicket: {no}\n\nJadwal kunjungan telah dibatalkan."
+VOUCHER = ("*{brand} - VOUCHER GARANSI*\n\nYth. {customer},\n\nVoucher garansi untuk ticket {no} telah diterbitkan.\n\n"
+           "No. Voucher: {voucher}\nKeputusan: {decision}\n\nScan QR atau buka link berikut untuk verifikasi:\n{link}\n\n"
+           "Terima kasih telah mempercayakan produk Anda kepada kami.\n\n*{company}*")
 LINK_PATHS = {"approval_needed": "/management/approval", "approved": "/admin/tickets",
               "rejected": "/admin/tickets", "scheduled": "/teknisi/dashboard",
               "schedule_cancelled": "/teknisi/dashboard"}
@@ -46,3 +49,11 @@ def message(kind: str, base_url=None, app_name: str = "Service Desk", **fields)
     """Template text for ``kind`` plus the app link (H19; '' without base URL)."""
     return F.concat(render(TEMPLATES[kind], app_name, **fields),
                     app_link(lit_or_col(base_url), F.lit(LINK_PATHS[kind])))
+
+
+def voucher_message(brand: str, company: str, base_url: str, **fields) -> Column:
+    """The text sent with a voucher; ``fields``: customer, no, voucher, decision, token. NULLs read 'null', as the
+    reference writes them; the names and the address of the public page are parameters."""
+    known = {k: F.coalesce(as_col(v).cast("string"), F.lit("null")) for k, v in fields.items()}
+    link = F.concat(F.lit(base_url.rstrip("/") + "/voucher/"), known.pop("token"))
+    return render(VOUCHER, brand=F.lit(brand), company=F.lit(company), link=link, **known)

@@ -13,7 +13,7 @@ from helpdeck.operators import enrich as E
 from helpdeck.operators import filters as FL
 from helpdeck.operators import progress as P
 from helpdeck.plans.catalog import query, views
-from helpdeck.plans.oracle_views import sql
+from helpdeck.plans.oracle_views import sql, sql_changes
 from helpdeck.sources.fixtures import TICKET_NOW
 
 NOW_SQL = f"TIMESTAMP '{TICKET_NOW}'"
@@ -554,37 +554,67 @@ def _render_messages_sql() -> str:
     rej = _msg_sql(M.REJECTED, no="t.ticket_no") + " || " + link("rejected")
     need = _msg_sql(M.APPROVAL_NEEDED, no="t.ticket_no", customer="t.customer_name") + " || " + link("approval_needed")
     sch = _msg_sql(M.SCHEDULED, no="t.ticket_no", tanggal="s.tanggal", jam="s.jam") + " || " + link("scheduled")
+    gone = _msg_sql(M.SCHEDULE_CANCELLED, no="t.ticket_no") + " || " + link("schedule_cancelled")
+    voucher = _msg_sql(M.VOUCHER, brand="'Desk'", company="'Desk Ltd'", no="t.ticket_no", voucher="v.voucher_no",
+                       customer="COALESCE(v.customer_name, 'null')", decision="COALESCE(v.decision, 'null')",
+                       link=f"'{base}/voucher/' || v.qr_token")
     return f"""
-SELECT 'approval_log' AS source, al.id AS source_id,
-       CASE al.action WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'approval_needed' END AS kind,
-       CASE al.action WHEN 'approve' THEN {appr} WHEN 'reject' THEN {rej} ELSE {need} END AS text
-FROM approval_logs al JOIN tickets t ON al.ticket_id = t.id
+SELECT 'approval_log' AS source, al.id AS source_id, CASE al.action WHEN 'approve' THEN 'approved' ELSE 'rejected' END AS kind,
+       CASE al.action WHEN 'approve' THEN {appr} ELSE {rej} END AS text
+FROM approval_logs al JOIN tickets t ON al.ticket_id = t.id WHERE al.action IN ('approve', 'reject')
 UNION ALL
 SELECT 'schedule', s.id, 'scheduled', {sch}
 FROM schedules s JOIN tickets t ON s.ticket_id = t.id
+UNION ALL
+SELECT 'change', c.seq, 'approval_needed', {need}
+FROM changes c JOIN tickets t ON c.ticket_id = t.id WHERE c.kind IN ('analysis', 'followup')
+UNION ALL
+SELECT 'change', c.seq, 'schedule_cancelled', {gone}
+FROM changes c JOIN tickets t ON c.ticket_id = t.id
+WHERE c.kind = 'cancel_schedule' AND EXISTS (SELECT 1 FROM schedules s WHERE s.ticket_id = c.ticket_id)
+UNION ALL
+SELECT 'voucher', v.id, 'voucher', {voucher}
+FROM service_vouchers v JOIN tickets t ON v.ticket_id = t.id WHERE t.customer_hp <> ''
 """
 
 
-@query("render_messages", "", builder=lambda _body: sql(_render_messages_sql()))
+@query("render_messages", "", builder=lambda _body: sql_changes(_render_messages_sql()))
 def render_messages(spark, sf_dir):
-    """H18: WhatsApp texts for every approval decision (approved / rejected /
-    approval needed) and every schedule (scheduled), with app links."""
+    """H18 message texts with links: of every approval and rejection (a reset sends none), schedule, analysis and
+    follow-up (approval needed), cancellation of a ticket with a schedule in the table as given, and voucher of a
+    ticket with a phone."""
+    from helpdeck.functions.messages import voucher_message
+    from helpdeck.sources.fixtures import ChangeBatches
+
     v = views(spark, sf_dir)
-    t = v.tickets.select(F.col("id").alias("_tid"), "ticket_no", "customer_name")
-    al = v.approval_logs.join(t, F.col("ticket_id") == F.col("_tid"))
-    kind = (F.when(F.col("action") == "approve", "approved").when(F.col("action") == "reject", "rejected")
-            .otherwise("approval_needed"))
     base = "https://desk.example.org/"
-    txt = (F.when(kind == "approved", message("approved", base, no=F.col("ticket_no")))
-           .when(kind == "rejected", message("rejected", base, no=F.col("ticket_no")))
-           .otherwise(message("approval_needed", base, no=F.col("ticket_no"), customer=F.col("customer_name"))))
-    a = al.select(F.lit("approval_log").alias("source"), F.col("id").alias("source_id"), kind.alias("kind"),
-                  txt.alias("text"))
-    s = v.schedules.join(t, F.col("ticket_id") == F.col("_tid"))
-    b = s.select(F.lit("schedule").alias("source"), F.col("id").alias("source_id"), F.lit("scheduled").alias("kind"),
-                 message("scheduled", base, no=F.col("ticket_no"), tanggal=F.col("tanggal"), jam=F.col("jam"))
-                 .alias("text"))
-    return a.unionByName(b)
+    no = F.col("ticket_no")
+    t = v.tickets.select(F.col("id").alias("_tid"), "ticket_no", F.col("customer_name").alias("_customer"),
+                         F.col("customer_hp").alias("_phone"))
+
+    def texts(rows, source: str, source_id: str, kind, text):
+        return rows.join(t, F.col("ticket_id") == F.col("_tid")).select(
+            F.lit(source).alias("source"), F.col(source_id).alias("source_id"), kind.alias("kind"), text.alias("text"))
+
+    approved = F.col("action") == "approve"
+    out = texts(v.approval_logs.filter(F.col("action").isin("approve", "reject")), "approval_log", "id",
+                F.when(approved, "approved").otherwise("rejected"),
+                F.when(approved, message("approved", base, no=no)).otherwise(message("rejected", base, no=no)))
+    changes = ChangeBatches(v).changes
+    scheduled = v.schedules.select("ticket_id")
+    for part in (
+            texts(v.schedules, "schedule", "id", F.lit("scheduled"),
+                  message("scheduled", base, no=no, tanggal=F.col("tanggal"), jam=F.col("jam"))),
+            texts(changes.filter(F.col("kind").isin("analysis", "followup")), "change", "seq", F.lit("approval_needed"),
+                  message("approval_needed", base, no=no, customer=F.col("_customer"))),
+            texts(changes.filter(F.col("kind") == "cancel_schedule").join(scheduled, "ticket_id", "left_semi"), "change", "seq",
+                  F.lit("schedule_cancelled"), message("schedule_cancelled", base, no=no)),
+            texts(v.service_vouchers, "voucher", "id", F.lit("voucher"),
+                  F.when(F.col("_phone") != "", voucher_message(
+                      "Desk", "Desk Ltd", base, customer="customer_name", no=no, voucher="voucher_no", decision="decision",
+                      token="qr_token"))).filter(F.col("text").isNotNull())):
+        out = out.unionByName(part)
+    return out
 
 
 @query("voucher_lookup", """
