@@ -2,7 +2,7 @@
 
 DataFrame functions only.  Everything about one document is array arithmetic
 inside its row; what meets across documents is one row per (document, line),
-pre-aggregated by (host, line, surroundings) before each shuffle.  The hot
+pre-aggregated by (host, line, text) before each shuffle.  The hot
 keys (a line, a host) are only ever grouped with partial aggregation.
 """
 
@@ -82,46 +82,28 @@ OUT_BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 def document_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row per line with a word: ``k1, k2`` (the row's key), ``host, line`` (hash of the
-    normalised line), ``around`` (hash of the lines before and after), ``words``, ``first`` (1 at
-    the line's first place in its document)."""
+    normalised line), ``content`` (hash of the whole text), ``words``."""
     one = F.transform(F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1),
                                lambda x: F.btrim(x, F.lit(WS_CHARS)) != ""),
                       lambda x: F.struct(F.xxhash64(line_key(x)).alias("line"), F.size(words_of(x)).alias("words")))
-    d = docs.select(*row_key("doc_id", host_col, text_col), F.col(host_col).alias("host"), one.alias("_l"))
-    d = d.withColumn("_n", F.size("_l"))
-    edge = F.array(F.lit(None).cast("bigint"))
-    d = d.withColumn("_s", F.sort_array(F.transform(
-        F.arrays_zip(F.col("_l.line").alias("line"),
-                     F.concat(edge, F.col("_l.line")).alias("before"),
-                     F.concat(F.slice(F.col("_l.line"), 2, F.greatest(F.col("_n") - 1, F.lit(0))), edge).alias("after"),
-                     F.col("_l.words").alias("words")),
-        lambda x, i: F.struct(x["line"].alias("line"), i.alias("i"), F.xxhash64(x["before"], x["after"]).alias("around"),
-                              x["words"].alias("words"))))).drop("_l")
-    # the concatenation of `before` is one longer: its last entry has no line and sorts first (null)
-    d = d.withColumn("_s", F.filter("_s", lambda x: x["line"].isNotNull()))
-    d = d.select("k1", "k2", "host", F.explode(F.arrays_zip(
-        F.col("_s").alias("s"), F.concat(edge, F.col("_s.line")).alias("p"))).alias("x"))
-    d = d.where(F.col("x.s").isNotNull())
-    return d.select("k1", "k2", "host", F.col("x.s.line").alias("line"), F.col("x.s.around").alias("around"),
-                    F.col("x.s.words").cast("long").alias("words"),
-                    F.when(F.col("x.p") == F.col("x.s.line"), 0).otherwise(1).cast("long").alias("first"))
-
-
-def frequent_lines(lines: DataFrame, max_docs: int, min_variety: float) -> DataFrame:
-    """``host, line`` of the lines above the limits: in more than ``max_docs`` documents of the
-    host, and in different surroundings for at least ``min_variety`` of these (so a document that
-    was copied often does not make its own lines frequent)."""
-    spots = lines.groupBy("host", "line", "around").agg(F.sum("first").alias("n")).where("n > 0")
-    counts = spots.groupBy("host", "line").agg(F.sum("n").alias("n_docs"), F.count("*").alias("n_around"))
-    return counts.where((F.col("n_docs") > max_docs) & (F.col("n_around") >= min_variety * F.col("n_docs"))).select("host", "line")
+    d = docs.select(*row_key("doc_id", host_col, text_col), F.col(host_col).alias("host"),
+                    F.xxhash64(F.col(text_col)).alias("content"), F.explode(one).alias("x"))
+    return d.select("k1", "k2", "host", F.col("x.line").alias("line"), "content", F.col("x.words").cast("long").alias("words"))
+
+
+def frequent_lines(lines: DataFrame, max_docs: int) -> DataFrame:
+    """``host, line`` of the lines above the limit: in more than ``max_docs`` different texts of the
+    host (copies of a document count once, so they do not make its own lines frequent)."""
+    texts = lines.select("host", "line", "content").distinct()
+    return texts.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs).select("host", "line")
 
 
 def line_verdicts(docs: DataFrame, host_col: str = "source", text_col: str = "text", max_docs: int = 50,
-                  min_variety: float = 0.5, min_left: float = 0.3) -> DataFrame:
+                  min_left: float = 0.3) -> DataFrame:
     """Per document with frequent lines: ``k1, k2, removed_words, removed_lines`` (distinct line
     hashes) and ``depleted`` (less than ``min_left`` of its words remain)."""
     lines = document_lines(docs, host_col, text_col)
-    hit = frequent_lines(lines, max_docs, min_variety).select(
+    hit = frequent_lines(lines, max_docs).select(
         F.col("host").alias("_host"), F.col("line").alias("_line"), F.lit(True).alias("_hit"))
     per = (lines.join(hit, (F.col("line") == F.col("_line")) & F.col("host").eqNullSafe(F.col("_host")), "left")
            .groupBy("k1", "k2").agg(

@@ -434,6 +434,22 @@ def test_quality_matches_sql(spark, tmp_path, empty):
     assert quality(empty.drop("n_words")).count() == 0
 
 
+def test_lines_inside_boilerplate_blocks_are_removed(spark):
+    from helpdeck.llm.quality_lines import apply_quality, quality
+
+    footer = ["All rights reserved by the desk.", "Terms of use and privacy.", "Call us on 555 1234."]
+    block = [f"{' '.join(prose(4, vocabulary=10**6).split())} menu" for _ in range(30)]
+    texts = ["\n".join([prose(60, vocabulary=10**6), *footer]) for _ in range(60)]
+    texts += ["\n".join([*block, prose(12, vocabulary=10**6)]) for _ in range(60)]
+    copied = "\n".join(prose(20, vocabulary=10**6) for _ in range(5))
+    d = frame(spark, texts + [copied] * 60)
+    got = {r.doc_id: r for r in quality(d).collect()}
+    assert all(got[i].kept and got[i].removed_words == sum(len(x.split()) for x in footer) for i in range(60))
+    assert not any(got[i].kept for i in range(60, 120)) and all(got[i].kept and not got[i].removed_words for i in range(120, 180))
+    out = {r.doc_id: r.text for r in apply_quality(d).collect()}
+    assert set(out) == {*range(60), *range(120, 180)} and all(out[i] == texts[i].split("\n")[0] for i in range(60))
+
+
 def test_quality_base_by_hand(spark):
     import re
 
