@@ -295,7 +295,9 @@ def _open_pairs(turn: int, listed: int = 64, share: int = 4):
             js = np.arange(i + 1, m.until[i])
             js = js[m.component[js] != m.component[i]]
             if len(js):
-                js = m.near(i, js[~covered[js]])
+                js = m.near(i, js if not held_back else js[~covered[js]])
+                held_back |= bool(covered[js].any())  # members before `start` may cover their partners now
+                js = js[~covered[js]]
                 covered[js] = True
                 out += [(leader, int(m.ids[i]), int(m.ids[j])) for j in js]
         return out + ([(leader, leader, None)] if held_back else [])

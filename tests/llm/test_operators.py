@@ -275,6 +275,22 @@ def test_signatures_of_linked_sets_meet():
                 assert len(np.intersect1d(signatures(a, marks, n2, k2), signatures(b, marks, n2, k2)))
 
 
+def test_neighbourhoods_that_leave_pairs_out_come_again():
+    """Open pairs only between the 41 smallest and the 41 largest members; those in between are far from all."""
+    import pyarrow as pa
+    from helpdeck.llm.jaccard_join import _open_pairs
+
+    size = [100] * 41 + [101] * 18 + [102] * 41
+    bits = [b"\xff" * 64 if n == 101 else b"\0" * 64 for n in size]
+    rows = pa.RecordBatch.from_arrays([pa.array([0] * 100), pa.array(range(100)), pa.array(size), pa.array(bits),
+                                       pa.array([99 if n == 102 else 0 for n in size])], names=["leader", "id", "n", "bits", "component"])
+    for turn in range(4):
+        got = [r for b in _open_pairs(turn)(iter([rows])) for r in b.to_pylist()]
+        pairs = {(r["a"], r["b"]) for r in got if r["b"] is not None}
+        assert pairs and all(a < 41 and b >= 59 for a, b in pairs)
+        assert (len(pairs) == 41 * 41) != any(r["b"] is None for r in got), turn
+
+
 def test_join_odd_ids(spark, empty):
     from helpdeck.llm.jaccard_join import join_groups, keep_one_per_group
 
