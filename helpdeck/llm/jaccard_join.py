@@ -16,7 +16,8 @@ partitions emits all, and one signature for each element too (two such sets shar
 *From signatures to links.*  The sets of a signature become members of one
 neighbourhood (that of the smallest), so a group of ``g`` sets is ``g`` rows.  A neighbourhood's task has its
 members' parities, which bound from below how far two sets differ, and returns only pairs that may link and are not in one
-component yet: all of them if they are few, else those with some leaders. Such pairs are compared
+component yet: all of them if they are few, else those with some leaders. (A large one is compared with its
+least member, then dealt into pairs of blocks by component.) Such pairs are compared
 exactly by their texts, components are found, and neighbourhoods that held
 back pairs come again; each time more pairs may go out, so all are settled in the end.
 """
@@ -250,6 +251,8 @@ class _Members:
         rows.sort(key=lambda r: (r[1], r[0]))
         self.ids, self.size = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64)
         self.component = np.array([r[3] for r in rows], np.int64)
+        self.side = np.array([r[4] if len(r) > 4 else 0 for r in rows], np.int8)
+        self.two_sides = bool(self.side.any())
         self.until = np.searchsorted(self.size, self.size * 4 // 3, side="right")  # sets that could link by size
         width = np.array([len(r[2]) for r in rows])
         self.width, self.bits = width, {}
@@ -258,6 +261,12 @@ class _Members:
             self.bits[w] = (int(np.searchsorted(width, w)), np.stack([x if len(x) == w else x[:w] ^ x[w:] for x in own]).view(np.uint64)
                             if w >= 8 else np.stack([x if len(x) == w else x[:w] ^ x[w:] for x in own]))
 
+    def open(self, i: int) -> np.ndarray:
+        """The larger members that could link with ``i`` by size, in another component (and on the other side, where there are two)."""
+        js = np.arange(i + 1, self.until[i])
+        js = js[self.component[js] != self.component[i]]
+        return js[self.side[js] != self.side[i]] if self.two_sides else js
+
     def near(self, i: int, js: np.ndarray) -> np.ndarray:
         """Those of ``js`` (all larger, at most twice as wide) that may link with ``i``."""
         first, bits = self.bits[int(self.width[i])]
@@ -267,7 +276,7 @@ class _Members:
 
 
 def _open_pairs(turn: int, listed: int = 64, share: int = 4):
-    """Members ``leader, id, size, bits, component`` in the order of ``leader``: ``leader, a, b`` of pairs that may link, in
+    """Members ``leader, id, size, bits, component`` (and, of two blocks, ``side, left, right``) in the order of ``leader`` (and the blocks): ``leader, a, b`` of pairs that may link, in
     different components; ``b`` null marks a neighbourhood that held pairs back."""
 
     def settle(leader: int, rows: list[tuple]) -> list[tuple]:
@@ -276,8 +285,7 @@ def _open_pairs(turn: int, listed: int = 64, share: int = 4):
         if g <= listed or turn:
             pairs, total = [], 0
             for i in range(g - 1):
-                js = np.arange(i + 1, m.until[i])
-                js = js[m.component[js] != m.component[i]]
+                js = m.open(i)
                 if len(js):
                     js = m.near(i, js)
                     total += len(js)
@@ -292,8 +300,7 @@ def _open_pairs(turn: int, listed: int = 64, share: int = 4):
             if covered[i]:
                 held_back = True
                 continue
-            js = np.arange(i + 1, m.until[i])
-            js = js[m.component[js] != m.component[i]]
+            js = m.open(i)
             if len(js):
                 js = m.near(i, js if not held_back else js[~covered[js]])
                 held_back |= bool(covered[js].any())  # members before `start` may cover their partners now
@@ -311,20 +318,49 @@ def _open_pairs(turn: int, listed: int = 64, share: int = 4):
             return done
 
         for batch in batches:
-            for leader, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                if leader != now and held:
-                    out += settle(now, held)
+            for leader, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                key = (leader, *row[5:])
+                if key != now and held:
+                    out += settle(now[0], held)
                     held = []
                     if len(out) > 50_000:
                         yield flush()
-                now = leader
-                held.append(tuple(row))
+                now = key
+                held.append(tuple(row[:5]))
         if held:
-            out += settle(now, held)
+            out += settle(now[0], held)
         yield flush()
     return run
 
 
+def in_blocks(members: DataFrame, block: int) -> DataFrame:
+    """Members ``leader, id, n, bits, component`` dealt to pairs of blocks: also ``side, left, right``.
+
+    A component of more than ``block`` members of a neighbourhood has blocks of its own, about ``block`` members each; the
+    others share blocks.  Blocks of the same large component never meet (their pairs are not open); any other two do, and a
+    shared block meets itself (``left = right``), so each pair in different components has exactly one place.
+    """
+    own = members.groupBy("leader", "component").agg(F.count("*").alias("_n"))
+    large = F.col("_n") > block
+    rest = own.groupBy("leader").agg(F.ceil(F.sum(F.when(large, 0).otherwise(F.col("_n"))) / block).cast("int").alias("_shared"))
+    own = own.join(rest, "leader").select(F.col("leader").alias("_l"), F.col("component").alias("_c"), large.alias("_large"),
+                                          F.when(large, F.ceil(F.col("_n") / block)).otherwise(F.col("_shared")).cast("int").alias("_parts"))
+    name = F.when(F.col("_large"), F.struct(F.col("component").alias("of"), F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int").alias("k"))).otherwise(
+        F.struct(F.lit(-1).cast("bigint").alias("of"), F.pmod(F.xxhash64("component"), F.col("_parts")).cast("int").alias("k")))
+    dealt = members.join(own, (F.col("leader") == F.col("_l")) & (F.col("component") == F.col("_c"))).select(
+        "leader", "id", "n", "bits", "component", name.alias("block"))
+    every = own.select(F.col("_l").alias("leader"), F.when(F.col("_large"), F.col("_c")).otherwise(F.lit(-1).cast("bigint")).alias("of"), "_parts").distinct()
+    every = every.select("leader", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("k"), "of").select("leader", F.struct("of", "k").alias("left"))
+    pairs = every.join(every.select(F.col("leader").alias("_l"), F.col("left").alias("right")),
+                       (F.col("leader") == F.col("_l")) & (F.col("left") <= F.col("right"))
+                       & ((F.col("left.of") != F.col("right.of")) | (F.col("left.of") == -1))).select("leader", "left", "right")
+    to = pairs.select(F.col("leader").alias("_l"), "left", "right", F.explode(F.when(
+        F.col("left") == F.col("right"), F.array(F.struct(F.col("left").alias("block"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("left").alias("block"), F.lit(0).alias("side")), F.struct(F.col("right").alias("block"), F.lit(1).alias("side"))))).alias("x"))
+    return dealt.join(to, (F.col("leader") == F.col("_l")) & (F.col("block") == F.col("x.block"))).select(
+        "leader", "id", "n", "bits", "component", F.col("x.side").alias("side"), "left", "right")
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts in the order of ``a, part, b`` (``b`` null: the text of ``a``): ``a, b, inter, total`` per pair."""
     now, own = None, None
@@ -358,10 +394,10 @@ def compared(pairs: DataFrame, values: DataFrame, how, per_task: int = 256) -> D
             .mapInArrow(how, "a bigint, b bigint, inter bigint, total bigint"))
 
 
-def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, sample_docs: int = 4000, least: int = 4) -> DataFrame:
+def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, sample_docs: int = 4000, least: int = 4, block: int = 4096) -> DataFrame:
     """``seq, n, least_seq``: each row's number of shingles and the least ``seq`` that links lead to.
 
-    ``rows``: ``seq`` (unique) and ``text``.
+    ``rows``: ``seq`` (unique) and ``text``.  Neighbourhoods of more than ``block`` sets are compared in tasks of two blocks.
     """
     spark = rows.sparkSession
     ship(spark)
@@ -373,6 +409,9 @@ def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, sample_docs: int =
             .mapInArrow(_neighbourhoods, "leader bigint, id bigint"))
     near = written(near.distinct(), "neighbourhoods")
     marks.destroy()  # what follows reads the written neighbourhoods
+    large = written(near.groupBy(F.col("leader").alias("_large")).agg(F.count("*").alias("_n"), F.min("id").alias("_hub"))
+                    .where(F.col("_n") > block).select("_large", "_hub"), "large")
+    any_large = not large.isEmpty()
     # rows with equal contents are one set: that of the least row
     rep = sizes.where("n > 0").select("seq", F.struct("content", "n").alias("_c"))
     rep = rep.join(rep.groupBy("_c").agg(F.min("seq").alias("rep")), "_c").select("seq", "rep")
@@ -389,8 +428,17 @@ def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, sample_docs: int =
         known = F.col("id") if comp is None else F.coalesce("component", "id")
         if comp is not None:
             members = members.join(comp, F.col("id") == F.col("node"), "left")
-        found = written(members.select("leader", "id", "n", "bits", known.alias("component")).repartition(width, "leader")
-                        .sortWithinPartitions("leader").mapInArrow(_open_pairs(turn), "leader bigint, a bigint, b bigint"), "pairs")
+        members = members.select("leader", "id", "n", "bits", known.alias("component"))
+        ddl, is_large = "leader bigint, a bigint, b bigint", F.col("leader") == F.col("_large")
+        found = ((members.join(large, is_large, "left_anti") if any_large else members).repartition(width, "leader")
+                 .sortWithinPartitions("leader").mapInArrow(_open_pairs(turn), ddl))
+        if any_large and not turn:  # large ones: all with the least member first, which leaves few blocks that must meet
+            found = found.unionByName(near.join(large, is_large).select(
+                "leader", F.col("_hub").alias("a"), F.when(F.col("id") != F.col("_hub"), F.col("id")).alias("b")))
+        elif any_large:
+            found = found.unionByName(in_blocks(members.join(large, is_large, "left_semi"), block).repartition(width, "leader", "left", "right")
+                                      .sortWithinPartitions("leader", "left", "right").mapInArrow(_open_pairs(turn), ddl))
+        found = written(found, "pairs")
         pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = near.join(found.where("b is null").select(F.col("leader").alias("_l")), F.col("leader") == F.col("_l"), "left_semi")
         if texts is None:  # later pairs are members of the neighbourhoods that come again

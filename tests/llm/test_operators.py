@@ -291,6 +291,27 @@ def test_neighbourhoods_that_leave_pairs_out_come_again():
         assert (len(pairs) == 41 * 41) != any(r["b"] is None for r in got), turn
 
 
+def test_large_neighbourhoods_are_compared_in_blocks(spark):
+    from itertools import combinations
+
+    from helpdeck.llm.jaccard_join import in_blocks, join_groups
+
+    rng = random.Random(21)
+    component = [0] * 60 + [60] * 25 + [rng.randrange(85, 100) for _ in range(35)]
+    members = spark.createDataFrame([(7, i, 5, b"1234", c) for i, c in enumerate(component)], "leader bigint, id bigint, n bigint, bits binary, component bigint")
+    places = {}
+    for r in in_blocks(members, 10).collect():
+        places.setdefault((r.left, r.right), []).append((r.id, r.side))
+    assert max(map(len, places.values())) < 60
+    met = [(min(a, b), max(a, b)) for rows in places.values() for (a, x), (b, y) in combinations(rows, 2)
+           if component[a] != component[b] and (x != y or not any(z for _, z in rows))]
+    assert sorted(met) == [(a, b) for a, b in combinations(range(120), 2) if component[a] != component[b]]
+    base = prose(120, rng, 10**6)
+    texts = [edit(base, rng.choice([0.01, 0.03, 0.05]), rng) for _ in range(150)] + [base] * 30
+    got = sorted(map(tuple, join_groups(frame(spark, texts), block=12).collect()))
+    assert got == sorted(groups(list(enumerate(texts))))
+
+
 def test_join_odd_ids(spark, empty):
     from helpdeck.llm.jaccard_join import join_groups, keep_one_per_group
 
