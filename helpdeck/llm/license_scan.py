@@ -1,8 +1,8 @@
 """License scans: Dice coefficient over word bigrams against licence templates.
 
-Text is normalised to lower-case words; what is compared are passages: runs of
-up to ``max_lines`` lines of a document (and the sentences of a line), so a
-notice inside other text is found.  A passage with ``n`` bigrams can reach the
+Text is normalised to lower-case words; what is compared are passages: they begin
+and end at lines and sentences (which may go over lines), so a wrapped notice
+inside other text is found.  A passage with ``n`` bigrams can reach the
 coefficient ``t`` with a template of ``m`` only if ``m`` lies between
 ``n*t/(2-t)`` and ``n*(2-t)/t``; templates outside are never compared.
 """
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from helpdeck.llm.common import arrow_map, strings
 
 _WORD = re.compile(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+_LINE = re.compile(r"\n")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z])")
 
 #: Short notices and heads of well-known licences, by SPDX id.
@@ -86,34 +87,28 @@ class Matcher:
         return found
 
 
-def passages(text: str, matcher: Matcher, max_lines: int) -> list[tuple[int, list[str]]]:
-    """``(start code point, words)`` of the passages worth comparing: each sentence, each line, and
-    runs of up to ``max_lines`` lines that begin at a line with a word pair of some template."""
-    out, lines, at = [], [], 0
-    for line in text.split("\n"):
-        ws = words(line)
-        near = any(p in matcher.bigrams for p in zip(ws, ws[1:])) or len(ws) == 1 and (ws[0], "") in matcher.bigrams
-        lines.append((at, ws, near))
-        if near:
-            cut = [0] + [m.end() for m in _SENTENCE.finditer(line)] + [len(line)]
-            if len(cut) > 2:
-                out += [(at + a, words(line[a:b])) for a, b in zip(cut, cut[1:])]
-        at += len(line) + 1
+def passages(text: str, matcher: Matcher) -> list[tuple[int, list[str]]]:
+    """``(start code point, words)`` of the passages worth comparing: from each line or sentence that begins with or holds a
+    word pair of some template to the end of each line or sentence, until no template is large enough."""
+    cut = {0, *(m.end() for m in _LINE.finditer(text)), *(m.end() for m in _SENTENCE.finditer(text))}
+    cut = sorted(cut)
+    parts = [(a, ws) for a, b in zip(cut, cut[1:] + [len(text)]) if (ws := words(text[a:b]))]
     most = matcher.sizes[-1] * (2 - matcher.threshold) / matcher.threshold if matcher.sizes else 0
-    for i, (start, ws, near) in enumerate(lines):
-        if near:
-            run: list[str] = []
-            for j in range(i, min(len(lines), i + max_lines)):
-                if not lines[j][1]:
-                    continue
-                run = run + lines[j][1]
-                out.append((start, run))
-                if len(run) - 1 > most:
-                    break
-    return [(a, ws) for a, ws in out if ws]
-
-
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8, max_lines: int = 8,
+    out = []
+    for i, (start, ws) in enumerate(parts):
+        after = ws + (parts[i + 1][1][:1] if i + 1 < len(parts) else [])
+        if not (any(p in matcher.bigrams for p in zip(after, after[1:])) or len(ws) == 1 and (ws[0], "") in matcher.bigrams):
+            continue
+        run: list[str] = []
+        for j in range(i, len(parts)):
+            run = run + parts[j][1]
+            if len(run) - 1 > most:
+                break
+            out.append((start, run))
+    return out
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8,
          text_col: str = "text") -> DataFrame:
     """Per row of ``docs``: ``doc_id, license`` (the best template's name; null: none reaches the
     threshold), ``score`` (its coefficient, else 0), ``at`` (code point where the passage begins, else
@@ -130,7 +125,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshol
         names, scores, spots, alls = [], [], [], []
         for text in strings(batch.column(1)):
             best, where, every = (0.0, None), None, set()
-            for at, ws in passages(text, matcher, max_lines):
+            for at, ws in passages(text, matcher):
                 got = matcher.best(ws)
                 if got[1] is not None:
                     every.add(got[1])

@@ -212,6 +212,17 @@ def test_licenses(spark, empty):
         assert (got[i].score, got[i].license) == best
 
 
+def test_wrapped_licenses_inside_prose():
+    from helpdeck.llm.license_scan import TEMPLATES, Matcher, passages, words
+
+    matcher = Matcher(TEMPLATES, 0.8)
+    for name, t in TEMPLATES:
+        w, after = t.split(" "), " More text\nafter it." if t.endswith(".") else "\nMore text"
+        for width in (1, 2, 3, 4, 7):
+            text = "Some text before. " + "\n".join(" ".join(w[k:k + width]) for k in range(0, len(w), width)) + after
+            assert (18, words(t)) in passages(text, matcher) and matcher.best(words(t)) == (1.0, name), (name, width)
+
+
 # ---- 6 byte-level BPE
 
 
