@@ -175,3 +175,36 @@ def op10_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helpdeck.llm.quality_lines import quality
 
     return quality(table(spark, sf_dir, "documents"))
+
+
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') part, coalesce(text, '') t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (SELECT part, doc_id, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(least < doc_id, false)] fails
+  FROM w),
+l AS (SELECT doc_id, bool_or(quality = 1) good, bool_or(toxic = 1) toxic FROM labels GROUP BY doc_id),
+x AS (SELECT part, fails, coalesce(good, false) good, coalesce(toxic, false) toxic FROM f LEFT JOIN l USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) c, unnest([1, 2, 3, 4, 5]) i),
+orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order, [a.i, b.i, c.i, d.i, e.i] o
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+y AS (SELECT part, fails, count(*) n, count(*) FILTER (WHERE good) g, count(*) FILTER (WHERE toxic) x FROM x GROUP BY part, fails),
+steps AS (SELECT part, filter_order, step, o[step] mine, n, g, x, fails,
+    fails[o[step]] AS hit, coalesce(list_bool_or(list_transform(o[1:step - 1], lambda k: fails[k])), false) AS gone
+  FROM y, orders, (SELECT unnest(range(1, 6)) step)),
+r AS (SELECT part, filter_order, step, mine, sum(n) FILTER (WHERE NOT hit AND NOT gone) AS kept, sum(n) FILTER (WHERE hit AND NOT gone) AS removed,
+    sum(n) FILTER (WHERE hit AND gone) AS redundant, sum(n) FILTER (WHERE hit AND len(list_filter(fails, lambda v: v)) = 1) AS unique_fails,
+    sum(g) FILTER (WHERE hit AND NOT gone) AS good_lost, sum(x) FILTER (WHERE hit AND NOT gone) AS toxic_lost
+  FROM steps GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+  coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails, coalesce(good_lost, 0)::BIGINT AS good_lost,
+  coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, mine))::BIGINT AS shapley FROM r
+"""
+
+
+@query("op11_filter_audit", _OP11_SQL)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helpdeck.llm.filter_audit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
