@@ -208,3 +208,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helpdeck.llm.filter_audit import audit
 
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helpdeck.llm.periodic_runs import plant, run_digests
+
+    return run_digests(plant(table(spark, sf_dir, "documents").select("doc_id", "text")))
