@@ -123,3 +123,17 @@ def shuffle_width(spark: SparkSession) -> int:
 def row_key(*cols: str):
     """Two hash columns that identify a row by its values (nulls included)."""
     return [F.xxhash64(*cols).alias("k1"), F.hash(*reversed(cols)).alias("k2")]
+
+
+#: Keys are dealt to so many slots before their slots are broadcast: the bound of that broadcast, whatever the corpus.
+SLOTS = 1 << 20
+
+
+def thinned(rows: DataFrame, key, keys: DataFrame) -> DataFrame:
+    """The rows whose ``key`` (a column expression; null: none) shares a slot with a key of the one-column frame ``keys``.
+
+    No shuffle of ``rows``; rows with other keys of these slots remain, so an exact join follows.
+    """
+    slots = keys.select(F.pmod(F.xxhash64(keys.columns[0]), F.lit(SLOTS)).alias("_slot")).distinct()
+    return (rows.withColumn("_slot", F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(SLOTS))))
+            .join(F.broadcast(slots), "_slot", "left_semi").drop("_slot"))
