@@ -44,7 +44,7 @@ def earlier_copies(docs: DataFrame, own: DataFrame) -> DataFrame:
 
     Only texts whose hash comes with two ids are moved: their hashes are thinned out to at most
     ``SLOTS`` slots (what shares a slot goes along and drops out at the join).  A group of copies
-    is one row per text on the joined side (its least id, aggregated before the shuffle); the
+    is one row per text on the joined side (its least id, aggregated and written before); the
     other side may be split anywhere, since each of its rows is looked up by itself.
     """
     twice = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
@@ -53,8 +53,8 @@ def earlier_copies(docs: DataFrame, own: DataFrame) -> DataFrame:
     texts = (docs.withColumn("slot", F.pmod("h1", F.lit(SLOTS))).join(F.broadcast(slots), "slot", "left_semi")
              .select("doc_id", "part", "h1", "h2", "text"))
     copies = written(texts.join(twice, ["h1", "h2"], "left_semi").select(texts.columns), "audit-copies")
-    least = copies.groupBy("h1", "h2", "text").agg(F.min("doc_id").alias("least")).select(
-        F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("text").alias("same"), "least")
+    least = written(copies.groupBy("h1", "h2", "text").agg(F.min("doc_id").alias("least")).select(
+        F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("text").alias("same"), "least"), "audit-least")
     return copies.join(least, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("text") == F.col("same"))
                        & (F.col("least") < F.col("doc_id")), "left_semi").select("doc_id", "part", "h1", "h2")
 
