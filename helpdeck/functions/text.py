@@ -117,3 +117,13 @@ def public_path(c) -> Column:
     return (F.when(p.isNull() | (p == ""), F.lit(""))
             .when(p.startswith("http"), p)
             .otherwise(F.concat(F.lit("/uploads/"), p)))
+
+
+def parse_int(c: Column) -> Column:
+    """``parseInt`` of a text as ``decimal(38,0)``: leading blanks and a sign, then digits (or ``0x`` and hexadecimal ones);
+    what follows is ignored, and NULL stands for NaN. Whole numbers are exact here, beyond 2**53 too."""
+    t = js_trim(c)
+    sign = F.when(t.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
+    hexa = F.regexp_extract(t, r"^[+-]?0[xX]([0-9a-fA-F]{1,15})", 1)
+    digits = F.when(hexa != "", F.conv(hexa, 16, 10)).otherwise(F.regexp_extract(t, r"^[+-]?([0-9]+)", 1))
+    return (digits.try_cast("decimal(37,0)") * sign).cast("decimal(38,0)")

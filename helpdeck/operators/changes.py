@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from helpdeck.functions.dates import TS_FMT, default_expiry, now_ts
 from helpdeck.functions.labels import STATUSES, needs_followup
-from helpdeck.functions.text import digits_int, first_truthy, is_blank, js_trim, trim_str, zero_pad
+from helpdeck.functions.text import digits_int, first_truthy, is_blank, js_trim, parse_int, trim_str, zero_pad
+from helpdeck.operators.pieces import cut, running
 from helpdeck.operators.scan import prefix_scan
 
 # ---- fixed values (must equal the reference) -------------------------------
@@ -334,24 +335,60 @@ def next_ids(new_rows: DataFrame, existing: DataFrame, order: list, id_col: str
     return numbered.withColumn(id_col, mx + F.col("_n")).drop("_n")
 
 
-def ticket_numbers(existing: DataFrame, requests: DataFrame, order: list) -> DataFrame:
+def _year_prefix(no: Column, year: str) -> Column:
+    """``no LIKE 'SC-<year>-%'``: ASCII letters in either case, each form a prefix that the scan can prune by."""
+    cond = F.lit(False)
+    for sc in ("SC", "sc", "Sc", "sC"):
+        cond = cond | no.startswith(f"{sc}-{year}-")
+    return cond
+
+
+def _number_part(no: Column) -> Column:
+    """The number a ticket number continues from: ``parseInt`` of its third part (a struct, whose ``num`` is NULL for NaN)."""
+    return F.struct(parse_int(F.get(F.split(no, "-", -1), F.lit(2))).alias("num"))
+
+
+def _next_number(year: Column, base: Column, k: Column) -> Column:
+    """The ``k``-th number generated after ``base``. After one that is no number, the first is written
+    ``000NaN``; that one reads as 0, so counting starts anew behind it."""
+    num = F.when(base["num"].isNotNull(), base["num"] + k).when(k > 1, (k - 1).cast("decimal(38,0)"))
+    return F.concat(F.lit("SC-"), year, F.lit("-"), F.coalesce(zero_pad(num, 6), F.lit("000NaN")))
+
+
+def _carried(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``rows`` (cut; ``_auto``: 1 where a number is to be generated, ``_given``: what a given number of the key reads as,
+    else NULL) with ``_pos`` (earlier rows of the key), ``_base`` (the latest given number before the row, or NULL) and ``_k``
+    (how many numbers have been generated since, the row's own included)."""
+    counted = running(rows, keys, order, {"_pos": ("sum", F.lit(1)), "_autos": ("sum", F.col("_auto"))})
+    mark = F.when(F.col("_given").isNotNull(), F.struct(F.col("_given").alias("g"), F.col("_autos").alias("at")))
+    out = running(counted, keys, order, {"_mark": ("last", mark)})
+    return (out.withColumn("_base", F.col("_mark.g"))
+            .withColumn("_k", F.col("_autos") - F.coalesce(F.col("_mark.at"), F.lit(0)) + 1).drop("_mark", "_autos"))
+
+
+def ticket_numbers(existing: DataFrame, requests: DataFrame, order: list[str]) -> DataFrame:
     """E2 ticket numbers ``SC-<year>-<6 digits>`` for a batch, per request year.
 
-    The base is the number of the *last inserted* ticket of that year (highest
-    id, not highest number - as the reference does); the batch gets
-    consecutive numbers after it in ``order``. ``requests`` needs a ``year``
-    column."""
-    yr = F.regexp_extract("ticket_no", r"^SC-(\d+)-", 1)
-    last = (existing.filter(F.col("ticket_no").startswith("SC-"))
-            .select(yr.cast("int").alias("year"), "id", "ticket_no")
-            .groupBy("year").agg(F.max_by("ticket_no", "id").alias("_last_no")))
-    base = last.select("year", F.coalesce(F.split_part("_last_no", F.lit("-"), F.lit(3)).try_cast("long"),
-                                          F.lit(0)).alias("_base"))
-    numbered = sequence_numbers(requests, order, partition=["year"], name="_n")
-    out = numbered.join(base, "year", "left")
-    num = F.coalesce(F.col("_base"), F.lit(0)) + F.col("_n")
-    return out.withColumn("ticket_no", F.concat(F.lit("SC-"), F.col("year").cast("string"), F.lit("-"),
-                                                zero_pad(num, 6))).drop("_base", "_n")
+    A generated number follows the number of the *last inserted* ticket of its year (highest id, not highest
+    number - as the reference does), and that may be one that an earlier request of the batch brought along.
+    ``requests``: ``year``, the unique ``order`` columns, and where it has a ``ticket_no`` (not NULL or '') that one is kept.
+    Only keys and given numbers are scanned (``pieces.running``); the numbers join back by ``order``.
+    """
+    no = F.nullif(F.col("ticket_no"), F.lit("")) if "ticket_no" in requests.columns else F.lit(None).cast("string")
+    keys = requests.select(*order, F.col("year").cast("string").alias("_y"), no.alias("_no"))
+    own = F.regexp_extract("_no", r"(?i)^SC-([0-9]+)-", 1)
+    keys = keys.select(*order, F.when(F.col("_no").isNull(), F.col("_y")).otherwise(own).alias("_y"),
+                       F.col("_no").isNull().cast("int").alias("_auto"),
+                       F.when(own != "", _number_part(F.col("_no"))).alias("_given")).filter(F.col("_y") != "")
+    done = _carried(cut(keys, order), ["_y"], order).filter(F.col("_auto") == 1)
+    stored = (existing.filter(F.col("ticket_no").rlike("(?i)^SC-[0-9]+-"))
+              .groupBy(F.regexp_extract("ticket_no", r"(?i)^SC-([0-9]+)-", 1).alias("_y"))
+              .agg(F.max_by("ticket_no", "id").alias("_last")).select("_y", _number_part(F.col("_last")).alias("_stored")))
+    zero = F.struct(F.lit(0).cast("decimal(38,0)").alias("num"))
+    done = done.join(stored, "_y", "left").select(
+        *order, _next_number(F.col("_y"), F.coalesce("_base", "_stored", zero), F.col("_k")).alias("_generated"))
+    out = requests.withColumn("_own", no).drop("ticket_no").join(done, order, "left")
+    return out.withColumn("ticket_no", F.coalesce("_own", "_generated")).drop("_own", "_generated")
 
 
 def ticket_intake(existing: DataFrame, raw: DataFrame, now: str, order: list) -> DataFrame:
@@ -360,8 +397,8 @@ def ticket_intake(existing: DataFrame, raw: DataFrame, now: str, order: list) ->
     Text fields are trimmed and cut like ``trimStr``; rows whose raw customer
     name or complaint is NULL or '' are refused (one of white space only is stored as ''); valid
     rows get status 'waiting', follow-up count 0, created/updated time =
-    ``now``, the next ids and, where the form gives no ``ticket_no``, this
-    year's next ticket numbers. Form columns that ``raw`` lacks are NULL paths
+    ``now`` (a text), the next ids and, where the form gives no ``ticket_no``, this
+    year's next ticket numbers, which continue from numbers given earlier in the batch too. Form columns that ``raw`` lacks are NULL paths
     or '' texts; upload paths are kept as given.
     """
     from helpdeck.functions.dates import iso_to_dmy, today_str
@@ -375,12 +412,20 @@ def ticket_intake(existing: DataFrame, raw: DataFrame, now: str, order: list) ->
         iso_to_dmy(F.col("tanggal_pembelian")).alias("tanggal_pembelian"),
         F.col("product_id").cast("long").alias("product_id"), F.col("created_by").cast("long").alias("created_by"),
         F.nullif(form("ticket_no"), F.lit("")).alias("_given_no"))
-    with_ids = next_ids(cleaned.withColumn("year", F.year(now_ts(now))), existing, order)
-    # a number is generated only where none is given; the two sets share no row
-    auto = ticket_numbers(existing, with_ids.filter(F.col("_given_no").isNull()), order)
-    own = with_ids.filter(F.col("_given_no").isNotNull()).withColumn("ticket_no", F.col("_given_no"))
+    # only the order and the given numbers are scanned; the texts meet their number in one join
+    year = str(now)[:4]
+    ours = _year_prefix(F.col("_given_no"), year)
+    keys = cleaned.select(*order, F.col("_given_no").isNull().cast("int").alias("_auto"),
+                          F.when(ours, _number_part(F.col("_given_no"))).alias("_given"))
+    numbers = _carried(cut(keys, order), [], order)
+    stored = existing.filter(_year_prefix(F.col("ticket_no"), year)).agg(F.max_by("ticket_no", "id").alias("no")).select(
+        F.when(F.col("no").isNull(), F.struct(F.lit(0).cast("decimal(38,0)").alias("num"))).otherwise(_number_part(F.col("no"))).alias("b")).scalar()
+    highest = existing.agg(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    numbers = numbers.select(*order, (highest + F.col("_pos") + 1).alias("id"),
+                             _next_number(F.lit(year), F.coalesce(F.col("_base"), stored), F.col("_k")).alias("_generated"))
+    rows = cleaned.join(numbers, order).withColumn("ticket_no", F.coalesce("_given_no", "_generated"))
     now_txt = F.date_format(now_ts(now), TS_FMT)
-    return auto.unionByName(own).select(
+    return rows.select(
         "id", "ticket_no", "created_by", "product_id", "tanggal_complaint", *INTAKE_LIMITS, *INTAKE_PATHS,
         "tanggal_pembelian", F.lit("waiting").alias("status"), F.lit(0).alias("follow_up_count"),
         now_txt.alias("created_at"), now_txt.alias("updated_at"))

@@ -172,6 +172,22 @@ def _trim(x: str, n: int) -> str:
 
 _PADNUM = "CASE WHEN length(CAST({x} AS VARCHAR)) >= 6 THEN CAST({x} AS VARCHAR) ELSE lpad(CAST({x} AS VARCHAR), 6, '0') END"
 _YEAR_SQL = f"CAST(year(TIMESTAMP '{TICKET_NOW}') AS INTEGER)"
+
+
+def _walk(rows: str) -> str:
+    """Recursive replay of the counter: one request a step (``n``; ``own_no`` or a generated number), with the last number of the year."""
+    year = f"CAST({_YEAR_SQL} AS VARCHAR)"
+    digits = "regexp_extract(split_part(w.last, '-', 3), '^\\s*\\+?([0-9]+)', 1)"
+    made = (f"'SC-' || {year} || '-' || CASE WHEN w.last IS NULL THEN '000001' WHEN {digits} = '' THEN '000NaN' "
+            f"ELSE {_PADNUM.format(x=f'(CAST({digits} AS BIGINT) + 1)')} END")
+    return f"""
+  SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS no,
+         (SELECT max_by(ticket_no, id) FROM tickets WHERE ticket_no ILIKE 'SC-' || {year} || '-%') AS last
+  UNION ALL
+  SELECT n, no, CASE WHEN no ILIKE 'SC-' || {year} || '-%' THEN no ELSE last END
+  FROM (SELECT r.n, COALESCE(r.own_no, {made}) AS no, w.last FROM walk w JOIN {rows} r ON r.n = w.n + 1)"""
+
+
 _INTAKE = f"""
 , cl AS (
   SELECT intake_key, {_trim('customer_name', 100)} AS customer_name, {_trim('customer_hp', 20)} AS customer_hp,
@@ -190,42 +206,34 @@ _INTAKE = f"""
          product_id, created_by, {_YEAR_SQL} AS year
   FROM intake_raw WHERE customer_name <> '' AND keluhan <> ''),
 ok AS (SELECT * FROM cl),
-lastno AS (SELECT CAST(regexp_extract(ticket_no, '^SC-(\\d+)-', 1) AS INTEGER) AS year, max_by(ticket_no, id) AS last_no
-           FROM tickets WHERE starts_with(ticket_no, 'SC-') GROUP BY 1),
-numbered AS (
-  SELECT ok.*, COALESCE(TRY_CAST(split_part(l.last_no, '-', 3) AS BIGINT), 0)
-                 + count(*) FILTER (WHERE own_no IS NULL) OVER (PARTITION BY ok.year ORDER BY ok.intake_key) AS num,
-         (SELECT COALESCE(max(id), 0) FROM tickets) + row_number() OVER (ORDER BY ok.intake_key) AS id
-  FROM ok LEFT JOIN lastno l ON l.year = ok.year)
+inr AS (SELECT *, row_number() OVER (ORDER BY intake_key) AS n FROM ok),
+walk AS ({_walk('inr')}),
+numbered AS (SELECT inr.*, w.no, (SELECT COALESCE(max(id), 0) FROM tickets) + inr.n AS id FROM inr JOIN walk w USING (n))
 """
 
 
 @query("ticket_numbers", f"""
-, lastno AS (SELECT CAST(regexp_extract(ticket_no, '^SC-(\\d+)-', 1) AS INTEGER) AS year, max_by(ticket_no, id) AS last_no
-             FROM tickets WHERE starts_with(ticket_no, 'SC-') GROUP BY 1),
-req AS (SELECT intake_key, {_YEAR_SQL} AS year FROM intake_raw),
-nr AS (SELECT r.*, COALESCE(TRY_CAST(split_part(l.last_no, '-', 3) AS BIGINT), 0)
-                     + row_number() OVER (PARTITION BY r.year ORDER BY r.intake_key) AS num
-       FROM req r LEFT JOIN lastno l ON l.year = r.year)
-SELECT intake_key, year, 'SC-' || CAST(year AS VARCHAR) || '-' || {_PADNUM.format(x='num')} AS ticket_no FROM nr
-""", builder=sql_changes)
+, inr AS (SELECT intake_key, NULLIF(ticket_no, '') AS own_no, row_number() OVER (ORDER BY intake_key) AS n FROM intake_raw),
+walk AS ({_walk('inr')})
+SELECT intake_key, {_YEAR_SQL} AS year, no AS ticket_no FROM inr JOIN walk USING (n)
+""", builder=lambda body: sql_changes(body, recursive=True))
 def ticket_numbers(spark, sf_dir):
     v, b = _b(spark, sf_dir)
     from helpdeck.functions.dates import now_ts
 
-    req = b.intake_raw.select("intake_key", F.year(now_ts(TICKET_NOW)).alias("year"))
+    req = b.intake_raw.select("intake_key", F.year(now_ts(TICKET_NOW)).alias("year"), "ticket_no")
     return CH.ticket_numbers(v.tickets, req, ["intake_key"]).select("intake_key", "year", "ticket_no")
 
 
 @query("ticket_intake", _INTAKE + f"""
-SELECT id, COALESCE(own_no, 'SC-' || CAST(year AS VARCHAR) || '-' || {_PADNUM.format(x='num')}) AS ticket_no, created_by, product_id,
+SELECT id, no AS ticket_no, created_by, product_id,
        kode_barang, tanggal_complaint, customer_name, customer_alamat, customer_hp, customer_email, customer_kota,
        customer_provinsi, marketplace, nomor_invoice, toko, serial_number, faktur_path, foto_produk_path, video_path,
        foto_kerusakan_path, keluhan, tanggal_pembelian, 'waiting' AS status, 0 AS follow_up_count,
        strftime(TIMESTAMP '{TICKET_NOW}', '%Y-%m-%d %H:%M:%S') AS created_at,
        strftime(TIMESTAMP '{TICKET_NOW}', '%Y-%m-%d %H:%M:%S') AS updated_at
 FROM numbered
-""", builder=sql_changes)
+""", builder=lambda body: sql_changes(body, recursive=True))
 def ticket_intake(spark, sf_dir):
     v, b = _b(spark, sf_dir)
     return CH.ticket_intake(v.tickets, b.intake_raw, TICKET_NOW, ["intake_key"])

@@ -209,7 +209,9 @@ intake_raw AS (
          CASE WHEN c_custkey % 3 = 0 THEN '/uploads/p' || CAST(c_custkey AS VARCHAR) END AS foto_produk_path,
          CASE WHEN c_custkey % 5 = 0 THEN '/uploads/v' || CAST(c_custkey AS VARCHAR) END AS video_path,
          CASE WHEN c_custkey % 7 = 0 THEN '/uploads/k' || CAST(c_custkey AS VARCHAR) END AS foto_kerusakan_path,
-         CASE WHEN c_custkey % 11 = 0 THEN 'OWN-' || CAST(c_custkey AS VARCHAR) WHEN c_custkey % 11 = 1 THEN '' END AS ticket_no,
+         CASE WHEN c_custkey % 11 = 0 THEN 'OWN-' || CAST(c_custkey AS VARCHAR) WHEN c_custkey % 11 = 1 THEN ''
+              WHEN c_custkey % 29 = 5 THEN 'SC-2001-' || lpad(CAST(c_custkey * 3 AS VARCHAR), 6, '0') WHEN c_custkey % 97 = 3 THEN 'SC-2001-none'
+              WHEN c_custkey % 53 = 7 THEN 'sc-2001- +' || CAST(c_custkey AS VARCHAR) || 'x-y' WHEN c_custkey % 61 = 9 THEN 'SC-1999-000500' END AS ticket_no,
          '' AS tanggal_complaint,
          '2001-07-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS tanggal_pembelian
   FROM customer JOIN nation ON c_nationkey = n_nationkey

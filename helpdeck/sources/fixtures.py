@@ -349,7 +349,9 @@ class ChangeBatches:
             F.when(k % 3 == 0, F.concat(F.lit("/uploads/p"), _s(k))).alias("foto_produk_path"),
             F.when(k % 5 == 0, F.concat(F.lit("/uploads/v"), _s(k))).alias("video_path"),
             F.when(k % 7 == 0, F.concat(F.lit("/uploads/k"), _s(k))).alias("foto_kerusakan_path"),
-            F.when(k % 11 == 0, F.concat(F.lit("OWN-"), _s(k))).when(k % 11 == 1, F.lit("")).alias("ticket_no"),
+            F.when(k % 11 == 0, F.concat(F.lit("OWN-"), _s(k))).when(k % 11 == 1, F.lit(""))
+             .when(k % 29 == 5, F.concat(F.lit("SC-2001-"), F.lpad(_s(k * 3), 6, "0"))).when(k % 97 == 3, F.lit("SC-2001-none"))
+             .when(k % 53 == 7, F.concat(F.lit("sc-2001- +"), _s(k), F.lit("x-y"))).when(k % 61 == 9, F.lit("SC-1999-000500")).alias("ticket_no"),
             (k % 100).alias("created_by"), F.lit("").alias("tanggal_complaint"),
             F.concat(F.lit("2001-07-"), F.lpad(_s(k % 28 + 1), 2, "0")).alias("tanggal_pembelian"))
 

@@ -1,5 +1,8 @@
 """Change application: transitions, imports, numbering, deletes, vouchers, constraints."""
 
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from helpdeck import schemas as S
@@ -141,6 +144,45 @@ def test_ticket_numbers(spark):
     assert got == [(10, "SC-2024-000004"), (11, "SC-2024-000005"), (12, "SC-2025-000001")]
 
 
+def js_parse(part):
+    m = re.match(r"\s*[+]?(0[xX][0-9a-fA-F]+|[0-9]+)", part)
+    return None if m is None else int(m[1], 16 if m[1][:2] in ("0x", "0X") else 10)
+
+
+def test_numbers_continue_from_given_ones(spark):
+    """A replay, request by request: given numbers, foreign ones, other years, unreadable ones, either case."""
+    rnd = random.Random(4)
+    made = ["SC-2024-000900", "sc-2024-7", "Sc-2024-  12x-9", "SC-2024-abc", "SC-2024-", "SC-2024-+5", "SC-2024-0x1F", "SC-2025-000040",
+            "OTHER-1", "SC-02024-5", "SC-2024", "SC-2024-99999999999999999999"]
+    rows = [(3 * i, rnd.choice([2024, 2024, 2025]), rnd.choice(made) if rnd.random() < 0.2 else rnd.choice([None, ""])) for i in range(900)]
+    existing = S.rows(spark, S.TICKETS, [{"id": 1, "ticket_no": "SC-2024-000009"}, {"id": 2, "ticket_no": "SC-2024-000003"}])
+
+    def replay(rows):
+        last, out = {2024: "SC-2024-000003"}, {}
+        for k, year, no in rows:
+            if not no:
+                base = js_parse(last[year].split("-")[2]) if year in last else 0
+                no = f"SC-{year}-" + ("000NaN" if base is None else str(base + 1).zfill(6))
+            m = re.match(r"(?i)SC-(2024|2025)-", no)
+            if m:
+                last[int(m[1])] = no
+            out[k] = no
+        return out
+
+    req = spark.createDataFrame(rows, "k long, year int, ticket_no string").repartition(5)
+    got = {r.k: r.ticket_no for r in CH.ticket_numbers(existing, req, ["k"]).collect()}
+    assert got == replay(rows)
+    one = [(k, no) for k, year, no in rows if year == 2024]
+    want = replay([r for r in rows if r[1] == 2024])
+    raw = spark.createDataFrame(one, "k long, ticket_no string").repartition(4)
+    for c, ty in [("tanggal_complaint", "string"), ("tanggal_pembelian", "string"), ("product_id", "long"), ("created_by", "long")]:
+        raw = raw.withColumn(c, F.lit(None).cast(ty))
+    raw = raw.withColumn("customer_name", F.col("k").cast("string")).withColumn("keluhan", F.lit("x"))
+    out = {int(r.customer_name): (r.id, r.ticket_no) for r in CH.ticket_intake(existing, raw, "2024-05-05 10:00:00", ["k"]).collect()}
+    assert {k: no for k, (_, no) in out.items()} == want
+    assert [out[k][0] for k, _ in one] == list(range(3, 3 + len(one)))
+
+
 def test_sequence_numbers_match_row_number(spark):
     df = spark.range(0, 5000).selectExpr("id * 7 % 5003 AS k", "id % 3 AS g")
     got = CH.sequence_numbers(df, ["k"], partition=["g"], name="n", buckets=7)
