@@ -18,7 +18,6 @@ from helpdeck.functions.dates import TS_FMT, default_expiry, now_ts
 from helpdeck.functions.labels import STATUSES, needs_followup
 from helpdeck.functions.text import digits_int, first_truthy, is_blank, js_trim, parse_int, trim_str, zero_pad
 from helpdeck.operators.pieces import cut, running
-from helpdeck.operators.scan import prefix_scan
 
 # ---- fixed values (must equal the reference) -------------------------------
 TRANSITION_KINDS = ["analysis", "followup", "schedule", "calendar_schedule", "cancel_schedule",
@@ -60,18 +59,6 @@ def _status_name(idx: Column, fallback: Column) -> Column:
     return F.when(idx < len(STATUSES), F.element_at(names, idx + 1)).otherwise(fallback)
 
 
-def _const_table(target: str) -> Column:
-    return F.array(*[F.lit(_IDX[target])] * N_STATES)
-
-
-def _guarded_table(allowed: tuple, target: str) -> Column:
-    return F.array(*[F.lit(_IDX[target] if i in [_IDX[a] for a in allowed] else i) for i in range(N_STATES)])
-
-
-def _identity() -> Column:
-    return F.array(*[F.lit(i) for i in range(N_STATES)])
-
-
 _RESET_FROM = ("waiting", "rejected")
 _CAL_FROM = ("waiting", "approval")
 
@@ -89,56 +76,78 @@ def change_validity(kind: Column) -> Column:
             .otherwise(kind.isin(*TRANSITION_KINDS)))
 
 
-def _table(kind: Column, valid: Column) -> Column:
-    t = (F.when(kind.isin("analysis", "followup"), _const_table("approval"))
-         .when(kind == "schedule", _const_table("scheduled"))
-         .when(kind == "calendar_schedule", _guarded_table(_CAL_FROM, "scheduled"))
-         .when(kind.isin("cancel_schedule", "approve"), _const_table("waiting"))
-         .when(kind == "reject", _const_table("rejected"))
-         .when(kind == "reset", _guarded_table(_RESET_FROM, "approval"))
-         .when(kind.isin("start_visit", "visit_result"), _const_table("on_progress"))
-         .when(kind == "close", _const_table("completed"))
-         .otherwise(_identity()))
-    return F.when(valid, t).otherwise(_identity())
+_SETS = {"analysis": "approval", "followup": "approval", "schedule": "scheduled", "cancel_schedule": "waiting", "approve": "waiting",
+         "reject": "rejected", "start_visit": "on_progress", "visit_result": "on_progress", "close": "completed"}
+_SCHEDULES = ("schedule", "calendar_schedule", "cancel_schedule")
+
+
+def _status_between(start: Column, resets: Column, calendars: Column, reset_before_calendar: Column) -> Column:
+    """Status index after the guarded changes that follow a status ``start``.
+
+    Only two kinds look at the status. A calendar schedule takes waiting and approval to scheduled, where
+    neither kind does anything any more; a reset takes waiting and rejected to approval. So what happened is
+    told by whether there was a reset, a calendar schedule, and, from rejected, a reset before the latest of these.
+    """
+    i = {s: F.lit(_IDX[s]) for s in STATUSES}
+    opened = F.when(resets > 0, i["approval"]).otherwise(start)
+    return (F.when(start == i["waiting"], F.when(calendars > 0, i["scheduled"]).otherwise(opened))
+            .when(start == i["approval"], F.when(calendars > 0, i["scheduled"]).otherwise(start))
+            .when(start == i["rejected"], F.when((calendars > 0) & reset_before_calendar, i["scheduled"]).otherwise(opened))
+            .otherwise(start))
 
 
 def scan_changes(tickets: DataFrame, changes: DataFrame) -> DataFrame:
     """Per change: ``valid``, ``status_before``/``status_after`` (by replaying
     every earlier change of the same ticket), ``applies`` (the ticket row is
     updated), ``writes`` (the change leaves log and notification rows),
-    ``count_before`` (follow-up counter before the change).
+    ``count_before`` (follow-up counter before the change), ``schedule_before`` (what the latest earlier schedule
+    request or cancellation of the ticket left: struct ``teknisi_id``, NULL in it after a cancellation; NULL where none came before).
 
     ``changes``: seq, ticket_id, kind, ts (text), user_id, text, decision,
     teknisi_id, tanggal, jam, findings, solusi; ``seq`` is unique within a
     ticket. Changes of unknown tickets stay: they update nothing, but only
     follow-up and reset look for the ticket first, the others still write
     their rows. A change without a ticket id is none.
+
+    The log is cut into pieces by ``seq`` and scanned twice (``pieces.running``): counters first, then what the latest
+    change of a sort left and where the counters stood there. Both scans and the joins between share one shuffle by
+    (ticket, piece), so a ticket with a third of the log is as many tasks as there are pieces. To write several outputs of one
+    batch, write this result once and hand it to them.
     """
-    base = tickets.select(F.col("id").alias("ticket_id"), F.col("status").alias("_base_status"),
-                          F.coalesce(F.col("follow_up_count"), F.lit(0)).cast("long").alias("_base_count"))
+    base = tickets.select(F.col("id").alias("_tid"), F.col("status").alias("_base_status"),
+                          F.coalesce(F.col("follow_up_count"), F.lit(0)).cast("long").alias("_base_count"), F.lit(True).alias("_known"))
     kind = F.col("kind")
-    ch = changes.withColumn("valid", change_validity(kind))
-    inc = (F.col("valid") & ((kind == "followup") |
-                             ((kind == "visit_result") & needs_followup(F.col("solusi"))))).cast("int")
-    ch = ch.withColumn("_t", _table(kind, F.col("valid"))).withColumn("_inc", inc)
-    # only keys, tables and counters are ranked and checkpointed; texts join back by (ticket, seq)
-    scanned = prefix_scan(ch.select("ticket_id", "seq", "_t", "_inc"), "ticket_id", "seq", "_t", "_inc", N_STATES)
-    s = (ch.join(scanned.select("ticket_id", "seq", "prefix", "inc_before"), ["ticket_id", "seq"])
-         .join(base.withColumn("_known", F.lit(True)), "ticket_id", "left"))
-    b0 = status_index(F.col("_base_status"))
-    before_idx = F.get(F.col("prefix"), b0)
-    s = s.withColumn("_bi", before_idx).withColumn("_ai", F.get(F.col("_t"), F.col("_bi")))
-    guard_ok = (F.when(kind == "reset", F.col("_bi").isin(*[_IDX[x] for x in _RESET_FROM]))
-                .when(kind == "calendar_schedule", F.col("_bi").isin(*[_IDX[x] for x in _CAL_FROM]))
-                .otherwise(F.lit(True)))
+    ch = changes.filter(F.col("ticket_id").isNotNull()).withColumn("valid", change_validity(kind))
+    inc = F.col("valid") & ((kind == "followup") | ((kind == "visit_result") & needs_followup(F.col("solusi"))))
+    one = lambda c: F.when(c, 1).otherwise(0)
+    ch = running(cut(ch, ["seq"]), ["ticket_id"], ["seq"], {
+        "_r": ("sum", one(F.col("valid") & (kind == "reset"))), "_c": ("sum", one(F.col("valid") & (kind == "calendar_schedule"))),
+        "_inc": ("sum", one(inc))})
+    sets = F.create_map(*[x for k, v in _SETS.items() for x in (F.lit(k), F.lit(_IDX[v]))])[kind]
+    ch = ch.withColumn("_to", F.when(F.col("valid"), sets))
+    ch = running(ch, ["ticket_id"], ["seq"], {
+        "_set": ("last", F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("i"), F.col("_r").alias("r"), F.col("_c").alias("c")))),
+        "_cal": ("last", F.when(F.col("valid") & (kind == "calendar_schedule"), F.struct(F.col("_r").alias("r")))),
+        "schedule_before": ("last", F.when(F.col("valid") & kind.isin(*_SCHEDULES), F.struct(
+            F.when(kind != "cancel_schedule", F.col("teknisi_id")).alias("teknisi_id"))))})
+    s = ch.join(base, ch["ticket_id"] == base["_tid"], "left")
+    r0, c0 = F.coalesce("_set.r", F.lit(0)), F.coalesce("_set.c", F.lit(0))
+    before = _status_between(F.coalesce("_set.i", status_index(F.col("_base_status"))), F.col("_r") - r0, F.col("_c") - c0,
+                             F.col("_cal.r") > r0)
+    s = s.withColumn("_bi", before)
+    opens = F.col("valid") & (kind == "reset") & F.col("_bi").isin(*[_IDX[x] for x in _RESET_FROM])
+    plans = F.col("valid") & (kind == "calendar_schedule") & F.col("_bi").isin(*[_IDX[x] for x in _CAL_FROM])
+    after = F.when(opens, _IDX["approval"]).when(plans, _IDX["scheduled"]).otherwise(F.coalesce("_to", "_bi"))
+    guard_ok = F.when(kind == "reset", opens).when(kind == "calendar_schedule", plans).otherwise(F.lit(True))
+    known = F.col("_known").isNotNull()
     return (s.withColumn("status_before", _status_name(F.col("_bi"), F.col("_base_status")))
-             .withColumn("status_after", _status_name(F.col("_ai"), F.col("_base_status")))
-             .withColumn("applies", F.col("valid") & guard_ok & F.col("_known").isNotNull())
+             .withColumn("status_after", _status_name(after, F.col("_base_status")))
+             .withColumn("applies", F.col("valid") & guard_ok & known)
              # a calendar schedule is logged even when its status guard refuses the status change
              .withColumn("writes", F.col("applies") | (F.col("valid") & (
-                 (kind == "calendar_schedule") | (F.col("_known").isNull() & ~kind.isin("followup", "reset")))))
-             .withColumn("count_before", F.col("_base_count") + F.col("inc_before"))
-             .drop("_t", "_inc", "_bi", "_ai", "prefix", "inc_before", "_base_count", "_known"))
+                 (kind == "calendar_schedule") | (~known & ~kind.isin("followup", "reset")))))
+             .withColumn("count_before", F.col("_base_count") + F.col("_inc"))
+             .select(*changes.columns, "valid", "status_before", "status_after", "applies", "writes", "count_before", "schedule_before"))
 
 
 def _followup_line(count_before: Column, note: Column) -> Column:
@@ -152,14 +161,14 @@ def _last(cond: Column, value: Column, name: str) -> Column:
     return F.max_by(F.when(cond, F.struct(value.alias("v"))), F.when(cond, F.col("seq"))).alias(name)
 
 
-def apply_transitions(tickets: DataFrame, changes: DataFrame) -> DataFrame:
-    """I1 status transitions with guards, several ordered changes per ticket.
+def apply_transitions(tickets: DataFrame, changes: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
+    """I1 status transitions with guards, several ordered changes per ticket (``scanned``: see ``scan_changes``).
 
     Returns the whole tickets table; tickets without changes are unchanged.
     Every per-ticket result is a commutative aggregate (``max_by`` on seq,
     sums) over scanned changes, so partial aggregation absorbs hot tickets.
     """
-    s = scan_changes(tickets, changes)
+    s = scan_changes(tickets, changes) if scanned is None else scanned
     a = F.col("applies")
     kind = F.col("kind")
     dec_kinds = kind.isin("approve", "reject", "reset")
@@ -238,14 +247,14 @@ def _fill(tpl: str) -> Column:
     return F.concat(*parts)
 
 
-def emit_events(tickets: DataFrame, changes: DataFrame) -> DataFrame:
+def emit_events(tickets: DataFrame, changes: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
     """I12 rows each accepted change writes: one activity row per change and,
     for approve/reject/reset, one approval-log row (``old_status`` is written
     as 'approval' for approve/reject, as the reference does); changes of unknown
     tickets included, see ``scan_changes``."""
     from helpdeck.functions.labels import followup_message
 
-    s = scan_changes(tickets, changes)
+    s = scan_changes(tickets, changes) if scanned is None else scanned
     kind = F.col("kind")
     s = s.filter(F.col("writes"))
     txt = F.coalesce(F.col("text"), F.lit(""))
@@ -777,20 +786,19 @@ NOTIFY_FANOUT = {
 
 
 def emit_notifications(tickets: DataFrame, changes: DataFrame, users: DataFrame,
-                       schedules: DataFrame) -> DataFrame:
+                       schedules: DataFrame, scanned: DataFrame | None = None) -> DataFrame:
     """I12 notification rows the accepted changes write: (seq, ticket_id,
     user_id, role, message, link).
 
     Role- and user-addressed rows come straight from the scanned changes; the
     admin/cs fan-outs join the measured recipients (``key_join``). A schedule
-    cancellation notifies the technician of the ticket's first schedule in
-    ``schedules`` as given (schedule rows written by the same batch are not
-    replayed).
+    cancellation notifies the technician whom the ticket's schedule names at that time: the one of the latest request
+    earlier in the batch, none after an earlier cancellation, else the one of the ticket's first row in ``schedules``.
     """
     from helpdeck.operators.enrich import first_per_key
     from helpdeck.operators.joins import key_join
 
-    s = scan_changes(tickets, changes)
+    s = scan_changes(tickets, changes) if scanned is None else scanned
     kind = F.col("kind")
     s = s.filter(F.col("writes"))
     t = tickets.select(F.col("id").alias("_tid"), "ticket_no", "created_by")
@@ -798,6 +806,8 @@ def emit_notifications(tickets: DataFrame, changes: DataFrame, users: DataFrame,
         F.col("ticket_id").alias("_sid"), F.col("teknisi_id").alias("_sched_tek"))
     s = s.join(t, s["ticket_id"] == t["_tid"], "left").drop("_tid") \
          .join(first_s, s["ticket_id"] == first_s["_sid"], "left").drop("_sid")
+    s = s.withColumn("_sched_tek", F.when(F.col("schedule_before").isNotNull(), F.col("schedule_before.teknisi_id"))
+                     .otherwise(F.col("_sched_tek")))
     no = F.coalesce(F.col("ticket_no"), F.concat(F.lit("#"), F.col("ticket_id").cast("string")))
 
     def text(tpl: str) -> Column:

@@ -638,11 +638,15 @@ def _notifications_sql() -> str:
 , ev AS (SELECT s.applies, e.* FROM st s JOIN cv e ON e.ticket_id = s.ticket_id AND e.n = s.n WHERE s.n > 0
        UNION ALL SELECT true, unknown.* FROM unknown),
 fs AS (SELECT ticket_id AS fs_tid, arg_min(teknisi_id, id) AS sched_tek FROM schedules GROUP BY ticket_id),
-ea AS (SELECT ev.*, t.created_by AS tcreator, fs.sched_tek,
+planned AS (SELECT c.ticket_id, c.seq, arg_max(CASE WHEN p.kind = 'cancel_schedule' THEN -1 ELSE p.teknisi_id END, p.seq) AS now_tek
+            FROM cv c JOIN cv p ON p.ticket_id = c.ticket_id AND p.seq < c.seq
+            WHERE c.kind = 'cancel_schedule' AND p.valid AND p.kind IN ('schedule', 'calendar_schedule', 'cancel_schedule') GROUP BY ALL),
+ea AS (SELECT ev.*, t.created_by AS tcreator, NULLIF(COALESCE(planned.now_tek, fs.sched_tek), -1) AS sched_tek,
               COALESCE(t.ticket_no, '#' || CAST(ev.ticket_id AS VARCHAR)) AS no,
               CASE WHEN ev.kind = 'visit_result' AND COALESCE(ev.solusi IN ({_FU}), false)
                    THEN 'visit_result_followup' ELSE ev.kind END AS fkind
        FROM ev LEFT JOIN tickets t ON t.id = ev.ticket_id LEFT JOIN fs ON fs.fs_tid = ev.ticket_id
+            LEFT JOIN planned ON planned.ticket_id = ev.ticket_id AND planned.seq = ev.seq
        WHERE ev.applies OR (ev.kind = 'calendar_schedule' AND ev.valid))
 """ + "\nUNION ALL\n".join(parts)
 

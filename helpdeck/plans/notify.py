@@ -162,15 +162,17 @@ def delivery_summary(spark, sf_dir):
 
 # the oracle keeps each message's list and applies its attempts one by one
 @query("dead_letter", _DIALLED + f"""
-, steps AS (SELECT *, row_number() OVER (PARTITION BY address, message ORDER BY ts, id) AS n FROM dialled WHERE is_phone),
-lists AS (
-  SELECT DISTINCT address, message, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS entries FROM steps
+, steps AS (SELECT *, address || chr(10) || message AS k, row_number() OVER (ORDER BY ts, id) AS n FROM dialled WHERE is_phone),
+list_after AS (
+  SELECT CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, k VARCHAR)[]) AS entries
   UNION ALL
-  SELECT l.address, l.message, s.n, CASE WHEN s.ok = 1 THEN l.entries[2:] ELSE list_prepend(s.id, l.entries) END
-  FROM lists l JOIN steps s ON s.address = l.address AND s.message = l.message AND s.n = l.n + 1),
-kept AS (SELECT unnest(entries) AS id FROM lists QUALIFY n = max(n) OVER (PARTITION BY address, message))
+  SELECT n, CASE WHEN ok <> 1 THEN list_prepend({{'id': id, 'k': k}}, entries)[1:50] WHEN pos IS NULL OR pos = 0 THEN entries
+                 ELSE list_concat(entries[1:pos - 1], entries[pos + 1:]) END
+  FROM (SELECT s.n, s.ok, s.id, s.k, l.entries, list_position(list_transform(l.entries, lambda e: e.k), s.k) AS pos
+        FROM list_after l JOIN steps s ON s.n = l.n + 1)),
+kept AS (SELECT unnest(entries).id AS id FROM list_after QUALIFY n = max(n) OVER ())
 SELECT id, address, message, strftime(ts, {TS}) AS failed_at FROM dialled JOIN kept USING (id)
-ORDER BY ts DESC, id DESC LIMIT 50
+ORDER BY ts DESC, id DESC
 """, builder=lambda body: sql_changes(body, recursive=True))
 def dead_letter(spark, sf_dir):
     return D.dead_letter(views(spark, sf_dir).deliveries)

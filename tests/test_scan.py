@@ -74,7 +74,7 @@ def test_dead_letter_matches_sequential_list(spark):
             if hit:
                 listed.remove(hit)
     assert [r.id for r in D.dead_letter(a, k=5000).collect()] == [x[0] for x in listed]
-    assert [r.id for r in D.dead_letter(a, k=5).collect()] == [x[0] for x in listed[:5]]
+    assert sorted(r.id for r in D.failed_entries(a).collect()) == sorted(x[0] for x in listed)
 
 
 def test_burst_failures_reset_and_saturation(spark):
@@ -92,3 +92,96 @@ def test_burst_failures_reset_and_saturation(spark):
     assert got == [(1, "2024-01-01 09:00:00", 10, "2024-01-01 09:09:30")]
     simple = sorted((r.address, r.failures) for r in D.burst_failures_simple(a).collect())
     assert simple == [(1, 21)]
+
+
+def _deliveries(spark, log):
+    """``log``: (message, ok) in order; two attempts share each second."""
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, base + dt.timedelta(seconds=i // 2), "08123456789" if m % 2 else "+62 812-3456-789", f"m{m}", ok) for i, (m, ok) in enumerate(log)]
+    return spark.createDataFrame(rows, "id long, ts timestamp_ntz, address string, message string, ok int").repartition(5)
+
+
+def _replayed(log, k):
+    entries = []
+    for i, (m, ok) in enumerate(log):
+        if not ok:
+            entries = [(i, m), *entries][:k]
+        else:
+            at = next((j for j, e in enumerate(entries) if e[1] == m), None)
+            if at is not None:
+                del entries[at]
+    return [i for i, _ in entries]
+
+
+def test_failed_list_is_replayed_with_its_cap(spark):
+    rnd = random.Random(9)
+    logs = [([(0, 0)] * 52 + [(0, 1), (0, 1)], 50),                      # entries 2 and 1 were dropped before the successes
+            ([(i, 0) for i in range(60)] + [(59, 1), (3, 1)], 50),        # a success for a dropped entry takes nothing away
+            ([(0, 1)] * 3, 50), ([], 50)]
+    for share in (0.3, 0.5, 0.6):
+        # message 0 holds a third of the log
+        logs.append(([(rnd.choice([0, 0, 0, *range(1, 7)]), int(rnd.random() < share)) for _ in range(3000)], 7))
+    for log, k in logs:
+        got = [r.id for r in D.dead_letter(_deliveries(spark, log), k).collect()]
+        assert got == _replayed(log, k)
+
+
+def test_transitions_equal_a_replay(spark):
+    """Statuses, counters and the schedule that a cancellation meets, for a hot ticket and an unknown one."""
+    from helpdeck import schemas as S
+    from helpdeck.operators import changes as CH
+
+    rnd = random.Random(12)
+    statuses = ["waiting", "approval", "rejected", "scheduled", "on_progress", "completed", None]
+    tickets = [{"id": i, "status": statuses[i % 7], "follow_up_count": i % 3} for i in range(20)]
+    rows = []
+    for seq in range(2500):
+        kind = rnd.choice(["reset", "calendar_schedule", "reset", "calendar_schedule", *CH.TRANSITION_KINDS, "other"])
+        rows.append({"seq": seq, "ticket_id": rnd.choice([0, 0, 99, rnd.randrange(20), None]), "kind": kind, "ts": str(seq), "user_id": 1, "text": "x",
+                     "decision": rnd.choice(["Servis", "Nein"]), "teknisi_id": rnd.choice([None, 5, 6, 7]), "tanggal": rnd.choice(["", "2024-01-01"]),
+                     "jam": "10:00", "findings": rnd.choice(["", "f"]), "solusi": rnd.choice(["Servis", "Butuh Sparepart (Follow-up)"])})
+    t, ch = S.rows(spark, S.TICKETS, tickets), S.rows(spark, S.CHANGES, rows).repartition(6)
+    got = {r.seq: r for r in CH.scan_changes(t, ch).collect()}
+    now = {x["id"]: [x["status"], x["follow_up_count"]] for x in tickets}
+    plan = {}
+    for r in rows:
+        if r["ticket_id"] is None:
+            assert r["seq"] not in got
+            continue
+        g, kind, i = got[r["seq"]], r["kind"], r["ticket_id"]
+        status, count = now.get(i, [None, None])
+        valid = {"schedule": r["teknisi_id"] is not None and r["tanggal"] != "", "calendar_schedule": r["teknisi_id"] is not None and r["tanggal"] != "",
+                 "approve": r["decision"] == "Servis", "visit_result": r["findings"] != ""}.get(kind, kind in CH.TRANSITION_KINDS)
+        ok = valid and {"reset": status in ("waiting", "rejected"), "calendar_schedule": status in ("waiting", "approval")}.get(kind, True)
+        assert (g.valid, g.applies) == (valid, ok and i in now), r
+        if i in now:
+            assert (g.status_before, g.count_before) == (status, count), r
+            if ok:
+                now[i][0] = {"analysis": "approval", "followup": "approval", "schedule": "scheduled", "calendar_schedule": "scheduled",
+                             "cancel_schedule": "waiting", "approve": "waiting", "reject": "rejected", "reset": "approval",
+                             "start_visit": "on_progress", "visit_result": "on_progress", "close": "completed"}[kind]
+            if valid and (kind == "followup" or kind == "visit_result" and r["solusi"] != "Servis"):
+                now[i][1] += 1
+            assert g.status_after == now[i][0], r
+        before = plan.get(i, "none yet")
+        assert ("none yet" if g.schedule_before is None else g.schedule_before.teknisi_id) == before, r
+        if valid and kind in ("schedule", "calendar_schedule", "cancel_schedule"):
+            plan[i] = None if kind == "cancel_schedule" else r["teknisi_id"]
+
+
+def test_running_totals_match_a_sequential_pass(spark):
+    from helpdeck.operators.pieces import cut, running
+
+    rnd = random.Random(2)
+    rows = [(rnd.randrange(3) if i % 3 else 0, i // 2, i, rnd.choice([None, i]), rnd.randrange(-2, 3)) for i in range(4000)]
+    d = cut(spark.createDataFrame(rows, "k int, t long, id long, v long, w int").repartition(7), ["t", "id"])
+    assert d.select("_p").distinct().count() > 4
+    totals = {"s": ("sum", F.col("w")), "m": ("max", F.col("w")), "l": ("last", F.col("v")), "n": ("min", F.col("v"))}
+    for keys in (["k"], []):
+        got = {r.id: (r.s, r.m, r.l, r.n) for r in running(d, keys, ["t", "id"], totals).collect()}
+        state = {}
+        for k, _, i, v, w in rows:
+            k = k if keys else 0
+            s, m, last, n = state.get(k, (0, None, None, None))
+            assert got[i] == (s, m, last, n)
+            state[k] = (s + w, w if m is None else max(m, w), last if v is None else v, n if v is None else v if n is None else min(n, v))
