@@ -129,11 +129,12 @@ def row_key(*cols: str):
 SLOTS = 1 << 20
 
 
-def thinned(rows: DataFrame, key, keys: DataFrame) -> DataFrame:
+def thinned(rows: DataFrame, key, keys: DataFrame, others: bool = False) -> DataFrame:
     """The rows whose ``key`` (a column expression; null: none) shares a slot with a key of the one-column frame ``keys``.
 
-    No shuffle of ``rows``; rows with other keys of these slots remain, so an exact join follows.
+    No shuffle of ``rows``; rows with other keys of these slots remain, so an exact join follows.  With ``others`` the remaining
+    rows instead: those whose key is certainly not among ``keys``.
     """
     slots = keys.select(F.pmod(F.xxhash64(keys.columns[0]), F.lit(SLOTS)).alias("_slot")).distinct()
     return (rows.withColumn("_slot", F.when(key.isNotNull(), F.pmod(F.xxhash64(key), F.lit(SLOTS))))
-            .join(F.broadcast(slots), "_slot", "left_semi").drop("_slot"))
+            .join(F.broadcast(slots), "_slot", "left_anti" if others else "left_semi").drop("_slot"))

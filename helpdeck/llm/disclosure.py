@@ -49,17 +49,28 @@ def total(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def block_sums(lengths: str) -> Column:
-    """Sums of ``STEP`` values each of an array column."""
+def let(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` evaluated once a row, however often ``f`` uses it (also inside its own lambdas)."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def block_sums(lengths: Column) -> Column:
+    """Sums of ``STEP`` values each of an array."""
     n = F.floor((F.size(lengths) + STEP - 1) / STEP).cast("int")
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda b: total(F.slice(lengths, b * STEP + 1, STEP)))).otherwise(
         F.array().cast("array<bigint>"))
 
 
-def sum_before(lengths: str, blocks: str, i: Column) -> Column:
-    """Sum of the first ``i`` values, by whole blocks and the rest (so a long array costs little for each place)."""
-    b = F.floor(i / STEP).cast("int")
-    return total(F.slice(blocks, F.lit(1), b)) + total(F.slice(lengths, b * STEP + 1, i - b * STEP))
+def with_sums(lengths: Column, f) -> Column:
+    """``f(before)``, where ``before(i)`` is the sum of the first ``i`` lengths: by whole blocks and the rest, so a long
+    array costs little for each place."""
+    def on(pair: Column) -> Column:
+        def before(i: Column) -> Column:
+            b = F.floor(i / STEP).cast("int")
+            return total(F.slice(pair["blocks"], F.lit(1), b)) + total(F.slice(pair["lengths"], b * STEP + 1, i - b * STEP))
+        return f(before)
+
+    return let(lengths, lambda n: let(F.struct(n.alias("lengths"), block_sums(n).alias("blocks")), on))
 
 
 def digits(x: Column) -> Column:
@@ -68,13 +79,11 @@ def digits(x: Column) -> Column:
 
 def luhn(number: Column) -> Column:
     """Whether a string of digits passes the Luhn check."""
-    n = F.length(number)
-
-    def value(i: Column) -> Column:
-        d = F.substring(number, n - i, F.lit(1)).cast("int")
+    def value(d: Column, i: Column) -> Column:
         return F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
 
-    return total(F.transform(F.sequence(F.lit(0), n - 1), value)) % 10 == 0
+    each = F.transform(F.split(F.reverse(number), "", -1), lambda c: c.try_cast("int"))
+    return total(F.transform(F.filter(each, lambda d: d.isNotNull()), lambda d, i: value(d, i).cast("long"))) % 10 == 0
 
 
 def valid(kind: str, m: Column) -> Column:
@@ -84,21 +93,22 @@ def valid(kind: str, m: Column) -> Column:
         return F.forall(F.split(m, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (
             F.substring(F.concat(F.lit("000"), p), -3, 3).cast("int") <= MAX_PART))
     low, high = CARD_DIGITS if kind == "card" else PHONE_DIGITS
-    fits = F.length(digits(m)).between(low, high)
-    return fits & F.when(fits, luhn(digits(m))).otherwise(False) if kind == "card" else fits
+    if kind == "phone":
+        return F.length(digits(m)).between(low, high)
+    return let(digits(m), lambda d: F.when(F.length(d).between(low, high), luhn(d)).otherwise(False))
 
 
-def term_of(word: Column) -> Column:
-    """A (lower-cased) word as a term: without the signs around it; null where no letter is left, or an address."""
-    t = F.btrim(word, F.lit(EDGES))
-    return F.when(t.rlike("[a-z\\x{80}-\\x{10FFFF}]") & (F.instr(t, "@") == 0), t)
+def terms_of(words: Column) -> Column:
+    """The terms among (lower-cased) words: without the signs around them; what has no letter left is none, nor is an address."""
+    return F.filter(F.transform(words, lambda w: F.btrim(w, F.lit(EDGES))),
+                    lambda t: t.rlike("[a-z\\x{80}-\\x{10FFFF}]") & (F.instr(t, "@") == 0))
 
 
 def _gap_words(gap: Column, first: Column, last: Column) -> Column:
     """Terms of the text between two matches; pieces that touch a match are parts of words and do not count."""
-    pieces = F.split(F.lower(gap), f"[{WS}]+", -1)
-    return F.filter(F.transform(pieces, lambda x, i: F.when((first | (i > 0)) & (last | (i < F.size(pieces) - 1)), term_of(x))),
-                    lambda x: x.isNotNull())
+    before, after = F.when(first, 0).otherwise(1), F.when(last, 0).otherwise(1)
+    return let(F.split(F.lower(gap), f"[{WS}]+", -1),
+               lambda p: terms_of(F.slice(p, before + 1, F.greatest(F.size(p) - before - after, F.lit(0)))))
 
 
 def entities(docs: DataFrame, text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -119,7 +129,6 @@ def entities(docs: DataFrame, text_col: str = "text", radius: int = RADIUS) -> D
     d = d.drop("_t")
     for k in KINDS:
         d = d.withColumn(f"_l{k}", F.transform(f"_m{k}", lambda m, i: (F.char_length(F.get(f"_g{k}", i)) + F.char_length(m)).cast("long")))  # noqa: B023
-        d = d.withColumn(f"_b{k}", block_sums(f"_l{k}"))
         d = d.withColumn(f"_k{k}", F.filter(F.transform(f"_m{k}", lambda m, i: F.struct(m.alias("m"), i.alias("i"))),
                                             lambda x: valid(k, x["m"])))  # noqa: B023
     per = [_of_kind(no, k, radius) for no, k in enumerate(KINDS)]
@@ -134,19 +143,20 @@ def _of_kind(no: int, k: str, radius: int) -> tuple[Column, Column, Column]:
     def entity(x: Column) -> Column:
         return F.xxhash64(F.lit(k), F.lower(x["m"]) if k in ("email", "ip") else digits(x["m"]))
 
-    def span(x: Column) -> Column:
-        end = sum_before(f"_l{k}", f"_b{k}", x["i"] + 1)
-        return F.struct((end - F.char_length(x["m"])).alias("start"), F.lit(no).alias("kind_no"), end.alias("end"))
+    def spans(before) -> Column:
+        return F.transform(f"_k{k}", lambda x: let(before(x["i"] + 1), lambda end: F.struct(
+            (end - F.char_length(x["m"])).alias("start"), F.lit(no).alias("kind_no"), end.alias("end"))))
 
     def context(x: Column) -> Column:
         i = x["i"]
         left = _gap_words(F.get(gaps, i), i == 0, F.lit(False))
         right = _gap_words(F.get(gaps, i + 1), F.lit(False), i + 2 == F.size(gaps))
-        left = F.slice(left, F.greatest(F.size(left) - radius, F.lit(0)) + 1, F.lit(radius))
-        return F.transform(F.concat(left, F.slice(right, 1, radius)), lambda t: F.struct(entity(x).alias("entity"), t.alias("term")))
+        left = let(left, lambda a: F.slice(a, F.greatest(F.size(a) - radius, F.lit(0)) + 1, F.lit(radius)))
+        near = F.concat(left, F.slice(right, 1, radius))
+        return let(entity(x), lambda e: F.transform(near, lambda t: F.struct(e.alias("entity"), t.alias("term"))))
 
     kept = f"_k{k}"
-    return F.transform(kept, span), F.flatten(F.transform(kept, context)), F.transform(kept, entity)
+    return with_sums(F.col(f"_l{k}"), spans), F.flatten(F.transform(kept, context)), F.transform(kept, entity)
 
 
 def words_of(text: Column) -> Column:
@@ -154,14 +164,20 @@ def words_of(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, f"[{WS}]+", -1))
 
 
-def seen_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """``content, term``: which different texts hold which of the ``terms``."""
-    own = F.array_distinct(F.transform(words_of(F.lower("text")), term_of))
-    every = texts.select("content", F.explode(own).alias("term")).where("term is not null")
-    return thinned(every, F.col("term"), terms).join(terms, "term", "left_semi").distinct()
+def held_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``content, term`` for the ``terms`` that each row of ``texts`` holds, once a row, and a few others that share their slots."""
+    own = F.array_distinct(terms_of(F.array_distinct(words_of(F.lower("text")))))
+    every = texts.select("content", F.explode(own).alias("term"))
+    return thinned(every, F.col("term"), terms)
+
+
+def each_text_once(texts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``content, text`` without copies.  Only texts that may be ``repeated`` (contents that come again) are moved."""
+    again = thinned(texts, F.col("content"), repeated).groupBy("content").agg(F.first("text").alias("text"))
+    return thinned(texts, F.col("content"), repeated, others=True).unionByName(again)
 
 
-def revealing_terms(found: DataFrame, n_all: int, seen: DataFrame, pairs: DataFrame, min_degree: float = MIN_DEGREE,
+def revealing_terms(found: DataFrame, n_all: int, n_term: DataFrame, pairs: DataFrame, min_degree: float = MIN_DEGREE,
                     min_share: float = GENERALISE) -> DataFrame:
     """``term, share, degree`` of the terms above the limits, for the entity that each reveals most.
 
@@ -169,7 +185,6 @@ def revealing_terms(found: DataFrame, n_all: int, seen: DataFrame, pairs: DataFr
     entity that all ``n_all`` texts hold has no information and is revealed by nothing.
     """
     holds = found.select("content", F.explode("holds").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n_term = seen.groupBy("term").agg(F.count("*").alias("n_term"))
     d = pairs.join(holds, "entity").join(n_term, "term").where(F.col("n_entity") < n_all)
     d = d.withColumn("share", F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0)))
     d = d.withColumn("degree", 1 + F.log("share") / F.log(F.lit(n_all) / F.col("n_entity")))
@@ -180,21 +195,22 @@ def revealing_terms(found: DataFrame, n_all: int, seen: DataFrame, pairs: DataFr
 def _places(d: DataFrame) -> DataFrame:
     """``d`` with ``more``: where its ``text`` holds the terms of the map ``told``."""
     keep = list(d.columns)
-    d = d.withColumn("_h", F.filter(F.transform(words_of(F.lower("text")), lambda w, i: F.struct(term_of(w).alias("term"), i.alias("i"))),
-                                    lambda x: F.coalesce(F.map_contains_key("told", x["term"]), F.lit(False))))
-    inner = F.btrim("text", F.lit(WS_CHARS))
-    d = d.withColumn("_lead", F.char_length("text") - F.char_length(F.ltrim("text", F.lit(WS_CHARS))))
-    d = d.withColumn("_p", F.split(inner, f"(?<=[{WS}])(?=[^{WS}])", -1))
-    d = d.withColumn("_n", F.transform("_p", lambda p: F.char_length(p).cast("long")))
-    d = d.withColumn("_b", block_sums("_n"))
+    d = d.withColumn("_h", F.filter(F.transform(words_of(F.lower("text")), lambda w, i: F.struct(F.btrim(w, F.lit(EDGES)).alias("term"), i.alias("i"))),
+                                    lambda x: F.map_contains_key("told", x["term"])))
+    d = d.withColumn("_p", F.split(F.btrim("text", F.lit(WS_CHARS)), f"(?<=[{WS}])(?=[^{WS}])", -1))
+    lead = F.char_length("text") - F.char_length(F.ltrim("text", F.lit(WS_CHARS)))
+    parts = F.concat(F.array(lead.cast("long")), F.transform("_p", lambda p: F.char_length(p).cast("long")))
 
-    def place(x: Column) -> Column:
-        word = F.rtrim(F.get("_p", x["i"]), F.lit(WS_CHARS))
-        start = F.col("_lead") + sum_before("_n", "_b", x["i"]) + F.char_length(word) - F.char_length(F.ltrim(word, F.lit(EDGES)))
-        return F.struct(start.alias("start"), F.lit(len(KINDS)).alias("kind_no"), (start + F.char_length(F.btrim(word, F.lit(EDGES)))).alias("end"),
-                        F.element_at("told", x["term"]).alias("share"))
+    def places(before) -> Column:
+        def place(x: Column) -> Column:
+            word = F.rtrim(F.get("_p", x["i"]), F.lit(WS_CHARS))
+            start = before(x["i"] + 1) + F.char_length(word) - F.char_length(F.ltrim(word, F.lit(EDGES)))
+            return let(start, lambda s: F.struct(
+                s.alias("start"), F.lit(len(KINDS)).alias("kind_no"), (s + F.char_length(F.btrim(word, F.lit(EDGES)))).alias("end"),
+                F.element_at("told", x["term"]).alias("share")))
+        return F.transform("_h", place)
 
-    return d.select(*keep, F.transform("_h", place).alias("more"))
+    return d.select(*keep, with_sums(parts, places).alias("more"))
 
 
 def disclosures(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TEXTS, **limits) -> DataFrame:
@@ -210,11 +226,14 @@ def disclosures(docs: DataFrame, text_col: str = "text", min_texts: int = MIN_TE
     found = base.where(F.size("spans") > 0)
     pairs = found.select("content", F.explode("near").alias("x")).select("content", "x.entity", "x.term").distinct()
     pairs = written(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_texts), "disclosure-pairs")
-    seen = written(seen_terms(rows.select("content", "text"), pairs.select("term").distinct()), "disclosure-seen")
+    texts = rows.select("content", "text")
+    repeated = base.groupBy("content").agg(F.count("*").alias("n")).where("n > 1").select("content")
+    held = held_terms(each_text_once(texts, written(repeated, "disclosure-repeated")), pairs.select("term").distinct())
+    n_term = held.groupBy("term").agg(F.count("*").alias("n_term"))
     n_all = base.where("filled").select("content").distinct().count()
-    told = revealing_terms(found, n_all, seen, pairs, **limits)
-    told = written(seen.join(told, "term").groupBy("content").agg(
-        F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told")), "disclosure-told")
+    told = written(revealing_terms(found, n_all, n_term, pairs, **limits), "disclosure-terms")
+    held = held_terms(texts, told.select("term")).distinct().join(told, "term")
+    told = written(held.groupBy("content").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("told")), "disclosure-told")
     # one row per text on the joined side, written before: where a text has very many copies the join may be split anywhere
     extra = _places(thinned(rows, F.col("content"), told.select("content")).join(told, "content").select("k1", "k2", "text", "told"))
     extra = written(extra.groupBy("k1", "k2").agg(F.first("more").alias("more")), "disclosure-places")
