@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import functions as F
+
 from helpdeck.functions.labels import DECISIONS, ROLES, SOLUSI, STATUSES
 from helpdeck.operators import quality as Q
 from helpdeck.plans.catalog import query, views
+from helpdeck.session import scratch_path
 from helpdeck.sources import io as IO
 
 SNAPSHOT_TABLES = ["tickets", "products", "users", "schedules", "visit_results", "notifications", "activity_log",
@@ -81,3 +86,30 @@ def snapshot_restore_check(spark, sf_dir):
     root = IO.snapshot_export(tables)
     expected = {t: df.schema for t, df in tables.items()}
     return IO.snapshot_restore_check(spark, root, expected)
+
+
+def _sum_of(table: str) -> str:
+    return "length(key)" if table == "settings" else "id"
+
+
+_RESTORED = "\nUNION ALL\n".join(
+    f"SELECT {_q(t)} AS table_name, count(*) AS rows, CAST(COALESCE(sum({_sum_of(t)}), 0) AS BIGINT) AS id_sum FROM {t}" for t in SNAPSHOT_TABLES)
+
+
+@query("snapshot_restore", _RESTORED)
+def snapshot_restore(spark, sf_dir):
+    """A7: a set of tables of which half the rows are gone is replaced by a snapshot of the whole tables; a snapshot that lacks its marker is
+    refused then and changes nothing. The result is what a reader of the published set finds."""
+    tables = _tables(views(spark, sf_dir))
+    expected = {t: df.schema for t, df in tables.items()}
+    base = scratch_path(spark, "restored")
+    IO.publish_set({t: df.filter(f"{_sum_of(t)} % 2 = 0") for t, df in tables.items()}, base)
+    IO.snapshot_restore(spark, IO.snapshot_export(tables), expected, base)
+    try:
+        IO.snapshot_restore(spark, scratch_path(spark, "no-snapshot"), expected, base)
+    except IO.RestoreRefused:
+        pass
+    now = IO.read_published_set(spark, base)
+    parts = [now[t].agg(F.lit(t).alias("table_name"), F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.expr(_sum_of(t))), F.lit(0)).cast("long").alias("id_sum"))
+             for t in SNAPSHOT_TABLES]
+    return functools.reduce(lambda a, b: a.unionByName(b), parts)

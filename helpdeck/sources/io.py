@@ -80,6 +80,45 @@ def read_published(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.parquet(f"{base}/v={latest}")
 
 
+def _filesystem(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of whatever store the path belongs to (none where it does not exist)."""
+    fs, p = _filesystem(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _filesystem(spark, path)
+    fs.delete(p, True)
+
+
+def publish_set(tables: dict[str, DataFrame], base: str) -> str:
+    """Write several tables as one version: ``<base>/v=<version>/<table>`` each, then a single marker that names them. Readers
+    see all tables of a version or none of them. Returns the version's folder."""
+    spark = next(iter(tables.values())).sparkSession
+    base = base.rstrip("/")
+    version = f"{int(time.time() * 1000):013d}-{uuid.uuid4().hex[:8]}"
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{base}/v={version}/{name}")
+    spark.createDataFrame([(version, sorted(tables))], "version string, tables array<string>").coalesce(1) \
+        .write.mode("errorifexists").json(f"{base}/_published/{version}")
+    return f"{base}/v={version}"
+
+
+def read_published_set(spark: SparkSession, base: str) -> dict[str, DataFrame]:
+    """The tables of the newest version written with ``publish_set``; all from that version."""
+    base = base.rstrip("/")
+    marks = spark.read.schema("version string, tables array<string>").json(f"{base}/_published/*")
+    last = marks.agg(F.max(F.struct("version", "tables")).alias("m")).first()["m"]
+    if last is None:
+        raise FileNotFoundError(f"no published version under {base}")
+    return {t: spark.read.parquet(f"{base}/v={last['version']}/{t}") for t in last["tables"]}
+
+
 # ------------------------------------------------------------------ A6, A7
 def snapshot_export(tables: dict[str, DataFrame], base: str | None = None, label: str | None = None) -> str:
     """A6 write every table under ``<base>/snapshot=<label>/<table>`` and the
@@ -137,6 +176,30 @@ def snapshot_restore_check(spark: SparkSession, root: str, expected: dict[str, T
         "table_name string, readable boolean, schema_ok boolean, rows long, restorable boolean")
 
 
+class RestoreRefused(ValueError):
+    """A snapshot that may not replace the tables; the published ones stay as they are."""
+
+
+def snapshot_restore(spark: SparkSession, root: str, expected: dict[str, T.StructType], base: str, count_table: str = "users",
+                     max_bytes: int | None = None) -> str:
+    """A7 replace the published set of tables under ``base`` by a snapshot's: all of them, or none.
+
+    Refused (``RestoreRefused``), with nothing changed, if a check of ``snapshot_restore_check`` fails, or if the snapshot
+    has more than ``max_bytes`` (the desk's own limit for an upload is ``MAX_RESTORE_BYTES``; None: no limit). Columns
+    beyond the expected ones are kept. A job that dies while it copies leaves no marker, so the old set stays current.
+    Returns the folder of the new version.
+    """
+    checks = snapshot_restore_check(spark, root, expected, count_table).collect()  # one row a table
+    bad = [r["table_name"] for r in checks if not (r["readable"] and r["schema_ok"])]
+    if not all(r["restorable"] for r in checks):
+        raise RestoreRefused(f"not restorable: {bad or 'no marker, or no count'}")
+    if max_bytes is not None:
+        size = sum(file_inventory(spark, f"{root}/{t}").agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] for t in expected)
+        if size > max_bytes:
+            raise RestoreRefused(f"{size} bytes, more than {max_bytes}")
+    return publish_set({t: spark.read.parquet(f"{root}/{t}") for t in expected}, base)
+
+
 # ------------------------------------------------------------------ A8, A9
 def file_inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """Files under ``path`` (recursive) with name, extension, MIME and size;

@@ -2,19 +2,22 @@
 
 * J1 ``stream_unread``: running unread count per recipient (a user id or a
   role) over the notification log - 'created' adds one, 'read' takes one away.
+* J1 ``stream_unread_counts``: the same per user, who sees what is addressed to the own id or role: signed
+  counts for ids, roles and (id, role) pairs are kept, and combined per user when the table is read.
 * J2 ``stream_burst_failures``: failed attempts per address in 15-minute
-  tumbling windows (event time, watermark), reported at >= 10. This is the
-  simple form; rows later than the watermark are not counted, and their number
-  is logged. The exact limiter (success clears, counting stops once
-  blocked) needs ordered state and is the batch operator
-  ``helpdeck.operators.delivery.burst_failures``.
+  tumbling windows (event time, watermark), reported at >= 10: the simple form.
+* J2 ``stream_login_blocks``: the exact limiter (a success clears the count, counting stops once blocked). The state
+  of an address and period is its attempts in that period, until the watermark has passed it; each micro-batch walks
+  them in order again. Rows later than the watermark are not counted in either form, and their number is logged.
 * J3 ``stream_latest_status``: current ticket status from the approval log
   (latest by (created_at, id)).
 
 Streams run in *update* mode into a ``foreachBatch`` sink that writes each
 micro-batch's changed rows to its own Parquet folder (``batch_<id>``,
 overwritten on replay, so a retried batch is idempotent). The current table
-is "latest row per key over all batches". Nothing is collected to the
+is "latest row per key over all batches". Every ``COMPACT_EVERY`` batches the sink merges the last merged version and the
+batches since into a new version, marked when complete; older folders are removed one version later, so a read
+opens a bounded number of folders however long the stream runs. Nothing is collected to the
 driver (no memory sink). Checkpoints live in the shared checkpoint folder,
 so a restarted query resumes where it stopped.
 """
@@ -27,10 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from helpdeck.operators.delivery import LIMIT_FAILURES, LIMIT_PERIOD_SECONDS
 from helpdeck.session import scratch_path
 from helpdeck.sources.fixtures import shape_approval_logs, shape_attempts, shape_notification_log
+from helpdeck.sources.io import list_names, remove_folder
 
 WATERMARK = "15 minutes"
+COMPACT_EVERY = 16
 log = logging.getLogger(__name__)
 
 
@@ -98,9 +104,90 @@ def failure_windows(attempts: DataFrame, threshold: int = 10, period: str = "15
             .select("address", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("period_start"), "failures"))
 
 
+def unread_parts_from_log(log_rows: DataFrame) -> DataFrame:
+    """J1 signed counts from the notification log by what they are addressed to: an id (``role`` NULL), a role (``user_id``
+    NULL), or both at once. See ``unread_from_log`` for the log."""
+    delta = F.when(F.col("event") == "created", 1).when(F.col("event") == "read", -1).otherwise(0)
+    uid, role = F.col("user_id").cast("long"), F.col("role")
+    keys = F.array_compact(F.array(
+        F.when(uid.isNotNull(), F.struct(uid.alias("u"), F.lit(None).cast("string").alias("r"))),
+        F.when(role.isNotNull(), F.struct(F.lit(None).cast("long").alias("u"), role.alias("r"))),
+        F.when(uid.isNotNull() & role.isNotNull(), F.struct(uid.alias("u"), role.alias("r")))))
+    return (log_rows.select(F.explode(keys).alias("k"), delta.alias("delta"))
+            .groupBy(F.col("k.u").alias("user_id"), F.col("k.r").alias("role")).agg(F.sum("delta").cast("long").alias("unread")))
+
+
+def unread_of_users(parts: DataFrame, users: DataFrame) -> DataFrame:
+    """D13 ``user_id, unread`` of every user from ``unread_parts_from_log``: own id and role, less what is addressed to both."""
+    uid, role = F.col("user_id"), F.col("role")
+    a = parts.filter(role.isNull()).select(uid.alias("id"), F.col("unread").alias("_a"))
+    b = parts.filter(uid.isNull()).select("role", F.col("unread").alias("_b"))
+    c = parts.filter(uid.isNotNull() & role.isNotNull()).select(uid.alias("id"), "role", F.col("unread").alias("_c"))
+    j = users.select("id", "role").join(a, "id", "left").join(b, "role", "left").join(c, ["id", "role"], "left")
+    zero = F.lit(0)
+    return j.select(F.col("id").alias("user_id"),
+                    (F.coalesce("_a", zero) + F.coalesce("_b", zero) - F.coalesce("_c", zero)).cast("long").alias("unread"))
+
+
+def login_periods(attempts: DataFrame, threshold: int = LIMIT_FAILURES, seconds: int = LIMIT_PERIOD_SECONDS,
+                  watermark: str | None = WATERMARK) -> DataFrame:
+    """J2 exact, per address and period of its attempts: ``n`` (most failures without a success between them, up to
+    ``threshold``) and ``tenth_at`` (when it was reached; NULL where it was not). A period is blocked from then on, so later rows of it count no more."""
+    a = attempts.withColumn("ts", F.col("ts").cast("timestamp"))
+    if watermark:
+        a = a.withWatermark("ts", watermark)
+    steps = F.array_sort(F.collect_list(F.struct("ts", "id", (F.col("ok") == 1).alias("ok"))))
+    start = F.struct(F.lit(0).alias("run"), F.lit(0).alias("n"), F.lit(None).cast("timestamp").alias("at"))
+
+    def step(acc: Column, x: Column) -> Column:
+        run = F.when(x["ok"], F.lit(0)).otherwise(acc["run"] + 1)
+        return F.when(acc["at"].isNotNull(), acc).otherwise(F.struct(
+            run.alias("run"), F.greatest(acc["n"], run).alias("n"), F.when(run == threshold, x["ts"]).alias("at")))
+
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return (a.groupBy("address", F.window("ts", f"{seconds} seconds").alias("w")).agg(F.aggregate(steps, start, step).alias("x"))
+            .select("address", text("w.start").alias("period_start"), F.col("x.n").cast("long").alias("n"), text("x.at").alias("tenth_at")))
+
+
 # ------------------------------------------------------------------ running a stream to a table
+def _newest(names: list[str], prefix: str) -> int:
+    return max((int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit()), default=-1)
+
+
+def _folders(spark: SparkSession, data: str) -> tuple[int, list[str]]:
+    """The newest complete merged version and the folders that hold the current table: it and the batches after it."""
+    base = _newest(list_names(spark, f"{data}/_complete"), "merged_")
+    batches = sorted(n for n in list_names(spark, data) if n.startswith("batch_") and n[6:].isdigit() and int(n[6:]) > base)
+    return base, [f"{data}/{n}" for n in ([f"merged_{base:012d}"] if base >= 0 else []) + batches]
+
+
+def _current(spark: SparkSession, data: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The latest row per key, with its ``_batch``."""
+    paths = _folders(spark, data)[1]
+    rows = spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+    cols = [f.name for f in schema.fields if f.name not in (*keys, "_batch")]
+    last = F.max_by(F.struct(*cols), F.col("_batch"))
+    return rows.groupBy(*keys).agg(last.alias("_r"), F.max("_batch").alias("_batch")).select(
+        *keys, *[F.col(f"_r.{c}").alias(c) for c in cols], "_batch")
+
+
+def compact(spark: SparkSession, data: str, schema: T.StructType, keys: list[str], batch_id: int) -> None:
+    """Merge everything up to ``batch_id`` into ``merged_<batch_id>``; mark it when it is complete, then retire what the version
+    before it replaced. A run that dies half-way leaves the old version valid; a repeated one does nothing more."""
+    name = f"merged_{batch_id:012d}"
+    base = _newest(list_names(spark, f"{data}/_complete"), "merged_")
+    if base >= batch_id:
+        return
+    _current(spark, data, schema, keys).select(*schema.names).write.mode("overwrite").parquet(f"{data}/{name}")
+    spark.createDataFrame([(batch_id,)], "batch long").coalesce(1).write.mode("overwrite").json(f"{data}/_complete/{name}")
+    for old in list_names(spark, data):  # readers of the version before (base) may still be at work
+        kind, _, number = old.partition("_")
+        if number.isdigit() and (kind == "batch" and int(number) <= base or kind == "merged" and int(number) < base):
+            remove_folder(spark, f"{data}/{old}")
+
+
 def run_update_stream(spark: SparkSession, agg: DataFrame, keys: list[str], name: str,
-                      path: str | None = None) -> DataFrame:
+                      path: str | None = None, compact_every: int = COMPACT_EVERY) -> DataFrame:
     """Run an update-mode aggregation until the source is drained
     (``availableNow``); return the current table: latest row per key.
 
@@ -110,10 +197,13 @@ def run_update_stream(spark: SparkSession, agg: DataFrame, keys: list[str], name
     """
     out = (path or scratch_path(spark, f"stream-{name}")).rstrip("/")
     data = f"{out}/data"
+    schema = T.StructType(list(agg.schema.fields) + [T.StructField("_batch", T.LongType())])
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id).cast("long")) \
             .write.mode("overwrite").parquet(f"{data}/batch_{batch_id:012d}")
+        if (batch_id + 1) % compact_every == 0:
+            compact(spark, data, schema, keys, batch_id)
 
     q = (agg.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True)
@@ -122,12 +212,7 @@ def run_update_stream(spark: SparkSession, agg: DataFrame, keys: list[str], name
     dropped = sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in p["stateOperators"])
     if dropped:
         log.warning("%s: %d rows came later than the watermark and are not counted", name, dropped)
-    cols = [c for c in agg.columns if c not in keys]
-    schema = T.StructType(list(agg.schema.fields) + [T.StructField("_batch", T.LongType())])
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{data}/batch_none")  # so an empty source has a result
-    written = spark.read.schema(schema).parquet(f"{data}/*")
-    last = F.max_by(F.struct(*cols), F.col("_batch"))
-    return written.groupBy(*keys).agg(last.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
+    return _current(spark, data, schema, keys).select(*agg.columns)
 
 
 def stream_unread(spark: SparkSession, sf_dir: str, path: str | None = None, max_files: int | None = None) -> DataFrame:
@@ -135,6 +220,14 @@ def stream_unread(spark: SparkSession, sf_dir: str, path: str | None = None, max
     return run_update_stream(spark, unread_from_log(n), ["recipient"], "unread", path)
 
 
+def stream_unread_counts(spark: SparkSession, sf_dir: str, users: DataFrame, path: str | None = None, max_files: int | None = None,
+                         compact_every: int = COMPACT_EVERY) -> DataFrame:
+    """D13 + J1 unread notifications that each of ``users`` sees, from the log of created and read events."""
+    n = shape_notification_log(read_table_stream(spark, sf_dir, "events", max_files))
+    parts = run_update_stream(spark, unread_parts_from_log(n), ["user_id", "role"], "unread-counts", path, compact_every)
+    return unread_of_users(parts, users)
+
+
 def stream_latest_status(spark: SparkSession, sf_dir: str, path: str | None = None,
                          max_files: int | None = None) -> DataFrame:
     logs = shape_approval_logs(read_table_stream(spark, sf_dir, "events", max_files))
@@ -147,3 +240,11 @@ def stream_burst_failures(spark: SparkSession, sf_dir: str, threshold: int = 10,
     """``watermark``: how late a row may come; None counts every row and keeps every window's state."""
     a = shape_attempts(read_table_stream(spark, sf_dir, "events", max_files))
     return run_update_stream(spark, failure_windows(a, threshold, watermark=watermark), ["address", "period_start"], "bursts", path)
+
+
+def stream_login_blocks(spark: SparkSession, sf_dir: str, threshold: int = LIMIT_FAILURES, path: str | None = None,
+                        max_files: int | None = None, watermark: str | None = WATERMARK) -> DataFrame:
+    """J2 exact: the blocked periods, as ``operators.delivery.burst_failures`` finds them."""
+    a = shape_attempts(read_table_stream(spark, sf_dir, "events", max_files))
+    seen = run_update_stream(spark, login_periods(a, threshold, watermark=watermark), ["address", "period_start"], "blocks", path)
+    return seen.filter(F.col("tenth_at").isNotNull()).select("address", "period_start", "n", "tenth_at")

@@ -54,3 +54,32 @@ def test_publish_keeps_readers_on_the_last_complete_version(spark, tmp_path):
     # a version written without its marker (a job that died) is never read
     spark.range(9).write.parquet(base + "/v=9999999999999-dead")
     assert IO.read_published(spark, base).count() == 5
+
+
+def test_restore_replaces_all_tables_or_none(spark, tmp_path):
+    import pytest
+
+    old = {"users": spark.range(3).selectExpr("id", "'admin' AS role"), "tickets": spark.range(5).selectExpr("id", "'waiting' AS status")}
+    new = {"users": spark.range(7).selectExpr("id", "'cs' AS role"), "tickets": spark.range(2).selectExpr("id", "'closed' AS status")}
+    expected = {k: v.schema for k, v in old.items()}
+    base = str(tmp_path / "set")
+    with pytest.raises(Exception):  # nothing published yet
+        IO.read_published_set(spark, base)
+    IO.publish_set(old, base)
+
+    def now():
+        return {t: df.count() for t, df in IO.read_published_set(spark, base).items()}
+
+    good = IO.snapshot_export(new, base=str(tmp_path / "s"), label="good")
+    lacking = IO.snapshot_export({"users": new["users"]}, base=str(tmp_path / "s"), label="lacking")
+    wrong = IO.snapshot_export({"users": new["users"], "tickets": spark.range(2).selectExpr("id", "1 AS status")}, base=str(tmp_path / "s"), label="wrong")
+    for root in (lacking, wrong, str(tmp_path / "s" / "nowhere")):
+        with pytest.raises(IO.RestoreRefused):
+            IO.snapshot_restore(spark, root, expected, base)
+        assert now() == {"users": 3, "tickets": 5}
+    with pytest.raises(IO.RestoreRefused, match="bytes"):
+        IO.snapshot_restore(spark, good, expected, base, max_bytes=10)
+    spark.range(9).write.parquet(base + "/v=9999999999999-dead/users")  # a restore that died while it copied
+    assert now() == {"users": 3, "tickets": 5}
+    IO.snapshot_restore(spark, good, expected, base, max_bytes=IO.MAX_RESTORE_BYTES)
+    assert now() == {"users": 7, "tickets": 2} and IO.read_published_set(spark, base)["users"].first().role == "cs"
