@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helpdeck.llm.common import ship
+from helpdeck.operators.pieces import piece_of
 
 CHUNK_BITS, LEAF, NODE, ROOT = 3, 4, 8, 16  # bits of the cut rule; bytes of the digests
 SECTION_BITS = 3
@@ -153,7 +154,7 @@ def successors(docs: DataFrame, fn, ddl: str, text_col: str = "text", rows_per_r
     """``fn(doc_id, text, next_text)`` per row, ``next_text`` being the text of the next row in the
     order of ``doc_id`` (then of the text); after the last row comes the first.
 
-    The ids' quantiles part the rows into ranges; the rows whose id starts a
+    Ids sampled by hash part the rows into ranges; the rows whose id starts a
     range go to the range before it too, as what follows its last row.  So one
     shuffle of the texts serves, each task reads its ranges in order and holds
     two rows at a time.  Null ids come first, as one id.
@@ -163,16 +164,15 @@ def successors(docs: DataFrame, fn, ddl: str, text_col: str = "text", rows_per_r
     n, first = rows.agg(F.count("*"), F.min("_key")).first()
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, min(4 * width, n // rows_per_range))
-    cuts = sorted(set(rows.approxQuantile("_key", [i / parts for i in range(1, parts)], 0.1 / parts)) if parts > 1 and n else [])
-    exact = {int(c) for c in cuts}  # quantiles are values of the column; doubles hold ids below 2**53
-    cuts = sorted(c for c in exact if first is not None and c > first)
-    if cuts:
-        rows = rows.withColumn("_range", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("_key"))))
-    else:
-        rows = rows.withColumn("_range", F.lit(0))
+    # ids with the smallest hashes, so the cuts are values of the column themselves, however large
+    found = rows.select("_key").orderBy(F.xxhash64("_key"), "_key").limit(16 * parts).collect() if parts > 1 else []
+    keys = sorted({r[0] for r in found} - {first})
+    step = max(1, len(keys) // parts)
+    cuts = keys[step::step]
+    rows = rows.withColumn("_range", piece_of(rows, ["_key"], [(c,) for c in cuts]))
     starts = [first, *cuts] if first is not None else []
     before = F.when(F.col("_key") == (starts[0] if starts else 0), F.lit(len(starts) - 1)).otherwise(F.col("_range") - 1)
-    seam = F.col("_key").isin(starts) if starts else F.lit(False)
+    seam = F.col("_key").isin(starts) if starts else F.lit(False)  # becomes a set: one look-up a row
     rows = rows.withColumn("_to", F.explode(F.when(seam, F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("s")),
                                                                  F.struct(before.alias("r"), F.lit(1).alias("s"))))
                                             .otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("s"))))))
