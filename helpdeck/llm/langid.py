@@ -11,18 +11,18 @@ all that the tasks need (a table of fixed size).
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helpdeck.llm.common import arrow_map, extended, strings, with_columns
 
 ORDERS = (2, 3, 4)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 UND = "und"
 
 #: Bytes as features see them: ASCII letters and all bytes of other characters; the rest is a blank.
@@ -145,13 +145,15 @@ def train(texts: list[str], labels: list[str], bits: int = 15, dim: int = 16, ep
     return model
 
 
-def sample(docs: DataFrame, usable: Column, per_language: int, text_col: str, lang_col: str) -> list:
+def sample(docs: DataFrame, usable: Column, per_language: int, text_col: str, lang_col: str, max_rows: int = 24_000) -> list:
     """About ``per_language`` rows (text, lang) of each language, chosen by a hash of the id: first
-    the languages are counted, then each keeps the share of its hash range that gives the number."""
+    the languages are counted, then each keeps the share of its hash range that gives the number.  With
+    very many languages each has fewer rows, so that there are about ``max_rows`` of all."""
     rows = docs.where(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
     if not counts:
         return []
+    per_language = max(1, min(per_language, max_rows // len(counts)))
     spot = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30))
     bound = F.lit(0)
     for lang, n in sorted(counts.items()):
@@ -160,12 +162,20 @@ def sample(docs: DataFrame, usable: Column, per_language: int, text_col: str, la
     return sorted(got.limit(2 * per_language * len(counts)).collect(), key=lambda r: (str(r[0]), r[1]))
 
 
+def stretches(text: Column, chars: int, n: int = 4) -> Column:
+    """The whole text up to ``chars`` characters; of a longer one ``n`` stretches of equal length, together as long, from
+    places all over it (chosen by hashes of the text)."""
+    long = chars // n
+    places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.substring(
+        text, (F.pmod(F.xxhash64(text, i), F.char_length(text) - long + 1) + 1).cast("int"), F.lit(long)))
+    return F.when(F.char_length(text) <= chars, text).otherwise(F.array_join(places, "\n"))
+
+
 def fit(docs: DataFrame, usable: Column | None = None, per_language: int = 600, sample_chars: int = 6000,
         text_col: str = "text", lang_col: str = "lang", **options) -> Model | None:
     """A model from at most ``2 * per_language`` rows of each language among the ``usable`` ones; passages are drawn from
-    each row's middle ``sample_chars`` characters.  None without labelled rows."""
-    middle = F.greatest(F.lit(1), (F.char_length(text_col) - sample_chars) / 2).cast("int")
-    rows = docs.withColumn("_text", F.substring(F.col(text_col), middle, F.lit(sample_chars)))
+    the whole of each text, ``sample_chars`` characters of it in all (the bound of what the driver holds of a row).  None without labelled rows."""
+    rows = docs.withColumn("_text", stretches(F.col(text_col), sample_chars))
     got = sample(rows, F.lit(True) if usable is None else usable, per_language, "_text", lang_col)
     return train([r["text"] for r in got], [r["lang"] for r in got], **options) if got else None
 
@@ -203,6 +213,11 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 
 
 def keep_known(docs: DataFrame, usable: Column | None = None, **options) -> DataFrame:
-    """The rows whose language is recognised, with their columns as they were."""
+    """The rows whose language is recognised, with their columns as they were.
+
+    Where no row has both a text and a language, nothing can be learned and no row can be judged: all are kept.
+    """
     model = fit(docs, usable, **options)
+    if model is None:
+        return docs
     return predict(docs, model).where("accepted").select(*[F.col(f"`{c}`") for c in docs.columns])
