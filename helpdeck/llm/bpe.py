@@ -6,6 +6,10 @@ optional leading blank, one run of non-blanks, or a run of blanks, so a match
 never reaches from a non-blank over a following blank; and the look-ahead of
 the trailing-blanks alternative looks only at what follows.  The ids of the
 pieces, one after the other, are therefore those of the whole text.
+
+A very long run of blanks has no such boundary, and the library's matcher cannot follow it.  By the pattern the run
+is one match up to its last blank, which goes with what follows (at the end of the text: all of it), so that
+match is encoded by itself.
 """
 
 from __future__ import annotations
@@ -16,11 +20,15 @@ import hashlib
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from helpdeck.llm.common import arrow_map, extended, strings, with_columns
 
 _SAFE = re.compile(r"(?<=\S) ")
+#: Longer runs of blanks are matches by themselves.
+LONG_RUN = 4096
+_BLANKS = regex.compile(r"\p{White_Space}{%d,}+" % LONG_RUN)
 
 
 @functools.lru_cache(maxsize=4)
@@ -48,10 +56,21 @@ def safe_pieces(text: str, piece_chars: int) -> list[str]:
 
 
 def encode(text: str, enc, piece_chars: int = 1 << 16) -> list[int]:
-    if len(text) <= piece_chars:
+    if len(text) <= LONG_RUN:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for piece in safe_pieces(text, piece_chars):
+    start = 0
+    for run in _BLANKS.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += _ordinary(text[start:run.start()], enc, piece_chars)
+        ids += enc._encode_single_piece(text[run.start():end])  # without the pattern
+        start = end
+    return ids + _ordinary(text[start:], enc, piece_chars)
+
+
+def _ordinary(text: str, enc, piece_chars: int) -> list[int]:
+    ids: list[int] = []
+    for piece in safe_pieces(text, piece_chars) if len(text) > piece_chars else [text]:
         ids += enc.encode_ordinary(piece)
     return ids
 
