@@ -9,17 +9,20 @@ rule blocks one (and none allows), and allowed otherwise.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html.parser import HTMLParser
+from urllib.parse import urljoin
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helpdeck.llm.common import ship
 from helpdeck.llm.components import components
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Patterns that the SQL check uses too (so: what both regular expression dialects read alike).
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]*)"
-TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]*)"
+#: Pages without one of these words name no other address.
+NAMES = r"(?i)canonical|refresh"
 PARTS = r"://([^/?#]*)([^?#]*)"
 
 
@@ -39,26 +42,61 @@ def address(url: Column) -> Column:
     return F.concat(F.translate(head, _UP, _LOW), F.substring(plain, F.char_length(head) + 1, F.char_length(plain)))
 
 
-def resolved(target: Column, url: Column) -> Column:
-    """A link's target against its page's url; null for one that is no address."""
-    root = F.regexp_extract(url, r"^([^/?#]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(url, r"^([^/?#]*:)//", 1)
-    folder = F.regexp_extract(url, r"^([^/?#]*://[^/?#]*/(?:[^?#]*/)?)", 1)
-    return (F.when((target == "") | (root == ""), F.lit(None))
-            .when(target.contains("://"), target)
-            .when(target.startswith("//"), F.concat(scheme, target))
-            .when(target.startswith("/"), F.concat(root, target))
-            .otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), target)))
+class _Links(HTMLParser):
+    """Canonical link, refresh and base of a page; comments and the contents of scripts and styles are no tags."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)  # values of attributes come with their references decoded
+        self.base, self.targets = None, {}
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        have = {k: v or "" for k, v in reversed(attrs)}
+        if tag == "base" and self.base is None and have.get("href"):
+            self.base = have["href"].strip()
+        elif tag == "link" and "canonical" in have.get("rel", "").lower().split():
+            self.targets.setdefault("canonical", have.get("href", ""))
+        elif tag == "meta" and have.get("http-equiv", "").strip().lower() == "refresh":
+            _, _, target = have.get("content", "").partition(";")
+            name, _, target = target.partition("=")
+            if name.strip().lower() == "url":
+                self.targets.setdefault("refresh", target.strip().strip("'\""))
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
+
+def targets(url: str, html: str) -> list[str]:
+    """The addresses that a page's first canonical link and first refresh name, against its base and url."""
+    if "://" not in url:
+        return []
+    page = _Links()
+    page.feed(html)
+    page.close()
+    out = []
+    for target in page.targets.values():
+        try:
+            named = urljoin(urljoin(url, page.base or ""), target.strip()) if target.strip() else ""
+        except ValueError:  # no address, like http://[
+            continue
+        if "://" in named:
+            out.append(named)
+    return out
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """``a, b``: the page's address and the one that its canonical link or refresh names."""
-    html, url = F.col("html"), F.col("url")
-    target = F.array(F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-                     F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1))
-    d = pages.where(url.isNotNull() & html.isNotNull()).select("url", F.explode(target).alias("t"))
-    return (d.where("t <> ''").select(address(url).alias("a"), address(resolved(F.col("t"), url)).alias("b"))
-            .where("b is not null and a <> b"))
+    some = pages.where(F.col("url").contains("://") & F.col("html").rlike(NAMES)).select("url", "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(u, t) for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for t in targets(u, h)]
+            if pairs:
+                yield pa.RecordBatch.from_pydict({"url": [p[0] for p in pairs], "t": [p[1] for p in pairs]})
+
+    ship(pages.sparkSession)
+    d = some.mapInArrow(run, "url string, t string")
+    return d.select(address(F.col("url")).alias("a"), address(F.col("t")).alias("b")).where("a <> b")
 
 
 def matched(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
