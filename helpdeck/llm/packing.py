@@ -59,7 +59,7 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.markers = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.model, self.limit = self.tokenizer.model, limit
         self.split = regex.compile(_PIECES).findall
         self.known: dict[str, bytes] = {}
@@ -83,7 +83,24 @@ class WordEncoder:
         return b"".join([self.piece(p) for p in self.split(word)])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a string array and the offsets of its values (null: none)."""
+        """All ids of a string array and the offsets of its values (null: none).
+
+        Texts that hold one of the tokenizer's own markers are encoded whole: there a marker is one id, and what
+        stands next to it is cut at its ends.
+        """
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        low, marked = pc.utf8_lower(texts), np.zeros(len(texts), bool)
+        for m in self.markers:
+            marked |= pc.match_substring(low, m).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return self._plain(texts)
+        ids, starts = self._plain(pc.if_else(pa.array(marked), "", texts))
+        parts = [ids[starts[i]:starts[i + 1]] for i in range(len(texts))]
+        for i in np.flatnonzero(marked).tolist():
+            parts[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         starts = words.offsets.to_numpy().astype(np.int64)
         coded = words.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
