@@ -152,10 +152,7 @@ raw AS (SELECT rid, doc_id, host, t, list_filter(string_split(t, chr(10)), lambd
 ln AS (SELECT rid, doc_id, host, t, unnest(range(len(ls))) i, unnest(ls) l FROM raw),
 norm AS (SELECT rid, doc_id, host, t, i, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) nw, trim(regexp_replace(translate(l,
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') k FROM ln),
-near AS (SELECT *, lag(k) OVER (PARTITION BY rid ORDER BY i) b, lead(k) OVER (PARTITION BY rid ORDER BY i) a,
-    row_number() OVER (PARTITION BY rid, k ORDER BY i) o FROM norm),
-spots AS (SELECT host, k, count(DISTINCT rid) n, count(DISTINCT (coalesce(b, chr(10)), coalesce(a, chr(10)))) v FROM near WHERE o = 1 GROUP BY host, k),
-hit AS (SELECT host, k FROM spots WHERE n > 50 AND v >= 0.5 * n),
+hit AS (SELECT host, k FROM norm GROUP BY host, k HAVING count(DISTINCT t) > 50),
 gone AS (SELECT rid, sum(nw) FILTER (WHERE hit.k IS NOT NULL) r, sum(nw) n FROM norm LEFT JOIN hit
   ON hit.k = norm.k AND hit.host IS NOT DISTINCT FROM norm.host GROUP BY rid),
 dup AS (SELECT rid, len(ls) - len(list_distinct(ls)) n FROM raw),
@@ -218,46 +215,47 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OP12_SQL = r"""
-WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') t FROM documents),
+WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(text, '') t, md5(coalesce(text, '')) c FROM documents),
 cut AS (CUTS),
-hits AS (SELECT rid, t, kn, kind, g, i, h[i] m, sum(length(g[i]) + length(h[i])) OVER (PARTITION BY rid, kn ORDER BY i) e
+hits AS (SELECT rid, c, kn, kind, g, i, h[i] m, sum(length(g[i]) + length(h[i])) OVER (PARTITION BY rid, kn ORDER BY i) e
   FROM (SELECT *, unnest(range(1, len(h) + 1)) i FROM cut)),
 num AS (SELECT *, regexp_replace(m, '[^0-9]', '', 'g') n FROM hits),
-spans AS (SELECT rid, t, kn, kind, g, i, (e - length(m))::BIGINT s, e::BIGINT e, kind || ':' || CASE WHEN kn < 2 THEN lower(m) ELSE n END entity FROM num
+spans AS MATERIALIZED (SELECT rid, c, kn, kind, g, i, (e - length(m))::BIGINT s, e::BIGINT e, kind || ':' || CASE WHEN kn < 2 THEN lower(m) ELSE n END entity FROM num
   WHERE kn = 0 OR (kn = 1 AND list_bool_and(list_transform(string_split(m, '.'), lambda p: p::DOUBLE <= 255)))
     OR (kn = 2 AND length(n) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(n)), lambda j:
       CASE WHEN j % 2 = 0 THEN n[length(n) - j]::INT WHEN n[length(n) - j]::INT > 4 THEN 2 * n[length(n) - j]::INT - 9 ELSE 2 * n[length(n) - j]::INT END)) % 10 = 0)
     OR (kn = 3 AND length(n) BETWEEN 9 AND 15)),
-sides AS (SELECT rid, t, entity, i, kn, unnest([0, 1]) side, unnest([i, i + 1]) gi, g FROM spans),
-pieces AS (SELECT rid, t, entity, i, kn, side, gi, len(g) ng, unnest(string_split_regex(lower(g[gi]), '[\x20\x09-\x0D]+')) w,
+sides AS (SELECT rid, c, entity, i, kn, unnest([0, 1]) side, unnest([i, i + 1]) gi, g FROM spans),
+pieces AS (SELECT rid, c, entity, i, kn, side, gi, len(g) ng, unnest(string_split_regex(lower(g[gi]), '[\x20\x09-\x0D]+')) w,
     unnest(range(1, len(string_split_regex(g[gi], '[\x20\x09-\x0D]+')) + 1)) j, len(string_split_regex(g[gi], '[\x20\x09-\x0D]+')) nj FROM sides),
 inner_words AS (SELECT *, trim(w, '.,;:!?"''`()[]{}<>|*#&%$=~_/\-') term FROM pieces WHERE (j > 1 OR gi = 1) AND (j < nj OR gi = ng)),
-ranked AS (SELECT t, entity, term, row_number() OVER (PARTITION BY rid, kn, i, side ORDER BY CASE WHEN side = 0 THEN -j ELSE j END) r
-  FROM inner_words WHERE regexp_matches(term, '[a-z\x{80}-\x{10FFFF}]') AND NOT contains(term, '@')),
-pairs AS (SELECT entity, term, count(DISTINCT t) n_both FROM ranked WHERE r <= 8 GROUP BY ALL HAVING count(DISTINCT t) >= 3),
-holds AS (SELECT entity, count(DISTINCT t) n_entity FROM spans GROUP BY entity),
-raw AS (SELECT rid, t, string_split_regex(t, '[\x20\x09-\x0D]+') p, list_concat(regexp_extract_all(t, '[\x20\x09-\x0D]+'), ['']) b FROM d),
-placed AS (SELECT rid, t, p[k] w, trim(lower(p[k]), '.,;:!?"''`()[]{}<>|*#&%$=~_/\-') term,
+ranked AS (SELECT c, entity, term, row_number() OVER (PARTITION BY rid, kn, i, side ORDER BY CASE WHEN side = 0 THEN -j ELSE j END) r
+  FROM inner_words WHERE (regexp_matches(term, '[a-z]') OR strlen(term) > length(term)) AND NOT contains(term, '@')),
+pairs AS MATERIALIZED (SELECT entity, term, count(DISTINCT c) n_both FROM ranked WHERE r <= 8 GROUP BY ALL HAVING count(DISTINCT c) >= 3),
+holds AS (SELECT entity, count(DISTINCT c) n_entity FROM spans GROUP BY entity),
+raw AS (SELECT rid, c, string_split_regex(t, '[\x20\x09-\x0D]+') p, list_concat(regexp_extract_all(t, '[\x20\x09-\x0D]+'), ['']) b FROM d),
+placed AS (SELECT rid, c, p[k] w, trim(lower(p[k]), '.,;:!?"''`()[]{}<>|*#&%$=~_/\-') term,
     sum(length(p[k]) + length(b[k])) OVER (PARTITION BY rid ORDER BY k) - length(p[k]) - length(b[k]) o
   FROM (SELECT *, unnest(range(1, len(p) + 1)) k FROM raw)),
-words AS (SELECT rid, t, term, (o + length(w) - length(ltrim(w, '.,;:!?"''`()[]{}<>|*#&%$=~_/\-')))::BIGINT s,
+words AS MATERIALIZED (SELECT rid, c, term, (o + length(w) - length(ltrim(w, '.,;:!?"''`()[]{}<>|*#&%$=~_/\-')))::BIGINT s,
     length(trim(w, '.,;:!?"''`()[]{}<>|*#&%$=~_/\-')) n FROM placed WHERE term IN (SELECT term FROM pairs)),
-seen AS (SELECT term, count(DISTINCT t) n_term FROM words GROUP BY term),
+seen AS (SELECT term, count(DISTINCT c) n_term FROM words GROUP BY term),
 every AS (SELECT count(DISTINCT t) n_all FROM d WHERE t <> ''),
 told AS (SELECT DISTINCT term FROM pairs JOIN holds USING (entity) JOIN seen USING (term), every WHERE n_entity < n_all
   AND least(n_both / n_term, 1) >= 0.5 AND 1 + ln(least(n_both / n_term, 1)) / ln(n_all / n_entity) >= 0.8),
-more AS (SELECT w.rid, 4 kn, 'term' kind, w.s, w.s + w.n e FROM words w SEMI JOIN told USING (term)
-  WHERE NOT EXISTS (FROM spans x WHERE x.rid = w.rid AND x.s < w.s + w.n AND w.s < x.e)),
+telling AS MATERIALIZED (SELECT rid, s, s + n e FROM words SEMI JOIN told USING (term)),
+covered AS (SELECT DISTINCT w.rid, w.s FROM telling w JOIN spans x ON x.rid = w.rid AND x.s < w.e AND w.s < x.e),
+more AS (SELECT rid, 4 kn, 'term' kind, s, e FROM telling ANTI JOIN covered USING (rid, s)),
 everything AS (SELECT rid, kn, kind, s, e FROM spans UNION ALL SELECT * FROM more),
-per AS (SELECT rid, count(*) FILTER (WHERE kn = 0) a, count(*) FILTER (WHERE kn = 1) b, count(*) FILTER (WHERE kn = 2) c, count(*) FILTER (WHERE kn = 3) f,
+per AS (SELECT rid, count(*) FILTER (WHERE kn = 0) a, count(*) FILTER (WHERE kn = 1) b, count(*) FILTER (WHERE kn = 2) card, count(*) FILTER (WHERE kn = 3) f,
     count(*) FILTER (WHERE kn = 4) x, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kn) FILTER (WHERE kn < 4) base,
     string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, kn) al FROM everything GROUP BY rid)
-SELECT doc_id, coalesce(a, 0) AS n_email, coalesce(b, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(f, 0) AS n_phone, coalesce(x, 0) AS n_terms,
+SELECT doc_id, coalesce(a, 0) AS n_email, coalesce(b, 0) AS n_ip, coalesce(card, 0) AS n_card, coalesce(f, 0) AS n_phone, coalesce(x, 0) AS n_terms,
   sha256(coalesce(base, '')) AS base_sha256, coalesce(al, '') AS spans FROM d LEFT JOIN per USING (rid)
 """
 
 _OP12_SQL = _OP12_SQL.replace("CUTS", " UNION ALL ".join(
-    f"SELECT rid, t, {i} kn, '{k}' kind, string_split_regex(t, '{p}') g, regexp_extract_all(t, '{p}') h FROM d WHERE regexp_matches(t, '{p}')"
+    f"SELECT rid, c, {i} kn, '{k}' kind, string_split_regex(t, '{p}') g, regexp_extract_all(t, '{p}') h FROM d WHERE regexp_matches(t, '{p}')"
     for i, (k, p) in enumerate([("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
                                 ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")])))
 

@@ -140,6 +140,17 @@ def test_successors_in_ranges(spark):
     assert sorted((r.doc_id, r.t, r.u) for r in got) == [(i * 7, f"t{i}", f"t{(i + 1) % n}") for i in range(n)]
 
 
+def test_successors_of_large_ids(spark):
+    from helpdeck.llm.fingerprint import fingerprint_frame, successors
+
+    first = (1 << 61) + 1
+    d = spark.range(first, first + 20_000).selectExpr("id doc_id", "concat('t', id) text").repartition(7)
+    got = successors(d, lambda i, t, u: {"doc_id": i, "u": u}, "doc_id bigint, u string", rows_per_range=500).collect()
+    assert {r.doc_id: r.u for r in got} == {i: f"t{i + 1 if i + 1 < first + 20_000 else first}" for i in range(first, first + 20_000)} and len(got) == 20_000
+    edge = spark.createDataFrame([(i, str(i)) for i in (None, -(1 << 63), (1 << 63) - 1, 0)], "doc_id bigint, text string")
+    assert sorted(str(r.doc_id) for r in fingerprint_frame(edge).collect()) == sorted(str(i) for i in (None, -(1 << 63), (1 << 63) - 1, 0))
+
+
 # ---- 3 HTML extraction
 
 PAGES = [
@@ -193,6 +204,25 @@ def test_language_ignores_labels(spark):
     assert held and np.mean([r.lang_pred == lang[r.doc_id] for r in held]) > 0.95
 
 
+def test_language_needs_a_letter_and_reads_whole_texts(spark):
+    from pyspark.sql import functions as F
+
+    from helpdeck.llm.langid import fit, keep_known, predict, stretches
+
+    words = {"aa": "gato perro casa luz", "bb": "zwölf über straße können"}
+    rows = [(i, " ".join(RNG.choices(words[k].split(), k=40)), k) for i in range(80) for k in words]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    odd = spark.createDataFrame([(1, "² ①"), (2, "Ⅷ 12 _"), (3, "ª"), (4, "中")], "doc_id bigint, text string")
+    got = {r.doc_id: r.lang_pred for r in predict(odd, fit(d)).collect()}
+    assert got[1] == got[2] == "und" and got[3] != "und" and got[4] != "und"
+    unlabelled = d.withColumn("lang", F.lit(None).cast("string"))
+    assert keep_known(unlabelled).count() == 160 and keep_known(d.limit(0)).count() == 0
+    # a language that stands only at the end of long texts is found there
+    long = spark.createDataFrame([(i, "x" * 9000 + "é" * 9000) for i in range(40)], "doc_id bigint, text string")
+    cut = [r.t for r in long.select(stretches(F.concat("text", F.col("doc_id").cast("string")), 600).alias("t")).collect()]
+    assert all(len(t) == 603 for t in cut) and {c for t in cut for c in t} >= {"x", "é"} and sum("é" in t for t in cut) > 30
+
+
 # ---- 5 licence scan
 
 
@@ -245,6 +275,22 @@ def test_bpe(spark, docs, empty):
     assert encode_frame(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_long_blank_runs():
+    import public_tokenizers
+    from helpdeck.llm.bpe import LONG_RUN, decode, encode, encoding
+
+    enc = encoding(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(4)
+    blanks = [" ", "\n", "\t", "\u3000", "\x1c", "\xa0", "\x85", "\u200b"]
+    for turn in range(60):
+        text = "".join(rng.choice(["ab ", "1 ", "!?", "é"]) + "".join(rng.choice(blanks if turn % 2 else " ") for _ in range(
+            rng.choice([0, 1, LONG_RUN - 1, LONG_RUN, LONG_RUN + 1, 6000]))) for _ in range(5))
+        text = text.strip() if turn % 3 else "\n" * 5000 + text
+        assert encode(text, enc, piece_chars=2000) == enc.encode_ordinary(text)
+    text = "a" + " " * 1_000_000 + "b" + "\n" * 1_000_000  # beyond what the library's matcher follows
+    assert decode(encode(text, enc), enc) == text.encode()
+
+
 # ---- 7 n-gram Jaccard join
 
 
@@ -374,6 +420,32 @@ def test_url_filter(spark, tmp_path):
     assert judge(pages.limit(0), rules).count() == 0
 
 
+def test_links_are_read_as_a_browser_does():
+    from helpdeck.llm.url_filter import targets
+
+    def of(html, url="http://h.org/a/b/c?x#y"):
+        return targets(url, html)
+
+    assert of('<link rel=canonical href="https://h/p?a=1&amp;b=2">') == ["https://h/p?a=1&b=2"]
+    assert of('<link rel="x Canonical" href="../d">') == ["http://h.org/a/d"] and of("<LINK HREF='./../../e/./f' REL=canonical>") == ["http://h.org/e/f"]
+    assert of('<!-- <link rel=canonical href="/z"> --><script>"<link rel=canonical href=/s>"</script>') == []
+    assert of('<base href="http://b.org/q/"><link rel=canonical href=r>') == ["http://b.org/q/r"] and of("<link rel=canonical href=r>") == ["http://h.org/a/b/r"]
+    assert of('<meta http-equiv=Refresh content="0; URL=\'/&#x6d;&#246;\'">') == ["http://h.org/mö"] and of('<meta http-equiv=refresh content="5">') == []
+    assert of('<![if x]><link rel=canonical href="//g.org"><![endif]') == ["http://g.org"] and of('<link rel=canonical href="http://[">') == []
+    assert of('<link rel=canonical href="mailto:x">') == [] and of('<link rel=canonical href="/x">', "nothing") == [] and of("") == []
+
+
+def test_aliases_with_two_parameters(spark):
+    from helpdeck.llm.url_filter import judge
+
+    rows = [(1, "http://a.org/1?a=1&b=2", ""), (2, "http://a.org/2", "<link rel=canonical href='/1?a=1&amp;b=2'>"),
+            (3, "http://a.org/3/x", "<link rel=canonical href='../../1?a=1&#38;b=2'>"), (4, "http://q.net/es/4", "<link rel=canonical href='http://a.org/1?a=1&amp;b=2'>"),
+            (5, "http://a.org/5", "<!-- <link rel=canonical href='http://q.net/es/4'> -->")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r.page_id: r.verdict for r in judge(pages, spark.createDataFrame(RULES, "verdict string, host string, path string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
+
+
 # ---- 9 packing
 
 
@@ -442,8 +514,15 @@ def test_word_encoder_equals_the_library(spark):
     letters = "abcXYZ019'sté ßÀİΣσ日́\x1f\x85\xa0<|>.,!\n\t "
     texts = ["".join(rng.choice(letters) for _ in range(200)) for _ in range(60)] + ["<|endoftext|> x", "", None, "it's I'LL don't"]
     ids, off = enc.encode(pa.array(texts, pa.string()))
-    want = [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
     assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == want
+    assert len(library.encode("a <|endoftext|> b", add_special_tokens=False).ids) == 3
+    texts = ["".join(rng.choice(["<|endoftext|>", " ", "a", "É", "\n", "<|", "1", "<|startoftext|>", "<|EndOfText|>"]) for _ in range(12)) for _ in range(100)]
+    ids, off = enc.encode(pa.array([None, *texts, ""], pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [library.encode(t, add_special_tokens=False).ids for t in ["", *texts, ""]]
 
 
 # ---- 10 quality rules
@@ -482,7 +561,7 @@ def test_quality_matches_sql(spark, tmp_path, empty):
     assert quality(empty.drop("n_words")).count() == 0
 
 
-def test_lines_inside_boilerplate_blocks_are_removed(spark):
+def test_lines_inside_boilerplate_blocks_are_removed(spark, tmp_path):
     from helpdeck.llm.quality_lines import apply_quality, quality
 
     footer = ["All rights reserved by the desk.", "Terms of use and privacy.", "Call us on 555 1234."]
@@ -494,6 +573,13 @@ def test_lines_inside_boilerplate_blocks_are_removed(spark):
     got = {r.doc_id: r for r in quality(d).collect()}
     assert all(got[i].kept and got[i].removed_words == sum(len(x.split()) for x in footer) for i in range(60))
     assert not any(got[i].kept for i in range(60, 120)) and all(got[i].kept and not got[i].removed_words for i in range(120, 180))
+    d.drop("n_words").coalesce(1).write.parquet(str(tmp_path / "d"))
+    with duckdb.connect() as c:
+        from helpdeck.llm.queries import ORACLES
+
+        c.execute(f"create view documents as from '{tmp_path}/d/*.parquet'")
+        rows = c.execute(ORACLES["op10_quality_lines"]).fetchall()
+    assert sorted(rows) == sorted(map(tuple, quality(d).collect()))
     out = {r.doc_id: r.text for r in apply_quality(d).collect()}
     assert set(out) == {*range(60), *range(120, 180)} and all(out[i] == texts[i].split("\n")[0] for i in range(60))
 
