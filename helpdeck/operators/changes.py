@@ -337,11 +337,11 @@ def sequence_numbers(df: DataFrame, order: list, partition: list | None = None,
             .drop("_part", "_local", "_off"))
 
 
-def next_ids(new_rows: DataFrame, existing: DataFrame, order: list, id_col: str = "id") -> DataFrame:
-    """I14 auto-increment: new ids continue after the existing maximum, in ``order``."""
+def next_ids(new_rows: DataFrame, existing: DataFrame, order: list[str], id_col: str = "id") -> DataFrame:
+    """I14 auto-increment: new ids continue after the existing maximum, in ``order`` (columns, unique and not NULL)."""
     mx = existing.agg(F.coalesce(F.max(id_col), F.lit(0)).cast("long")).scalar()   # scalar subquery
-    numbered = sequence_numbers(new_rows, order, name="_n")
-    return numbered.withColumn(id_col, mx + F.col("_n")).drop("_n")
+    numbered = running(cut(new_rows, order), [], order, {"_n": ("sum", F.lit(1))})
+    return numbered.withColumn(id_col, mx + F.col("_n") + 1).drop("_n", "_p")
 
 
 def _year_prefix(no: Column, year: str) -> Column:

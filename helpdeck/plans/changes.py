@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from helpdeck.functions.labels import FOLLOWUP_MESSAGES
 from helpdeck.operators import changes as CH
+from helpdeck.operators import users as U
 from helpdeck.plans.catalog import query, views
 from helpdeck.plans.oracle_views import sql_changes
 from helpdeck.sources.fixtures import TICKET_NOW, ChangeBatches
@@ -416,6 +417,56 @@ def guarded_user_delete(spark, sf_dir):
     return CH.guarded_user_delete(v.users, b.delete_requests)
 
 
+_USER_WALK = """
+, ulog AS (SELECT *, row_number() OVER (ORDER BY seq) AS n FROM user_log),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS n, (SELECT list({'id': id, 'username': username, 'role': role, 'src': CAST(-1 AS BIGINT)}) FROM users) AS us,
+         (SELECT max(id) FROM users) AS m, CAST(NULL AS BIGINT) AS uid, CAST(NULL AS VARCHAR) AS reason
+  UNION ALL
+  SELECT n, CASE reason WHEN 'user_created' THEN list_append(us, {'id': m + 1, 'username': username, 'role': role, 'src': seq})
+                        WHEN 'user_updated' THEN list_append(list_filter(us, lambda x: x.id <> user_id), {'id': user_id, 'username': username, 'role': role, 'src': seq})
+                        WHEN 'user_deleted' THEN list_filter(us, lambda x: x.id <> user_id) ELSE us END,
+         CASE WHEN reason = 'user_created' THEN m + 1 ELSE m END,
+         CASE WHEN reason = 'user_created' THEN m + 1 WHEN kind <> 'create' THEN user_id END, reason
+  FROM (
+    SELECT *, CASE kind
+      WHEN 'create' THEN CASE WHEN COALESCE(name, '') = '' OR COALESCE(username, '') = '' OR COALESCE(role, '') = '' THEN 'missing_fields'
+                              WHEN role NOT IN ('admin', 'management', 'teknisi', 'cs') THEN 'invalid_role'
+                              WHEN len(held) > 0 THEN 'username_taken' ELSE 'user_created' END
+      WHEN 'edit' THEN CASE WHEN len(mine) = 0 OR mine[1].role NOT IN ('admin', 'management', 'teknisi', 'cs') THEN 'nothing_updated'
+                            WHEN name IS NULL OR username IS NULL OR role IS NULL THEN 'missing_fields'
+                            WHEN len(held) > 0 AND held[1].id <> user_id THEN 'username_taken' ELSE 'user_updated' END
+      ELSE CASE WHEN len(mine) = 0 THEN 'user_not_found' WHEN mine[1].role NOT IN ('admin', 'management', 'teknisi', 'cs') THEN 'invalid_role'
+                WHEN mine[1].role = 'admin' AND admins <= 1 THEN 'cannot_delete_last_admin' ELSE 'user_deleted' END END AS reason
+    FROM (SELECT l.*, w.us, w.m, list_filter(w.us, lambda x: x.id = l.user_id) AS mine, list_filter(w.us, lambda x: x.username = l.username) AS held,
+                 len(list_filter(w.us, lambda x: x.role = 'admin')) AS admins
+          FROM walk w JOIN ulog l ON l.n = w.n + 1)))
+"""
+
+
+@query("user_verdicts", _USER_WALK + """
+SELECT l.seq, l.kind, w.uid AS user_id, w.reason IN ('user_created', 'user_updated', 'user_deleted') AS done, w.reason
+FROM walk w JOIN ulog l USING (n)
+""", builder=_rec)
+def user_verdicts(spark, sf_dir):
+    """D20 + I6 the outcome of every create, edit and delete of users, in order."""
+    v, b = _b(spark, sf_dir)
+    return U.replay_users(v.users, b.user_log, TICKET_NOW)[1]
+
+
+@query("user_replay", _USER_WALK + f"""
+, last AS (SELECT unnest(us) AS x FROM walk QUALIFY n = max(n) OVER ())
+SELECT x.id, x.username, CASE WHEN x.src < 0 THEN u.name ELSE l.name END AS name, x.role, CASE WHEN x.src < 0 THEN u.phone ELSE COALESCE(l.phone, '') END AS phone,
+       CASE WHEN x.src < 0 THEN u.email ELSE COALESCE(l.email, '') END AS email, COALESCE(u.active, 1) AS active,
+       COALESCE(u.created_at, '{TICKET_NOW}') AS created_at
+FROM last LEFT JOIN users u ON u.id = x.id LEFT JOIN user_log l ON l.seq = x.src
+""", builder=_rec)
+def user_replay(spark, sf_dir):
+    """D20 + I6 the users table after that log."""
+    v, b = _b(spark, sf_dir)
+    return U.replay_users(v.users, b.user_log, TICKET_NOW)[0]
+
+
 # ------------------------------------------------------------------ deletes, resets, backfill, vouchers
 def _cascade(spark, sf_dir):
     v = views(spark, sf_dir)

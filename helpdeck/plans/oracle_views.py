@@ -248,7 +248,16 @@ setting_writes AS (
 ),
 product_edits AS (SELECT pk AS id, l_orderkey AS seq, 'T' || CAST(mx AS VARCHAR) AS tipe FROM first_line),
 toggle_requests AS (SELECT id AS seq, user_id FROM activity_log WHERE action = 'error'),
-delete_requests AS (SELECT id AS seq, user_id FROM approval_logs WHERE action = 'reset')
+delete_requests AS (SELECT id AS seq, user_id FROM approval_logs WHERE action = 'reset'),
+user_log AS (
+  SELECT id AS seq, CASE action WHEN 'approve' THEN 'create' WHEN 'reject' THEN 'edit' ELSE 'delete' END AS kind,
+         CASE WHEN id % 3 = 0 THEN (SELECT max(id) FROM users) + id % 50 ELSE id % 40 + 1 END AS user_id,
+         CASE WHEN id % 23 <> 0 THEN CASE WHEN id % 2 = 0 THEN 'u' ELSE 'n' END || CAST((id // 7) % 60 AS VARCHAR) END AS username, 'p' AS password,
+         CASE WHEN id % 19 <> 0 THEN 'N' || CAST(id AS VARCHAR) END AS name,
+         ['admin', 'management', 'teknisi', 'cs', 'boss', 'cs', 'teknisi'][CAST(id % 7 AS INTEGER) + 1] AS role,
+         CASE WHEN id % 5 <> 0 THEN '08' || CAST(id AS VARCHAR) END AS phone, CAST(NULL AS VARCHAR) AS email
+  FROM approval_logs
+)
 """
 
 

@@ -416,6 +416,19 @@ class ChangeBatches:
         al = self.v.approval_logs.filter(F.col("action") == "reset")
         return al.select(F.col("id").alias("seq"), "user_id")
 
+    @cached_property
+    def user_log(self) -> DataFrame:
+        """Creates, edits and deletes of users: names that are taken, free or freed, unknown roles, missing fields, ids of users made on the way."""
+        al, i = self.v.approval_logs, F.col("id")
+        users = self.v.users.agg(F.max("id")).scalar()
+        return al.select(
+            i.alias("seq"), F.when(F.col("action") == "approve", "create").when(F.col("action") == "reject", "edit").otherwise("delete").alias("kind"),
+            F.when(i % 3 == 0, users + i % 50).otherwise(i % 40 + 1).alias("user_id"),
+            F.when(i % 23 != 0, F.concat(F.when(i % 2 == 0, F.lit("u")).otherwise(F.lit("n")), _s(F.floor(i / 7) % 60))).alias("username"), F.lit("p").alias("password"),
+            F.when(i % 19 != 0, F.concat(F.lit("N"), _s(i))).alias("name"),
+            F.element_at(F.array(*[F.lit(r) for r in ("admin", "management", "teknisi", "cs", "boss", "cs", "teknisi")]), (i % 7 + 1).cast("int")).alias("role"),
+            F.when(i % 5 != 0, F.concat(F.lit("08"), _s(i))).alias("phone"), F.lit(None).cast("string").alias("email"))
+
 
 def incoming_catalog(v: TicketViews) -> DataFrame:
     """A supplier catalog feed keyed by product code (half known codes, half new)."""

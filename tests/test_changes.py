@@ -277,3 +277,57 @@ def test_constraint_report(spark):
     assert got[("notifications", "not_null:message")] == 1
     assert got[("schedules", "orphan:ticket_id->tickets")] == 1
     assert got[("tickets", "in_list:status")] == 0
+
+
+def test_users_equal_a_replay(spark):
+    """Few names, ids and admins, so that every outcome hangs on earlier ones."""
+    from helpdeck.operators import users as U
+
+    rnd = random.Random(6)
+    roles = ["admin", "management", "teknisi", "cs"]
+    for turn in range(3):
+        users = [(i, f"n{i}", f"N{i}", roles[i % 4] if i < 6 else "odd", None, "e", 1, "t") for i in range(1, 8)]
+        log = []
+        for seq in range(0, 240, 2):
+            log.append((seq, rnd.choice(["create", "edit", "edit", "delete", "other"]), rnd.choice([None, *range(1, 25)]), rnd.choice([None, "", *[f"n{k}" for k in range(1, 12)]]),
+                        "p", rnd.choice([None, "", "X", "Y"]) if rnd.random() < 0.2 else f"X{seq}", rnd.choice(["admin", *roles, "odd", None] if turn else ["cs", "odd"]), rnd.choice([None, "1"]), None))
+        now, top, want = {u[0]: list(u) for u in users}, 7, []
+        for seq, kind, uid, username, _, name, role, phone, _ in log:
+            holder = next((i for i, u in now.items() if u[1] == username), None)
+            if kind == "create":
+                if not (name and username and role):
+                    why = "missing_fields"
+                elif role not in roles:
+                    why = "invalid_role"
+                elif holder is not None:
+                    why = "username_taken"
+                else:
+                    why, top = "user_created", top + 1
+                    now[top] = [top, username, name, role, phone or "", "", 1, NOW]
+                want.append((seq, kind, top if why == "user_created" else None, why))
+            elif kind == "edit":
+                if uid not in now or now[uid][3] not in roles:
+                    why = "nothing_updated"
+                elif name is None or username is None or role is None:
+                    why = "missing_fields"
+                elif holder is not None and holder != uid:
+                    why = "username_taken"
+                else:
+                    why = "user_updated"
+                    now[uid][1:6] = [username, name, role, phone or "", ""]
+                want.append((seq, kind, -1 if uid is None else uid, why))
+            elif kind == "delete":
+                if uid not in now:
+                    why = "user_not_found"
+                elif now[uid][3] not in roles:
+                    why = "invalid_role"
+                elif now[uid][3] == "admin" and sum(u[3] == "admin" for u in now.values()) <= 1:
+                    why = "cannot_delete_last_admin"
+                else:
+                    why = "user_deleted"
+                    del now[uid]
+                want.append((seq, kind, -1 if uid is None else uid, why))
+        df = spark.createDataFrame(log, "seq long, kind string, user_id long, username string, password string, name string, role string, phone string, email string")
+        table, verdicts = U.replay_users(S.rows(spark, S.USERS, [dict(zip(S.USERS.fieldNames(), u)) for u in users]), df.repartition(4), NOW)
+        assert sorted((r.seq, r.kind, r.user_id, r.reason) for r in verdicts.collect()) == want
+        assert sorted(map(list, table.collect())) == sorted(now.values())
