@@ -120,3 +120,23 @@ def month_name(month_col) -> Column:
 def day_name(dow0_col) -> Column:
     """H23 weekday short name, Sunday = 0."""
     return F.element_at(F.array(*[F.lit(d) for d in DAY_NAMES]), as_col(dow0_col).cast("int") + 1)
+
+
+# ---- fixed values (must equal the reference) -------------------------------
+ROLE_BADGES = {"admin": "primary", "management": "warning", "cs": "secondary"}
+OTHER_BADGE = "info"
+# -----------------------------------------------------------------------------
+
+
+def role_label(c) -> Column:
+    """H28 a role as it is shown: 'CS' for cs, else with its first letter in capitals."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.when(c == "cs", F.lit("CS")).otherwise(F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30)))
+
+
+def role_badge(c) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    out = F.lit(OTHER_BADGE)
+    for role, badge in ROLE_BADGES.items():
+        out = F.when(c == role, badge).otherwise(out)
+    return out

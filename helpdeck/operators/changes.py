@@ -705,7 +705,7 @@ def voucher_candidates(tickets: DataFrame, products: DataFrame, vouchers: DataFr
     p = products.select(F.col("id").alias("_pid"), "nama_produk", "tipe")
     t = t.join(p, t["product_id"] == p["_pid"], "left")
     return t.select(
-        F.col("id").alias("ticket_id"), "customer_name", "customer_hp",
+        F.col("id").alias("ticket_id"), "customer_name", "customer_hp", "customer_alamat",
         F.col("nama_produk").alias("product_name"), F.col("tipe").alias("product_type"),
         "serial_number", "keluhan", F.col("management_decision").alias("decision"),
         F.lit("active").alias("status"),

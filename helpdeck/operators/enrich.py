@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helpdeck.functions.dates import now_ts, today_str
-from helpdeck.functions.labels import approval_action_label, approval_outcome_label, voucher_state
-from helpdeck.functions.text import dash_if_blank, truncate
+from helpdeck.functions.labels import approval_action_label, approval_outcome_label, role_badge, role_label, voucher_state
+from helpdeck.functions.text import dash_if_blank, file_extension, public_path, truncate
 
 
 def _products(products: DataFrame, *cols: str) -> DataFrame:
@@ -274,3 +274,19 @@ def log_details(debug_logs: DataFrame, fields: dict[str, str]) -> DataFrame:
     return debug_logs.select(
         "id", "type", F.size(F.json_object_keys("detail")).alias("detail_fields"),
         *[F.get_json_object("detail", path).alias(c) for c, path in fields.items()])
+
+
+FILE_COLUMNS = ("foto_sebelum_path", "foto_sesudah_path", "video_path")
+
+
+def visit_files(visits: DataFrame) -> DataFrame:
+    """H32 one row per file of a visit: where it is served and its extension (no file, no row)."""
+    files = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & (F.col(c) != ""), F.struct(F.lit(c).alias("field"), F.col(c).alias("p")))
+                                      for c in FILE_COLUMNS]))
+    return visits.select("id", "ticket_id", F.explode(files).alias("f")).select(
+        "id", "ticket_id", "f.field", public_path(F.col("f.p")).alias("url"), file_extension(F.col("f.p")).alias("extension"))
+
+
+def user_badges(users: DataFrame) -> DataFrame:
+    """H28 users as the side bar shows them: name, role label and its colour."""
+    return users.select("id", "name", role_label("role").alias("role_label"), role_badge("role").alias("badge"))

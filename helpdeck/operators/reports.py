@@ -15,11 +15,12 @@ Scale notes that apply throughout:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helpdeck.functions.dates import frac_days, now_ts, round_half_up, today_str, whole_days
 from helpdeck.functions.text import strip_quotes
+from helpdeck.operators.pieces import cut, running
 
 
 def _counts_by(df: DataFrame, key: str, name: str = "total") -> DataFrame:
@@ -185,6 +186,33 @@ def chart_series(df: DataFrame, label: str, value: str, order: list, label_prefi
         F.to_json(F.transform("a", lambda x: x["v"])).alias("data"))
 
 
+def chart_points(df: DataFrame, label: Column, value: str, order: list[str]) -> DataFrame:
+    """D16 a chart as rows ``place, label, value``: any number of them, none gathered. ``order``: unique columns without NULL, ascending."""
+    d = running(cut(df.withColumn("label", strip_quotes(label.cast("string"))), order), [], order, {"_before": ("sum", F.lit(1))})
+    return d.select((F.col("_before") + 1).alias("place"), "label", F.col(value).cast("long").alias("value")).orderBy("place")
+
+
+def product_chart(tickets: DataFrame, products: DataFrame) -> DataFrame:
+    """D16 complaints per product, most first (equal ones by id, no product first), quotes taken out of the names."""
+    d = product_complaints(tickets, products).select(
+        "nama_produk", "total", (-F.col("total")).alias("_o1"), F.col("product_id").isNotNull().cast("int").alias("_o2"),
+        F.coalesce("product_id", F.lit(0)).alias("_o3"))
+    return chart_points(d, F.col("nama_produk"), "total", ["_o1", "_o2", "_o3"])
+
+
+def marketplace_chart(tickets: DataFrame) -> DataFrame:
+    """D16 complaints per marketplace as it is written, most first (equal ones by name, no marketplace first)."""
+    d = _counts_by(tickets, "marketplace").select(
+        F.coalesce("marketplace", F.lit("Unknown")).alias("name"), "total", (-F.col("total")).alias("_o1"),
+        F.col("marketplace").isNotNull().cast("int").alias("_o2"), F.coalesce("marketplace", F.lit("")).alias("_o3"))
+    return chart_points(d, F.col("name"), "total", ["_o1", "_o2", "_o3"])
+
+
+def completed_chart(tickets: DataFrame, now) -> DataFrame:
+    """D16 completed tickets per month of this year."""
+    return chart_points(monthly_stats(tickets, now), F.concat(F.lit("Bulan "), "bulan"), "selesai", ["bulan"])
+
+
 # ---------------------------------------------------------------- D14
 def role_phones(users: DataFrame, role: str) -> DataFrame:
     """D14 distinct phones of a role, NULL and '' dropped, in first-seen (id) order."""

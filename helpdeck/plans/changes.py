@@ -333,6 +333,8 @@ _TODAY = f"strftime(TIMESTAMP '{TICKET_NOW}', '%d/%m/%Y')"
                                   min(seq) OVER (PARTITION BY ticket_id) AS first_seq,
                                   arg_min(teknisi_id, seq) OVER (PARTITION BY ticket_id) AS first_tek
                            FROM visit_reports WHERE findings <> '') WHERE rk = 1),
+files AS (SELECT ticket_id AS ft, {', '.join(f"arg_max({c}, seq) FILTER (WHERE {c} IS NOT NULL) AS n_{c}" for c in CH.KEEP_IF_NULL)}
+          FROM visit_reports WHERE findings <> '' GROUP BY ticket_id),
 vals AS (SELECT ticket_id, seq, first_seq, first_tek AS teknisi_id, {_TODAY} AS tanggal, jam,
                 {_trim('findings', 2000)} AS hasil_pemeriksaan, {_trim('solusi', 1000)} AS solusi,
                 {_trim('sparepart', 500)} AS sparepart,
@@ -341,7 +343,7 @@ vals AS (SELECT ticket_id, seq, first_seq, first_tek AS teknisi_id, {_TODAY} AS
                                 THEN split_part(tanggal_selesai, '-', 3) || '/' || split_part(tanggal_selesai, '-', 2)
                                      || '/' || split_part(tanggal_selesai, '-', 1)
                               ELSE tanggal_selesai END, {_TODAY}) AS tanggal_selesai
-         FROM lastr)
+         , files.* EXCLUDE (ft) FROM lastr JOIN files ON ft = ticket_id)
 SELECT v.id, v.ticket_id, v.teknisi_id,
        CASE WHEN l.seq IS NOT NULL THEN l.tanggal ELSE v.tanggal END AS tanggal,
        CASE WHEN l.seq IS NOT NULL THEN l.jam ELSE v.jam END AS jam,
@@ -349,11 +351,12 @@ SELECT v.id, v.ticket_id, v.teknisi_id,
        CASE WHEN l.seq IS NOT NULL THEN l.solusi ELSE v.solusi END AS solusi,
        CASE WHEN l.seq IS NOT NULL THEN l.sparepart ELSE v.sparepart END AS sparepart,
        CASE WHEN l.seq IS NOT NULL THEN l.tanggal_selesai ELSE v.tanggal_selesai END AS tanggal_selesai,
+       {', '.join(f'COALESCE(l.n_{c}, v.{c}) AS {c}' for c in CH.KEEP_IF_NULL)},
        v.created_at
 FROM visit_results v LEFT JOIN vals l ON v.ticket_id = l.ticket_id
 UNION ALL
 SELECT (SELECT max(id) FROM visit_results) + row_number() OVER (ORDER BY first_seq), ticket_id, teknisi_id, tanggal, jam,
-       hasil_pemeriksaan, solusi, sparepart, tanggal_selesai,
+       hasil_pemeriksaan, solusi, sparepart, tanggal_selesai, {', '.join(f'n_{c}' for c in CH.KEEP_IF_NULL)},
        strftime(TIMESTAMP '{TICKET_NOW}', '%Y-%m-%d %H:%M:%S')
 FROM vals WHERE ticket_id NOT IN (SELECT ticket_id FROM visit_results)
 """, builder=sql_changes)
@@ -537,7 +540,7 @@ def activity_backfill(spark, sf_dir):
 
 
 @query("voucher_candidates", f"""
-SELECT t.id AS ticket_id, t.customer_name, t.customer_hp, p.nama_produk AS product_name, p.tipe AS product_type,
+SELECT t.id AS ticket_id, t.customer_name, t.customer_hp, t.customer_alamat, p.nama_produk AS product_name, p.tipe AS product_type,
        t.serial_number, t.keluhan, t.management_decision AS decision, 'active' AS status,
        sha256('voucher' || CAST(t.id AS VARCHAR)) AS qr_token,
        strftime(CAST(TIMESTAMP '{TICKET_NOW}' - INTERVAL 7 HOUR AS DATE) + 30, '%Y-%m-%d') AS expired_at
@@ -551,7 +554,7 @@ def voucher_candidates(spark, sf_dir):
 
 
 @query("issue_vouchers", f"""
-, c AS (SELECT t.id AS ticket_id, t.customer_name, t.customer_hp, p.nama_produk AS product_name, p.tipe AS product_type,
+, c AS (SELECT t.id AS ticket_id, t.customer_name, t.customer_hp, t.customer_alamat, p.nama_produk AS product_name, p.tipe AS product_type,
        t.serial_number, t.keluhan, t.management_decision AS decision, 'active' AS status,
        sha256('voucher' || CAST(t.id AS VARCHAR)) AS qr_token,
        strftime(CAST(TIMESTAMP '{TICKET_NOW}' - INTERVAL 7 HOUR AS DATE) + 30, '%Y-%m-%d') AS expired_at,

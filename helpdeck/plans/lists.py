@@ -647,3 +647,21 @@ FROM j
 """)
 def log_details(spark, sf_dir):
     return E.log_details(views(spark, sf_dir).debug_logs, {"k": "$.k", "body_k": "$.body.k", "session_id": "$.session"})
+
+
+@query("visit_files", """
+, files AS (UNPIVOT (SELECT id, ticket_id, foto_sebelum_path, foto_sesudah_path, video_path FROM visit_results)
+            ON foto_sebelum_path, foto_sesudah_path, video_path INTO NAME field VALUE p)
+SELECT id, ticket_id, field, if(starts_with(p, 'http'), p, '/uploads/' || p) AS url, '.' || list_last(string_split(p, '.')) AS extension FROM files WHERE p <> ''
+""")
+def visit_files(spark, sf_dir):
+    return E.visit_files(views(spark, sf_dir).visit_results)
+
+
+@query("user_badges", """
+SELECT id, name, COALESCE(map {'admin': 'Admin', 'management': 'Management', 'teknisi': 'Teknisi', 'cs': 'CS'}[role], '?') AS role_label,
+  COALESCE(map {'admin': 'primary', 'management': 'warning', 'cs': 'secondary'}[role], 'info') AS badge
+FROM users
+""")
+def user_badges(spark, sf_dir):
+    return E.user_badges(views(spark, sf_dir).users)

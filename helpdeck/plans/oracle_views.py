@@ -65,6 +65,7 @@ tickets AS (
          strftime(o_orderdate, '%d/%m/%Y') AS tanggal_complaint,
          c_name AS customer_name,
          '0812' || CAST(c_custkey AS VARCHAR) AS customer_hp,
+         CASE WHEN k % 8 <> 0 THEN 'Jl. ' || CAST(c_custkey AS VARCHAR) END AS customer_alamat,
          n_name AS customer_kota,
          CASE WHEN k % 9 = 0 THEN NULL WHEN k % 11 = 0 THEN '' ELSE c_mktsegment END AS marketplace,
          CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN NULL ELSE 'Toko ' || n_name END AS toko,
@@ -105,6 +106,9 @@ visit_results AS (
                  ELSE 'Tidak Bisa Diperbaiki' END AS solusi,
          CAST(NULL AS VARCHAR) AS sparepart,
          strftime(ship, '%d/%m/%Y') AS tanggal_selesai,
+         CASE WHEN l_orderkey % 4 = 0 THEN 'sebelum' || CAST(l_orderkey AS VARCHAR) || '.jpg' END AS foto_sebelum_path,
+         CASE WHEN l_orderkey % 5 < 2 THEN 'https://cdn.example/' || CAST(l_orderkey AS VARCHAR) || '.png' END AS foto_sesudah_path,
+         CASE WHEN l_orderkey % 8 = 3 THEN 'v' || CAST(l_orderkey AS VARCHAR) || '.tar.mp4' END AS video_path,
          strftime(ship, '%Y-%m-%d %H:%M:%S') AS created_at
   FROM first_line WHERE l_orderkey % 6 = 4 OR l_orderkey % 12 = 3
 ),
@@ -159,7 +163,7 @@ debug_logs AS (
 ),
 service_vouchers AS (
   SELECT t.id, 'BRC-' || {_PAD6.format(k='t.id')} AS voucher_no, t.id AS ticket_id,
-         t.customer_name, t.customer_hp, p.nama_produk AS product_name, p.tipe AS product_type,
+         t.customer_name, t.customer_hp, t.customer_alamat, p.nama_produk AS product_name, p.tipe AS product_type,
          t.serial_number, t.keluhan, t.management_decision AS decision,
          CASE WHEN t.id % 24 = 4 THEN 'active' ELSE 'used' END AS status,
          sha256('tok' || CAST(t.id AS VARCHAR)) AS qr_token,
@@ -239,7 +243,10 @@ visit_reports AS (
           'Tidak Bisa Diperbaiki'][CAST(id % 6 AS INTEGER) + 1] AS solusi,
          CAST(NULL AS VARCHAR) AS sparepart,
          CASE WHEN id % 2 = 0 THEN substr(created_at, 1, 10) ELSE '' END AS tanggal_selesai,
-         substr(created_at, 12, 5) AS jam
+         substr(created_at, 12, 5) AS jam,
+         CASE WHEN id % 4 = 0 THEN 'rs' || CAST(id AS VARCHAR) END AS foto_sebelum_path,
+         CASE WHEN id % 3 = 1 THEN 'rt' || CAST(id AS VARCHAR) END AS foto_sesudah_path,
+         CASE WHEN id % 7 = 0 THEN 'rv' || CAST(id AS VARCHAR) END AS video_path
   FROM activity_log WHERE action = 'signup'
 ),
 setting_writes AS (

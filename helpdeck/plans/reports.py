@@ -162,6 +162,32 @@ def chart_series(spark, sf_dir):
     return R.chart_series(m, "bulan", "total", ["bulan"], label_prefix="Bulan ")
 
 
+@query("chart_products", """
+, c AS (SELECT product_id, count(*) AS value, COALESCE((SELECT nama_produk FROM products WHERE id = product_id), 'Unknown') AS name FROM tickets GROUP BY product_id)
+SELECT row_number() OVER (ORDER BY value DESC, product_id NULLS FIRST) AS place, replace(name, chr(39), '') AS label, value FROM c
+""")
+def chart_products(spark, sf_dir):
+    v = views(spark, sf_dir)
+    return R.product_chart(v.tickets, v.products)
+
+
+@query("chart_marketplaces", """
+SELECT row_number() OVER (ORDER BY count(*) DESC, marketplace NULLS FIRST) AS place, COALESCE(replace(marketplace, chr(39), ''), 'Unknown') AS label,
+       count(*) AS value
+FROM tickets GROUP BY marketplace
+""")
+def chart_marketplaces(spark, sf_dir):
+    return R.marketplace_chart(views(spark, sf_dir).tickets)
+
+
+@query("chart_completed", f"""
+, m AS ({_MONTHLY})
+SELECT row_number() OVER (ORDER BY bulan) AS place, 'Bulan ' || bulan AS label, selesai AS value FROM m
+""")
+def chart_completed(spark, sf_dir):
+    return R.completed_chart(views(spark, sf_dir).tickets, TICKET_NOW)
+
+
 @query("role_phones", """
 SELECT phone, min(id) AS first_id FROM users
 WHERE role = 'admin' AND phone IS NOT NULL AND phone <> ''

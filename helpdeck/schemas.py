@@ -19,7 +19,7 @@ USERS = _st(("id", L), ("username", S), ("name", S), ("role", S), ("phone", S),
 PRODUCTS = _st(("id", L), ("kode_barang", S), ("nama_produk", S), ("tipe", S), ("garansi_bulan", I),
                ("created_at", S))
 TICKETS = _st(("id", L), ("ticket_no", S), ("created_by", L), ("product_id", L), ("kode_barang", S),
-              ("tanggal_complaint", S), ("customer_name", S), ("customer_hp", S), ("customer_kota", S),
+              ("tanggal_complaint", S), ("customer_name", S), ("customer_hp", S), ("customer_alamat", S), ("customer_kota", S),
               ("marketplace", S), ("toko", S), ("serial_number", S), ("keluhan", S), ("status", S),
               ("admin_analysis", S), ("management_decision", S), ("management_comment", S), ("approved_by", L),
               ("approved_at", S), ("closed_by", L), ("closed_at", S), ("follow_up_count", I), ("created_at", S),
@@ -28,14 +28,14 @@ SCHEDULES = _st(("id", L), ("ticket_id", L), ("teknisi_id", L), ("tanggal", S),
                 ("created_by", L), ("created_at", S))
 VISIT_RESULTS = _st(("id", L), ("ticket_id", L), ("teknisi_id", L), ("tanggal", S), ("jam", S),
                     ("hasil_pemeriksaan", S), ("solusi", S), ("sparepart", S), ("tanggal_selesai", S),
-                    ("created_at", S))
+                    ("foto_sebelum_path", S), ("foto_sesudah_path", S), ("video_path", S), ("created_at", S))
 NOTIFICATIONS = _st(("id", L), ("user_id", L), ("role", S), ("message", S), ("link", S), ("is_read", I),
                     ("created_at", S))
 ACTIVITY_LOG = _st(("id", L), ("ticket_id", L), ("user_id", L), ("action", S), ("description", S),
                    ("created_at", S))
 APPROVAL_LOGS = _st(("id", L), ("ticket_id", L), ("action", S), ("decision", S), ("comment", S),
                     ("old_status", S), ("new_status", S), ("user_id", L), ("created_at", S))
-SERVICE_VOUCHERS = _st(("id", L), ("voucher_no", S), ("ticket_id", L), ("customer_name", S), ("customer_hp", S),
+SERVICE_VOUCHERS = _st(("id", L), ("voucher_no", S), ("ticket_id", L), ("customer_name", S), ("customer_hp", S), ("customer_alamat", S),
                        ("product_name", S), ("product_type", S), ("serial_number", S), ("keluhan", S),
                        ("decision", S), ("status", S), ("qr_token", S), ("created_by", L), ("created_at", S),
                        ("expired_at", S))

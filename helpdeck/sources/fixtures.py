@@ -172,6 +172,7 @@ class TicketViews:
             F.date_format("o_orderdate", DMY_FMT).alias("tanggal_complaint"),
             F.col("c_name").alias("customer_name"),
             F.concat(F.lit("0812"), _s(F.col("c_custkey"))).alias("customer_hp"),
+            F.when(k % 8 != 0, F.concat(F.lit("Jl. "), _s(F.col("c_custkey")))).alias("customer_alamat"),
             F.col("n_name").alias("customer_kota"),
             (F.when(k % 9 == 0, F.lit(None).cast("string")).when(k % 11 == 0, F.lit(""))
              .otherwise(F.col("c_mktsegment"))).alias("marketplace"),
@@ -228,6 +229,9 @@ class TicketViews:
             solusi.alias("solusi"),
             F.lit(None).cast("string").alias("sparepart"),
             F.date_format("ship", DMY_FMT).alias("tanggal_selesai"),
+            F.when(k % 4 == 0, F.concat(F.lit("sebelum"), _s(k), F.lit(".jpg"))).alias("foto_sebelum_path"),
+            F.when(k % 5 < 2, F.concat(F.lit("https://cdn.example/"), _s(k), F.lit(".png"))).alias("foto_sesudah_path"),
+            F.when(k % 8 == 3, F.concat(F.lit("v"), _s(k), F.lit(".tar.mp4"))).alias("video_path"),
             F.date_format("ship", TS_FMT).alias("created_at"))
 
     # -- event-derived logs --------------------------------------------------
@@ -278,7 +282,7 @@ class TicketViews:
             F.col("id").alias("id"),
             F.concat(F.lit("BRC-"), _pad6(F.col("id"))).alias("voucher_no"),
             F.col("id").alias("ticket_id"),
-            "customer_name", "customer_hp",
+            "customer_name", "customer_hp", "customer_alamat",
             F.col("nama_produk").alias("product_name"), F.col("tipe").alias("product_type"),
             "serial_number", "keluhan",
             F.col("management_decision").alias("decision"),
@@ -392,7 +396,10 @@ class ChangeBatches:
             F.element_at(F.array(*[F.lit(x) for x in self.SOLUSI]), (i % 6 + 1).cast("int")).alias("solusi"),
             F.lit(None).cast("string").alias("sparepart"),
             F.when(i % 2 == 0, F.substring("created_at", 1, 10)).otherwise(F.lit("")).alias("tanggal_selesai"),
-            F.substring("created_at", 12, 5).alias("jam"))
+            F.substring("created_at", 12, 5).alias("jam"),
+            F.when(i % 4 == 0, F.concat(F.lit("rs"), _s(i))).alias("foto_sebelum_path"),
+            F.when(i % 3 == 1, F.concat(F.lit("rt"), _s(i))).alias("foto_sesudah_path"),
+            F.when(i % 7 == 0, F.concat(F.lit("rv"), _s(i))).alias("video_path"))
 
     @cached_property
     def setting_writes(self) -> DataFrame:
