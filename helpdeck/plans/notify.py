@@ -9,6 +9,8 @@ from helpdeck.operators import delivery as D
 from helpdeck.operators import notify as N
 from helpdeck.plans.catalog import query, views
 from helpdeck.plans.oracle_views import sql_changes
+from helpdeck.session import scratch_path
+from helpdeck.sources import dated as DT
 from helpdeck.sources.fixtures import EVENT_NOW
 
 EV_NOW_SQL = f"TIMESTAMP '{EVENT_NOW}'"
@@ -131,6 +133,37 @@ def retention_purge_manual(spark, sf_dir):
     return N.retention_purge(views(spark, sf_dir).notifications, EVENT_NOW, days=7)
 
 
+def _by_day(spark, sf_dir):
+    """The notifications written by day: base folder and schema."""
+    n = views(spark, sf_dir).notifications
+    base = scratch_path(spark, "notifications-by-day")
+    DT.publish_by_day(n, base, DT.notification_day(), DT.unread())
+    return base, n.schema
+
+
+@query("retention_purge_by_day", f"""
+SELECT * FROM notifications
+WHERE NOT (is_read = 1 AND created_at < strftime({EV_NOW_SQL} - INTERVAL 3 DAY, {TS}))
+""")
+def retention_purge_by_day(spark, sf_dir):
+    """I9 where only the touched days are read and written; the result is the table read back."""
+    base, schema = _by_day(spark, sf_dir)
+    DT.purge_by_day(spark, base, schema, EVENT_NOW, days=3)
+    return DT.read_days(spark, base, schema, DT.manifest(spark, base))
+
+
+@query("mark_read_by_day", """
+, readers AS (SELECT DISTINCT u.id, u.role FROM activity_log a JOIN users u ON a.user_id = u.id WHERE a.action = 'view')
+SELECT n.* REPLACE (if(is_read = 0 AND (list_contains((SELECT list(id) FROM readers), user_id)
+                                        OR list_contains((SELECT list(role) FROM readers), role)), 1, is_read) AS is_read) FROM notifications n
+""")
+def mark_read_by_day(spark, sf_dir):
+    """I10 where only the days with unread notifications are read and written."""
+    base, schema = _by_day(spark, sf_dir)
+    DT.mark_read_by_day(spark, base, schema, readers=_readers(views(spark, sf_dir)))
+    return DT.read_days(spark, base, schema, DT.manifest(spark, base))
+
+
 # ------------------------------------------------------------------ delivery
 _DIALLED = """
 , digits AS (SELECT *, regexp_replace(address, '[^0-9]', '', 'g') AS dg FROM deliveries),
