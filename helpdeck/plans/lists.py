@@ -11,8 +11,10 @@ from helpdeck.functions.messages import message
 from helpdeck.operators import calendar as C
 from helpdeck.operators import enrich as E
 from helpdeck.operators import filters as FL
+from helpdeck.operators import postings as PO
 from helpdeck.operators import progress as P
 from helpdeck.plans.catalog import query, views
+from helpdeck.session import scratch_path
 from helpdeck.plans.oracle_views import sql_changes
 from helpdeck.sources.fixtures import TICKET_NOW
 
@@ -73,6 +75,22 @@ def tickets_filter_technician(spark, sf_dir):
                              penanganan="belum")
 
 
+@query("tickets_filter_indexed", ENRICHED_SQL + """
+WHERE nama_produk ILIKE '%e%' AND marketplace ILIKE '%uil%' AND customer_name ILIKE '%mer#00%0_1%' AND customer_kota ILIKE '%n%a%'
+ORDER BY id DESC
+""")
+def tickets_filter_indexed(spark, sf_dir):
+    """B5 + B8 through trigram postings of tickets and of products, which the query writes and reads back."""
+    v = views(spark, sf_dir)
+    paths = scratch_path(spark, "postings-tickets"), scratch_path(spark, "postings-products")
+    PO.write_postings(PO.postings(v.tickets, ["marketplace", "customer_name", "customer_kota"]), paths[0])
+    PO.write_postings(PO.postings(v.products, ["nama_produk"]), paths[1])
+    tickets = PO.contains_filter(v.tickets, spark.read.parquet(paths[0]), {"marketplace": "uIl", "customer_name": "mer#00%0_1", "customer_kota": "n%a"})
+    products = PO.contains_filter(v.products, spark.read.parquet(paths[1]), {"nama_produk": "E"})
+    found = E.tickets_enriched(tickets.join(products.select(F.col("id").alias("product_id")), "product_id", "left_semi"), v.products, v.users)
+    return found.orderBy(F.desc("id"))
+
+
 @query("tickets_open", "SELECT * FROM tickets WHERE status NOT IN ('completed', 'rejected')")
 def tickets_open(spark, sf_dir):
     return FL.tickets_open(views(spark, sf_dir).tickets)
