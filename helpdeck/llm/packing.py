@@ -15,6 +15,7 @@ group's table of remaining lengths has at most ``capacity`` entries.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import unicodedata
@@ -89,9 +90,11 @@ class WordEncoder:
         stands next to it is cut at its ends.
         """
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        low, marked = pc.utf8_lower(texts), np.zeros(len(texts), bool)
+        marked = np.zeros(len(texts), bool)
         for m in self.markers:
-            marked |= pc.match_substring(low, m).to_numpy(zero_copy_only=False)
+            sign = "".join(itertools.takewhile(lambda c: not c.isalpha(), m))  # the same in either case
+            some = np.flatnonzero(pc.match_substring(texts, sign).to_numpy(zero_copy_only=False))
+            marked[some] |= pc.match_substring(pc.utf8_lower(texts.take(pa.array(some))), m).to_numpy(zero_copy_only=False)
         if not marked.any():
             return self._plain(texts)
         ids, starts = self._plain(pc.if_else(pa.array(marked), "", texts))
