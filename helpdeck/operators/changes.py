@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from helpdeck.functions.dates import TS_FMT, default_expiry, now_ts
 from helpdeck.functions.labels import STATUSES, needs_followup
-from helpdeck.functions.text import digits_int, first_truthy, is_blank, js_trim, parse_int, trim_str, zero_pad
+from helpdeck.functions.text import digits_int, first_truthy, js_trim, parse_int, trim_str, zero_pad
 from helpdeck.operators.pieces import cut, running
 
 # ---- fixed values (must equal the reference) -------------------------------

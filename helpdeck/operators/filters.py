@@ -116,17 +116,3 @@ def tickets_by_creator(tickets: DataFrame, k: int | None = 20, creator=None) ->
         return df.orderBy("created_by", F.desc("created_at"), F.desc("id"))
     w = Window.partitionBy("created_by").orderBy(F.desc("created_at"), F.desc("id"))
     return df.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
-
-
-def upcoming_filter(tanggal, today_iso: str, mode: str = "text") -> Column:
-    """B11 schedule date after today.
-
-    ``mode='text'`` is the reference's text reassembly compared as text (ISO
-    input yields nonsense that still compares); ``mode='date'`` parses both
-    layouts and compares real dates.
-    """
-    from helpdeck.functions.dates import reassembled_iso, text_date
-
-    if mode == "text":
-        return reassembled_iso(tanggal) > F.lit(today_iso)
-    return text_date(tanggal) > F.to_date(F.lit(today_iso))

@@ -28,11 +28,6 @@ def _counts_by(df: DataFrame, key: str, name: str = "total") -> DataFrame:
 
 
 # ---------------------------------------------------------------- D1, D2, D21
-def total_count(df: DataFrame, name: str = "total") -> DataFrame:
-    """D1/D21 one-row total count."""
-    return df.agg(F.count(F.lit(1)).alias(name))
-
-
 def status_kpis(tickets: DataFrame, now: str) -> DataFrame:
     """D2 admin-dashboard KPIs in one scan: today's complaints and five status counts."""
     s = F.col("status")

@@ -285,7 +285,7 @@ def test_users_equal_a_replay(spark):
 
     rnd = random.Random(6)
     roles = ["admin", "management", "teknisi", "cs"]
-    for turn in range(3):
+    for turn in range(2):
         users = [(i, f"n{i}", f"N{i}", roles[i % 4] if i < 6 else "odd", None, "e", 1, "t") for i in range(1, 8)]
         log = []
         for seq in range(0, 240, 2):

@@ -83,3 +83,13 @@ def test_restore_replaces_all_tables_or_none(spark, tmp_path):
     assert now() == {"users": 3, "tickets": 5}
     IO.snapshot_restore(spark, good, expected, base, max_bytes=IO.MAX_RESTORE_BYTES)
     assert now() == {"users": 7, "tickets": 2} and IO.read_published_set(spark, base)["users"].first().role == "cs"
+
+
+def test_scratch_folders_are_removed(spark):
+    from helpdeck import session
+
+    session.clear_scratch(spark)
+    path = session.scratch_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    session.scratch_path(spark, "never-written")
+    assert os.path.isdir(path) and session.clear_scratch(spark) == 1 and not os.path.exists(path)
