@@ -247,7 +247,7 @@ def test_first_inserts_later_update(spark):
 def test_keeps_last_photo_given(spark):
     r = spark.createDataFrame([(1, 7, 5, "f", "/p1"), (2, 7, 5, "g", None)], "seq long, ticket_id long, teknisi_id long, findings string, foto_sebelum_path string")
     r = r.selectExpr("*", "'' AS solusi", "'' AS sparepart", "'' AS tanggal_selesai", "'1' AS jam")
-    visits = S.rows(spark, S.VISIT_RESULTS, []).selectExpr("*", "CAST(NULL AS string) AS foto_sebelum_path")
+    visits = S.rows(spark, S.VISIT_RESULTS, [])
     got = CH.visit_upsert(visits, r, NOW).first()
     assert (got.foto_sebelum_path, got.hasil_pemeriksaan) == ("/p1", "g")
 
