@@ -34,3 +34,12 @@ def test_only_the_trigrams_folders_are_read(spark, tmp_path):
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
     assert 0 < some.count() < 50 and P.candidates(index, "a", "3_F") is None
     assert P.trigrams("aB%cdE_fGhi") == ["cde", "fgh", "ghi"] and P.bucket("cde") == d.select((F.crc32(F.lit("cde").cast("binary")) % P.BUCKETS).alias("b")).first().b
+
+
+def test_a_trigram_has_lists_of_ids(spark):
+    """A text that all rows have makes one list per trigram, not one row per trigram and id."""
+    d = spark.range(0, 3000, 1, 1).select("id", F.lit("Tokopedia").alias("a"), F.when(F.col("id") % 2 == 0, "aaaaa").alias("b"))
+    got = P.postings(d, ["a", "b"]).collect()
+    assert len(got) == 7 + 1
+    assert all(sorted(r.ids) == (list(range(3000)) if r.field == "a" else list(range(0, 3000, 2))) for r in got)
+    assert sorted(r.gram for r in got if r.field == "a") == P.trigrams("tokopedia")
