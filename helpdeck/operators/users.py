@@ -42,29 +42,38 @@ def _well_formed(kind: Column) -> Column:
 
 
 def _round(steps: DataFrame, users: DataFrame, highest: int, admins: int) -> DataFrame:
-    """``steps`` with ``reason`` and ``done`` anew, judged by what the requests with ``done`` so far have left, and ``uid``, whom it concerns."""
+    """``steps`` with ``reason`` and ``done`` anew, judged by what the requests with ``done`` so far have left, and ``uid``, whom it concerns.
+
+    A scan reads its rows twice (the rows themselves, and the sums of their pieces). Each one's result is written, so that the
+    scans before it run once and not twice for each scan after them.
+    """
     order, done, kind = ["seq"], F.col("done"), F.col("kind")
     d = running(steps, [], order, {"_made": ("sum", F.when(done & (kind == "create"), 1).otherwise(0))})
     d = d.withColumn("uid", F.when(kind == "create", F.lit(highest) + F.col("_made") + 1).otherwise(F.coalesce("user_id", F.lit(-1)))).drop("_made")
+    d = _written(d, "user-ids")
     # the user as the latest request that took effect left it, else as the table has it (ids of the batch are new ones)
     left = F.when(done, F.struct((kind != "delete").alias("there"), "role", "username"))
     d = running(d, ["uid"], order, {"_left": ("last", left)})
     own = users.select(F.col("id").alias("_id"), F.struct(F.lit(True).alias("there"), "role", "username").alias("_own"))
     d = d.join(own, F.col("uid") == F.col("_id"), "left")
     d = d.withColumn("_now", F.when(kind != "create", F.coalesce("_left", "_own"))).drop("_left", "_own", "_id")
+    d = _written(d, "user-states")
     there = F.coalesce(F.col("_now.there"), F.lit(False))
-    # names: a create or edit asks for one, and takes it if it succeeds; an edit or delete that succeeds frees the old one
+    # names: a create or edit asks for one, and takes it if it succeeds; an edit or delete that succeeds frees the old one.
+    # Every request stays one row, under the name it asks for or frees; only an edit that frees another name adds a row, that is dropped again
     asks, old = kind.isin("create", "edit"), F.col("_now.username")
-    frees = done & there & ~(asks & F.col("username").eqNullSafe(old))
-    gone = F.when(frees, F.struct(old.alias("u"), F.lit(False).alias("asks")))
-    wants = F.when(asks & F.col("username").isNotNull(), F.struct(F.col("username").alias("u"), F.lit(True).alias("asks")))
-    names = d.select("seq", "uid", "done", "_p", F.explode(F.array_compact(F.array(wants, gone))).alias("x")).select(
-        "seq", "uid", "done", "_p", F.col("x.u").alias("_u"), F.col("x.asks").alias("_asks"))
-    holder = F.when(~F.col("_asks"), F.struct(F.lit(None).cast("bigint").alias("who"))).when(done, F.struct(F.col("uid").alias("who")))
-    names = running(names, ["_u"], order, {"_held": ("last", holder)}).filter("_asks")
-    names = names.join(users.select(F.col("username").alias("_u"), F.struct(F.col("id").alias("who")).alias("_first")), "_u", "left")
-    names = names.select(F.col("seq").alias("_seq"), F.coalesce("_held", "_first")["who"].alias("_holder"))
-    d = d.join(names, F.col("seq") == F.col("_seq"), "left").drop("_seq")
+    asked = F.when(asks, F.col("username"))
+    freed = F.when(done & there & ~(asks & F.col("username").eqNullSafe(old)), old)
+    free = F.struct(F.lit(None).cast("bigint").alias("who"))
+    own_row = F.struct(F.coalesce(asked, F.when(~asks, old), F.lit("")).alias("u"), F.lit(True).alias("own"),
+                       F.when(asks, F.when(asked.isNotNull() & done, F.struct(F.col("uid").alias("who")))).when(freed.isNotNull(), free).alias("holder"))
+    more = F.when(asks & freed.isNotNull(), F.struct(freed.alias("u"), F.lit(False).alias("own"), free.alias("holder")))
+    d = d.select("*", F.explode(F.array_compact(F.array(own_row, more))).alias("_x")).withColumn("_u", F.col("_x.u"))
+    d = running(d, ["_u"], order, {"_held": ("last", F.col("_x.holder"))}).filter("_x.own").drop("_x", "_u")
+    names = users.select(F.col("username").alias("_name"), F.struct(F.col("id").alias("who")).alias("_first"))
+    d = d.join(names, asked == F.col("_name"), "left")
+    d = d.withColumn("_holder", F.when(asked.isNotNull(), F.coalesce("_held", "_first")["who"])).drop("_held", "_first", "_name")
+    d = _written(d, "user-names")
     # admins
     was, becomes = there & (F.col("_now.role") == "admin"), asks & (F.col("role") == "admin")
     change = F.when(done, becomes.cast("int") - F.coalesce(was.cast("int"), F.lit(0))).otherwise(0)

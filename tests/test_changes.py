@@ -331,3 +331,26 @@ def test_users_equal_a_replay(spark):
         table, verdicts = U.replay_users(S.rows(spark, S.USERS, [dict(zip(S.USERS.fieldNames(), u)) for u in users]), df.repartition(4), NOW)
         assert sorted((r.seq, r.kind, r.user_id, r.reason) for r in verdicts.collect()) == want
         assert sorted(map(list, table.collect())) == sorted(now.values())
+
+
+def test_notification_links_are_built_before_the_join(spark):
+    t = S.rows(spark, S.TICKETS, [_ticket(id=1, status="approval", ticket_no="SC-2024-000001", created_by=3)])
+    ch = S.rows(spark, S.CHANGES, [{"seq": 1, "ticket_id": 1, "kind": "reject", "ts": "x", "user_id": 9, "decision": "reject", "text": "n"}])
+    users = S.rows(spark, S.USERS, [{"id": 1, "role": "cs"}, {"id": 2, "role": "admin"}])
+    df = CH.emit_notifications(t, ch, users, S.rows(spark, S.SCHEDULES, []))
+    assert "concat" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert sorted((r.user_id, r.link) for r in df.collect()) == [(1, "/admin/tickets/1"), (2, "/admin/tickets/1")]
+
+
+def test_a_round_of_the_user_log_runs_each_scan_once(spark):
+    from helpdeck.operators import users as U
+    from helpdeck.operators.pieces import cut
+
+    users = S.rows(spark, S.USERS, [{"id": 1, "username": "a", "role": "admin"}, {"id": 2, "username": "b", "role": "cs"}])
+    log = spark.createDataFrame([(i, "delete", i % 3, None, None, None) for i in range(9)],
+                                "seq long, kind string, user_id long, username string, role string, _bad string")
+    steps = cut(log, ["seq"]).withColumn("done", F.col("_bad").isNull())
+    d = U._round(steps, users.select("id", "username", "role"), 2, 1)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") <= 2  # the last scan's alone: the earlier ones' results are read
+    assert [r.reason for r in d.orderBy("seq").collect()][:3] == ["user_not_found", "cannot_delete_last_admin", "user_deleted"]
