@@ -92,3 +92,15 @@ def test_key_join_salted_path_equals_broadcast(spark):
         b = sorted(map(tuple, key_join(big, small, ["role"], how, max_broadcast_rows=0, salt=8,
                                        salt_source=F.hash("id")).select("id", "role", "viewer").collect()), key=repr)
         assert a == b and len(a) > 0
+
+
+def test_fanout_texts_are_built_before_the_join(spark):
+    u = S.rows(spark, S.USERS, [{"id": 1, "role": "admin"}, {"id": 2, "role": "cs"}, {"id": 3, "role": "teknisi"}])
+    t = S.rows(spark, S.TICKETS, [{"id": 5, "ticket_no": "SC-1"}])
+    a = S.rows(spark, S.APPROVAL_LOGS, [{"id": 10, "ticket_id": 5, "action": "approve"}, {"id": 11, "ticket_id": 6, "action": "reject"}])
+    df = N.notification_fanout(a, t, u)
+    assert "concat" not in df._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert sorted((r.user_id, r.source_id, r.message, r.link) for r in df.collect()) == [
+        (1, 10, "Ticket disetujui Management, silakan buat jadwal", "/admin/tickets/5"),
+        (1, 11, "Ticket ditolak oleh Management", "/admin/tickets/6"),
+        (2, 10, "Ticket SC-1 disetujui Management", "/admin/tickets/5"), (2, 11, "Ticket #6 ditolak Management", "/admin/tickets/6")]
