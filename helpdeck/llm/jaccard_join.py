@@ -39,6 +39,7 @@ from helpdeck.llm.shingles import shingle_sets
 
 _U = np.uint64
 FREQUENT_BITS = 22
+SLICE_BITS = 6
 CHUNK = 1 << 22
 MOST_PARITIES = 1 << 20
 
@@ -135,24 +136,49 @@ def set_sizes(rows: DataFrame) -> DataFrame:
     return rows.select("seq", "text").mapInArrow(run, "seq bigint, n bigint, content bigint, bits binary")
 
 
-def frequent_shingles(rows: DataFrame, count: int, sample_docs: int, least: int) -> np.ndarray:
-    """Marks, by the first bits of the hash, shingles that ``least`` of about ``sample_docs`` sampled rows have.
+def frequent_shingles(rows: DataFrame, count: int, per_docs: int, least: int) -> np.ndarray:
+    """Marks, by the first bits of the hash, shingles that at least ``least`` of every ``per_docs`` rows have (and ``least`` rows at least).
 
-    The marks only order the signatures; whatever they are, no link is lost.
+    Every one of the ``count`` rows is counted: a task sums up its rows by the bits, and the sums of equal slices of the
+    bits meet.  The marks only order the signatures; whatever they are, no link is lost.
     """
+    low = FREQUENT_BITS - SLICE_BITS
+    needed = max(least, -(-count * least // per_docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << FREQUENT_BITS, np.uint32)
         for batch in batches:
             data, off = text_bytes(batch.column(0))
             for i, j in doc_ranges(off, CHUNK):
-                sets = shingle_sets(data[off[i]:off[j]], off[i:j + 1] - off[i])
-                spot = np.concatenate([np.unique(s >> _U(64 - FREQUENT_BITS)) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(spot.astype(np.int32))], names=["spot"])
+                for s in shingle_sets(data[off[i]:off[j]], off[i:j + 1] - off[i]):
+                    spot = (s >> _U(64 - FREQUENT_BITS)).astype(np.int64)  # ascending, as the shingles are
+                    total[spot[np.diff(spot, prepend=-1) > 0]] += 1
+        for k, part in enumerate(total.reshape(-1, 1 << low)):
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_planes(at.astype(np.uint32))], pa.binary()),
+                                                  pa.array([_planes(part[at])], pa.binary())], names=["slice", "at", "n"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, None
 
-    share = min(1 << 30, -(-(sample_docs << 30) // max(1, count)))
-    some = rows.where(F.pmod(F.xxhash64("seq", F.lit("shingle sample")), F.lit(1 << 30)) < share).select("text")
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array((np.flatnonzero(total >= needed) + (now << low)).astype(np.int32))], names=["spot"])
+
+        for batch in batches:
+            for k, at, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != now:
+                    if now is not None:
+                        yield close()
+                    now, total = k, np.zeros(1 << low, np.int64)
+                total[_numbers(at, np.uint32)] += _numbers(n, np.uint32)
+        if now is not None:
+            yield close()
+
+    width = shuffle_width(rows.sparkSession)
+    sums = rows.select("text").mapInArrow(run, "slice int, at binary, n binary")
+    got = sums.repartition(min(width, 1 << SLICE_BITS), "slice").sortWithinPartitions("slice").mapInArrow(gather, "spot int").toArrow()
     marks = np.zeros(1 << FREQUENT_BITS, bool)
-    got = some.mapInArrow(run, "spot int").groupBy("spot").count().where(F.col("count") >= least).select("spot").toArrow()
     marks[got.column(0).to_numpy()] = True
     return marks
 
@@ -394,7 +420,7 @@ def compared(pairs: DataFrame, values: DataFrame, how, per_task: int = 256) -> D
             .mapInArrow(how, "a bigint, b bigint, inter bigint, total bigint"))
 
 
-def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, sample_docs: int = 4000, least: int = 4, block: int = 4096) -> DataFrame:
+def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, per_docs: int = 4000, least: int = 4, block: int = 4096) -> DataFrame:
     """``seq, n, least_seq``: each row's number of shingles and the least ``seq`` that links lead to.
 
     ``rows``: ``seq`` (unique) and ``text``.  Neighbourhoods of more than ``block`` sets are compared in tasks of two blocks.
@@ -403,7 +429,7 @@ def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, sample_docs: int =
     ship(spark)
     width = shuffle_width(spark)
     sizes = written(set_sizes(rows), "sets")
-    marks = spark.sparkContext.broadcast(frequent_shingles(rows, sizes.count(), sample_docs, least))  # 2**FREQUENT_BITS marks
+    marks = spark.sparkContext.broadcast(frequent_shingles(rows, sizes.count(), per_docs, least))  # 2**FREQUENT_BITS marks
     near = (rows.select("seq", "text").mapInArrow(_emit_signatures(marks, 4 * width, n2, k2), "bucket int, sig binary, id binary, size binary")
             .repartition(width, "bucket").sortWithinPartitions("bucket")
             .mapInArrow(_neighbourhoods, "leader bigint, id bigint"))

@@ -332,6 +332,34 @@ def test_signatures_of_linked_sets_meet():
                 assert len(np.intersect1d(signatures(a, marks, n2, k2), signatures(b, marks, n2, k2)))
 
 
+def test_frequent_shingles_are_counted_over_all_rows(spark):
+    from helpdeck.llm.common import ship
+    from helpdeck.llm.jaccard_join import FREQUENT_BITS, frequent_shingles
+    from helpdeck.llm.shingles import shingle_sets
+
+    ship(spark)
+    common, rarer = "one two three four five", "six seven eight nine ten"
+    texts = [common] * 40 + [rarer] * 39 + [f"a{i} b{i} c{i} d{i} e{i}" for i in range(921)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "seq long, text string").repartition(5)
+    marks = frequent_shingles(rows, 1000, 100, 4)  # 4 of every 100 rows
+    spots = []
+    for t in (common, rarer):
+        data = np.frombuffer(t.encode(), np.uint8)
+        spots.append(int(shingle_sets(data, np.array([0, len(data)]))[0][0] >> np.uint64(64 - FREQUENT_BITS)))
+    assert marks[spots[0]] and not marks[spots[1]] and marks.sum() == 1
+
+
+def test_parities_are_short_and_tell_sets_apart():
+    from helpdeck.llm.jaccard_join import odd_bits, parities
+
+    rng = np.random.default_rng(2)
+    for n in (1, 3, 100, 200, 255, 3000):
+        a, b = (np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in range(2))
+        assert 8 * len(parities(a)) <= max(8, 4 * n) and odd_bits(parities(a), parities(a)) == 0
+        if n >= 100:  # linked sets differ in at most 2 of 7 elements of both
+            assert 7 * odd_bits(parities(a), parities(b)) > 2 * 2 * n
+
+
 def test_neighbourhoods_that_leave_pairs_out_come_again():
     """Open pairs only between the 41 smallest and the 41 largest members; those in between are far from all."""
     import pyarrow as pa
@@ -602,6 +630,27 @@ def test_quality_base_by_hand(spark):
 # ---- pipeline
 
 
+def test_quality_counts_without_translating_whole_texts(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from helpdeck.llm.quality_lines import base_counts, document_lines, line_key
+
+    texts = ["Ab1 \t c9\x0b\n\n À#B 20&\n \x0c \n$É|<x>日%*", None, "", " \n\t", "I\u0130 \U0001f600# 7"]
+    d = spark.createDataFrame([(i, "h", t) for i, t in enumerate(texts)], "doc_id long, source string, text string")
+    got = base_counts(d).orderBy("doc_id")
+    assert "translate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    words = [[w for w in re.split("[ \t-\r]+", t or "") if w] for t in texts]
+    assert [(r.word_chars, r.n_symbols) for r in got.collect()] == [
+        (sum(map(len, w)), sum(c in "#*$%&|<>" for x in w for c in x)) for w in words]
+    low = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {ord(c): "0" for c in "123456789"}
+    lines = [x for t in texts for x in (t or "").split("\n")]
+    keys = spark.createDataFrame([(x,) for x in lines], "x string").select(line_key(F.col("x")).alias("k"))
+    assert [r.k for r in keys.collect()] == [re.sub("[ \t-\r]+", " ", x.translate(low)).strip(" ") for x in lines]
+    assert sorted(r.words for r in document_lines(d).collect()) == [1, 2, 2, 3]
+
+
 def test_pipeline_against_plain_stages(spark, tmp_path):
     """The filtering stages against brute force, each on its own input, then the packed ids of the last."""
     import corpus_pipeline as P
