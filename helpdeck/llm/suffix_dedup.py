@@ -10,7 +10,8 @@ Three jobs:
    with equal contents the first stays and the others go as a whole; this happens in
    each map batch first, so a passage with very many copies reaches the shuffle as one row per batch.
 2. *Transforms.*  The bytes of the runs that remain (different contents around
-   the same anchor string) meet by anchor hash.  A task lays them out in shards, sorts each shard's suffixes into its
+   the same anchor string) meet by anchor hash; the runs of an anchor with very many are parted
+   by where their windows hold it and by what these windows have in common (``_parted``).  A task lays them out in shards, sorts each shard's suffixes into its
    Burrows-Wheeler transform and merges the transforms by refining the
    interleave (``merge``): each round takes the entries in the present order, reads each
    shard's next transform symbol and deals the entries out by it, stably.  The round in which two
@@ -29,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,42 +118,53 @@ def _map_runs(length: int, chunk: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, off = text_bytes(batch.column(1))
+            found = []
             for i, j in doc_ranges(off, chunk):
-                doc, start, n, anchor, content = runs_of(data[off[i]:off[j]], off[i:j + 1] - off[i], length)
-                if not len(doc):
-                    continue
-                doc = ids[i:j][doc]
-                rows, new = _first_rows([anchor, content], [doc, start])
-                doc, start, n, anchor, content = (x[rows] for x in (doc, start, n, anchor, content))
-                # later copies inside the batch are gone already; they travel by a key of their own
-                key = np.where(new, anchor, mix64(doc.astype(_U) * _U(0x9E3779B1) + start.astype(_U)))
-                place = (start << 16) | (n << 1) | ~new  # a run has at most `length` windows
-                yield _emit({"anchor": (key >> _U(16)).view(np.int64), "content": content.view(np.int64), "seq": doc, "place": place})
+                doc, *rest = runs_of(data[off[i]:off[j]], off[i:j + 1] - off[i], length)
+                found.append([ids[i:j][doc], *rest])
+            if not sum(len(x[0]) for x in found):
+                continue
+            doc, start, n, anchor, content = (np.concatenate(x) for x in zip(*found))
+            rows, new = _first_rows([anchor, content], [doc, start])
+            doc, start, n, anchor, content = (x[rows] for x in (doc, start, n, anchor, content))
+            # later copies inside the batch are gone already; they travel by a key of their own
+            key = np.where(new, anchor, _own_key(doc, start))
+            place = (start << 16) | (n << 1) | ~new  # a run has at most `length` windows
+            yield _emit({"anchor": (key >> _U(16)).view(np.int64), "content": content.view(np.int64), "seq": doc, "place": place})
     return run
 
 
-def _settle_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All runs of some anchors: which go (``gone``), and which must be compared byte by byte."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    anchor, content, seq, place = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(4))
-    held.clear()
-    start, n, away = (place >> 16).astype(np.int32), ((place >> 1) & 0x7FFF).astype(np.int32), (place & 1).astype(bool)
-    yield _emit({"anchor": anchor[away], "seq": seq[away], "start": start[away], "n": n[away], "gone": away[away]})
-    anchor, content, seq, start, n = (x[~away] for x in (anchor, content, seq, start, n))
-    if not len(anchor):
-        return
-    rows, new = _first_rows([anchor, content], [seq, start])
-    anchor, seq, start, n = (x[rows] for x in (anchor, seq, start, n))
-    yield _emit({"anchor": anchor[~new], "seq": seq[~new], "start": start[~new], "n": n[~new], "gone": np.ones((~new).sum(), bool)})
-    anchor, seq, start, n = (x[new] for x in (anchor, seq, start, n))
-    several = np.zeros(len(anchor), bool)
-    same = anchor[1:] == anchor[:-1]
-    several[1:] |= same
-    several[:-1] |= same
-    yield _emit({"anchor": anchor[several], "seq": seq[several], "start": start[several], "n": n[several],
-                 "gone": np.zeros(several.sum(), bool)})
+def _own_key(seq: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return mix64(seq.astype(_U) * _U(0x9E3779B1) + start.astype(_U))
+
+
+def _settle_runs(crowd: int):
+    """All runs of some anchors: which go (``gone``), and which must be compared byte by byte; ``many``: their anchor has
+    more than ``crowd`` of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        anchor, content, seq, place = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(4))
+        held.clear()
+        start, n, away = (place >> 16).astype(np.int32), ((place >> 1) & 0x7FFF).astype(np.int32), (place & 1).astype(bool)
+        yield _emit({"anchor": anchor[away], "seq": seq[away], "start": start[away], "n": n[away], "gone": away[away], "many": ~away[away]})
+        anchor, content, seq, start, n = (x[~away] for x in (anchor, content, seq, start, n))
+        if not len(anchor):
+            return
+        rows, new = _first_rows([anchor, content], [seq, start])
+        anchor, seq, start, n = (x[rows] for x in (anchor, seq, start, n))
+        yield _emit({"anchor": anchor[~new], "seq": seq[~new], "start": start[~new], "n": n[~new], "gone": np.ones((~new).sum(), bool),
+                     "many": np.zeros((~new).sum(), bool)})
+        anchor, seq, start, n = (x[new] for x in (anchor, seq, start, n))
+        first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        size = np.diff(np.append(first, len(anchor)))
+        size = np.repeat(size, size)
+        several = size > 1
+        yield _emit({"anchor": anchor[several], "seq": seq[several], "start": start[several], "n": n[several],
+                     "gone": np.zeros(several.sum(), bool), "many": size[several] > crowd})
+    return run
 
 
 # ---- transforms -----------------------------------------------------------------------------------------------
@@ -263,12 +276,18 @@ def _strings_hash(data: np.ndarray, n: int) -> np.ndarray:
 
 
 def _merge_runs(length: int, step: int, task_bytes: int, shard_bytes: int):
-    """Strings of runs in the order of their anchors: transforms of about ``task_bytes`` at a time, never parting an anchor."""
-
-    def settle(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        seq = np.concatenate([b.column(1).to_numpy() for b in rows])
-        start = np.concatenate([b.column(2).to_numpy() for b in rows]).astype(np.int64)
-        texts = pa.concat_arrays([b.column(3).cast(pa.large_binary()) for b in rows])
+    """Strings of runs in the order of their anchors: transforms of about ``task_bytes`` at a time, never parting an anchor.
+    What has no string goes as a whole."""
+
+    def settle(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(rows)
+        away = rows.filter(pc.is_null(rows["bytes"])).select(["seq", "start", "n"])
+        yield from away.to_batches()
+        rows = rows.filter(pc.is_valid(rows["bytes"]))
+        if not rows.num_rows:
+            return
+        seq, start = rows["seq"].to_numpy(), rows["start"].to_numpy().astype(np.int64)
+        texts = rows["bytes"].cast(pa.large_binary()).combine_chunks()
         order = np.lexsort((start, seq))
         data, off = text_bytes(texts.take(pa.array(order)))
         seq, start = seq[order], start[order]
@@ -276,7 +295,7 @@ def _merge_runs(length: int, step: int, task_bytes: int, shard_bytes: int):
         edge = np.flatnonzero(np.diff(np.concatenate(([0], again.view(np.int8), [0]))))
         a, b = edge[::2], edge[1::2]
         own = np.searchsorted(off, a, side="right") - 1  # no window runs over its string's end, so no span does
-        return _emit({"seq": seq[own], "start": (start[own] + a - off[own]).astype(np.int32), "n": (b - a).astype(np.int32)})
+        yield _emit({"seq": seq[own], "start": (start[own] + a - off[own]).astype(np.int32), "n": (b - a).astype(np.int32)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -291,22 +310,82 @@ def _merge_runs(length: int, step: int, task_bytes: int, shard_bytes: int):
                         batch = batch.slice(go_on)
                         if not batch.num_rows:
                             break
-                    yield settle(held)
+                    yield from settle(held)
                     held, size = [], 0
-                part = batch.slice(0, 4000)
+                part = batch.slice(0, 1000)
                 held.append(part)
-                size += part.column(3).nbytes
+                size += part.column(4).nbytes
                 batch = batch.slice(part.num_rows)
         if held:
-            yield settle(held)
+            yield from settle(held)
     return run
 
 
 # ---- jobs -----------------------------------------------------------------------------------------------------
 
 
+#: The windows of a run are dealt to so many classes, by where they hold the anchor, when its anchor is parted.
+CLASSES = 4
+
+
+def _parted(data: np.ndarray, at: np.ndarray, n: np.ndarray, anchor: np.ndarray, length: int):
+    """Runs of crowded anchors, laid out in ``data`` from ``at``, in parts: ``(run, first window, windows, key, contents)``.
+
+    Equal windows hold the anchor at the same offset.  The windows of one class of offsets all hold the
+    same stretch around it, so windows that are equal lie in parts with equal keys.
+    ``contents``: two hashes that, with the number of windows, tell what a part's string is.
+    """
+    hits = np.flatnonzero(mix64(powers_hash(data, GRAM)) >> _U(16) == np.repeat(anchor, np.diff(at))[:len(data) - GRAM + 1].view(_U))
+    # the anchor is the first place of its string in the run
+    run, first = np.unique(np.searchsorted(at, hits, side="right") - 1, return_index=True)
+    offset = hits[first] - at[run]
+    wide = -(-(length - GRAM + 1) // CLASSES)
+    stretch, window = _strings_hash(data, length - wide + 1), _strings_hash(data, length)
+    parts = []
+    for c in range(CLASSES):
+        a, b = np.maximum(0, offset - c * wide - wide + 1), np.minimum(n - 1, offset - c * wide)
+        own = np.flatnonzero(a <= b)
+        a, b, begin = a[own], b[own], at[own]
+        key = mix64(stretch[begin + offset[own] - c * wide] + _U(c + 1))
+        parts.append((own, a, b - a + 1, (key >> _U(16)).view(np.int64), window[begin + a], window[begin + b]))
+    return [np.concatenate(x) for x in zip(*parts)]
+
+
 def _cut_strings(length: int):
-    """The bytes of the runs that are asked for, per anchor."""
+    """The bytes of the runs that are asked for, per anchor (or part of one); none for what is a later copy in its batch."""
+
+    def strings(data, anchor, seq, start, n, a):
+        size = n + length - 1
+        at = np.concatenate(([0], np.cumsum(size)))
+        return data[np.repeat(a - at[:-1], size) + np.arange(at[-1])], at
+
+    def emit(data, anchor, seq, start, n, a):
+        for i in range(0, len(a), 4000):
+            cut = [x[i:i + 4000] for x in (anchor, seq, start, n, a)]
+            own, at = strings(data, *cut)
+            blob = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()),
+                                                                      pa.py_buffer(own.tobytes())])
+            yield rows(*cut[:4], blob)
+
+    def rows(anchor, seq, start, n, blob):
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(seq), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)),
+                                           blob], names=["anchor", "seq", "start", "n", "bytes"])
+
+    def parts(data, anchor, seq, start, n, a):
+        found = []
+        for i in range(0, len(a), 4000):
+            cut = [x[i:i + 4000] for x in (anchor, seq, start, n, a)]
+            own, at = strings(data, *cut)
+            run, skip, windows, key, *contents = _parted(own, at, cut[3], cut[0], length)
+            run += i
+            found.append((key, *contents, seq[run], start[run] + skip, windows, a[run] + skip))
+        key, head, tail, seq, start, n, a = (np.concatenate(x) for x in zip(*found))
+        order, new = _first_rows([key, head, tail, n], [seq, start])
+        key, seq, start, n, a = (x[order] for x in (key, seq, start, n, a))
+        yield from emit(data, *(x[new] for x in (key, seq, start, n, a)))
+        key, seq, start, n = (x[~new] for x in (key, seq, start, n))
+        if len(key):
+            yield rows((_own_key(seq, start) >> _U(16)).view(np.int64), seq, start, n, pa.nulls(len(key), pa.binary()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -317,17 +396,13 @@ def _cut_strings(length: int):
             flat = lists.flatten()
             k = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             start, n, anchor = (flat.field(i).to_numpy() for i in range(3))
-            start = start.astype(np.int64)
-            a, size = off[k] + start, n.astype(np.int64) + length - 1
+            many = flat.field(3).to_numpy(zero_copy_only=False)
+            start, n = start.astype(np.int64), n.astype(np.int64)
             seq = batch.column(batch.schema.get_field_index("seq")).to_numpy()[k]
-            for i in range(0, len(a), 20000):
-                s = slice(i, i + 20000)
-                at = np.concatenate(([0], np.cumsum(size[s])))
-                own = data[np.repeat(a[s] - at[:-1], size[s]) + np.arange(at[-1])]
-                blob = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()),
-                                                                          pa.py_buffer(own.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[s]), pa.array(seq[s]), pa.array(start[s].astype(np.int32)), blob],
-                                                 names=["anchor", "seq", "start", "bytes"])
+            asked = (anchor, seq, start, n, off[k] + start)
+            yield from emit(data, *(x[~many] for x in asked))
+            if many.any():
+                yield from parts(data, *(x[many] for x in asked))
     return run
 
 
@@ -341,12 +416,14 @@ def _spans(starts: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, in
     return list(zip(a[new].tolist(), reach[last].tolist()))
 
 
-def without_repeats(rows: DataFrame, fn, ddl: str, length: int = 100, step: int = 25, chunk: int = 1 << 22,
-                    task_bytes: int = 1 << 22, shard_bytes: int = 1 << 20) -> DataFrame:
+def without_repeats(rows: DataFrame, fn, ddl: str, length: int = 100, step: int = 25, chunk: int = 1 << 19,
+                    task_bytes: int = 1 << 18, shard_bytes: int = 1 << 16, crowd: int = 1000) -> DataFrame:
     """``fn(batch, texts)`` over batches of ``rows`` (``seq``, unique; ``text``; others), ``texts`` being per row the
     text's bytes and its removed spans.
 
     The texts are shuffled by ``seq`` once: the strings of the second job and the cuts meet them there.
+    A worker holds about 50 bytes for each byte of ``chunk`` and 160 for each of ``task_bytes``, two transforms' worth at most where
+    an anchor with up to ``crowd`` runs comes last.
     """
     if length % step or not GRAM <= length < 1 << 15:
         raise ValueError("length must be a multiple of step and hold an anchor string")
@@ -355,12 +432,12 @@ def without_repeats(rows: DataFrame, fn, ddl: str, length: int = 100, step: int
     runs = rows.select("seq", "text").mapInArrow(
         _map_runs(length, chunk), "anchor bigint, content bigint, seq bigint, place bigint")
     settled = written(runs.repartition(width, "anchor").mapInArrow(
-        _settle_runs, "anchor bigint, seq bigint, start int, n int, gone boolean"), "runs")
+        _settle_runs(crowd), "anchor bigint, seq bigint, start int, n int, gone boolean, many boolean"), "runs")
     texts = rows.repartition(width, "seq")
     asked = (settled.where("not gone").groupBy(F.col("seq").alias("_seq"))
-             .agg(F.collect_list(F.struct("start", "n", "anchor")).alias("asked")))
+             .agg(F.collect_list(F.struct("start", "n", "anchor", "many")).alias("asked")))
     strings = texts.join(asked, F.col("seq") == F.col("_seq")).mapInArrow(
-        _cut_strings(length), "anchor bigint, seq bigint, start int, bytes binary")
+        _cut_strings(length), "anchor bigint, seq bigint, start int, n int, bytes binary")
     again = (strings.repartition(width, "anchor").sortWithinPartitions("anchor")
              .mapInArrow(_merge_runs(length, step, task_bytes, shard_bytes), "seq bigint, start int, n int"))
     gone = (settled.where("gone").select("seq", "start", "n").unionByName(again).groupBy(F.col("seq").alias("_seq"))

@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from brute import dedup, groups, shingles
 
@@ -63,6 +64,67 @@ def test_dedup_matches_brute_force(docs):
     assert got == [(i, *x) for i, x in enumerate(dedup(corpus()))]
 
 
+def test_dedup_crowded_anchors(docs, spark):
+    """Anchors with many runs are parted: a phrase shorter than ``length``, and a longer one, between changing texts."""
+    from helpdeck.llm.suffix_dedup import dedup_digests
+
+    options = {"chunk": 4096, "task_bytes": 2048, "shard_bytes": 512, "crowd": 1}
+    got = sorted(map(tuple, dedup_digests(docs, **options).collect()))
+    assert got == [(i, *x) for i, x in enumerate(dedup(corpus()))]
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghij "))
+    some = lambda n: "".join(rng.choice(letters, n))
+    short, long, around = some(70), some(130), [some(60) for _ in range(6)]
+    texts = [around[rng.integers(6)][:rng.integers(1, 60)] + (long if i % 3 else short) + around[rng.integers(6)] + some(5) for i in range(120)]
+    texts += [short + short, long + long, short * 5]
+    want = [(i, *x) for i, x in enumerate(dedup(texts))]
+    assert sorted(map(tuple, dedup_digests(frame(spark, texts), **options).collect())) == want
+    assert sorted(map(tuple, dedup_digests(frame(spark, texts), length=60, step=10, crowd=2).collect())) == [
+        (i, *x) for i, x in enumerate(dedup(texts, 60))]
+
+
+def test_parts_of_a_crowded_anchor_are_small():
+    """Texts that have only a phrase in common do not meet in one transform."""
+    from helpdeck.llm import suffix_dedup as S
+
+    rng = np.random.default_rng(4)
+    phrase = rng.integers(97, 123, 66).astype(np.uint8)
+    texts = [np.concatenate((rng.integers(97, 123, 90), phrase, rng.integers(97, 123, 90))).astype(np.uint8).tobytes() for _ in range(300)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    doc, start, n, anchor, _ = S.runs_of(data, np.arange(301) * 246, 100)
+    key = (anchor >> np.uint64(16)).view(np.int64)
+    values, counts = np.unique(key, return_counts=True)
+    hot = key == values[counts.argmax()]
+    rows = pa.record_batch({"seq": pa.array(np.arange(300)), "text": pa.array(texts, pa.binary()), "asked": pa.array(
+        [[{"start": int(s), "n": int(m), "anchor": int(k), "many": True} for s, m, k in zip(start[hot & (doc == d)], n[hot & (doc == d)], key[hot & (doc == d)])]
+         for d in range(300)], pa.list_(pa.struct([("start", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("many", pa.bool_())])))})
+    parts = pa.Table.from_batches(list(S._cut_strings(100)(iter([rows]))))
+    assert counts.max() >= 30 and np.unique(parts["anchor"].to_numpy(), return_counts=True)[1].max() <= 2
+    assert sum(parts["n"].to_pylist()) == n[hot].sum()
+
+
+def test_transforms_hold_little_memory():
+    """A task's strings are settled some at a time, so what a worker holds does not grow with its partition."""
+    import inspect
+    import tracemalloc
+
+    from helpdeck.llm import suffix_dedup as S
+
+    given = {k: v.default for k, v in inspect.signature(S.without_repeats).parameters.items()}
+    rng = np.random.default_rng(2)
+    n = 16000
+    strings = pa.array([x.tobytes() for x in rng.integers(97, 123, (n, 150)).astype(np.uint8)], pa.binary())
+    rows = pa.record_batch({"anchor": np.arange(n) // 4, "seq": np.arange(n), "start": np.zeros(n, np.int32), "n": np.full(n, 51, np.int32),
+                            "bytes": strings})
+    tracemalloc.start()
+    try:
+        list(S._merge_runs(given["length"], given["step"], given["task_bytes"], given["shard_bytes"])(iter([rows])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 120_000_000
+
+
 def test_dedup_other_steps(docs):
     from helpdeck.llm.suffix_dedup import dedup_digests
 
