@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helpdeck.llm.common import doc_ranges, mix64, ship, shuffle_width, text_bytes, written
+from helpdeck.llm.common import doc_ranges, lean, mix64, ship, shuffle_width, text_bytes, written
 from helpdeck.llm.components import components
 from helpdeck.llm.order import apart, in_order, inner_name
 from helpdeck.llm.shingles import shingle_sets
@@ -134,7 +134,7 @@ def set_sizes(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(h.view(np.int64)),
                                                   pa.array([parities(s) for s in sets], pa.binary())], names=["seq", "n", "content", "bits"])
 
-    return rows.select("seq", "text").mapInArrow(run, "seq bigint, n bigint, content bigint, bits binary")
+    return rows.select("seq", "text").mapInArrow(lean(run), "seq bigint, n bigint, content bigint, bits binary")
 
 
 def frequent_shingles(rows: DataFrame, count: int, per_docs: int, least: int) -> np.ndarray:
@@ -177,8 +177,8 @@ def frequent_shingles(rows: DataFrame, count: int, per_docs: int, least: int) ->
             yield close()
 
     width = shuffle_width(rows.sparkSession)
-    sums = rows.select("text").mapInArrow(run, "slice int, at binary, n binary")
-    got = sums.repartition(min(width, 1 << SLICE_BITS), "slice").sortWithinPartitions("slice").mapInArrow(gather, "spot int").toArrow()
+    sums = rows.select("text").mapInArrow(lean(run), "slice int, at binary, n binary")
+    got = sums.repartition(min(width, 1 << SLICE_BITS), "slice").sortWithinPartitions("slice").mapInArrow(lean(gather), "spot int").toArrow()
     marks = np.zeros(1 << FREQUENT_BITS, bool)
     marks[got.column(0).to_numpy()] = True
     return marks
@@ -418,7 +418,7 @@ def compared(pairs: DataFrame, values: DataFrame, how, per_task: int = 256) -> D
                       F.lit(None).cast("bigint").alias("b")))
     rows = to.join(values, F.col("_seq") == F.col("seq")).select("a", "part", "b", "value")
     return (rows.repartition(width, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-            .mapInArrow(how, "a bigint, b bigint, inter bigint, total bigint"))
+            .mapInArrow(lean(how), "a bigint, b bigint, inter bigint, total bigint"))
 
 
 def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, per_docs: int = 4000, least: int = 4, block: int = 4096) -> DataFrame:
@@ -431,9 +431,9 @@ def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, per_docs: int = 40
     width = shuffle_width(spark)
     sizes = written(set_sizes(rows), "sets")
     marks = spark.sparkContext.broadcast(frequent_shingles(rows, sizes.count(), per_docs, least))  # 2**FREQUENT_BITS marks
-    near = (rows.select("seq", "text").mapInArrow(_emit_signatures(marks, 4 * width, n2, k2), "bucket int, sig binary, id binary, size binary")
+    near = (rows.select("seq", "text").mapInArrow(lean(_emit_signatures(marks, 4 * width, n2, k2)), "bucket int, sig binary, id binary, size binary")
             .repartition(width, "bucket").sortWithinPartitions("bucket")
-            .mapInArrow(_neighbourhoods, "leader bigint, id bigint"))
+            .mapInArrow(lean(_neighbourhoods), "leader bigint, id bigint"))
     near = written(near.distinct(), "neighbourhoods")
     marks.destroy()  # what follows reads the written neighbourhoods
     large = written(near.groupBy(F.col("leader").alias("_large")).agg(F.count("*").alias("_n"), F.min("id").alias("_hub"))
@@ -458,13 +458,13 @@ def similar_groups(rows: DataFrame, n2: int = 1, k2: int = 0, per_docs: int = 40
         members = members.select("leader", "id", "n", "bits", known.alias("component"))
         ddl, is_large = "leader bigint, a bigint, b bigint", F.col("leader") == F.col("_large")
         found = ((members.join(large, is_large, "left_anti") if any_large else members).repartition(width, "leader")
-                 .sortWithinPartitions("leader").mapInArrow(_open_pairs(turn), ddl))
+                 .sortWithinPartitions("leader").mapInArrow(lean(_open_pairs(turn)), ddl))
         if any_large and not turn:  # large ones: all with the least member first, which leaves few blocks that must meet
             found = found.unionByName(near.join(large, is_large).select(
                 "leader", F.col("_hub").alias("a"), F.when(F.col("id") != F.col("_hub"), F.col("id")).alias("b")))
         elif any_large:
             found = found.unionByName(in_blocks(members.join(large, is_large, "left_semi"), block).repartition(width, "leader", "left", "right")
-                                      .sortWithinPartitions("leader", "left", "right").mapInArrow(_open_pairs(turn), ddl))
+                                      .sortWithinPartitions("leader", "left", "right").mapInArrow(lean(_open_pairs(turn)), ddl))
         found = written(found, "pairs")
         pairs = found.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         near = near.join(found.where("b is null").select(F.col("leader").alias("_l")), F.col("leader") == F.col("_l"), "left_semi")

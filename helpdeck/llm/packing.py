@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helpdeck.llm.common import ship
+from helpdeck.llm.common import lean, ship
 
 #: Words the direct path handles: visible ASCII and Latin letters, no blanks or controls.
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xac\xae-ſ]+")
@@ -263,4 +263,4 @@ def pack_frame(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end_i
             yield close(doc_ids, parts, sizes, seq)[0]
 
     ship(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), ddl)

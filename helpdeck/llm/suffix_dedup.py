@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helpdeck.llm.common import doc_ranges, extended, mix64, ship, shuffle_width, text_bytes, written
+from helpdeck.llm.common import doc_ranges, extended, lean, mix64, ship, shuffle_width, text_bytes, written
 from helpdeck.llm.order import apart, in_order, inner_name
 
 GRAM = 32
@@ -430,16 +430,16 @@ def without_repeats(rows: DataFrame, fn, ddl: str, length: int = 100, step: int
     ship(rows.sparkSession)
     width = shuffle_width(rows.sparkSession)
     runs = rows.select("seq", "text").mapInArrow(
-        _map_runs(length, chunk), "anchor bigint, content bigint, seq bigint, place bigint")
+        lean(_map_runs(length, chunk)), "anchor bigint, content bigint, seq bigint, place bigint")
     settled = written(runs.repartition(width, "anchor").mapInArrow(
-        _settle_runs(crowd), "anchor bigint, seq bigint, start int, n int, gone boolean, many boolean"), "runs")
+        lean(_settle_runs(crowd)), "anchor bigint, seq bigint, start int, n int, gone boolean, many boolean"), "runs")
     texts = rows.repartition(width, "seq")
     asked = (settled.where("not gone").groupBy(F.col("seq").alias("_seq"))
              .agg(F.collect_list(F.struct("start", "n", "anchor", "many")).alias("asked")))
     strings = texts.join(asked, F.col("seq") == F.col("_seq")).mapInArrow(
-        _cut_strings(length), "anchor bigint, seq bigint, start int, n int, bytes binary")
+        lean(_cut_strings(length)), "anchor bigint, seq bigint, start int, n int, bytes binary")
     again = (strings.repartition(width, "anchor").sortWithinPartitions("anchor")
-             .mapInArrow(_merge_runs(length, step, task_bytes, shard_bytes), "seq bigint, start int, n int"))
+             .mapInArrow(lean(_merge_runs(length, step, task_bytes, shard_bytes)), "seq bigint, start int, n int"))
     gone = (settled.where("gone").select("seq", "start", "n").unionByName(again).groupBy(F.col("seq").alias("_seq"))
             .agg(F.collect_list(F.struct("start", "n")).alias("_gone")))
 
@@ -458,7 +458,7 @@ def without_repeats(rows: DataFrame, fn, ddl: str, length: int = 100, step: int
                 texts.append((view[off[i]:off[i + 1]], spans))
             yield fn(batch, texts)
 
-    return texts.join(gone, F.col("seq") == F.col("_seq"), "left").mapInArrow(cut, ddl)
+    return texts.join(gone, F.col("seq") == F.col("_seq"), "left").mapInArrow(lean(cut), ddl)
 
 
 def _kept(text: memoryview, spans: list[tuple[int, int]]) -> bytes:

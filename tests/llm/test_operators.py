@@ -125,6 +125,24 @@ def test_transforms_hold_little_memory():
     assert peak < 120_000_000
 
 
+def test_workers_give_memory_back(monkeypatch):
+    """At the end of a task, also of one that is not read to its end."""
+    from helpdeck.llm import common
+
+    class Pool:
+        def release_unused(self):
+            given.append(1)
+
+    given: list[int] = []
+    monkeypatch.setattr(common.pa, "default_memory_pool", Pool)
+    monkeypatch.setattr(common.pa, "system_memory_pool", Pool)
+    assert list(common.lean(lambda batches: (2 * b for b in batches))(iter([1, 2]))) == [2, 4] and len(given) == 2
+    task = common.lean(lambda batches: batches)(iter([1, 2]))
+    next(task)
+    task.close()
+    assert len(given) == 4
+
+
 def test_dedup_other_steps(docs):
     from helpdeck.llm.suffix_dedup import dedup_digests
 
